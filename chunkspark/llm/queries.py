@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import session_ready, table
+from .mixing import mix_sources
 from .secrets import secret_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,4 +28,5 @@ def over(name: str, source: str, sql: str | None = None):
     return add
 
 
+over("op1_mix_sources", "documents")(lambda docs: mix_sources(docs).drop("source"))
 over("op10_secret_scan", "documents")(secret_report)
