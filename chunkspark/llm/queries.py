@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import session_ready, table
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .secrets import secret_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,4 +30,5 @@ def over(name: str, source: str, sql: str | None = None):
 
 
 over("op1_mix_sources", "documents")(lambda docs: mix_sources(docs).drop("source"))
+over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
 over("op10_secret_scan", "documents")(secret_report)
