@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import session_ready, table
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .ppm import language_scores
 from .rules import SQL as RULES_SQL
 from .rules import quality_rules
 from .secrets import secret_report
@@ -32,6 +33,7 @@ def over(name: str, source: str, sql: str | None = None):
 
 
 over("op1_mix_sources", "documents")(lambda docs: mix_sources(docs).drop("source"))
+over("op4_language_scores", "documents")(language_scores)
 over("op5_quality_rules", "documents", RULES_SQL)(quality_rules)
 over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
 over("op10_secret_scan", "documents")(secret_report)
