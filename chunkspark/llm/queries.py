@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import session_ready, table
+from .graph_search import nearest_of_hundredths
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .ppm import language_scores
@@ -33,6 +34,7 @@ def over(name: str, source: str, sql: str | None = None):
 
 
 over("op1_mix_sources", "documents")(lambda docs: mix_sources(docs).drop("source"))
+over("op2_nearest_neighbours", "embeddings")(nearest_of_hundredths)
 over("op4_language_scores", "documents")(language_scores)
 over("op5_quality_rules", "documents", RULES_SQL)(quality_rules)
 over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
