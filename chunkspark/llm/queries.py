@@ -10,6 +10,7 @@ from .common import session_ready, table
 from .graph_search import nearest_of_hundredths
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .pieces import piece_report
 from .ppm import language_scores
 from .rules import SQL as RULES_SQL
 from .rules import quality_rules
@@ -35,6 +36,7 @@ def over(name: str, source: str, sql: str | None = None):
 
 over("op1_mix_sources", "documents")(lambda docs: mix_sources(docs).drop("source"))
 over("op2_nearest_neighbours", "embeddings")(nearest_of_hundredths)
+over("op3_piece_encoding", "documents")(piece_report)
 over("op4_language_scores", "documents")(language_scores)
 over("op5_quality_rules", "documents", RULES_SQL)(quality_rules)
 over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
