@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import session_ready, table
 from .graph_search import nearest_of_hundredths
+from .lengths import length_report
+from .linedup import line_report
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pieces import piece_report
@@ -39,5 +41,7 @@ over("op2_nearest_neighbours", "embeddings")(nearest_of_hundredths)
 over("op3_piece_encoding", "documents")(piece_report)
 over("op4_language_scores", "documents")(language_scores)
 over("op5_quality_rules", "documents", RULES_SQL)(quality_rules)
+over("op6_length_histogram", "documents")(length_report)
 over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
+over("op9_line_dedup", "documents")(line_report)
 over("op10_secret_scan", "documents")(secret_report)
