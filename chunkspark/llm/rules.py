@@ -22,22 +22,18 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP), "")
 
 
 def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), GAP, " "))
 
 
-def window_hashes(words: Column) -> Column:
-    """64-bit hashes of the windows of eight words, made by doubling: pairs, fours, eights."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-
-    def double(a: Column, gap: int) -> Column:
-        left = F.greatest(F.size(a) - gap, F.lit(0))
-        return F.zip_with(F.slice(a, F.lit(1), left), F.slice(a, F.lit(gap + 1), left), lambda x, y: F.xxhash64(x, y))
-
-    return double(double(double(hashed, 1), 2), 4)
+def joined_hashes(hashes: str, gap: int) -> Column:
+    """The hashes of each place's entry with the one `gap` places on. `hashes` is a column, not an expression: it is
+    used several times here, and doubling an expression would compute it again for each use."""
+    left = F.greatest(F.size(hashes) - gap, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), left), F.slice(hashes, F.lit(gap + 1), left), lambda x, y: F.xxhash64(x, y))
 
 
 def base_rules(docs: DataFrame, text: Column) -> DataFrame:
@@ -45,7 +41,11 @@ def base_rules(docs: DataFrame, text: Column) -> DataFrame:
     d = docs.withColumn("__text", text)
     d = d.withColumn("__words", word_array(F.col("__text")))
     d = d.withColumn("n_words", F.size("__words").cast("long"))
-    d = d.withColumn("__eights", F.when(F.col("n_words") > 8, window_hashes(F.col("__words"))))
+    # 64-bit hashes of the windows of eight words, by doubling: words, pairs, fours, eights.
+    d = d.withColumn("__ones", F.transform("__words", lambda w: F.xxhash64(w)))
+    d = d.withColumn("__pairs", joined_hashes("__ones", 1))
+    d = d.withColumn("__fours", joined_hashes("__pairs", 2))
+    d = d.withColumn("__eights", joined_hashes("__fours", 4))
     d = d.withColumn("__again", F.size("__eights") > F.size(F.array_distinct("__eights")))
     # Sorted (hash, place) pairs show the places of repeated windows; a repeated window adds the words up to the next
     # one's beginning, eight at most. Texts without a repeated window, nearly all, are not sorted.
