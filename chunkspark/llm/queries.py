@@ -17,6 +17,7 @@ from .ppm import language_scores
 from .rules import SQL as RULES_SQL
 from .rules import quality_rules
 from .secrets import secret_report
+from .suffixes import repeat_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,7 @@ over("op3_piece_encoding", "documents")(piece_report)
 over("op4_language_scores", "documents")(language_scores)
 over("op5_quality_rules", "documents", RULES_SQL)(quality_rules)
 over("op6_length_histogram", "documents")(length_report)
+over("op7_repeated_strings", "documents")(repeat_report)
 over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
 over("op9_line_dedup", "documents")(line_report)
 over("op10_secret_scan", "documents")(secret_report)
