@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 WORD = r"[^\x20\x09-\x0D]+"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that one numpy step handles; a longer document is one step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -156,6 +156,19 @@ class Trie:
         return -np.add.reduceat(cost, first) if len(first) else np.zeros(0)
 
 
+class Model:
+    """What scoring needs, sent to each worker once; the trie is built there at first use and kept."""
+
+    def __init__(self, hot_codes: np.ndarray, hot_counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]):
+        self.hot_codes, self.hot_counts, self.grams = hot_codes, hot_counts, grams
+        self._trie: Trie | None = None
+
+    def trie(self) -> Trie:
+        if self._trie is None:
+            self._trie, self.grams = Trie(self.grams), []
+        return self._trie
+
+
 def kinds_0(grams: list[tuple[np.ndarray, np.ndarray]]) -> int:
     return int((grams[0][0] != START).sum()) if grams else 0
 
@@ -236,10 +249,10 @@ def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 n_grams = np.bincount(place, n_grams).astype(np.int64)
                 held.append((np.repeat(np.array([0, 1], np.int8), [len(words_), len(grams)]), np.concatenate([words_, grams.view(np.int64)]), np.concatenate([n_words, n_grams])))
                 size += len(words_) + len(grams)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 out = merged()
                 size = out.num_rows
-                if size > 3_000_000:
+                if size > 1_500_000:
                     held.clear()
                     size = 0
                     yield out
@@ -291,13 +304,11 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
     codes, ns = hot.column("code").to_numpy(), hot.column("n").to_numpy()
     at = np.argsort(codes)
     # Proven bounds: 1 / hot_share words and max_grams grams.
-    model = spark.sparkContext.broadcast((codes[at], ns[at], kept_grams(counts, order, max_grams)))
+    model = spark.sparkContext.broadcast(Model(codes[at], ns[at], kept_grams(counts, order, max_grams)))
     whole = math.log10(n_all + distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_codes, hot_counts, grams = model.value
-        trie = Trie(grams)
-        # A table over the hash's top bits narrows the search for a word.
+        hot_codes, hot_counts, trie = model.value.hot_codes, model.value.hot_counts, model.value.trie()
         logs = np.log10(np.append(hot_counts, 0) + 1.0)
         for batch in batches:
             data, offsets = text_buffer(batch.column(3))
