@@ -4,10 +4,10 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a
 earlier in the same document. Nothing is sampled; equal strings are brought together by what they contain.
 
 1. Each LENGTH-byte window has an anchor: the least hash among its K-byte pieces, the leftmost of equals. Equal windows
-   have equal anchors. Neighbouring windows with one anchor form a segment. Anchors' hashes are dealt out and those
-   that occur once in the corpus are dropped, with the text around them: it can't be repeated.
-2. Segments with a repeated anchor are dealt out by its hash. Equal segments collapse, in each task before they are
-   sent and again where they meet: all but the earliest are repeats as a whole.
+   have equal anchors. Neighbouring windows with one anchor form a segment. The hashes of segments are dealt out by
+   those of their anchors. An anchor that occurs once can't be in a repeated window. Of equal segments all but the
+   earliest are repeats as a whole.
+2. Only the earliest segments of anchors with different segments are left to compare. Their bytes are dealt out.
 3. The different segments of an anchor are the strings of a collection, cut into shards. The alphabet is the
    STRIDE-byte blocks of the text, so a suffix steps by one block and LENGTH bytes are DEPTH symbols; any order of
    the blocks serves. Each shard gets its Burrows-Wheeler transform by prefix doubling. The transforms are merged
@@ -16,7 +16,7 @@ earlier in the same document. Nothing is sampled; equal strings are brought toge
    What still shares DEPTH symbols is an interval of equal windows; all but its earliest are repeats.
 4. A document's repeated windows are united to removed runs.
 
-Hot groups: an anchor with more than HOT occurrences is not kept together; each of its windows is dealt out by the
+Hot groups: an anchor with more than HOT different segments is not kept together; each of its windows is dealt out by the
 hash of the whole window, copies collapsing before they are sent, which needs no transform, as such a group holds
 equal windows only. Comparison is by 64-bit hashes: four blocks, or two of a whole segment.
 
@@ -37,11 +37,11 @@ from .common import mix, prefix_hash, session_ready, span_hash, steps, text_buff
 LENGTH = 100
 STRIDE = 25
 DEPTH = LENGTH // STRIDE
-K = 40
+K = 28
 HOT = 1 << 16
 STEP = 2 << 20
 #: Suffixes of a shard, and shards that are merged at once.
-SHARD, SHARDS = 1 << 19, 8
+SHARD, SHARDS = 1 << 17, 8
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -180,20 +180,12 @@ def repeated_windows(pieces: np.ndarray, lengths: np.ndarray, shard: int = SHARD
     return out
 
 
-def _earliest(group: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places sorted by group, then order; and whether each is its group's first."""
-    at = np.lexsort((*order[::-1], group))
-    first = np.ones(len(at), bool)
-    first[1:] = group[at[1:]] != group[at[:-1]]
-    return at, first
-
-
-def _same_as_first(at: np.ndarray, first: np.ndarray, *columns: np.ndarray) -> np.ndarray:
-    """Whether each sorted place equals its group's first in all columns: it is the first's own copy, from an equal row."""
-    lead = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))] if len(at) else at
-    out = np.ones(len(at), bool)
+def _as_first(first: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """For rows sorted by group: whether each equals its group's first in all columns, as a row and its own copy do."""
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    out = np.ones(len(first), bool)
     for c in columns:
-        out &= c[at] == c[lead]
+        out &= c == c[lead]
     return out
 
 
@@ -208,6 +200,38 @@ def _concat(rows: list, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray]:
+    """The rows of a bucket: each entry's document, the documents' ids and rows, then the other columns."""
+    held: list[list[bytes]] = [[] for _ in range(3 + len(kinds))]
+    for batch in batches:
+        for k, column in enumerate(held):
+            column += batch.column(k + 1).to_pylist()
+    sizes = np.array([len(x) // 8 for x in held[0]], np.int64)
+    many = np.array([len(x) // 4 for x in held[2]], np.int64)
+    doc = _concat(held[2], np.int32) + np.repeat(np.cumsum(sizes) - sizes, many)
+    out = [doc, _concat(held[0], np.int64), _concat(held[1], np.int64)]
+    for k, kind in enumerate(kinds):
+        out.append(_concat(held[3 + k], kind))
+        held[3 + k] = []
+    return out
+
+
+def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One row a document, with its runs united: pairs of start and end."""
+    _, number = np.unique(np.column_stack([ids, rows]), axis=0, return_inverse=True)
+    named = number.reshape(-1)[doc].astype(np.int64)
+    order = np.lexsort((start, named))
+    doc, start, end, named = doc[order], start[order], end[order], named[order]
+    far = np.maximum.accumulate(end + named * (1 << 40)) - named * (1 << 40)
+    new = np.ones(len(doc), bool)
+    new[1:] = (named[1:] != named[:-1]) | (start[1:] > far[:-1])
+    run = np.flatnonzero(new)
+    pairs = np.column_stack([start[run], far[np.append(run[1:], len(doc)) - 1]]).astype(np.int64).reshape(-1)
+    _, first = np.unique(named[run], return_index=True)
+    at = doc[run[first]]
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(rows[at]), _binary(pairs, 2 * np.append(first[1:], len(run)))], names=["id", "row", "runs"])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_bytes (what is left), n_bytes, n_removed, spans array<struct<start,end>> of the removed runs."""
     spark = docs.sparkSession
@@ -221,43 +245,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in steps(offsets, STEP):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                hashes, row, start, count = segments(part, own, prefix_hash(part))
+                prefix = prefix_hash(part)
+                hashes, row, start, count = segments(part, own, prefix)
+                begin = own[row] + start
+                whole = span_hash(prefix, begin, begin + count + LENGTH - 1)
                 for b, pick in by_bucket((hashes % np.uint64(parts)).astype(np.int64), parts):
                     used, local = np.unique(row[pick], return_inverse=True)
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], start[pick], count[pick].astype(np.uint8)]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "start", "count"])
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[] for _ in range(6)]
-        for batch in batches:
-            for k in range(6):
-                held[k] += batch.column(k + 1).to_pylist()
-        if not held[0]:
-            return
-        sizes = np.array([len(x) // 8 for x in held[0]])
-        many = np.array([len(x) // 4 for x in held[2]])
-        ids, rows = _concat(held[0], np.int64), _concat(held[1], np.int64)
-        doc = _concat(held[2], np.int32) + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), many)
-        hashes, start, count = _concat(held[3], np.uint64), _concat(held[4], np.int32), _concat(held[5], np.uint8)
-        held.clear()
-        at = np.argsort(hashes, kind="stable")
-        new = np.ones(len(at), bool)
-        new[1:] = hashes[at[1:]] != hashes[at[:-1]]
-        group = np.cumsum(new) - 1
-        times = np.bincount(group)[group]
-        keep = np.empty(len(at), np.int64)
-        keep[at] = times
-        pick = np.flatnonzero(keep > 1)
-        if not len(pick):
-            return
-        pick = pick[np.argsort(doc[pick], kind="stable")]
-        used, first = np.unique(doc[pick], return_index=True)
-        ends = np.append(first[1:], len(pick))
-        flag = np.where(keep[pick] > HOT, -1, 1) * count[pick].astype(np.int16)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(rows[used]), _binary(hashes[pick], ends), _binary(start[pick], ends), _binary(flag.astype(np.int16), ends)], names=["id", "row", "hash", "start", "count"])
-
-    blobs = source.mapInArrow(anchors, "bucket int, ids binary, rows binary, local binary, hash binary, start binary, count binary")
-    hits = blobs.repartition(parts, "bucket").mapInArrow(repeated, "id long, row long, hash binary, start binary, count binary")
+                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], start[pick], count[pick].astype(np.uint8)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "whole", "start", "count"])
+
+    def collapse(gone: bool):
+        """Repeats as runs of documents, or the segments that are left to compare."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            doc, ids, rows, hashes, whole, start, count = _gathered(batches, (np.uint64, np.uint64, np.int32, np.uint8))
+            if not len(doc):
+                return
+            # Only anchors that occur twice or more; then their segments by content, the earliest first.
+            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            pick = np.flatnonzero(times[back] > 1)
+            doc, hashes, whole, start, count = (x[pick] for x in (doc, hashes, whole, start, count))
+            at = np.lexsort((start, rows[doc], ids[doc], whole, hashes))
+            doc, hashes, whole, start, count = (x[at] for x in (doc, hashes, whole, start.astype(np.int64), count.astype(np.int64)))
+            same = np.zeros(len(doc), bool)
+            same[1:] = (hashes[1:] == hashes[:-1]) & (whole[1:] == whole[:-1])
+            if gone:
+                again = same & ~_as_first(~same, ids[doc], rows[doc], start)
+                if again.any():
+                    yield _runs(doc[again], start[again], (start + count)[again] + LENGTH - 1, ids, rows)
+                return
+            lead = np.flatnonzero(~same)
+            if not len(lead):
+                return
+            _, back, kinds = np.unique(hashes[lead], return_inverse=True, return_counts=True)
+            lead, kinds = lead[kinds[back] > 1], kinds[back][kinds[back] > 1]
+            order = np.argsort(doc[lead], kind="stable")
+            lead, flag = lead[order], (np.where(kinds > HOT, -1, 1) * count[lead])[order].astype(np.int16)
+            if not len(lead):
+                return
+            used, first = np.unique(doc[lead], return_index=True)
+            ends = np.append(first[1:], len(lead))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(rows[used]), _binary(hashes[lead], ends), _binary(start[lead].astype(np.int32), ends), _binary(flag, ends)], names=["id", "row", "hash", "start", "count"])
+
+        return run
+
+    blobs = source.mapInArrow(anchors, "bucket int, ids binary, rows binary, local binary, hash binary, whole binary, start binary, count binary").repartition(parts, "bucket")
+    copies = blobs.mapInArrow(collapse(True), "id long, row long, runs binary")
+    hits = blobs.mapInArrow(collapse(False), "id long, row long, hash binary, start binary, count binary")
     hits = hits.groupBy("id", "row").agg(F.collect_list(F.struct("hash", "start", "count")).alias("hits"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,76 +300,54 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, rows, hits_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for i, j in steps(offsets, STEP):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                got = [x for x in hits_.slice(i, j - i).to_pylist()]
+                got = hits_.slice(i, j - i).to_pylist()
                 many = np.array([sum(len(y["start"]) // 4 for y in x) for x in got])
                 take = lambda name, dtype: _concat([y[name] for x in got for y in x], dtype)  # noqa: B023, E731
                 hashes, start, flag = take("hash", np.uint64), take("start", np.int32), take("count", np.int16)
                 row = np.repeat(np.arange(j - i), many)
                 count = np.abs(flag).astype(np.int64)
-                # The windows of hot anchors stand alone.
-                hot = np.flatnonzero(flag < 0)
+                # The windows of hot anchors stand alone, under their own hashes; equal ones of this task collapse.
+                hot, rest = np.flatnonzero(flag < 0), np.flatnonzero(flag > 0)
                 spread = np.repeat(hot, count[hot])
                 more = np.arange(len(spread)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
-                rest = np.flatnonzero(flag > 0)
                 row, start = np.concatenate([row[rest], row[spread]]), np.concatenate([start[rest], start[spread] + more])
                 count = np.concatenate([count[rest], np.ones(len(spread), np.int64)])
-                alone = np.arange(len(row)) >= len(rest)
+                kind = np.repeat(np.array([0, 1], np.uint8), [len(rest), len(spread)])
                 begin = own[row] + start
-                end = begin + count + LENGTH - 1
-                prefix = prefix_hash(part)
-                whole = span_hash(prefix, begin, end)
-                hashes = np.where(alone, mix(whole ^ SALT), np.concatenate([hashes[rest], np.zeros(len(spread), np.uint64)]))
-                whole ^= hashes
-                # Collapse equal segments of this task.
-                at, first = _earliest(whole, ids[i + row], rows[i + row], start)
-                own_copy = _same_as_first(at, first, ids[i + row], rows[i + row], start)
-                gone = np.zeros(len(at), bool)
-                gone[at] = ~first & ~own_copy
-                drop = np.zeros(len(at), bool)
-                drop[at] = ~first & own_copy
-                bare = gone | alone
-                pick_all = np.flatnonzero(~drop)
-                for b, sub in by_bucket((hashes[pick_all] % np.uint64(parts)).astype(np.int64), parts):
-                    pick = pick_all[sub]
+                hashes = hashes[rest]
+                if len(spread):
+                    alone = begin[len(rest) :]
+                    own_hash = mix(span_hash(prefix_hash(part), alone, alone + LENGTH) ^ SALT)
+                    hashes = np.concatenate([hashes, own_hash])
+                    at = len(rest) + np.lexsort((start[len(rest) :], rows[i + row[len(rest) :]], ids[i + row[len(rest) :]], own_hash))
+                    first = np.ones(len(at), bool)
+                    first[1:] = hashes[at[1:]] != hashes[at[:-1]]
+                    kind[at[~first & ~_as_first(first, ids[i + row[at]], rows[i + row[at]], start[at])]] = 2
+                for b, pick in by_bucket((hashes % np.uint64(parts)).astype(np.int64), parts):
                     used, local = np.unique(row[pick], return_inverse=True)
-                    full = pick[~bare[pick]]
-                    size = end[full] - begin[full]
-                    where = np.repeat(begin[full] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    kind = np.where(gone[pick], 2, np.where(alone[pick], 1, 0)).astype(np.uint8)
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], start[pick].astype(np.int32), count[pick].astype(np.uint8), kind, part[where]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "whole", "start", "count", "kind", "bytes"])
+                    full = pick[kind[pick] == 0]
+                    size = count[full] + LENGTH - 1
+                    where = np.repeat(begin[full] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], start[pick].astype(np.int32), count[pick].astype(np.uint8), kind[pick], part[where]]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "start", "count", "kind", "bytes"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[] for _ in range(9)]
-        for batch in batches:
-            for k in range(9):
-                held[k] += batch.column(k + 1).to_pylist()
-        if not held[0]:
+        doc, ids, rows, hashes, start, count, kind, data = _gathered(batches, (np.uint64, np.int32, np.uint8, np.uint8, np.uint8))
+        if not len(doc):
             return
-        sizes = np.array([len(x) // 8 for x in held[0]])
-        many = np.array([len(x) // 4 for x in held[2]])
-        doc = _concat(held[2], np.int32) + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), many)
-        ids, rows = _concat(held[0], np.int64), _concat(held[1], np.int64)
-        hashes, whole, start, count, kind, data = (_concat(held[k], t) for k, t in ((3, np.uint64), (4, np.uint64), (5, np.int32), (6, np.uint8), (7, np.uint8), (8, np.uint8)))
-        held.clear()
         start, count = start.astype(np.int64), count.astype(np.int64)
         size = np.where(kind == 0, count + LENGTH - 1, 0)
         begin = np.cumsum(size) - size
-        id_, row_ = ids[doc], rows[doc]
         # (document, first window, windows) that are repeats.
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(doc[kind == 2], start[kind == 2], count[kind == 2])]
-        open_ = np.flatnonzero(kind < 2)
-        at, first = _earliest(whole[open_], id_[open_], row_[open_], start[open_])
-        copy = ~first & ~_same_as_first(at, first, id_[open_], row_[open_], start[open_])
-        again = open_[at[copy]]
+        alone = np.flatnonzero(kind == 1)
+        alone = alone[np.lexsort((start[alone], rows[doc[alone]], ids[doc[alone]], hashes[alone]))]
+        first = np.ones(len(alone), bool)
+        first[1:] = hashes[alone[1:]] != hashes[alone[:-1]]
+        again = alone[~first & ~_as_first(first, ids[doc[alone]], rows[doc[alone]], start[alone])]
         found.append((doc[again], start[again], count[again]))
-        lead = open_[at[first]]
-        lead = lead[kind[lead] == 0]
+        lead = np.flatnonzero(kind == 0)
         lead = lead[np.argsort(hashes[lead], kind="stable")]
-        new = np.ones(len(lead), bool)
-        new[1:] = hashes[lead[1:]] != hashes[lead[:-1]]
-        group = np.cumsum(new) - 1
-        lead = lead[np.bincount(group)[group] > 1] if len(lead) else lead
         # Whole groups at a time, as many as SHARDS shards hold.
         total = np.cumsum(size[lead])
         lo = 0
@@ -350,40 +362,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = lead[lo:hi]
             lo = hi
             lengths = size[own]
-            where = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+            where = np.repeat(begin[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             block = repeated_windows(data[where], lengths)
             window = np.flatnonzero(block >= 0)
             segment = own[np.repeat(np.arange(len(own)), lengths)[window]]
             position = start[segment] + where[window] - begin[segment]
-            # Equal windows of different anchors' segments have one block too, so the earliest is right across groups.
-            order, lead_ = _earliest(block[window], id_[segment], row_[segment], position)
-            covered = order[~lead_ & ~_same_as_first(order, lead_, id_[segment], row_[segment], position)]
-            found.append((doc[segment[covered]], position[covered], np.ones(len(covered), np.int64)))
+            at = np.lexsort((position, rows[doc[segment]], ids[doc[segment]], block[window]))
+            first = np.ones(len(at), bool)
+            first[1:] = block[window[at[1:]]] != block[window[at[:-1]]]
+            again = at[~first & ~_as_first(first, ids[doc[segment]][at], rows[doc[segment]][at], position[at])]
+            found.append((doc[segment[again]], position[again], np.ones(len(again), np.int64)))
         d, s, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(d):
-            return
-        # One row a document, with its runs united.
-        order = np.lexsort((s, d))
-        d, s, e = d[order], s[order], (s + c)[order] + LENGTH - 1
-        _, number = np.unique(np.column_stack([ids, rows]), axis=0, return_inverse=True)
-        named = number.reshape(-1)[d]
-        order = np.lexsort((s, named))
-        d, s, e, named = d[order], s[order], e[order], named[order]
-        far = np.maximum.accumulate(e + named * (1 << 40)) - named * (1 << 40)
-        new = np.ones(len(d), bool)
-        new[1:] = (named[1:] != named[:-1]) | (s[1:] > far[:-1])
-        run = np.flatnonzero(new)
-        run_end = far[np.append(run[1:], len(d)) - 1]
-        docs_, first_run = np.unique(named[run], return_index=True)
-        ends = np.append(first_run[1:], len(run))
-        pairs = np.column_stack([s[run], run_end]).astype(np.int64).reshape(-1)
-        at_doc = d[run[first_run]]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at_doc]), pa.array(rows[at_doc]), _binary(pairs, ends * 2)], names=["id", "row", "runs"])
+        if len(d):
+            yield _runs(d, s, s + c + LENGTH - 1, ids, rows)
 
     met = source.join(hits, ["id", "row"]).select("id", "row", "text", "hits")
-    sent = met.mapInArrow(send, "bucket int, ids binary, rows binary, local binary, hash binary, whole binary, start binary, count binary, kind binary, bytes binary")
-    runs = sent.repartition(parts, "bucket").mapInArrow(judge, "id long, row long, runs binary")
-    runs = runs.groupBy("id", "row").agg(F.collect_list("runs").alias("runs"))
+    sent = met.mapInArrow(send, "bucket int, ids binary, rows binary, local binary, hash binary, start binary, count binary, kind binary, bytes binary")
+    judged = sent.repartition(parts, "bucket").mapInArrow(judge, "id long, row long, runs binary")
+    runs = judged.unionByName(copies).groupBy("id", "row").agg(F.collect_list("runs").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
