@@ -106,7 +106,7 @@ def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdo
     name = F.element_at(F.split("path", "/"), -1)
     d = d.withColumn("name", name).withColumn("o", other("name", "ext", F.when(~plain, F.col("content"))))
     method = F.when(F.col("ext").isin(*files.HTML), F.lit("html")).when(F.col("ext").isin(*files.TEXT), F.col("ext")).otherwise("txt")
-    d = d.select("path", "name", F.when(plain, F.decode("content", F.lit("UTF-8"))).otherwise(F.col("o.text")).alias("text"), F.when(plain, method).otherwise(F.col("o.method")).alias("method"), F.col("o.ocr").alias("ocr"))
+    d = d.select("path", "name", F.when(plain, F.decode("content", "UTF-8")).otherwise(F.col("o.text")).alias("text"), F.when(plain, method).otherwise(F.col("o.method")).alias("method"), F.col("o.ocr").alias("ocr"))
     mark = F.when(F.contains("text", F.lit(page_placeholder)), F.lit(page_placeholder)) if page_placeholder and "%" not in page_placeholder else F.lit(None)
     return d.select(
         uuid_of(F.col("path")).alias("document_id"),
