@@ -324,7 +324,7 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
                 if len(hot_codes):
                     known = hot_codes[np.minimum(spot, len(hot_codes) - 1)] == uniq
                 gain = np.where(known, logs[np.where(known, spot, len(hot_codes))], 0)
-                sums = np.bincount(doc, gain[place], rows)
+                sums = np.bincount(doc, gain[place], rows).astype(float)
                 n_known = np.bincount(doc, known[place], rows).astype(np.int64)
                 end = np.searchsorted(hot_codes, END_WORD)
                 end_hot = end < len(hot_codes) and hot_codes[end] == END_WORD
