@@ -30,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def session_ready(spark: SparkSession) -> None:
     """Small Arrow batches (texts can be long) and a checkpoint folder; a folder the cluster names is kept."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkspark-"))

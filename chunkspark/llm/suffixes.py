@@ -16,9 +16,10 @@ earlier in the same document. Nothing is sampled; equal strings are brought toge
    What still shares DEPTH symbols is an interval of equal windows; all but its earliest are repeats.
 4. A document's repeated windows are united to removed runs.
 
-Hot groups: an anchor with more than HOT different segments is not kept together; each of its windows is dealt out by the
-hash of the whole window, copies collapsing before they are sent, which needs no transform, as such a group holds
-equal windows only. Comparison is by 64-bit hashes: four blocks, or two of a whole segment.
+Hot groups: equal segments collapse in each task before anything is sent. A first pass finds the anchors with more
+than HOT different segments (and more than a 100,000th of all, so there are 100,000 at most); their windows are dealt
+out one by one by the hash of the whole window, so a passage that a third of all documents share, with different text
+around it, is spread over all tasks. Comparison is by 64-bit hashes: four blocks, or an anchor and its segment.
 
 Null text is empty. Rows of one id are ordered by a hash of the text; equal rows get the same result, as one
 document. A null id comes before all others. An empty table gives an empty result. Other columns are not read.
@@ -232,6 +233,55 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(rows[at]), _binary(pairs, 2 * np.append(first[1:], len(run)))], names=["id", "row", "runs"])
 
 
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
+def heavy_anchors(source: DataFrame, local: int = 16) -> np.ndarray:
+    """Sorted hashes of the anchors with more than HOT different segments, and more than a 100,000th of all segments.
+
+    A task names those with `local` or more different segments among its rows; what is rarer in every task is too
+    little for a hot group.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = total = 0
+
+        def named() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.uint64)
+            hashes, n = np.unique(pairs[:, 0], return_counts=True)
+            often = n >= local
+            return pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["hash", "n"])
+
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for i, j in steps(offsets, STEP):
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                prefix = prefix_hash(part)
+                hashes, row, start, windows = segments(part, own, prefix)
+                begin = own[row] + start
+                # Only anchors that come twice in this step can be frequent in the task.
+                _, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                pick = np.flatnonzero(n[back] > 1)
+                whole = span_hash(prefix, begin[pick], begin[pick] + windows[pick] + LENGTH - 1)
+                held.append(np.column_stack([hashes[pick], whole]))
+                size, total = size + len(pick), total + len(hashes)
+                if size > 2_000_000:
+                    yield named()
+                    held.clear()
+                    size = 0
+        yield named()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["hash", "n"])
+
+    counted = source.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).checkpoint()
+    total = counted.where("hash IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counted.where(F.col("hash").isNotNull() & (F.col("n") > max(HOT, total // 100_000))).select("hash").toArrow()
+    return np.sort(often.column("hash").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_bytes (what is left), n_bytes, n_removed, spans array<struct<start,end>> of the removed runs."""
     spark = docs.sparkSession
@@ -239,6 +289,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
+    hot = spark.sparkContext.broadcast(heavy_anchors(source))
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
@@ -247,49 +299,70 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 prefix = prefix_hash(part)
                 hashes, row, start, count = segments(part, own, prefix)
+                alone = _among(hashes, hot.value)
+                if alone.any():
+                    spread = np.repeat(np.flatnonzero(alone), count[alone])
+                    more = np.arange(len(spread)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
+                    begin = own[row[spread]] + start[spread] + more
+                    single = mix(span_hash(prefix, begin, begin + LENGTH) ^ SALT)
+                    hashes, row, start, count = (np.concatenate([x[~alone], y]) for x, y in ((hashes, single), (row, row[spread]), (start, start[spread] + more), (count, np.ones(len(spread), np.int32))))
                 begin = own[row] + start
                 whole = span_hash(prefix, begin, begin + count + LENGTH - 1)
-                for b, pick in by_bucket((hashes % np.uint64(parts)).astype(np.int64), parts):
+                bucket = (hashes % np.uint64(parts)).astype(np.int64)
+                # Of equal segments of this task only the earliest goes on; the others are repeats, with a count below 0.
+                at = np.lexsort((start, rows[i + row], ids[i + row], whole, hashes))
+                lead = np.ones(len(at), bool)
+                lead[1:] = (hashes[at[1:]] != hashes[at[:-1]]) | (whole[at[1:]] != whole[at[:-1]])
+                mine = _as_first(lead, ids[i + row[at]], rows[i + row[at]], start[at])
+                gone, keep = at[~lead & ~mine], np.ones(len(at), bool)
+                keep[at[~lead & mine]] = False
+                count[gone] *= -1
+                hashes[gone] = whole[gone] = 0
+                for b, pick in by_bucket(np.where(keep, bucket, parts), parts):
                     used, local = np.unique(row[pick], return_inverse=True)
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], start[pick], count[pick].astype(np.uint8)]
+                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], start[pick].astype(np.int32), count[pick].astype(np.int8)]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "whole", "start", "count"])
 
     def collapse(gone: bool):
         """Repeats as runs of documents, or the segments that are left to compare."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            doc, ids, rows, hashes, whole, start, count = _gathered(batches, (np.uint64, np.uint64, np.int32, np.uint8))
+            doc, ids, rows, hashes, whole, start, count = _gathered(batches, (np.uint64, np.uint64, np.int32, np.int8))
             if not len(doc):
                 return
+            start, count = start.astype(np.int64), count.astype(np.int64)
+            known = count < 0
+            far = (doc[known], start[known], -count[known])
+            doc, hashes, whole, start, count = (x[~known] for x in (doc, hashes, whole, start, count))
             # Only anchors that occur twice or more; then their segments by content, the earliest first.
             _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
             pick = np.flatnonzero(times[back] > 1)
             doc, hashes, whole, start, count = (x[pick] for x in (doc, hashes, whole, start, count))
             at = np.lexsort((start, rows[doc], ids[doc], whole, hashes))
-            doc, hashes, whole, start, count = (x[at] for x in (doc, hashes, whole, start.astype(np.int64), count.astype(np.int64)))
-            same = np.zeros(len(doc), bool)
-            same[1:] = (hashes[1:] == hashes[:-1]) & (whole[1:] == whole[:-1])
+            doc, hashes, whole, start, count = (x[at] for x in (doc, hashes, whole, start, count))
+            lead = np.ones(len(doc), bool)
+            lead[1:] = (hashes[1:] != hashes[:-1]) | (whole[1:] != whole[:-1])
             if gone:
-                again = same & ~_as_first(~same, ids[doc], rows[doc], start)
-                if again.any():
-                    yield _runs(doc[again], start[again], (start + count)[again] + LENGTH - 1, ids, rows)
+                again = ~lead & ~_as_first(lead, ids[doc], rows[doc], start)
+                d, s, c = (np.concatenate([x, y[again]]) for x, y in zip(far, (doc, start, count), strict=True))
+                if len(d):
+                    yield _runs(d, s, s + c + LENGTH - 1, ids, rows)
                 return
-            lead = np.flatnonzero(~same)
-            if not len(lead):
+            first = np.flatnonzero(lead)
+            if not len(first):
                 return
-            _, back, kinds = np.unique(hashes[lead], return_inverse=True, return_counts=True)
-            lead, kinds = lead[kinds[back] > 1], kinds[back][kinds[back] > 1]
-            order = np.argsort(doc[lead], kind="stable")
-            lead, flag = lead[order], (np.where(kinds > HOT, -1, 1) * count[lead])[order].astype(np.int16)
-            if not len(lead):
+            _, back, kinds = np.unique(hashes[first], return_inverse=True, return_counts=True)
+            first = first[kinds[back] > 1]
+            if not len(first):
                 return
-            used, first = np.unique(doc[lead], return_index=True)
-            ends = np.append(first[1:], len(lead))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(rows[used]), _binary(hashes[lead], ends), _binary(start[lead].astype(np.int32), ends), _binary(flag, ends)], names=["id", "row", "hash", "start", "count"])
+            first = first[np.argsort(doc[first], kind="stable")]
+            used, at = np.unique(doc[first], return_index=True)
+            ends = np.append(at[1:], len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(rows[used]), _binary(hashes[first], ends), _binary(start[first].astype(np.int32), ends), _binary(count[first].astype(np.int8), ends)], names=["id", "row", "hash", "start", "count"])
 
         return run
 
-    blobs = source.mapInArrow(anchors, "bucket int, ids binary, rows binary, local binary, hash binary, whole binary, start binary, count binary").repartition(parts, "bucket")
+    blobs = source.mapInArrow(anchors, "bucket int, ids binary, rows binary, local binary, hash binary, whole binary, start binary, count binary").repartitionById(parts, "bucket")
     copies = blobs.mapInArrow(collapse(True), "id long, row long, runs binary")
     hits = blobs.mapInArrow(collapse(False), "id long, row long, hash binary, start binary, count binary")
     hits = hits.groupBy("id", "row").agg(F.collect_list(F.struct("hash", "start", "count")).alias("hits"))
@@ -303,51 +376,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 got = hits_.slice(i, j - i).to_pylist()
                 many = np.array([sum(len(y["start"]) // 4 for y in x) for x in got])
                 take = lambda name, dtype: _concat([y[name] for x in got for y in x], dtype)  # noqa: B023, E731
-                hashes, start, flag = take("hash", np.uint64), take("start", np.int32), take("count", np.int16)
+                hashes, start, count = take("hash", np.uint64), take("start", np.int32).astype(np.int64), take("count", np.int8).astype(np.int64)
                 row = np.repeat(np.arange(j - i), many)
-                count = np.abs(flag).astype(np.int64)
-                # The windows of hot anchors stand alone, under their own hashes; equal ones of this task collapse.
-                hot, rest = np.flatnonzero(flag < 0), np.flatnonzero(flag > 0)
-                spread = np.repeat(hot, count[hot])
-                more = np.arange(len(spread)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
-                row, start = np.concatenate([row[rest], row[spread]]), np.concatenate([start[rest], start[spread] + more])
-                count = np.concatenate([count[rest], np.ones(len(spread), np.int64)])
-                kind = np.repeat(np.array([0, 1], np.uint8), [len(rest), len(spread)])
-                begin = own[row] + start
-                hashes = hashes[rest]
-                if len(spread):
-                    alone = begin[len(rest) :]
-                    own_hash = mix(span_hash(prefix_hash(part), alone, alone + LENGTH) ^ SALT)
-                    hashes = np.concatenate([hashes, own_hash])
-                    at = len(rest) + np.lexsort((start[len(rest) :], rows[i + row[len(rest) :]], ids[i + row[len(rest) :]], own_hash))
-                    first = np.ones(len(at), bool)
-                    first[1:] = hashes[at[1:]] != hashes[at[:-1]]
-                    kind[at[~first & ~_as_first(first, ids[i + row[at]], rows[i + row[at]], start[at])]] = 2
+                begin, size = own[row] + start, count + LENGTH - 1
                 for b, pick in by_bucket((hashes % np.uint64(parts)).astype(np.int64), parts):
                     used, local = np.unique(row[pick], return_inverse=True)
-                    full = pick[kind[pick] == 0]
-                    size = count[full] + LENGTH - 1
-                    where = np.repeat(begin[full] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], start[pick].astype(np.int32), count[pick].astype(np.uint8), kind[pick], part[where]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "start", "count", "kind", "bytes"])
+                    where = np.repeat(begin[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())
+                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], start[pick].astype(np.int32), count[pick].astype(np.int8), part[where]]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "start", "count", "bytes"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, ids, rows, hashes, start, count, kind, data = _gathered(batches, (np.uint64, np.int32, np.uint8, np.uint8, np.uint8))
+        doc, ids, rows, hashes, start, count, data = _gathered(batches, (np.uint64, np.int32, np.int8, np.uint8))
         if not len(doc):
             return
-        start, count = start.astype(np.int64), count.astype(np.int64)
-        size = np.where(kind == 0, count + LENGTH - 1, 0)
+        start, size = start.astype(np.int64), count.astype(np.int64) + LENGTH - 1
         begin = np.cumsum(size) - size
-        # (document, first window, windows) that are repeats.
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(doc[kind == 2], start[kind == 2], count[kind == 2])]
-        alone = np.flatnonzero(kind == 1)
-        alone = alone[np.lexsort((start[alone], rows[doc[alone]], ids[doc[alone]], hashes[alone]))]
-        first = np.ones(len(alone), bool)
-        first[1:] = hashes[alone[1:]] != hashes[alone[:-1]]
-        again = alone[~first & ~_as_first(first, ids[doc[alone]], rows[doc[alone]], start[alone])]
-        found.append((doc[again], start[again], count[again]))
-        lead = np.flatnonzero(kind == 0)
-        lead = lead[np.argsort(hashes[lead], kind="stable")]
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # document and first byte of windows that are repeats
+        lead = np.argsort(hashes, kind="stable")
         # Whole groups at a time, as many as SHARDS shards hold.
         total = np.cumsum(size[lead])
         lo = 0
@@ -371,14 +416,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first = np.ones(len(at), bool)
             first[1:] = block[window[at[1:]]] != block[window[at[:-1]]]
             again = at[~first & ~_as_first(first, ids[doc[segment]][at], rows[doc[segment]][at], position[at])]
-            found.append((doc[segment[again]], position[again], np.ones(len(again), np.int64)))
-        d, s, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((doc[segment[again]], position[again]))
+        d, s = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(d):
-            yield _runs(d, s, s + c + LENGTH - 1, ids, rows)
+            yield _runs(d, s, s + LENGTH, ids, rows)
 
     met = source.join(hits, ["id", "row"]).select("id", "row", "text", "hits")
-    sent = met.mapInArrow(send, "bucket int, ids binary, rows binary, local binary, hash binary, start binary, count binary, kind binary, bytes binary")
-    judged = sent.repartition(parts, "bucket").mapInArrow(judge, "id long, row long, runs binary")
+    sent = met.mapInArrow(send, "bucket int, ids binary, rows binary, local binary, hash binary, start binary, count binary, bytes binary")
+    judged = sent.repartitionById(parts, "bucket").mapInArrow(judge, "id long, row long, runs binary")
     runs = judged.unionByName(copies).groupBy("id", "row").agg(F.collect_list("runs").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -261,6 +262,7 @@ def brute_repeats(rows, length=100):
 @pytest.mark.parametrize("hot", [1 << 16, 1])
 def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "heavy_anchors", partial(suffixes.heavy_anchors, local=2))
     rng = random.Random(5)
     passage = "".join(rng.choices("abcd ", k=260))
     rows = []
