@@ -6,8 +6,8 @@
    T // CHUNKS errors. A chunk is entered under a key for each way of leaving so many of its slots out; so every
    pair under the threshold shares a key. T is chosen so that a pair at the wanted similarity is beyond it with
    a chance below 1e-4.
-3. In each key's rows the signatures are compared, and only a forest of the pairs within T leaves the task.
-   Connected components of these give coarse groups.
+3. In each key's rows the signatures are compared, and only a forest of the pairs within T leaves the task. A key
+   with more than KEY_BLOCK rows is cut into blocks that meet pairwise. Connected components of these give coarse groups.
 4. The sets of a coarse group meet once. There the pairs within T are confirmed on the full sets, nearest first,
    and pairs that are connected already are skipped. A group above BLOCK members is cut into blocks that meet
    pairwise, so no task holds an unbounded group and no pair is lost.
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER, connected, mix, prefix_hash, session_ready, span_hash, steps, text_buffer, words
 
 SLOTS, CHUNKS = 32, 8
-#: Members of a coarse group that meet in one task.
-BLOCK = 4096
+#: Members of a coarse group, and rows of a key, that meet in one task; larger ones meet in pairs of such blocks.
+BLOCK = 512
+KEY_BLOCK = 4096
 _ODD = mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, SLOTS + 1001, dtype=np.uint64))
 
@@ -183,14 +184,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id
             yield pa.RecordBatch.from_arrays([pa.array(keys(signs).reshape(-1).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["key", "rep", "sign"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (a, b) of the keys' forests; or, for a key with too many rows, its rows with their blocks."""
         held: list[tuple[int, int, bytes]] = []
         found: set[tuple[int, int]] = set()
-
-        def flush() -> None:
-            if len(held) > 1:
+        passed: list[tuple[int, int, bytes, int]] = []
+        block = 0
+
+        def close() -> None:
+            """The end of a key."""
+            nonlocal block
+            if block:
+                passed.extend((*row, block) for row in held)
+            elif len(held) > 1:
                 signs = np.frombuffer(b"".join(s for _, _, s in held), np.uint16).reshape(-1, SLOTS)
                 found.update((held[b][1], held[a][1]) for a, b in forest(signs, limit))
             held.clear()
+            block = 0
+
+        def out() -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if found else ((), ())
+            key, rep, sign, at = zip(*passed, strict=True) if passed else ((), (), (), ())
+            none = [None] * len(key)
+            columns = [pa.array([*a, *rep], pa.int64()), pa.array([*b, *none], pa.int64()), pa.array([*[None] * len(a), *key], pa.int64()), pa.array([*[None] * len(a), *sign], pa.binary()), pa.array([*[None] * len(a), *at], pa.int32())]
+            found.clear()
+            passed.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "sign", "block"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -205,17 +223,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id
             reps, signs = batch.column(1).take(pa.array(where)).to_pylist(), batch.column(2).take(pa.array(where)).to_pylist()
             for row in zip(key[where].tolist(), reps, signs, strict=True):
                 if held and held[-1][0] != row[0]:
-                    flush()
+                    close()
+                elif len(held) == KEY_BLOCK:
+                    passed.extend((*x, block) for x in held)
+                    held = held[-1:]  # the key stays known; this row is in two blocks, which does no harm
+                    block += 1
                 held.append(row)
-            if len(found) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-                found.clear()
-        flush()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+            if len(found) + len(passed) > 50_000:
+                yield out()
+        close()
+        if found or passed:
+            yield out()
+
+    def meet_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+        signs = np.frombuffer(b"".join(rows["sign"]), np.uint16).reshape(-1, SLOTS)
+        reps = rows["a"].to_numpy()
+        return pd.DataFrame([(reps[j], reps[i]) for i, j in forest(signs, limit)], columns=["a", "b"], dtype="int64")
 
     entered = classes.select("rep", "sign").mapInArrow(enter, "key long, rep long, sign binary")
-    near = entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    met = entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, key long, sign binary, block int").checkpoint()
+    crowded = met.where("key IS NOT NULL")
+    last = crowded.groupBy("key").agg(F.max("block").alias("last"))
+    other = F.explode(F.sequence(F.lit(0), "last")).alias("other")
+    pairs = crowded.join(last, "key").select("a", "sign", "key", "block", other).where("block <> other")
+    pairs = pairs.select("a", "sign", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    near = met.where("b IS NOT NULL").select("a", "b").unionByName(pairs.groupBy("key", "x", "y").applyInPandas(lambda key, rows: meet_blocks(rows), "a long, b long")).distinct()
     groups = connected(near).withColumnsRenamed({"node": "rep", "root": "grp"}).checkpoint()
 
     # The members' sets meet by coarse group; a group above BLOCK members in pairs of blocks.

@@ -215,9 +215,10 @@ def near_rows(n, seed=3):
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85])
-@pytest.mark.parametrize("block", [4096, 16])
-def test_near_equal_brute_force(spark, monkeypatch, similarity, block):
+@pytest.mark.parametrize(("block", "key_block"), [(512, 4096), (16, 4)])
+def test_near_equal_brute_force(spark, monkeypatch, similarity, block, key_block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "KEY_BLOCK", key_block)
     rows = near_rows(150)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), similarity).collect()}
     assert got == brute_near([(i, t) for i, t, _ in rows], round(100 * similarity))
