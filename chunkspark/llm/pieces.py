@@ -121,6 +121,8 @@ class Segmenter:
             for c in vocabulary.pieces[i]:
                 by_use[c] = by_use.get(c, 0) + 1
         self.classes = {c: k + 1 for k, c in enumerate(sorted(by_use, key=lambda c: (-by_use[c], c)))}
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[[ord(c) for c in self.classes]] = list(self.classes.values())
         self.longest = max((len(vocabulary.pieces[i]) for i in use), default=1)
         self.unknown = float(min((vocabulary.scores[i] for i in use), default=0.0)) - PENALTY
         self._build({vocabulary.pieces[i]: i for i in use})
@@ -131,7 +133,8 @@ class Segmenter:
         known = "".join(map(re.escape, sorted(self.classes)))
         # Parts: a character in no piece alone; else marks and what follows up to the next mark.
         self.parts = re.compile(f"[^{known}]|[{known}]+" if inner else f"[^{known}]|{MARK}*[{known.replace(MARK, '')}]+|{MARK}+")
-        self.kept: dict[str, tuple[bytes, float]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.scores: dict[str, float] = {}
         self.plain = [bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.encode() for p, t in zip(vocabulary.pieces, vocabulary.types.tolist(), strict=True)]
 
     def _build(self, pieces: dict[str, int]) -> None:
@@ -180,10 +183,9 @@ class Segmenter:
                 self.check[to] = place[node]
                 self.piece_of[to] = value.get(child, -1)
 
-    def _equal_lengths(self, parts: list[str], n: int) -> list[tuple[np.ndarray, float]]:
+    def _equal_lengths(self, parts: list[str], n: int) -> list[tuple[bytes, float]]:
         """Viterbi over the rows of a (parts, n) array of character classes."""
-        get = self.classes.get
-        codes = np.array([[get(c, 0) for c in p] for p in parts], np.int32).reshape(len(parts), n)
+        codes = self.class_of[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)].reshape(len(parts), n)
         scores = np.append(self.vocabulary.scores, 0.0)
         rows = len(parts)
         best = np.full((n + 1, rows), -np.inf)
@@ -214,28 +216,34 @@ class Segmenter:
             total = best[i, lone] + self.unknown
             lone = lone[better := total > best[i + 1, lone]]
             best[i + 1, lone], back[i + 1, lone], took[i + 1, lone] = total[better], i, -1
-        return self._trace(parts, n, back, took, best[n])
-
-    def _trace(self, parts, n, back, took, total):
-        out = []
-        back, took = back.T.tolist(), took.T.tolist()
-        for text, b, t, s in zip(parts, back, took, total.tolist(), strict=True):
-            ids: list[int] = []
-            j = n
-            while j:
-                if t[j] >= 0:
-                    ids.append(t[j])
-                else:
-                    ids += self._fallback(text[j - 1])[::-1]
-                j = b[j]
-            out.append((np.array(ids[::-1], np.int32), s))
-        return out
+        # Back from the ends, all rows at once; rows with unknown characters, few, get their bytes one by one.
+        path = np.full((n, rows), -2, np.int32)
+        at, row = np.full(rows, n), np.arange(rows)
+        for step in range(n - 1, -1, -1):
+            open_ = at > 0
+            if not open_.any():
+                break
+            path[step, open_] = took[at[open_], row[open_]]
+            at[open_] = back[at[open_], row[open_]]
+        path = path.T
+        unknown = (path == -1).any(axis=1)
+        known = path >= 0
+        ends = np.cumsum(known.sum(axis=1)) * 4
+        blob = path[known].astype(np.int32).tobytes()
+        out = [blob[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for r in np.flatnonzero(unknown).tolist():
+            ids, place = [], 0
+            for t in path[r][path[r] > -2].tolist():
+                ids += [t] if t >= 0 else self._fallback(parts[r][place])
+                place += len(self.vocabulary.pieces[t]) if t >= 0 else 1
+            out[r] = np.array(ids, np.int32).tobytes()
+        return list(zip(out, best[n].tolist(), strict=True))
 
     def _fallback(self, c: str) -> list[int]:
         ids = self.bytes_[list(c.encode())].tolist()
         return ids if min(ids) >= 0 else [self.unknown_id]
 
-    def _long(self, text: str) -> tuple[np.ndarray, float]:
+    def _long(self, text: str) -> tuple[bytes, float]:
         """Viterbi place by place, for one long part."""
         n, get = len(text), self.classes.get
         codes = [get(c, 0) for c in text]
@@ -259,34 +267,29 @@ class Segmenter:
         while j:
             ids += [took[j]] if took[j] >= 0 else self._fallback(text[j - 1])[::-1]
             j = back[j]
-        return np.array(ids[::-1], np.int32), best[n]
+        return np.array(ids[::-1], np.int32).tobytes(), best[n]
 
     def learn(self, parts: set[str]) -> None:
         """Segment the parts that are not kept yet."""
         by_length: dict[int, list[str]] = {}
-        for p in parts - self.kept.keys():
+        for p in parts - self.ids.keys():
             by_length.setdefault(len(p), []).append(p)
         for n, own in sorted(by_length.items()):
-            if n > LONG:
-                found = [self._long(p) for p in own]
-                self.kept.update({p: (ids.tobytes(), s) for p, (ids, s) in zip(own, found, strict=True)})
-                continue
             for lo in range(0, len(own), 20_000):
                 some = own[lo : lo + 20_000]
-                self.kept.update({p: (ids.tobytes(), s) for p, (ids, s) in zip(some, self._equal_lengths(some, n), strict=True)})
+                for p, (ids, score) in zip(some, self._equal_lengths(some, n) if n <= LONG else map(self._long, some), strict=True):
+                    self.ids[p] = ids
+                    self.scores[p] = score
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, float]]:
         """The ids of each text as little-endian 32-bit integers, and the sum of its scores."""
         cut = [self.parts.findall((MARK if self.vocabulary.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        if len(self.ids) > KEPT:
+            self.ids.clear()
+            self.scores.clear()
         self.learn(set().union(*cut))
-        get = self.kept.__getitem__
-        out = []
-        for parts in cut:
-            got = list(map(get, parts))
-            out.append((b"".join([x for x, _ in got]), math.fsum([s for _, s in got])))
-        return out
+        ids, scores = self.ids.__getitem__, self.scores.__getitem__
+        return [(b"".join(map(ids, parts)), math.fsum(map(scores, parts))) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         out = b"".join(map(self.plain.__getitem__, np.frombuffer(ids, np.int32).tolist()))
