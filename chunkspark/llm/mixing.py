@@ -2,12 +2,12 @@
 
 Every source gets a target in words. A document of a source with rate r = target / size is taken floor(r) times,
 and once more with the inclusion probability r - floor(r). The cube method settles these probabilities: as long
-as three documents of a block are undecided, their probabilities move along the null space of the balancing
-constraints (documents and words), at random in one of its two directions and as far as one of them becomes 0 or
-1, so the expected totals of documents and words stay exact. Blocks hold a bounded number of documents of one
+as three documents of a block are undecided, some of them move along the null space of the balancing constraints
+(documents and words), at random in one of two directions and as far as one of them becomes 0 or 1, so the totals of
+documents and words stay exact. Blocks hold a bounded number of documents of one
 source, so a source of any size is spread over many tasks; what each block leaves undecided, two documents at
 most, meets in the next level's blocks, and only the last level lands: there the words' constraint is dropped and
-two documents at most are settled by chance.
+two documents at most, small ones, are settled by chance.
 
 Null text has no words; documents without words are never taken. Null sources form one source, the last.
 Repeated ids are separate units. An empty table gives an empty result. Decisions depend only on the rows and the
@@ -27,39 +27,58 @@ from .common import WORD, session_ready, text_or_empty
 
 BLOCK = 2048
 LEVELS = 3
+POOL = 24
 
 
 def flight(prob: list[float], size: list[float], chance: np.random.Generator, land: bool = False) -> list[float]:
-    """Move the probabilities until two at most are fractional, or, with `land`, none."""
+    """Move the probabilities until two at most are fractional, or, with `land`, none.
+
+    POOL undecided documents move at a time, in the direction of the null space that moves the largest one most: the
+    projection of its axis, with the documents' and words' constraints taken out. Sizes should come in falling order:
+    large documents are then settled among their like, and what is left to land is small.
+    """
     prob = list(prob)
     pool: list[int] = []
-    draws = iter(chance.random(4 * len(prob) + 8).tolist())
+    draws = iter(chance.random(2 * len(prob) + 8).tolist())
 
-    def settle(direction: list[float]) -> None:
+    def settle(direction: list[float]) -> bool:
+        if max(map(abs, direction)) < 1e-9:
+            return False
         up = down = float("inf")
-        for k, u in zip(pool, direction, strict=False):
+        for k, u in zip(pool, direction, strict=True):
             p = prob[k]
-            if u > 0:
+            if u > 1e-12:
                 up, down = min(up, (1 - p) / u), min(down, p / u)
-            elif u < 0:
+            elif u < -1e-12:
                 up, down = min(up, -p / u), min(down, (p - 1) / u)
         step = up if next(draws) * (up + down) < down else -down
-        for k, u in zip(pool, direction, strict=False):
+        for k, u in zip(pool, direction, strict=True):
             p = prob[k] + step * u
             prob[k] = 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
         pool[:] = [k for k in pool if 0 < prob[k] < 1]
+        return True
+
+    def move() -> bool:
+        m = len(pool)
+        own = [size[k] for k in pool]
+        mean = sum(own) / m
+        around = [x - mean for x in own]
+        spread = sum(x * x for x in around)
+        for a in sorted(range(m), key=lambda k: -own[k]):
+            pull = around[a] / spread if spread > 1e-9 else 0.0
+            if settle([(k == a) - 1 / m - pull * x for k, x in enumerate(around)]):
+                return True
+        return False
 
     for k, p in enumerate(prob):
-        if not 0 < p < 1:
-            continue
-        pool.append(k)
-        if len(pool) == 3:
-            a, b, c = (size[i] for i in pool)
-            direction = [c - b, a - c, b - a]
-            scale = max(map(abs, direction))
-            settle([u / scale for u in direction] if scale else [1.0, -1.0, 0.0])
+        if 0 < p < 1:
+            pool.append(k)
+            if len(pool) == POOL:
+                move()
+    while len(pool) > 2 and move():
+        pass
     while land and pool:
-        settle([1.0, -1.0] if len(pool) > 1 else [1.0])
+        settle([1.0, -1.0] if len(pool) == 2 else [1.0])
     return prob
 
 
