@@ -132,14 +132,16 @@ def duplicate_lines(docs: DataFrame, min_words: int = 5, min_block: int = 10, id
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lined = source.mapInArrow(_lines, f"row long, doc_id {id_type}, whole long, lines array<long>, n array<int>, place array<int>")
+    # What is found for a hash is written before it is joined: the sums then begin in each task, and Spark can split a
+    # hash that many rows share.
     # Order: by id, then by row for repeated ids; the smallest of equal sequences is the one that stays.
     lined = lined.withColumn("key", F.struct(F.col("doc_id"), F.col("row"))).checkpoint()
-    firsts = lined.where("whole IS NOT NULL").groupBy("whole").agg(F.min("key").alias("first"))
+    firsts = lined.where("whole IS NOT NULL").groupBy("whole").agg(F.min("key").alias("first")).checkpoint()
     judged = lined.join(firsts, "whole", "left").withColumn("copy", F.coalesce(F.col("key") != F.col("first"), F.lit(False)))
     alone = judged.where("whole IS NOT NULL AND NOT copy").select("key", "lines", "n")
     evidence = F.array_distinct(F.filter(F.arrays_zip("lines", "n"), lambda x: x["n"] >= min_words))
     flat = alone.select("key", F.explode(evidence).alias("e")).select("key", F.col("e.lines").alias("line"))
-    owner = flat.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("df")).where("df > 1").select("line", "owner")
+    owner = flat.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("df")).where("df > 1").select("line", "owner").checkpoint()
     pairs = flat.join(owner, "line").where("key > owner").select("key", "owner").distinct()
     a = alone.select(F.col("key").alias("owner"), F.col("lines").alias("a"))
     b = alone.select("key", F.col("lines").alias("b"), "n")
