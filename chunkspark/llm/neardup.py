@@ -272,6 +272,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id
         edges = linked(sets, signatures(sets), limit, percent, parts if key[1] != key[2] else None)
         return pd.DataFrame({"a": [ids[i] for i, _ in edges], "b": [ids[j] for _, j in edges]}, dtype="int64")
 
+    # A fixed number of partitions: these tasks compute more than they read, and should not be put together.
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "x", "y")
     links = texts.groupBy("grp", "x", "y").applyInPandas(confirm, "a long, b long")
     roots = connected(links)
     # Class members follow their representative.
