@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..operators import CharacterSplitter, CodeSplitter, HeaderSplitter, HTMLTagSplitter, KeywordSplitter, ParagraphSplitter, RecursiveCharacterSplitter, RecursiveJSONSplitter, SentenceSplitter, Splitter, TokenSplitter, WordSplitter
+from ..operators import CharacterSplitter, CodeSplitter, HeaderSplitter, HTMLTagSplitter, KeywordSplitter, PagedSplitter, ParagraphSplitter, RecursiveCharacterSplitter, RecursiveJSONSplitter, RowColumnSplitter, SemanticSplitter, SentenceSplitter, Splitter, TokenSplitter, WordSplitter
+from .embedding import HashedEmbedding
 
 SCHEMA = "chunk_index int, chunk string"
 
@@ -25,6 +26,16 @@ def _function(make: Callable[..., Splitter]):
     return udtf(Split, returnType=SCHEMA)
 
 
+class _Bound:
+    """A splitter of a text and one more value, which is given once."""
+
+    def __init__(self, split: Callable[[str, str], list[str]], value: str):
+        self.split, self.value = split, value
+
+    def split_text(self, text: str) -> list[str]:
+        return self.split(text, self.value)
+
+
 FUNCTIONS = {
     "char_split": CharacterSplitter,
     "word_split": WordSplitter,
@@ -36,6 +47,10 @@ FUNCTIONS = {
     "json_split": RecursiveJSONSplitter,
     "header_split": HeaderSplitter,
     "html_tag_split": HTMLTagSplitter,
+    "paged_split": lambda placeholder, *a: _Bound(PagedSplitter(*a).split_pages, placeholder),
+    "row_split": lambda method, n, overlap=0: _Bound(lambda t, m: RowColumnSplitter(num_rows=n, chunk_overlap=overlap).split_table(t, m)[0], method),
+    "column_split": lambda method, n, overlap=0: _Bound(lambda t, m: RowColumnSplitter(num_cols=n, chunk_overlap=overlap).split_table(t, m)[0], method),
+    "semantic_split": lambda size=1000, kind="percentile": SemanticSplitter(HashedEmbedding(), chunk_size=size, breakpoint_threshold_type=kind),
     "keyword_split": lambda pattern, where="before": KeywordSplitter([pattern], include_delimiters=where),
 }
 

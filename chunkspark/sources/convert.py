@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import io
 import json
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -53,7 +54,7 @@ def excel_csv(content: bytes) -> str:
         raise RuntimeError("spreadsheets need the package openpyxl") from error
 
 
-def pdf_markdown(content: bytes, placeholder: str = PLACEHOLDER, vision: Any = None) -> str:
+def pdf_markdown(content: bytes, placeholder: str = PLACEHOLDER) -> str:
     """Lines and tables of each page by place, after the page's placeholder."""
     try:
         import pdfplumber
@@ -69,7 +70,83 @@ def pdf_markdown(content: bytes, placeholder: str = PLACEHOLDER, vision: Any = N
     return "\n\n".join(pages)
 
 
-def convert(extension: str, content: bytes, name: str, *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None) -> tuple[str, str, str | None]:
+#: Renderers that callers add, by extension: content -> one PNG a page. And cutters: content -> one file a page.
+RENDERERS: dict[str, Callable[[bytes], list[bytes]]] = {}
+CUTTERS: dict[str, Callable[[bytes], list[bytes]]] = {}
+
+
+def plugins() -> tuple[dict, dict, dict]:
+    """What callers have added, to be sent to workers with `install`."""
+    return dict(CONVERTERS), dict(RENDERERS), dict(CUTTERS)
+
+
+def install(added: tuple[dict, dict, dict]) -> None:
+    for known, new in zip((CONVERTERS, RENDERERS, CUTTERS), added, strict=True):
+        known.update(new)
+
+
+def pdf_images(content: bytes, resolution: int = 150) -> list[bytes]:
+    try:
+        import pdfplumber
+    except ImportError as error:
+        raise RuntimeError("PDF pages need the package pdfplumber, or a renderer in RENDERERS['pdf']") from error
+    out = []
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        for page in pdf.pages:
+            page.to_image(resolution=resolution).original.save(held := io.BytesIO(), format="PNG")
+            out.append(held.getvalue())
+    return out
+
+
+def pdf_pages(content: bytes) -> list[bytes]:
+    try:
+        from pypdf import PdfReader, PdfWriter
+    except ImportError as error:
+        raise RuntimeError("PDF pages need the package pypdf, or a cutter in CUTTERS['pdf']") from error
+    out = []
+    for page in PdfReader(io.BytesIO(content)).pages:
+        writer = PdfWriter()
+        writer.add_page(page)
+        writer.write(held := io.BytesIO())
+        out.append(held.getvalue())
+    return out
+
+
+def marked(placeholder: str, number: int) -> str:
+    """The placeholder of a page; {page} in it becomes the number."""
+    return placeholder.replace("{page}", str(number))
+
+
+def scanned_pages(content: bytes, vision: Any, prompt: str | None = None, placeholder: str = PLACEHOLDER, kind: str = "pdf") -> str:
+    """What a vision model reads on each page, after the page's placeholder; a page that fails says so in its place."""
+    from ..functions.vision import EXTRACTION_PROMPT
+
+    out = []
+    for number, image in enumerate(RENDERERS.get(kind, pdf_images)(content), 1):
+        try:
+            text = vision.analyze_content(prompt=prompt or EXTRACTION_PROMPT, file=base64.b64encode(image).decode(), file_ext="png")
+        except Exception as error:  # one page does not lose the document
+            text = f"**Error on page {number}:** {error}"
+        out.append(f"{marked(placeholder, number)}\n\n{text}")
+    return "\n\n---\n\n".join(out)
+
+
+def paged(content: bytes, name: str, run: Callable[[bytes, str], str], placeholder: str = PLACEHOLDER) -> str:
+    """A file converted page by page, each page after its placeholder."""
+    kind = name.rpartition(".")[2].lower()
+    pages = CUTTERS.get(kind, pdf_pages)(content)
+    return "\n\n".join(f"{marked(placeholder, n)}\n\n{run(page, name)}" for n, page in enumerate(pages, 1))
+
+
+def captioned(markdown: str, vision: Any, prompt: str | None = None) -> str:
+    """Images that are embedded as base64 replaced by what a vision model says of them."""
+    from ..functions.vision import CAPTION_PROMPT
+
+    image = re.compile(r"!\[[^\]]*\]\(data:image/([a-z]+);base64,([A-Za-z0-9+/=\s]+)\)")
+    return image.sub(lambda m: vision.analyze_content(prompt=prompt or CAPTION_PROMPT, file=re.sub(r"\s", "", m[2]), file_ext=m[1]), markdown)
+
+
+def convert(extension: str, content: bytes, name: str, *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = PLACEHOLDER) -> tuple[str, str, str | None]:
     """(text, conversion_method, ocr_method) of a file; an extension that is not known is an error."""
     kind = extension.lower().lstrip(".")
     if kind in CONVERTERS:
@@ -85,8 +162,12 @@ def convert(extension: str, content: bytes, name: str, *, html_to_markdown: bool
         return parquet_csv(content), "csv", None
     if kind in EXCEL and as_table:
         return excel_csv(content), kind, None
+    if kind == "pdf" and scan_pdf_pages:
+        if vision is None:
+            raise ValueError("scanned pages need a vision model")
+        return scanned_pages(content, vision, prompt, page_placeholder), "png", vision.model_name
     if kind == "pdf":
-        return pdf_markdown(content, vision=vision), "pdf", None
+        return pdf_markdown(content, page_placeholder), "pdf", None
     if kind in EXCEL | OFFICE:
         raise RuntimeError(f"{kind} files need a converter in CONVERTERS[{kind!r}]")
     if kind in IMAGES:

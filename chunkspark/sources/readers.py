@@ -81,7 +81,7 @@ def _surfaced(text: str, placeholder: str) -> str | None:
     return placeholder if placeholder and "%" not in placeholder and placeholder in text else None
 
 
-def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, page_placeholder: str = files.PLACEHOLDER, on_unsupported: str = "fail", partitions: int | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, on_unsupported: str = "fail", partitions: int | None = None) -> DataFrame:
     """One document a file. path: a file, a folder, a pattern or a list of them, in any store that Spark reads; one that
     is not there is an error. on_unsupported: fail, or skip files whose extension is not known.
 
@@ -98,9 +98,12 @@ def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdo
     plain_kinds = (files.TEXT | files.CODE | (set() if html_to_markdown else files.HTML)) - set(files.CONVERTERS)
     plain = F.col("ext").isin(*plain_kinds)
 
+    added = files.plugins()
+
     @F.pandas_udf("text string, method string, ocr string")
     def other(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if c is None else files.convert(k, c, n, html_to_markdown=html_to_markdown, as_table=as_table, vision=vision, prompt=prompt) for n, k, c in zip(names, kinds, contents, strict=True)]
+        files.install(added)
+        rows = [(None, None, None) if c is None else files.convert(k, c, n, html_to_markdown=html_to_markdown, as_table=as_table, vision=vision, prompt=prompt, scan_pdf_pages=scan_pdf_pages, page_placeholder=page_placeholder) for n, k, c in zip(names, kinds, contents, strict=True)]
         return pd.DataFrame(rows, columns=["text", "method", "ocr"])
 
     name = F.element_at(F.split("path", "/"), -1)
@@ -184,8 +187,8 @@ class VanillaReader(BaseReader):
 class ConverterReader(BaseReader):
     """Files through a converter that runs on workers: (content, name) -> Markdown."""
 
-    def __init__(self, convert: Callable[[bytes, str], str] | None = None):
-        self.convert = convert or self.default
+    def __init__(self, convert: Callable[[bytes, str], str] | None = None, model: Any = None):
+        self.convert, self.model = convert or self.default, model
 
     @staticmethod
     def default(content: bytes, name: str) -> str:
@@ -194,12 +197,17 @@ class ConverterReader(BaseReader):
     def method_of(self, extension: Column) -> Column:
         return F.lit("markdown")
 
-    def read(self, spark: SparkSession, source: Any = None, *, page_placeholder: str = files.PLACEHOLDER, **options: Any) -> DataFrame:
-        run = self.convert
+    def read(self, spark: SparkSession, source: Any = None, *, page_placeholder: str = files.PLACEHOLDER, split_by_pages: bool = False, caption_images: bool = False, **options: Any) -> DataFrame:
+        """split_by_pages: page by page, each after its placeholder. caption_images: embedded images become what the
+        reader's vision model says of them."""
+        whole, vision, added = self.convert, self.model, files.plugins()
+        run = (lambda content, name: files.paged(content, name, whole, page_placeholder)) if split_by_pages else whole
 
         @F.pandas_udf("string")
         def to_text(contents: pd.Series, names: pd.Series) -> pd.Series:
-            return pd.Series([run(c, n) for c, n in zip(contents, names, strict=True)], dtype=object)
+            files.install(added)
+            texts = [run(c, n) for c, n in zip(contents, names, strict=True)]
+            return pd.Series([files.captioned(t, vision) for t in texts] if vision and caption_images else texts, dtype=object)
 
         raw = spark.read.format("binaryFile").load(source)
         name = F.element_at(F.split("path", "/"), -1)
@@ -263,8 +271,8 @@ class DoclingReader(ConverterReader):
     extensions = {"md", "markdown", "pdf", "docx", "pptx", "xlsx", "html", "htm", "odt", "rtf", "jpg", "jpeg", "png", "bmp", "gif", "tiff"}
 
     def __init__(self, model: Any = None, pipeline: str | None = None):
-        self.model, self.pipeline = model, pipeline
-        super().__init__(None)
+        self.pipeline = pipeline
+        super().__init__(None, model)
 
     @staticmethod
     def choose(extension: str, scan_pdf_pages: bool, has_model: bool) -> str:
@@ -278,4 +286,4 @@ class DoclingReader(ConverterReader):
             return VanillaReader(self.model).read(spark, source)
         name = self.pipeline or self.choose(extension, scan_pdf_pages, self.model is not None)
         self.convert = PIPELINES[name](model=self.model, **options)
-        return super().read(spark, source)
+        return super().read(spark, source, caption_images=name == "vlm")

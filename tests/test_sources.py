@@ -76,6 +76,11 @@ def test_converter_readers(spark, tmp_path):
     assert DoclingReader(pipeline="upper").read(spark, str(tmp_path / "a.pdf")).first().text == "BODY"
     assert DoclingReader.choose("pdf", True, False) == "page_image" and DoclingReader.choose("pdf", False, True) == "vlm" and DoclingReader.choose("docx", True, True) == "markdown"
     assert {"page_image", "vlm", "markdown"} <= PIPELINES.keys()
+    convert.CUTTERS["pdf"] = lambda content: [content[:2], content[2:]]
+    paged = MarkItDownReader(lambda c, n: c.decode()).read(spark, str(tmp_path / "a.pdf"), split_by_pages=True, page_placeholder="<p {page}>").first()
+    assert paged.text == "<p 1>\n\nbo\n\n<p 2>\n\ndy"
+    captions = MarkItDownReader(lambda c, n: "x ![i](data:image/png;base64,QUJD) y", EchoVision()).read(spark, str(tmp_path / "a.pdf"), caption_images=True).first()
+    assert captions.text == "x image/png of 3 bytes y"
     (tmp_path / "b.txt").write_text("t")
     assert DoclingReader().read(spark, str(tmp_path / "b.txt")).first().reader_method == "vanilla"
     for kind in ("pdf", "docx"):
@@ -83,6 +88,19 @@ def test_converter_readers(spark, tmp_path):
             convert.convert(kind, b"", "x")
 
 
+def test_scanned_pages(spark, tmp_path, monkeypatch):
+    class Fussy(EchoVision):
+        def analyze_content(self, *, prompt, file, file_ext="png", **parameters):
+            if file == "Yg==":
+                raise RuntimeError("too small")
+            return super().analyze_content(prompt=prompt, file=file, file_ext=file_ext)
+
+    monkeypatch.setitem(convert.RENDERERS, "pdf", lambda content: [content, b"b"])
+    assert convert.convert("pdf", b"abc", "x", vision=Fussy(), scan_pdf_pages=True) == ("<!-- page -->\n\nimage/png of 3 bytes\n\n---\n\n<!-- page -->\n\n**Error on page 2:** too small", "png", "echo")
+    with pytest.raises(ValueError, match="vision"):
+        convert.convert("pdf", b"abc", "x", scan_pdf_pages=True)
+
+
 def test_html_to_markdown():
     md = Markdown().convert
     assert md("<h2>A <b>b</b></h2><p>x <i>y</i> <code>z</code> <a href='u'>l</a></p>") == "## A **b**\n\nx *y* `z` [l](u)"
@@ -146,6 +164,11 @@ def test_sql_functions(spark):
     rows = spark.sql("SELECT id, s.* FROM texts_for_sql, LATERAL char_split(t, 4, 0.5) s ORDER BY id, chunk_index").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "abcd"), (1, 1, "cdef"), (1, 2, "ef"), (2, 0, "xy")]
     assert spark.sql("SELECT * FROM sentence_split('A. B. C.', 2)").count() == 2
+    assert [r.chunk for r in spark.sql("SELECT * FROM paged_split('##a##b', '##', 1) ORDER BY chunk_index").collect()] == ["a", "b"]
+    assert spark.sql("SELECT * FROM row_split('a,b\n1,2\n3,4', 'csv', 1)").count() == 2
+    assert spark.sql("SELECT * FROM column_split('a,b\n1,2', 'csv', 1)").count() == 2
+    assert spark.sql("SELECT * FROM semantic_split('One thing. Another.', 1)").count() >= 1
+    assert spark.sql("SELECT * FROM header_split('# A\nx\n# B\ny')").count() == 2
 
 
 @pytest.mark.parametrize("splitter", [CharacterSplitter(4), SentenceSplitter(1, 1)])
