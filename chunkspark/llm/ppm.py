@@ -225,39 +225,42 @@ def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """kind, code, n: the counts of all words (kind 0, by hash, ends too) and of all byte grams (kind 1) of `texts` (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged() -> pa.RecordBatch:
-            kind, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            parts = []
-            for k in (0, 1):
-                own, place = np.unique(code[kind == k], return_inverse=True)
-                parts.append((np.full(len(own), k, np.int8), own, np.bincount(place, n[kind == k], len(own)).astype(np.int64)))
-            held[:] = [tuple(np.concatenate(x) for x in zip(*parts, strict=True))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["kind", "code", "n"])
+        # By kind, parts of codes and counts that are summed when they grow large, and given out when that is not enough.
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        size = [0, 0]
+
+        def summed(kind: int) -> None:
+            codes, n = (np.concatenate([part[x] for part in held[kind]]) for x in (0, 1))
+            held[kind].clear()
+            order = np.argsort(codes)
+            codes = codes[order]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            held[kind].append((codes[first], np.add.reduceat(n[order], first)))
+            size[kind] = len(first)
+
+        def out(kind: int) -> pa.RecordBatch:
+            codes, n = held[kind].pop()
+            size[kind] = 0
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), kind, np.int8)), pa.array(codes), pa.array(n)], names=["kind", "code", "n"])
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for i, j in steps(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                tokens, _ = text_tokens(part, own)
-                words_, n_words = np.unique(np.append(tokens, END_WORD), return_counts=True)
-                n_words[words_ == END_WORD] += j - i - 1
+                tokens, n_words = np.unique(text_tokens(part, own)[0], return_counts=True)
+                held[0].append((np.append(tokens, END_WORD), np.append(n_words, j - i)))
                 grams, n_grams = gram_counts(symbols(part, own, order)[0], j - i, order)
-                grams, place = np.unique(grams, return_inverse=True)
-                n_grams = np.bincount(place, n_grams).astype(np.int64)
-                held.append((np.repeat(np.array([0, 1], np.int8), [len(words_), len(grams)]), np.concatenate([words_, grams.view(np.int64)]), np.concatenate([n_words, n_grams])))
-                size += len(words_) + len(grams)
-            if size > 3_000_000:
-                out = merged()
-                size = out.num_rows
-                if size > 1_500_000:
-                    held.clear()
-                    size = 0
-                    yield out
-        if held:
-            yield merged()
+                held[1].append((grams.view(np.int64), n_grams))
+                for kind in (0, 1):
+                    size[kind] += len(held[kind][-1][0])
+                    if size[kind] > 1_500_000:
+                        summed(kind)
+                        if size[kind] > 1_000_000:
+                            yield out(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                summed(kind)
+                yield out(kind)
 
     return texts.mapInArrow(count, "kind byte, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
