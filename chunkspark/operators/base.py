@@ -62,7 +62,8 @@ class Splitter:
             d = d.withColumn("__chunks", F.when(empty, F.raise_error(F.concat(F.lit("Chunks list cannot be empty: document "), F.col("document_id"))).cast(STRINGS)).otherwise(F.col("__chunks")))
         d = d.withColumn("split_method", F.lit(self.method)).withColumn("split_params", self.split_params()).withColumn("metadata", self.metadata())
         carried = [c for c in CHUNK.names[:9]]
-        out = d.select(*carried, F.posexplode("__chunks").alias("chunk_index", "chunk"))
+        # The outer form, as for the plain one the optimizer adds a filter that computes the chunks a second time.
+        out = d.select(*carried, F.posexplode_outer("__chunks").alias("chunk_index", "chunk")).where("chunk_index IS NOT NULL")
         return out.select(*carried, "chunk_index", uuid_of(F.col("document_id"), F.col("split_method"), F.col("split_params"), F.col("chunk_index")).alias("chunk_id"), "chunk")
 
 

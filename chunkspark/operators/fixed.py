@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import overlap_units, windows, words
-from .base import STRINGS, Splitter
+from .base import Splitter
 
 
 class _Stepped(Splitter):
@@ -35,9 +35,15 @@ class CharacterSplitter(_Stepped):
         return [text[i : i + self.chunk_size] for i in range(0, len(text or ""), self.step)]
 
     def chunks(self, docs: DataFrame) -> Column:
-        text = F.col("text")
-        starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(self.step)))
-        return F.coalesce(F.transform(starts, lambda s: F.substring(text, s, F.lit(self.chunk_size))), F.array().cast(STRINGS))
+        # One pass cuts pieces of `step` characters; a chunk is its piece and as much of the next ones as it overlaps.
+        # (A substring from each start would read the text from its beginning every time.)
+        pieces = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(f"(?s).{{1,{self.step}}}"), F.lit(0))
+        if self.step == self.chunk_size:
+            return pieces
+        if self.step > self.chunk_size:  # a negative overlap leaves text out
+            return F.transform(pieces, lambda p: F.left(p, F.lit(self.chunk_size)))
+        n = -(-self.chunk_size // self.step)
+        return F.flatten(F.transform(F.array(pieces), lambda all_: F.transform(all_, lambda p, i: F.left(F.array_join(F.slice(all_, i + 1, F.lit(n)), ""), F.lit(self.chunk_size)))))
 
 
 class WordSplitter(_Stepped):

@@ -47,6 +47,12 @@ def test_splitters_do_not_shuffle(spark, name):
     assert "Exchange" not in plan
 
 
+@pytest.mark.parametrize("name", ["word_overlap", "recursive_split", "semantic_split"])
+def test_chunks_are_computed_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(" if name == "word_overlap" else "ArrowEvalPython") == 1
+
+
 def test_only_needed_columns_are_read(spark):
     plan = catalog.QUERIES["character_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan

@@ -46,6 +46,9 @@ EXACT = [
     (CharacterSplitter(5), LETTERS, ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "z"]),
     (CharacterSplitter(5, 2), LETTERS, ["abcde", "defgh", "ghijk", "jklmn", "mnopq", "pqrst", "stuvw", "vwxyz", "yz"]),
     (CharacterSplitter(10, 0.3), LETTERS, ["abcdefghij", "hijklmnopq", "opqrstuvwx", "vwxyz"]),
+    (CharacterSplitter(5, 4), "abcdefg", ["abcde", "bcdef", "cdefg", "defg", "efg", "fg", "g"]),
+    (CharacterSplitter(2, -1), "abcdefg", ["ab", "de", "g"]),
+    (CharacterSplitter(3), "a\nb\r\nc", ["a\nb", "\r\nc"]),
     (CharacterSplitter(2), "a\U0001f600bé", ["a\U0001f600", "bé"]),
     (WordSplitter(4), FOX, ["The quick brown fox", "jumps over the lazy", "dog and runs away"]),
     (WordSplitter(4, 2), FOX, ["The quick brown fox", "brown fox jumps over", "jumps over the lazy", "the lazy dog and", "dog and runs away", "runs away"]),
