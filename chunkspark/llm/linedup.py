@@ -171,8 +171,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with all their columns, without the deleted lines, and without documents that lost all words."""
     found = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options)
-    lost = found.where(F.size("gone") > 0).select(F.col("row").alias("__row"), F.col("gone").alias("__gone"), (F.col("n_words_gone") >= F.col("n_words")).alias("__all")).dropDuplicates(["__row"])
-    d = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(lost, F.col("__key") == F.col("__row"), "left").where("__all IS NULL OR NOT __all")
+    lost = found.where(F.size("gone") > 0).select(F.col("row").alias("__linedup_row"), F.col("gone").alias("__linedup_gone"), (F.col("n_words_gone") >= F.col("n_words")).alias("__linedup_all")).dropDuplicates(["__linedup_row"])
+    d = docs.withColumn("__linedup_key", F.xxhash64(id_col, text_col)).join(lost, F.col("__linedup_key") == F.col("__linedup_row"), "left").where("__linedup_all IS NULL OR NOT __linedup_all")
     split = F.split(text_col, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone"), lambda i: F.get(split, i))
-    return d.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))).select(*[f"`{c}`" for c in docs.columns])
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__linedup_gone"), lambda i: F.get(split, i))
+    return d.withColumn(text_col, F.when(F.col("__linedup_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))).select(*[f"`{c}`" for c in docs.columns])

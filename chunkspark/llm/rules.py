@@ -96,10 +96,10 @@ def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float = 0.1, m
 def clean_documents(docs: DataFrame, min_docs: int = 10, max_share: float = 0.1, min_left: float = 0.5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept documents with all their columns, boilerplate lines removed from the text."""
     judged = _judge(docs, min_docs, max_share, min_left, host_col, id_col, text_col)
-    kept = judged.where("kept").select(F.col("row").alias("__row"), F.col("bad").alias("__bad")).dropDuplicates(["__row"])
-    joined = docs.join(kept, F.xxhash64(F.col(id_col), F.col(host_col), text_or_empty(text_col)) == F.col("__row"))
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("__bad", F.xxhash64(normal_line(x)))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__bad").isNotNull(), left).otherwise(F.col(text_col))).select(*[f"`{c}`" for c in docs.columns])
+    kept = judged.where("kept").select(F.col("row").alias("__rules_row"), F.col("bad").alias("__rules_bad")).dropDuplicates(["__rules_row"])
+    joined = docs.join(kept, F.xxhash64(F.col(id_col), F.col(host_col), text_or_empty(text_col)) == F.col("__rules_row"))
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("__rules_bad", F.xxhash64(normal_line(x)))), "\n")
+    return joined.withColumn(text_col, F.when(F.col("__rules_bad").isNotNull(), left).otherwise(F.col(text_col))).select(*[f"`{c}`" for c in docs.columns])
 
 
 #: The same rules for DuckDB, over the table `documents`.

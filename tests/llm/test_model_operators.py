@@ -6,13 +6,14 @@ import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from chunkspark.llm import graph_search, lengths, mixing, pieces, ppm
 from chunkspark.llm.common import connected, text_buffer, words
-from chunkspark.llm.queries import QUERIES
+from chunkspark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 EDGES = [(1, "", "h"), (2, None, "h"), (3, " \n\t ", None), (4, "one two", "g"), (5, "word " * 20_000, "g"), (6, "x" * 50_000, "h"), (7, "é\U0001f600 ü" * 50, None), (None, "a b c", "h"), (9, "a b", "h"), (9, "a b", "h")]
@@ -405,18 +406,61 @@ def test_histogram(spark):
 # ---- Pipeline ----
 
 
-def test_pipeline_stages(spark):
+def materialized(spark, frame):
+    return spark.createDataFrame(frame.collect(), frame.schema)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on its own input, against the operators' brute-force forms."""
     import corpus_pipeline
+    from test_text_operators import brute_lines, brute_near, words as words_of
 
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "source_mix", "encode"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mix", "encode"]
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    columns, all_ = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    kept = {i for i, k in con.sql(f"SELECT doc_id, kept FROM ({ORACLES['op5_quality_rules']})").fetchall() if k}
+    one = materialized(spark, stages["quality_rules"](spark, docs, SF))
+    rows = {r.doc_id: r for r in one.collect()}
+    assert one.columns == columns and rows.keys() == kept and 0.7 * len(all_) < len(kept)
+    assert all(r.n_chars == len(r.text) and set(r.text.split("\n")) <= set(all_[i].split("\n")) for i, r in rows.items())
+
+    two = materialized(spark, stages["line_dedup"](spark, one, SF))
+    gone = brute_lines([(i, r.text) for i, r in rows.items()])
+    want = {i: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[i]) for i, r in rows.items()}
+    assert {r.doc_id: r.text for r in two.collect()} == {i: t for i, t in want.items() if words_of(t)}
+
+    three = materialized(spark, stages["near_dedup"](spark, two, SF))
+    near = brute_near([(r.doc_id, r.text) for r in two.collect()], 80)
+    assert {r.doc_id for r in three.collect()} == {i for i, (_, _, k) in near.items() if k} and three.columns == columns
+
+    four = materialized(spark, stages["source_mix"](spark, three, SF))
+    copies = {r.doc_id: r.copies for r in mixing.mix_sources(three).collect()}
+    assert collections.Counter(r.doc_id for r in four.collect()) == +collections.Counter(copies) and four.columns == columns
+
+    five = materialized(spark, stages["encode"](spark, four, SF))
+    texts = {r.doc_id: r.text for r in four.collect()}
+    assert five.columns == ["doc_id", "ids", "score"] and five.count() == four.count()
+    assert all(r.text == texts[r.doc_id] for r in pieces.decode_documents(five).collect())
+    assert corpus_pipeline.run(spark, SF).count() == five.count()
+
+
+CLASHES = ["host", "row", "bad", "same", "line", "whole", "lines", "key", "owner", "gone", "grp", "rep", "sign", "size", "copies", "ids", "score", "__row", "__key", "__text", "__words", "__chunks"]
+
+
+@pytest.mark.parametrize("rows", [EDGES, []])
+def test_pipeline_edges(spark, rows):
+    """Nulls, repeated rows, empty and long texts, empty tables, and columns named like those that stages use."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame([(i, t, None, s, None, *["x"] * len(CLASHES)) for i, t, s in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
-        docs = spark.createDataFrame(out.collect(), out.schema)
-        if k < 4:
-            assert docs.columns == columns, name
-        if k < 3:
-            assert 0.7 * before < docs.count() <= before
-    assert docs.columns == ["doc_id", "ids", "score"] and docs.count() > 0
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+        assert name == "encode" or out.columns == docs.columns
+        got = out.collect()
+        assert len(got) <= 3 * len(rows)
+        docs = docs if name == "quality_rules" else spark.createDataFrame(got, out.schema)  # the rules would leave one text
