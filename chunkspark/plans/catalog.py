@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.embedding import HashedEmbedding, dot, embed
+from ..functions.layout import spread
 from ..operators import CharacterSplitter, CodeSplitter, HeaderSplitter, HTMLTagSplitter, KeywordSplitter, PagedSplitter, ParagraphSplitter, RecursiveCharacterSplitter, RecursiveJSONSplitter, RowColumnSplitter, SemanticSplitter, SentenceSplitter, Splitter, TokenSplitter, WordSplitter
 from ..operators.html import html_auto_tag, html_to_markdown
 from ..operators.semantic import AMOUNTS, group_thresholds, neighbour_distances, top_breakpoints
@@ -34,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(df: DataFrame, splitter: Splitter, text: str = "text", key: str = "doc_id", **fixed: str) -> DataFrame:
     """key, chunk_index, chunk."""
-    docs = as_documents(df, text=text, document_id=key, **fixed)
+    docs = as_documents(spread(df.select(text, key), key), text=text, document_id=key, **fixed)
     return splitter.transform(docs).select(F.col("document_id").cast("long").alias(key), "chunk_index", "chunk")
 
 
@@ -129,7 +130,7 @@ for _where, _form in {"none": "chr(2)", "before": r"'\1' || chr(2)", "after": r"
         FROM (SELECT doc_id, regexp_extract_all(text, '\bthe\b|password|token|secret') AS m FROM documents)""",
 )
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = as_documents(table(spark, sf_dir, "documents"), document_id="doc_id")
+    docs = as_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), document_id="doc_id")
     first = KeywordSplitter(_KEYWORDS, chunk_size=0).transform(docs).where("chunk_index = 0")
     n = lambda name: F.coalesce(F.get_json_object("metadata", f"$.keyword_matches.counts.{name}").cast("long"), F.lit(0).cast("long")).alias(f"n_{name}")
     return first.select(F.col("document_id").cast("long").alias("doc_id"), n("the"), n("secret"))
@@ -258,8 +259,8 @@ over_documents("code_split", lambda: CodeSplitter(600, "python"))
 query("header_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HeaderSplitter(1000, ["Header 1", "Header 2"]), text="html", key="page_id"))
 query("html_tag_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HTMLTagSplitter(600, "p"), text="html", key="page_id"))
 query("html_auto_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HTMLTagSplitter(), text="html", key="page_id"))
-query("html_to_markdown")(lambda spark, sf: table(spark, sf, "pages").select("page_id", html_to_markdown(F.col("html")).alias("markdown")))
-query("html_auto_tag")(lambda spark, sf: table(spark, sf, "pages").select("page_id", html_auto_tag(F.col("html")).alias("tag")))
+query("html_to_markdown")(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_to_markdown(F.col("html")).alias("markdown")))
+query("html_auto_tag")(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_auto_tag(F.col("html")).alias("tag")))
 # Every object of this table fits one chunk.
 query("json_split", "SELECT event_id, 0 AS chunk_index, props AS chunk FROM events WHERE props IS NOT NULL")(lambda spark, sf: chunks(table(spark, sf, "events").where("props IS NOT NULL"), RecursiveJSONSplitter(100, 20), text="props", key="event_id"))
 
@@ -281,5 +282,5 @@ def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.sql import register
 
     register(spark)
-    table(spark, sf_dir, "documents").createOrReplaceTempView("chunkspark_documents")
+    spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").createOrReplaceTempView("chunkspark_documents")
     return spark.sql("SELECT doc_id, s.chunk_index, s.chunk FROM chunkspark_documents, LATERAL char_split(text, 500, 50) s")

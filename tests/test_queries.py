@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from chunkspark.functions.layout import spread
+from chunkspark.operators import CharacterSplitter, ParagraphSplitter, RecursiveCharacterSplitter, WordSplitter
 from chunkspark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -41,10 +43,20 @@ def test_entry(spark):
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["character_overlap", "word_overlap", "paragraph_split", "recursive_split", "html_tag_split"])
-def test_splitters_do_not_shuffle(spark, name):
-    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+@pytest.mark.parametrize("splitter", [CharacterSplitter(500, 50), WordSplitter(50, 10), ParagraphSplitter(3), RecursiveCharacterSplitter(800, 80)])
+def test_splitters_do_not_shuffle(spark, splitter):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("CAST(doc_id AS STRING) AS document_id", "text")
+    assert "Exchange" not in splitter.transform(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_small_inputs_are_dealt_out(spark):
+    small = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan(spread(small, "doc_id"))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    assert "Exchange" not in plan(spread(small, "doc_id"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
 
 
 @pytest.mark.parametrize("name", ["word_overlap", "recursive_split", "semantic_split"])
