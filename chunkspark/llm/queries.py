@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.layout import spread
 from .common import session_ready, table
 from .graph_search import nearest_of_hundredths
 from .lengths import length_report
@@ -19,6 +20,8 @@ from .rules import quality_rules
 from .secrets import secret_report
 from .suffixes import repeat_report
 
+#: A small table is dealt out to all cores by its key; a large one is read as it lies.
+KEYS = {"documents": "doc_id", "embeddings": "vec_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,7 +30,7 @@ def over(name: str, source: str, sql: str | None = None):
     def add(build: Callable[[DataFrame], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             session_ready(spark)
-            return build(table(spark, sf_dir, source))
+            return build(spread(table(spark, sf_dir, source), KEYS[source]))
 
         QUERIES[name] = run
         if sql:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chunkspark.functions.layout import spread
 from chunkspark.llm.common import session_ready
 from chunkspark.llm.linedup import dedup_lines
 from chunkspark.llm.mixing import mixed_documents
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_ready(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
