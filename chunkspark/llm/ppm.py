@@ -343,7 +343,7 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
                 m = len(pair)
                 take = pa.array(np.concatenate([np.arange(rows), pair[:, 0]]))
                 pad = lambda x, kind: pa.array(np.concatenate([x, np.zeros(m, x.dtype)]), kind)  # noqa: B023, E731
-                # A text's own row has a word that no text has: its row number, so these rows spread evenly.
+                # A text's own row has its name in the place of a word, so these rows spread evenly.
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, rows).take(take), batch.column(1).slice(i, rows).take(take), batch.column(2).slice(i, rows).take(take),
                     pa.array(np.concatenate([np.zeros(rows, bool), np.ones(m, bool)])),
@@ -353,17 +353,20 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
                 ], names=["row", "doc_id", "held_out", "is_word", "code", "times", "n_tokens", "n_known", "gain", "score"])
 
     schema = f"row long, doc_id {id_type}, held_out boolean, is_word boolean, code long, times long, n_tokens long, n_known long, gain double, score double"
-    parts = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(score, schema)
+    # A row is named by what it holds, so a task that runs again gives the same names. Equal rows have equal sums: these
+    # are divided by the rows' number, and each gets its own.
+    parts = source.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "held_out", "text").mapInArrow(score, schema)
     rare = counts.where((F.col("kind") == 0) & (F.col("n") < least)).select(F.col("code").alias("rare_code"), F.col("n").alias("rare_n"))
     met = parts.join(rare, F.col("is_word") & (F.col("code") == F.col("rare_code")), "left")
     of_word = F.col("is_word") & F.col("rare_n").isNotNull()
-    out = met.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
+    out = met.groupBy("doc_id", "row").agg(
         F.first("held_out").alias("held_out"),
+        F.sum((~F.col("is_word")).cast("long")).alias("m"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(of_word, F.col("times")).otherwise(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.sum("gain") + F.sum(F.when(of_word, F.col("times") * F.log10(F.col("rare_n") + 1)).otherwise(0.0)) - F.sum("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.sum("gain") + F.sum(F.when(of_word, F.col("times") * F.log10(F.col("rare_n") + 1)).otherwise(0.0))).alias("gain"),
         F.sum("score").alias("score"),
     )
-    return out.drop("row")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    n_tokens = F.expr("n_tokens DIV m")
+    return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), F.expr("n_known DIV m").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("gain") / F.col("m") - n_tokens * F.lit(whole)).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
