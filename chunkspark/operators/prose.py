@@ -149,12 +149,3 @@ class KeywordSplitter(Splitter):
 
     def metadata(self) -> Column:
         return F.col("__cut.metadata")
-
-    def native_chunks(self, text: Column) -> Column:
-        """The chunks by Spark expressions, for patterns that mean the same in Java: no wrap, no metadata."""
-        named = self.patterns if isinstance(self.patterns, dict) else dict(enumerate(self.patterns))
-        pattern = ("(?m)" if self.flags & re.M else "") + ("(?i)" if self.flags & re.I else "") + "(" + "|".join(f"(?:{p})" for p in named.values()) + ")"
-        form = {"none": "\x02", "before": "$1\x02", "after": "\x02$1", "both": "$1\x02$1"}[self.include_delimiters]
-        cut = F.split(F.regexp_replace(F.translate(text, "\x02", ""), pattern, form), "\x02")
-        return F.array_remove(F.transform(cut, strip), "")
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _STRINGS = ("document_id", "document_name", "document_path", "text", "conversion_method", "reader_method", "ocr_method", "page_placeholder", "metadata")
@@ -62,7 +63,11 @@ def uuid_of(*parts: Column) -> Column:
 
 def with_metadata(df: DataFrame, extra: dict[str, Any]) -> DataFrame:
     """Adds entries to the JSON object in `metadata`; the last wins."""
-    merge = F.udf(lambda old: json.dumps((json.loads(old) if old else {}) | extra, ensure_ascii=False), "string")
+
+    @F.pandas_udf("string")
+    def merge(old: pd.Series) -> pd.Series:
+        return old.map(lambda x: json.dumps((json.loads(x) if x else {}) | extra, ensure_ascii=False))
+
     return df.withColumn("metadata", merge("metadata"))
 
 
