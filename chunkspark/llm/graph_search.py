@@ -169,7 +169,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, width: int =
     session_ready(spark)
     columns = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
     rows = columns(candidates)
-    counted = rows.agg(F.count("*").alias("n"), F.mode(F.size("v")).alias("dim")).first()
+    counted = rows.agg(F.count("*").alias("n"), F.mode(F.size("v"), True).alias("dim")).first()
     n, dim = counted["n"], counted["dim"] or 0
     shards = max(1, -(-n // SHARD))
     rows = rows.where(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
