@@ -133,11 +133,12 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # The minima are written before they are joined, so Spark can split the rows of a node with many neighbours.
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")).checkpoint()
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: a node and its smaller neighbours move to the smallest of them.
         large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = small.where("u <> v").distinct().checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first()

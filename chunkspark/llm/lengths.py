@@ -17,7 +17,6 @@ import base64
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 

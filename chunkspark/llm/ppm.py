@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix, prefix_hash, session_ready, span_hash, steps, text_buffer, words
+from .common import LOWER, prefix_hash, session_ready, span_hash, steps, text_buffer, words
 
 ORDER = 5
 BITS = 9
