@@ -150,5 +150,32 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def stretches(data: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes that end after white space, so no word is cut; a longer word stays whole."""
+    i, n = 0, len(data)
+    while i < n:
+        j = min(n, i + limit)
+        while j < n and not IS_SPACE[data[j - 1]]:
+            near = np.flatnonzero(IS_SPACE[data[j : j + 65536]])
+            j = j + int(near[0]) + 1 if len(near) else min(n, j + 65536)
+        yield i, j
+        i = j
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, their starts, and each row's first word (one entry more at the end).
+
+    A long text is hashed stretch by stretch, so what is held besides does not grow with it.
+    """
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in stretches(data):
+        inner = offsets[np.searchsorted(offsets, i, "right") : np.searchsorted(offsets, j)]
+        a, b, _ = words(data[i:j], np.concatenate([[0], inner - i, [j - i]]))
+        hashes.append(span_hash(prefix_hash(data[i:j]), a, b))
+        starts.append(a + i)
+    starts = np.concatenate(starts)
+    return np.concatenate(hashes), starts, np.searchsorted(starts, offsets)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))

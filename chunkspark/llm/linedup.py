@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix, prefix_hash, session_ready, span_hash, steps, text_buffer, words
+from .common import LOWER, mix, session_ready, steps, text_buffer, word_hashes
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -97,14 +97,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_buffer(batch.column(2))
         for i, j in steps(offsets):
             part, own = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-            starts, ends, _ = words(part, own)
+            hashed, starts, _ = word_hashes(part, own)
             # A line's hash takes its words in order, so white space does not matter.
             new = np.flatnonzero(part == 10) + 1
             bounds = np.unique(np.concatenate([own, new]))
             first = np.searchsorted(starts, bounds)
             n_words = np.diff(first)
             have = n_words > 0
-            hashed = span_hash(prefix_hash(part), starts, ends)
             rank = np.arange(len(hashed), dtype=np.uint64) - np.repeat(first[:-1], n_words).astype(np.uint64)
             line = np.add.reduceat(mix(hashed + rank * np.uint64(0x9E3779B97F4A7C15)), first[:-1][have]) if have.any() else np.zeros(0, np.uint64)
             line = mix(line + n_words[have].astype(np.uint64)).view(np.int64)

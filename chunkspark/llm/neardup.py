@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, connected, mix, prefix_hash, session_ready, span_hash, steps, text_buffer, words
+from .common import LOWER, connected, mix, session_ready, steps, text_buffer, word_hashes
 
 SLOTS, CHUNKS = 32, 8
 #: Members of a coarse group, and rows of a key, that meet in one task; larger ones meet in pairs of such blocks.
@@ -40,11 +40,9 @@ _ADD = mix(np.arange(1001, SLOTS + 1001, dtype=np.uint64))
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles, with A-Z as a-z."""
-    data = LOWER[data]
-    starts, ends, first = words(data, offsets)
-    if not len(starts):
+    own, _, first = word_hashes(LOWER[data], offsets)
+    if not len(own):
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    own = span_hash(prefix_hash(data), starts, ends)
     grams = np.zeros(len(own), np.uint64)
     for k in range(width):  # a shingle's hash takes its words in order
         part = own[k : len(own) - width + 1 + k]

@@ -26,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, prefix_hash, session_ready, span_hash, steps, text_buffer, words
+from .common import LOWER, session_ready, steps, text_buffer, word_hashes
 
 ORDER = 5
 BITS = 9
 END, START = 256, 257
 SYMBOLS = 257
+#: Symbols that one step of arrays handles; a longer text takes several.
+CHUNK = 1 << 21
 #: The end of a text among the words' hashes.
 END_WORD = np.int64(-7046029254386353131)
 
@@ -51,13 +53,18 @@ def symbols(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[
 
 def gram_counts(sym: np.ndarray, texts: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (order + 1)-grams, the last symbol in the lowest bits, and their counts; one gram of starts a text."""
-    wide = sym.astype(np.uint64)
-    code = wide.copy()
-    for k in range(1, order + 1):
-        code[k:] |= wide[:-k] << np.uint64(BITS * k)
-    code = code[sym != START]
+    found = []
+    for i in range(0, len(sym), CHUNK):
+        before = min(i, order)
+        wide = sym[i - before : i + CHUNK].astype(np.uint64)
+        code = wide.copy()
+        for k in range(1, order + 1):
+            code[k:] |= wide[:-k] << np.uint64(BITS * k)
+        found.append(np.unique(code[before:][sym[i : i + CHUNK] != START], return_counts=True))
+    code, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    n = np.zeros(len(code), np.int64)
+    np.add.at(n, back, np.concatenate([m for _, m in found]) if found else np.zeros(0, np.int64))
     start = np.uint64(sum(START << BITS * k for k in range(order + 1)))
-    code, n = np.unique(code, return_counts=True)
     return np.append(code, start), np.append(n, texts)
 
 
@@ -117,43 +124,49 @@ class Trie:
 
     def score(self, sym: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
+        out = np.zeros(len(begin))
+        reach = len(self.next) + 1  # a gram's chain begins so many symbols before its end
+        for i in range(0, len(sym), CHUNK):
+            before = min(i, reach)
+            at, cost = self._costs(sym[i - before : i + CHUNK], before)
+            out -= np.bincount(np.searchsorted(begin, at + i - before, "right") - 1, cost, len(begin))
+        return out
+
+    def _costs(self, sym: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places, from `skip` on, of the symbols that are no starts, and the code length of each."""
         levels = len(self.next)
-        at = np.flatnonzero(sym != START)
+        at = skip + np.flatnonzero(sym[skip:] != START)
         cost = np.zeros(len(at), np.float64)
-        if levels:
-            code = self.index[sym].astype(np.int64)
-            nodes = [np.zeros(len(sym), np.int32)]
-            for k in range(levels):
-                before = np.empty(len(sym), np.int64)
-                before[0] = self.row[k][-1] if k else self.row[0][0]
-                before[1:] = self.row[k][nodes[k][:-1]]
-                before *= self.width
-                before += code
-                nodes.append(self.next[k][before])
-            todo, begun = np.arange(len(at)), np.zeros(len(at), bool)
-            for k in range(levels - 1, -1, -1):
-                where = at[todo]
-                context = nodes[k][where - 1] if k else np.zeros(len(where), np.int32)
-                gram = nodes[k + 1][where]
-                found = gram < len(self.log_count[k]) - 1
-                total = self.log_total[k][context]
-                fresh = ~begun & (total >= 0)
-                if k < levels - 1:
-                    longer = nodes[k + 1][where - 1]
-                    add = np.where(begun, np.where(found, self.log_rest[k][longer], self.escape_rest[k][longer]), 0)
-                else:
-                    add = np.zeros(len(where), np.float32)
-                add = np.where(fresh, np.where(found, total, self.escape[k][context]), add)
-                add = np.where(found, add - self.log_count[k][gram], add)
-                cost[todo] += add
-                begun |= fresh
-                stay = ~found
-                todo, begun = todo[stay], begun[stay]
-            cost[todo] += self.uniform
-        else:
-            cost += math.log10(SYMBOLS)
-        first = np.searchsorted(at, begin)
-        return -np.add.reduceat(cost, first) if len(first) else np.zeros(0)
+        if not levels:
+            return at, cost + math.log10(SYMBOLS)
+        code = self.index[sym].astype(np.int64)
+        nodes = [np.zeros(len(sym), np.int32)]
+        for k in range(levels):
+            before = np.empty(len(sym), np.int64)
+            before[0] = self.row[k][-1] if k else self.row[0][0]
+            before[1:] = self.row[k][nodes[k][:-1]]
+            before *= self.width
+            before += code
+            nodes.append(self.next[k][before])
+        todo, begun = np.arange(len(at)), np.zeros(len(at), bool)
+        for k in range(levels - 1, -1, -1):
+            where = at[todo]
+            context = nodes[k][where - 1] if k else np.zeros(len(where), np.int32)
+            gram = nodes[k + 1][where]
+            found = gram < len(self.log_count[k]) - 1
+            total = self.log_total[k][context]
+            fresh = ~begun & (total >= 0)
+            if k < levels - 1:
+                longer = nodes[k + 1][where - 1]
+                add = np.where(begun, np.where(found, self.log_rest[k][longer], self.escape_rest[k][longer]), 0)
+            else:
+                add = np.zeros(len(where), np.float32)
+            add = np.where(fresh, np.where(found, total, self.escape[k][context]), add)
+            cost[todo] += np.where(found, add - self.log_count[k][gram], add)
+            begun |= fresh
+            todo, begun = todo[~found], begun[~found]
+        cost[todo] += self.uniform
+        return at, cost
 
 
 class Model:
@@ -216,9 +229,8 @@ def held_out(id_col: str = "doc_id"):
 
 def text_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z as a-z, and each text's first word (one entry more at the end); without the ends."""
-    data = LOWER[data]
-    starts, ends, first = words(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends).view(np.int64), first
+    hashes, _, first = word_hashes(LOWER[data], offsets)
+    return hashes.view(np.int64), first
 
 
 def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:

@@ -78,6 +78,16 @@ def segments(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray) -> tuple
     return hashes[anchor[starts]], row.astype(np.int32), (starts - offsets[row]).astype(np.int32), (last - starts).astype(np.int32)
 
 
+def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, offsets, where the first row's bytes begin): steps of rows, a long row in several parts that
+    overlap, so each window begins in one of them."""
+    for i, j in steps(offsets, STEP):
+        for base in range(0, max(1, int(offsets[j] - offsets[i])), STEP) if j == i + 1 else (0,):
+            lo = offsets[i] + base
+            hi = min(offsets[j], lo + STEP + LENGTH - 1) if j == i + 1 else offsets[j]
+            yield i, data[lo:hi], offsets[i : j + 1] - lo if j > i + 1 else np.array([0, hi - lo]), base
+
+
 def by_bucket(bucket: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(count + 1))
@@ -258,8 +268,7 @@ def heavy_anchors(source: DataFrame, local: int = 16) -> np.ndarray:
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for i, j in steps(offsets, STEP):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            for _, part, own, _ in parts_of(data, offsets):
                 prefix = prefix_hash(part)
                 hashes, row, start, windows = segments(part, own, prefix)
                 begin = own[row] + start
@@ -295,8 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in steps(offsets, STEP):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            for i, part, own, base in parts_of(data, offsets):
                 prefix = prefix_hash(part)
                 hashes, row, start, count = segments(part, own, prefix)
                 alone = _among(hashes, hot.value)
@@ -320,7 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hashes[gone] = whole[gone] = 0
                 for b, pick in by_bucket(np.where(keep, bucket, parts), parts):
                     used, local = np.unique(row[pick], return_inverse=True)
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], start[pick].astype(np.int32), count[pick].astype(np.int8)]
+                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], (start[pick] + base).astype(np.int32), count[pick].astype(np.int8)]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "whole", "start", "count"])
 
     def collapse(gone: bool):
@@ -439,14 +447,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     spans.append([])
                     continue
                 pairs = _concat(blob, np.int64).reshape(-1, 2)
-                edge = np.zeros(len(own) + 1, np.int64)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 1], -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                border = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                left.append(own[~gone].tobytes())
-                removed.append(int(gone.sum()))
-                spans.append([{"start": a, "end": b} for a, b in border.reshape(-1, 2).tolist()])
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                far = np.maximum.accumulate(pairs[:, 1])
+                new = np.ones(len(pairs), bool)
+                new[1:] = pairs[1:, 0] > far[:-1]
+                run = np.flatnonzero(new)
+                begins, ends = pairs[run, 0].tolist(), far[np.append(run[1:], len(pairs)) - 1].tolist()
+                left.append(b"".join(own[a:b].tobytes() for a, b in zip([0, *ends], [*begins, len(own)], strict=True)))
+                removed.append(sum(ends) - sum(begins))
+                spans.append([{"start": a, "end": b} for a, b in zip(begins, ends, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span)], names=["id", "text_bytes", "n_bytes", "n_removed", "spans"])
 
     out = source.join(runs, ["id", "row"], "left").select("id", "text", "runs").mapInArrow(cut, "id long, text_bytes binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chunkspark.llm import graph_search, lengths, mixing, pieces, ppm
+from chunkspark.llm import common, graph_search, lengths, mixing, pieces, ppm
 from chunkspark.llm.common import connected, text_buffer, words
 from chunkspark.llm.queries import ORACLES, QUERIES
 
@@ -50,6 +50,30 @@ def test_words_and_buffers():
     assert got == [(t or "").encode().split() for t in texts]
 
 
+def test_word_hashes_by_stretches(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ab \n", k=rng.randint(0, 50))) for _ in range(60)] + ["x" * 300, "", " "]
+    data, offsets = text_buffer(pa.array(texts))
+    whole, _, first = common.word_hashes(data, offsets)
+    monkeypatch.setattr(common.stretches, "__defaults__", (7,))
+    parts, _, again = common.word_hashes(data, offsets)
+    assert whole.tolist() == parts.tolist() and first.tolist() == again.tolist()
+    assert np.diff(first).tolist() == [len(t.encode().split()) for t in texts]
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_scores_by_chunks(monkeypatch, order):
+    texts = ["the cat sat on the mat", "", "a hat", "the the the cat"]
+    data, offsets = text_buffer(pa.array(texts))
+    sym, begin = ppm.symbols(data, offsets, order)
+    codes, n = ppm.gram_counts(sym, len(texts), order)
+    want = trie_of(texts, order).score(sym, begin)
+    monkeypatch.setattr(ppm, "CHUNK", 8)
+    again, m = ppm.gram_counts(sym, len(texts), order)
+    assert codes.tolist() == again.tolist() and n.tolist() == m.tolist()
+    assert np.allclose(trie_of(texts, order).score(sym, begin), want)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)] + [(7, 7)]

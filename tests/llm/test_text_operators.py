@@ -260,8 +260,9 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [1 << 16, 1])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "step"), [(1 << 16, 2 << 20), (1, 2 << 20), (1 << 16, 150)])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, step):
+    monkeypatch.setattr(suffixes, "STEP", step)
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "heavy_anchors", partial(suffixes.heavy_anchors, local=2))
     rng = random.Random(5)
