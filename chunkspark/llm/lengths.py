@@ -24,7 +24,10 @@ from .common import session_ready
 
 #: White space of the vocabulary's pattern: Python's, without U+001C to U+001F.
 PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: Where a text can be cut: after a character that is no white space, before one that is.
+CUT = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 KEPT = 400_000
+SLICE = 1 << 20
 BLOCK = 1024
 
 
@@ -49,7 +52,15 @@ class Counter:
         self.kept: dict[str, int] = {}
 
     def count(self, texts: list[str | None]) -> list[int]:
-        cut = [PARTS.findall(t) if t else [] for t in texts]
+        short = [t if t and len(t) <= SLICE else "" for t in texts]
+        out = self._count(short)
+        for k, t in enumerate(texts):
+            if t and len(t) > SLICE:
+                out[k] = sum(self._count([piece])[0] for piece in _slices(t))
+        return out
+
+    def _count(self, texts: list[str]) -> list[int]:
+        cut = [PARTS.findall(t) for t in texts]
         if len(self.kept) > KEPT:
             self.kept.clear()
         new = list(set().union(*cut) - self.kept.keys())
@@ -58,6 +69,15 @@ class Counter:
         return [sum(map(get, parts)) for parts in cut]
 
 
+def _slices(text: str) -> Iterator[str]:
+    i = 0
+    while i < len(text):
+        m = CUT.search(text, i + SLICE)
+        j = m.start() if m else len(text)
+        yield text[i:j]
+        i = j
+
+
 def token_lengths(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and n_tokens of each row."""
     session_ready(docs.sparkSession)

@@ -35,8 +35,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 #: Characters of a part that is segmented in array steps; longer parts go place by place.
 LONG = 48
-#: Parts kept between batches.
+#: Parts kept between batches, and characters of a text that are cut into parts at once.
 KEPT = 400_000
+SLICE = 1 << 20
 
 
 def default_vocabulary() -> str:
@@ -129,10 +130,10 @@ class Segmenter:
         self.bytes_ = np.array([vocabulary.ids.get(f"<0x{b:02X}>", -1) for b in range(256)], np.int32)
         unknowns = np.flatnonzero(vocabulary.types == UNKNOWN)
         self.unknown_id = int(unknowns[0]) if len(unknowns) else 0
-        inner = any(MARK in p.lstrip(MARK) for p in (vocabulary.pieces[i] for i in use))
+        self.inner = any(MARK in p.lstrip(MARK) for p in (vocabulary.pieces[i] for i in use))
         known = "".join(map(re.escape, sorted(self.classes)))
         # Parts: a character in no piece alone; else marks and what follows up to the next mark.
-        self.parts = re.compile(f"[^{known}]|[{known}]+" if inner else f"[^{known}]|{MARK}*[{known.replace(MARK, '')}]+|{MARK}+")
+        self.parts = re.compile(f"[^{known}]|[{known}]+" if self.inner else f"[^{known}]|{MARK}*[{known.replace(MARK, '')}]+|{MARK}+")
         self.ids: dict[str, bytes] = {}
         self.scores: dict[str, float] = {}
         self.plain = [bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.encode() for p, t in zip(vocabulary.pieces, vocabulary.types.tolist(), strict=True)]
@@ -283,7 +284,30 @@ class Segmenter:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, float]]:
         """The ids of each text as little-endian 32-bit integers, and the sum of its scores."""
-        cut = [self.parts.findall((MARK if self.vocabulary.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
+        marked = [(MARK if self.vocabulary.dummy_prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
+        out: list[tuple[bytes, float]] = [(b"", 0.0)] * len(texts)
+        short = [k for k, t in enumerate(marked) if len(t) <= SLICE]
+        for k, coded in zip(short, self._encode([marked[k] for k in short]), strict=True):
+            out[k] = coded
+        for k, t in enumerate(marked):
+            if len(t) > SLICE:
+                coded = [self._encode([piece])[0] for piece in self._slices(t)]
+                out[k] = (b"".join(ids for ids, _ in coded), math.fsum(score for _, score in coded))
+        return out
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """Cuts before a mark that follows another character, as the parts are cut."""
+        i = 0
+        while i < len(text):
+            j = text.find(MARK, i + SLICE) if not self.inner else -1
+            while 0 < j and text[j - 1] == MARK:
+                j = text.find(MARK, j + 1)
+            j = len(text) if j < 0 else j
+            yield text[i:j]
+            i = j
+
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
+        cut = [self.parts.findall(t) for t in texts]
         if len(self.ids) > KEPT:
             self.ids.clear()
             self.scores.clear()
@@ -292,7 +316,8 @@ class Segmenter:
         return [(b"".join(map(ids, parts)), math.fsum(map(scores, parts))) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
-        out = b"".join(map(self.plain.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+        numbers, plain = np.frombuffer(ids, np.int32), self.plain.__getitem__
+        out = b"".join([b"".join(map(plain, numbers[i : i + SLICE].tolist())) for i in range(0, len(numbers), SLICE)])
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.vocabulary.dummy_prefix and text[:1] == " " else text
 

@@ -40,14 +40,12 @@ END_WORD = np.int64(-7046029254386353131)
 
 def symbols(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one row of symbols, each with `order` starts before it and an end after it; each text's begin."""
-    rows = len(offsets) - 1
     extra = order + 1
-    out = np.full(len(data) + rows * extra, START, np.uint16)
-    begin = offsets[:-1] + np.arange(rows) * extra + order
-    ends = offsets[1:] + np.arange(rows) * extra + order
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    out[np.arange(len(data)) + row * extra + order] = LOWER[data]
-    out[ends] = END
+    out = np.full(len(data) + (len(offsets) - 1) * extra, START, np.uint16)
+    begin = offsets[:-1] + np.arange(len(offsets) - 1) * extra + order
+    for i, j, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), begin.tolist(), strict=True):
+        out[at : at + j - i] = LOWER[data[i:j]]
+        out[at + j - i] = END
     return out, begin
 
 
@@ -347,7 +345,8 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
                 n_known += int(end_hot)
                 bytes_cost = trie.score(*symbols(part, own, order))
                 loose = ~known[place]
-                pair, times = np.unique(np.column_stack([doc[loose], place[loose]]), axis=0, return_counts=True) if loose.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+                pair, times = np.unique(doc[loose] * len(uniq) + place[loose], return_counts=True)
+                pair = np.column_stack(np.divmod(pair, max(1, len(uniq))))
                 if not end_hot:  # the end is as rare as any word where texts are long
                     pair = np.concatenate([pair, np.column_stack([np.arange(rows), np.full(rows, len(uniq))])])
                     times = np.concatenate([times, np.ones(rows, np.int64)])

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import session_ready, steps, text_buffer
+from .common import STEP_BYTES, session_ready, steps, text_buffer
 
 
 @dataclass(frozen=True)
@@ -240,31 +240,51 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     return Automaton(classes, len(sample) + 1, small.reshape(-1), kept)
 
 
-def states(automaton: Automaton, data: np.ndarray, offsets: np.ndarray, lane: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """The automaton's state after every byte, and each byte's place; texts are parted by RESET."""
+def states(automaton: Automaton, data: np.ndarray, offsets: np.ndarray, lane: int = 512, carried: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton's state after every byte, and each byte's row; rows are parted by RESET. carried: the state in
+    which the first row goes on, if it began before these bytes."""
     n, rows = len(data), len(offsets) - 1
     width = automaton.n_classes
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    at = np.arange(n) + row + 1
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
+    lead = int(carried is None)
+    at = np.arange(lead, n + lead) + row
     lanes = -(-(n + rows) // lane)
     padded = np.full(lanes * lane, width - 1, np.uint8)
     padded[at] = automaton.classes[data]
     columns = np.ascontiguousarray(padded.reshape(lanes, lane).T)
     out = np.empty((lane, lanes), np.uint16)
     begin = np.zeros(lanes, np.uint16)
+    begin[0] = carried or 0
     which = np.arange(lanes)
     while len(which):
         now = begin[which].astype(np.int64)
         for t in range(lane):
             now = automaton.step[now * width + columns[t, which]].astype(np.int64)
             out[t, which] = now
-        due = np.zeros(lanes, np.uint16)
+        due = np.empty(lanes, np.uint16)
+        due[0] = begin[0]
         due[1:] = out[-1, :-1]
         which = np.flatnonzero(due != begin)
         begin = due
     return np.ascontiguousarray(out.T).reshape(-1)[at], row
 
 
+def accepted(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rules that accept in each row, as bits; a long row is read in stretches."""
+    seen = np.zeros(len(offsets) - 1, np.int64)
+    for i, j in steps(offsets):
+        state = None
+        for lo in range(int(offsets[i]), int(offsets[j]), 2 * STEP_BYTES):
+            hi = min(int(offsets[j]), lo + 2 * STEP_BYTES)
+            own = offsets[i : j + 1] - offsets[i] if j > i + 1 else np.array([0, hi - lo])
+            after, row = states(automaton, data[lo:hi], own, carried=state)
+            state = int(after[-1]) if j == i + 1 else None
+            hits = automaton.accepts[after]
+            where = np.flatnonzero(hits)
+            np.bitwise_or.at(seen, i + row[where], hits[where])
+    return seen
+
+
 def exact_spans(text: str, rules: list[tuple[int, Rule, re.Pattern]]) -> list[tuple[int, int, int]]:
     """(start, rule, end) of the matches that are long enough, by start, then rule; code points."""
     return sorted((m.start(), k, m.end()) for k, rule, exact in rules for m in exact.finditer(text) if len(m[rule.group] or "") >= rule.least)
@@ -285,17 +305,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, j in steps(offsets):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                if not len(part):
-                    continue
-                after, row = states(automaton, part, own)
-                hits = automaton.accepts[after]
-                seen = np.zeros(j - i, np.int64)
-                np.bitwise_or.at(seen, row[where := np.flatnonzero(hits)], hits[where])
-                for r in np.flatnonzero(seen):
-                    text = part[own[r] : own[r + 1]].tobytes().decode()
-                    spans[i + r] = [{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in exact_spans(text, [x for x in exact if seen[r] >> x[0] & 1])]
+            seen = accepted(automaton, data, offsets)
+            for r in np.flatnonzero(seen):
+                text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
+                spans[r] = [{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in exact_spans(text, [x for x in exact if seen[r] >> x[0] & 1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {id_type.simpleString()}, {SCHEMA}")

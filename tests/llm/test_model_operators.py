@@ -284,6 +284,18 @@ def test_long_parts_equal_short_ones(segmenter, monkeypatch):
         assert slow == ids and abs(total - score) < 1e-6
 
 
+def test_long_texts_in_slices(segmenter, monkeypatch):
+    import public_tokenizers
+
+    texts = [t for t in TEXTS if len(t) > 5] + ["a  b   c d e\n\n f", "▁▁x▁ y"]
+    counter = lengths.Counter(lengths.load_ranks(lengths.default_vocabulary()), public_tokenizers.PATTERN)
+    whole, counts = segmenter.encode(texts), counter.count(texts)
+    monkeypatch.setattr(pieces, "SLICE", 3)
+    monkeypatch.setattr(lengths, "SLICE", 3)
+    assert [ids for ids, _ in segmenter.encode(texts)] == [ids for ids, _ in whole]
+    assert counter.count(texts) == counts
+
+
 def test_trie_holds_all_pieces(segmenter):
     for i in range(0, len(segmenter.vocabulary.pieces), 37):
         if segmenter.vocabulary.types[i] != pieces.NORMAL:

@@ -7,9 +7,11 @@ from functools import partial
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chunkspark.llm import linedup, neardup, rules, secrets, suffixes
+from chunkspark.llm.common import text_buffer
 from chunkspark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -369,6 +371,16 @@ def test_automaton_accepts_what_the_triggers_do():
             assert [bool(s >> k & 1) for s in seen] == [bool(exact.search(t)) for t in texts]
 
 
+def test_long_text_in_stretches(monkeypatch):
+    a = secrets.compile_rules()
+    texts = ["xx password=" + "k" * 60, "", "f" * 40, "AKIA" + "Z" * 70 + " token: abcdefghi", "clean " * 30]
+    data, offsets = text_buffer(pa.array(texts))
+    want = secrets.accepted(a, data, offsets)
+    monkeypatch.setattr(secrets, "STEP_BYTES", 5)
+    monkeypatch.setattr(secrets, "steps", lambda o: [(k, k + 1) for k in range(len(o) - 1)])
+    assert secrets.accepted(a, data, offsets).tolist() == want.tolist() == [1, 0, 4, 3, 0]
+
+
 def test_automaton_is_minimal():
     a = secrets.compile_rules((secrets.Rule("r", "ab|cb", "ab|cb"),))
     assert len(a.accepts) == 3
