@@ -381,3 +381,16 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
     n_tokens = F.expr("n_tokens DIV m")
     return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), F.expr("n_known DIV m").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("gain") / F.col("m") - n_tokens * F.lit(whole)).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
+
+
+def adaptive_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and the adaptive model's log10 probability of each text: no corpus, one pass, symbol by symbol."""
+    session_ready(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [adaptive_log10(t or "", order) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double")

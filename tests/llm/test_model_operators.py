@@ -377,7 +377,10 @@ def test_probabilities_sum_to_one(least):
         assert abs(total - 1) < 1e-3
 
 
-def test_adaptive():
+def test_adaptive(spark):
+    rows = [(1, "abab", "s"), (2, None, "s"), (3, "ABAB", "s")]
+    got = {r.doc_id: r.score for r in ppm.adaptive_scores(frame(spark, rows)).collect()}
+    assert got == {1: ppm.adaptive_log10("abab"), 2: ppm.adaptive_log10(""), 3: got[1]}
     assert ppm.adaptive_log10("") < 0
     assert ppm.adaptive_log10("abcabcabcabcabc" * 4) / 60 > ppm.adaptive_log10("q8z!kfw0xm")/10
     assert ppm.adaptive_log10("ABC") == ppm.adaptive_log10("abc")
