@@ -32,8 +32,9 @@ ORDER = 5
 BITS = 9
 END, START = 256, 257
 SYMBOLS = 257
-#: Symbols that one step of arrays handles; a longer text takes several.
+#: Symbols that one step of arrays handles, in counting and in scoring; a longer text takes several.
 CHUNK = 1 << 21
+SCORED = 1 << 18
 #: The end of a text among the words' hashes.
 END_WORD = np.int64(-7046029254386353131)
 
@@ -124,9 +125,9 @@ class Trie:
         """log10 probability of each text."""
         out = np.zeros(len(begin))
         reach = len(self.next) + 1  # a gram's chain begins so many symbols before its end
-        for i in range(0, len(sym), CHUNK):
+        for i in range(0, len(sym), SCORED):
             before = min(i, reach)
-            at, cost = self._costs(sym[i - before : i + CHUNK], before)
+            at, cost = self._costs(sym[i - before : i + SCORED], before)
             out -= np.bincount(np.searchsorted(begin, at + i - before, "right") - 1, cost, len(begin))
         return out
 

@@ -69,6 +69,7 @@ def test_scores_by_chunks(monkeypatch, order):
     codes, n = ppm.gram_counts(sym, len(texts), order)
     want = trie_of(texts, order).score(sym, begin)
     monkeypatch.setattr(ppm, "CHUNK", 8)
+    monkeypatch.setattr(ppm, "SCORED", 8)
     again, m = ppm.gram_counts(sym, len(texts), order)
     assert codes.tolist() == again.tolist() and n.tolist() == m.tolist()
     assert np.allclose(trie_of(texts, order).score(sym, begin), want)
