@@ -5,9 +5,11 @@ longest context that the trie has; a context of T counts over d symbols leaves d
 shorter one (method C), where the symbols of the longer context are excluded. After the empty context all symbols
 not seen there are alike. A text ends in a symbol of its own, so the code lengths are those of whole texts.
 
-Pretrained: counts of all (ORDER + 1)-grams of the corpus are summed by Spark; the trie keeps those that occur at
-least c times, c the least power of two that leaves at most `max_grams`, so the model that each worker gets has a
-fixed bound however large the corpus is. Every occurrence counts. Scoring steps through the trie with arrays.
+Pretrained: counts of all (ORDER + 1)-grams of the corpus are summed by Spark, and none is cut, so the model grows with
+the corpus. What a symbol costs depends on its gram alone: `gram_costs` gives that of every gram of the table, level by
+level in joins by suffix and sums by context, where a key has at most SYMBOLS rows. The most frequent grams (`max_grams`
+at most) go to the workers with their costs; the rest of a text's grams meet theirs in a join, as rare words do. `Trie`
+is the same model in the memory of one process.
 Adaptive: `adaptive_log10` learns from the text itself while it codes it.
 
 Base: add-one word counts over the whole corpus. Words with a share of 1e-6 of all tokens or more (a million at
@@ -24,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import LOWER, session_ready, steps, text_buffer, word_hashes
+from .common import LOWER, mix, session_ready, steps, text_buffer, word_hashes
 
 ORDER = 5
 BITS = 9
@@ -37,6 +40,8 @@ CHUNK = 1 << 21
 SCORED = 1 << 18
 #: The end of a text among the words' hashes.
 END_WORD = np.int64(-7046029254386353131)
+#: The kind of a text's own row, beside words (0) and grams (1).
+OWN = -1
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +55,22 @@ def symbols(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[
     return out, begin
 
 
+def gram_codes(sym: np.ndarray, i: int, j: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The (order + 1)-grams that end at the symbols i to j that are no starts, the last symbol in the lowest bits; their places."""
+    before = min(i, order)
+    wide = sym[i - before : j].astype(np.uint64)
+    code = wide.copy()
+    for k in range(1, order + 1):
+        code[k:] |= wide[:-k] << np.uint64(BITS * k)
+    real = np.flatnonzero(sym[i:j] != START)
+    return code[before:][real], real + i
+
+
 def gram_counts(sym: np.ndarray, texts: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (order + 1)-grams, the last symbol in the lowest bits, and their counts; one gram of starts a text."""
     found = []
     for i in range(0, len(sym), CHUNK):
-        before = min(i, order)
-        wide = sym[i - before : i + CHUNK].astype(np.uint64)
-        code = wide.copy()
-        for k in range(1, order + 1):
-            code[k:] |= wide[:-k] << np.uint64(BITS * k)
-        found.append(np.unique(code[before:][sym[i : i + CHUNK] != START], return_counts=True))
+        found.append(np.unique(gram_codes(sym, i, i + CHUNK, order)[0], return_counts=True))
     code, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     n = np.zeros(len(code), np.int64)
     np.add.at(n, back, np.concatenate([m for _, m in found]) if found else np.zeros(0, np.int64))
@@ -168,17 +179,75 @@ class Trie:
         return at, cost
 
 
+class Costs:
+    """Costs by gram in an open-addressed table of arrays."""
+
+    EMPTY = np.uint64((1 << 64) - 1)
+
+    def __init__(self, codes: np.ndarray, costs: np.ndarray):
+        bits = max(4, (4 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, self.EMPTY, np.uint64)
+        self.costs = np.zeros(1 << bits, np.float32)
+        codes, todo = codes.astype(np.uint64), np.arange(len(codes))
+        at = self._first(codes)
+        while len(todo):
+            free = self.keys[at] == self.EMPTY
+            self.keys[at[free]] = codes[todo[free]]
+            put = self.keys[at] == codes[todo]
+            self.costs[at[put]] = costs[todo[put]]
+            todo, at = todo[~put], (at[~put] + 1) & self.mask
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        return (mix(codes) >> self.shift).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of each gram, 0 for those that are not here; and which are here."""
+        at = self._first(codes)
+        keys = self.keys[at]
+        here = keys == codes
+        cost = np.where(here, self.costs[at], np.float32(0))
+        todo = np.flatnonzero(~here & (keys != self.EMPTY))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            keys = self.keys[at]
+            hit = keys == codes[todo]
+            here[todo[hit]], cost[todo[hit]] = True, self.costs[at[hit]]
+            more = ~hit & (keys != self.EMPTY)
+            todo, at = todo[more], at[more]
+        return cost, here
+
+    def score(self, sym: np.ndarray, begin: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's log10 probability as far as its grams are here; text, gram and number of those that are not."""
+        out = np.zeros(len(begin))
+        loose: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(0, len(sym), SCORED):
+            code, at = gram_codes(sym, i, i + SCORED, order)
+            doc = np.searchsorted(begin, at, "right") - 1
+            cost, here = self.of(code)
+            out -= np.bincount(doc, cost, len(begin))
+            if not here.all():
+                doc, code = doc[~here], code[~here]
+                by = np.lexsort((code, doc))
+                doc, code = doc[by], code[by]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]))
+                loose.append((doc[first], code[first], np.diff(np.append(first, len(doc)))))
+        doc, code, times = (np.concatenate([x[k] for x in loose]) if loose else np.zeros(0, np.int64) for k in range(3))
+        return out, doc, code.astype(np.int64), times
+
+
 class Model:
-    """What scoring needs, sent to each worker once; the trie is built there at first use and kept."""
+    """What scoring needs, sent to each worker once; the table of costs is built there at first use and kept."""
 
-    def __init__(self, hot_codes: np.ndarray, hot_counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.hot_codes, self.hot_counts, self.grams = hot_codes, hot_counts, grams
-        self._trie: Trie | None = None
+    def __init__(self, hot_codes: np.ndarray, hot_counts: np.ndarray, grams: np.ndarray, costs: np.ndarray):
+        self.hot_codes, self.hot_counts, self.grams = hot_codes, hot_counts, (grams, costs)
+        self._costs: Costs | None = None
 
-    def trie(self) -> Trie:
-        if self._trie is None:
-            self._trie, self.grams = Trie(self.grams), []
-        return self._trie
+    def costs(self) -> Costs:
+        if self._costs is None:
+            self._costs, self.grams = Costs(*self.grams), ()
+        return self._costs
 
 
 def kinds_0(grams: list[tuple[np.ndarray, np.ndarray]]) -> int:
@@ -233,12 +302,14 @@ def text_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind, code, n: the counts of all words (kind 0, by hash, ends too) and of all byte grams (kind 1) of `texts` (text)."""
+    """kind, code, n, held: the counts of all words (kind 0, by hash, ends too) and of all byte grams (kind 1) of `texts`
+    (text, held_out) that are not held out; held: the counts of grams in those that are, whose words are not counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # By kind, parts of codes and counts that are summed when they grow large, and given out when that is not enough.
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        size = [0, 0]
+        # Kind 2: grams of texts that are held out.
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+        size = [0, 0, 0]
 
         def summed(kind: int) -> None:
             codes, n = (np.concatenate([part[x] for part in held[kind]]) for x in (0, 1))
@@ -252,56 +323,80 @@ def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         def out(kind: int) -> pa.RecordBatch:
             codes, n = held[kind].pop()
             size[kind] = 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), kind, np.int8)), pa.array(codes), pa.array(n)], names=["kind", "code", "n"])
+            learned, other = (np.zeros_like(n), n) if kind == 2 else (n, np.zeros_like(n))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), min(kind, 1), np.int8)), pa.array(codes), pa.array(learned), pa.array(other)], names=["kind", "code", "n", "held"])
 
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for i, j in steps(offsets):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                tokens, n_words = np.unique(text_tokens(part, own)[0], return_counts=True)
-                held[0].append((np.append(tokens, END_WORD), np.append(n_words, j - i)))
-                grams, n_grams = gram_counts(symbols(part, own, order)[0], j - i, order)
-                held[1].append((grams.view(np.int64), n_grams))
-                for kind in (0, 1):
-                    size[kind] += len(held[kind][-1][0])
-                    if size[kind] > 1_500_000:
-                        summed(kind)
-                        if size[kind] > 1_000_000:
-                            yield out(kind)
-        for kind in (0, 1):
+            for out_of in (False, True):
+                data, offsets = text_buffer(batch.column(0).filter(pc.equal(batch.column(1), out_of)))
+                for i, j in steps(offsets):
+                    part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                    kinds = (2,) if out_of else (0, 1)
+                    if not out_of:
+                        tokens, n_words = np.unique(text_tokens(part, own)[0], return_counts=True)
+                        held[0].append((np.append(tokens, END_WORD), np.append(n_words, j - i)))
+                    grams, n_grams = gram_counts(symbols(part, own, order)[0], j - i, order)
+                    held[kinds[-1]].append((grams.view(np.int64), n_grams))
+                    for kind in kinds:
+                        size[kind] += len(held[kind][-1][0])
+                        if size[kind] > 1_500_000:
+                            summed(kind)
+                            if size[kind] > 1_000_000:
+                                yield out(kind)
+        for kind in range(3):
             if held[kind]:
                 summed(kind)
                 yield out(kind)
 
-    return texts.mapInArrow(count, "kind byte, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "kind byte, code long, n long, held long").groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+
 
+def gram_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """code, times (in all texts), cost (-log10 of the probability of its last symbol after the others) of every gram of
+    order + 1 symbols in `counts`, also of those that only texts held out have.
 
-def kept_grams(counts: DataFrame, order: int, max_grams: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The grams of 1 to order + 1 symbols that the trie keeps, on the driver: at most `max_grams` in all."""
-    longest = counts.where("kind = 1").select("code", "n")
-    levels = [longest]
-    for k in range(order - 1, -1, -1):
+    By levels k: a gram of k + 1 symbols has its `cost` and, if it was never seen, what the levels below add after an
+    escape from its context (`rest`). Both need the gram without its first symbol, at level k - 1, and sums over the
+    grams of its context.
+    """
+    grams = counts.where((F.col("kind") == 1) & (F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)) != START)).select("code", "n", "held")
+    log, seen = F.log10, F.col("n") > 0
+    zero = F.lit(0.0)
+    below = None
+    for k in range(order + 1):
         mask = F.lit((1 << BITS * (k + 1)) - 1)
-        levels.append(levels[-1].groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")))
-    every = None
-    for k, level in enumerate(reversed(levels)):
-        level = level.select(F.lit(k).cast("int").alias("k"), "code", "n")
-        every = level if every is None else every.unionByName(level)
-    every = every.checkpoint()
-    # By the power of two that a count reaches: 64 rows at most.
-    reach = {r["p"]: r["m"] for r in every.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("m")).collect()}
+        now = grams.groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"), F.sum("held").alias("held")) if k < order else grams
+        if below is None:
+            # Level 0 has at most SYMBOLS rows.
+            own = now.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.when(seen, 1)).alias("kinds")).first()
+            now = now.withColumn("total", F.lit(own["total"]).cast("long")).withColumn("kinds", F.lit(own["kinds"]).cast("long"))
+            now = now.withColumn("rest", F.lit(math.log10(max(1, SYMBOLS - own["kinds"])))).withColumn("without", F.col("rest"))
+        else:
+            short = F.lit((1 << BITS * k) - 1)
+            below = below.select(F.col("code").alias("suffix"), F.col("n").alias("n1"), F.col("total").alias("total1"), F.col("kinds").alias("kinds1"), F.col("rest").alias("rest1"), F.col("cost").alias("without"))
+            now = now.withColumn("suffix", F.col("code").bitwiseAND(short)).join(below, "suffix")
+            context = Window.partitionBy(F.shiftright("code", BITS))
+            now = now.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.count(F.when(seen, 1)).over(context)).withColumn("shared", F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context))
+            # What the shorter context has besides the symbols of this one.
+            kinds = F.col("kinds1") - F.col("kinds")
+            size = F.col("total1") - F.col("shared") + kinds
+            now = now.withColumn("rest", F.when(seen, zero).when(F.col("n1") > 0, log(size) - log("n1")).otherwise(F.when(kinds > 0, log(size / kinds)).otherwise(zero) + F.col("rest1")))
+        whole = F.col("total") + F.col("kinds")
+        escape = F.when(F.col("kinds") < SYMBOLS, log(whole / F.col("kinds"))).otherwise(zero) + F.col("rest")
+        # A context that was never seen leaves the symbol to the shorter one.
+        now = now.withColumn("cost", F.when(F.col("kinds") == 0, F.col("without")).when(seen, log(whole) - log("n")).otherwise(escape))
+        below = now.select("code", "n", "held", "total", "kinds", "rest", "cost")
+    return below.select("code", (F.col("n") + F.col("held")).alias("times"), "cost")
+
+
+def least_times(grams: DataFrame, max_grams: int) -> int:
+    """The least power of two that at most `max_grams` grams reach; the driver sees 64 rows at most."""
+    reach = {r["p"]: r["m"] for r in grams.groupBy(F.floor(F.log2("times")).alias("p")).agg(F.count("*").alias("m")).collect()}
     power, total = 0, sum(reach.values())
     while total > max_grams:
         total -= reach.get(power, 0)
         power += 1
-    got = every.where(F.col("n") >= (1 << power)).toArrow()
-    k, code, n = (got.column(x).to_numpy() for x in ("k", "code", "n"))
-    out = []
-    for level in range(order + 1):
-        own = code[k == level].view(np.uint64)
-        at = np.argsort(own)
-        out.append((own[at], n[k == level][at]))
-    return out if len(out[0][0]) else []
+    return 1 << power
 
 
 def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 20, hot_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,19 +405,22 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
     session_ready(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out())
-    counts = corpus_counts(source.where("NOT held_out").select("text"), order).checkpoint()
+    counts = corpus_counts(source.select("text", "held_out"), order).checkpoint()
     total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = total["n"], total["v"]
     least = max(1, math.ceil(n_all * hot_share))
     hot = counts.where((F.col("kind") == 0) & (F.col("n") >= least)).select("code", "n").toArrow()
     codes, ns = hot.column("code").to_numpy(), hot.column("n").to_numpy()
     at = np.argsort(codes)
-    # Proven bounds: 1 / hot_share words and max_grams grams.
-    model = spark.sparkContext.broadcast(Model(codes[at], ns[at], kept_grams(counts, order, max_grams)))
+    grams = gram_costs(counts, order).checkpoint()
+    often = least_times(grams, max_grams)
+    first = grams.where(F.col("times") >= often).select("code", "cost").toArrow()
+    # Proven bounds: 1 / hot_share words and max_grams grams; what is beyond them is joined.
+    model = spark.sparkContext.broadcast(Model(codes[at], ns[at], first.column("code").to_numpy(), first.column("cost").to_numpy().astype(np.float32)))
     whole = math.log10(n_all + distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_codes, hot_counts, trie = model.value.hot_codes, model.value.hot_counts, model.value.trie()
+        hot_codes, hot_counts, costs = model.value.hot_codes, model.value.hot_counts, model.value.costs()
         logs = np.log10(np.append(hot_counts, 0) + 1.0)
         for batch in batches:
             data, offsets = text_buffer(batch.column(3))
@@ -344,7 +442,7 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
                 end_hot = end < len(hot_codes) and hot_codes[end] == END_WORD
                 sums += logs[end] if end_hot else 0
                 n_known += int(end_hot)
-                bytes_cost = trie.score(*symbols(part, own, order))
+                bytes_cost, gram_doc, gram, gram_times = costs.score(*symbols(part, own, order), order)
                 loose = ~known[place]
                 pair, times = np.unique(doc[loose] * len(uniq) + place[loose], return_counts=True)
                 pair = np.column_stack(np.divmod(pair, max(1, len(uniq))))
@@ -352,32 +450,33 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
                     pair = np.concatenate([pair, np.column_stack([np.arange(rows), np.full(rows, len(uniq))])])
                     times = np.concatenate([times, np.ones(rows, np.int64)])
                     uniq = np.append(uniq, END_WORD)
-                m = len(pair)
-                take = pa.array(np.concatenate([np.arange(rows), pair[:, 0]]))
+                m = len(pair) + len(gram)
+                take = pa.array(np.concatenate([np.arange(rows), pair[:, 0], gram_doc]))
                 pad = lambda x, kind: pa.array(np.concatenate([x, np.zeros(m, x.dtype)]), kind)  # noqa: B023, E731
                 # A text's own row has its name in the place of a word, so these rows spread evenly.
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, rows).take(take), batch.column(1).slice(i, rows).take(take), batch.column(2).slice(i, rows).take(take),
-                    pa.array(np.concatenate([np.zeros(rows, bool), np.ones(m, bool)])),
-                    pa.array(np.concatenate([batch.column(0).slice(i, rows).to_numpy(), uniq[pair[:, 1]]])),
-                    pa.array(np.concatenate([np.zeros(rows, np.int64), times])),
+                    pa.array(np.repeat(np.array([OWN, 0, 1], np.int8), [rows, len(pair), len(gram)])),
+                    pa.array(np.concatenate([batch.column(0).slice(i, rows).to_numpy(), uniq[pair[:, 1]], gram])),
+                    pa.array(np.concatenate([np.zeros(rows, np.int64), times, gram_times])),
                     pad(n_words + 1, pa.int64()), pad(n_known, pa.int64()), pad(sums, pa.float64()), pad(bytes_cost, pa.float64()),
-                ], names=["row", "doc_id", "held_out", "is_word", "code", "times", "n_tokens", "n_known", "gain", "score"])
+                ], names=["row", "doc_id", "held_out", "kind", "code", "times", "n_tokens", "n_known", "gain", "score"])
 
-    schema = f"row long, doc_id {id_type}, held_out boolean, is_word boolean, code long, times long, n_tokens long, n_known long, gain double, score double"
+    schema = f"row long, doc_id {id_type}, held_out boolean, kind byte, code long, times long, n_tokens long, n_known long, gain double, score double"
     # A row is named by what it holds, so a task that runs again gives the same names. Equal rows have equal sums: these
     # are divided by the rows' number, and each gets its own.
     parts = source.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "held_out", "text").mapInArrow(score, schema)
-    rare = counts.where((F.col("kind") == 0) & (F.col("n") < least)).select(F.col("code").alias("rare_code"), F.col("n").alias("rare_n"))
-    met = parts.join(rare, F.col("is_word") & (F.col("code") == F.col("rare_code")), "left")
-    of_word = F.col("is_word") & F.col("rare_n").isNotNull()
+    rare = counts.where((F.col("kind") == 0) & (F.col("n") < least)).select(F.col("kind").alias("rare_kind"), F.col("code").alias("rare_code"), F.log10(F.col("n") + 1).alias("value"))
+    rest = grams.where(F.col("times") < often).select(F.lit(1).cast("byte").alias("rare_kind"), F.col("code").alias("rare_code"), F.col("cost").alias("value"))
+    met = parts.join(rare.unionByName(rest), (F.col("kind") == F.col("rare_kind")) & (F.col("code") == F.col("rare_code")), "left")
+    of_word = (F.col("kind") == 0) & F.col("value").isNotNull()
     out = met.groupBy("doc_id", "row").agg(
         F.first("held_out").alias("held_out"),
-        F.sum((~F.col("is_word")).cast("long")).alias("m"),
+        F.sum((F.col("kind") == OWN).cast("long")).alias("m"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(of_word, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("gain") + F.sum(F.when(of_word, F.col("times") * F.log10(F.col("rare_n") + 1)).otherwise(0.0))).alias("gain"),
-        F.sum("score").alias("score"),
+        (F.sum("gain") + F.sum(F.when(of_word, F.col("times") * F.col("value")).otherwise(0.0))).alias("gain"),
+        (F.sum("score") - F.sum(F.when(F.col("kind") == 1, F.col("times") * F.col("value")).otherwise(0.0))).alias("score"),
     )
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
     n_tokens = F.expr("n_tokens DIV m")

@@ -413,6 +413,17 @@ def test_scores_tell_text_from_noise(spark):
     assert np.mean(prose) > 1.5 * np.mean(noise)
 
 
+@pytest.mark.parametrize("max_grams", [0, 1000, 1 << 20])
+def test_no_gram_is_cut(spark, documents, max_grams):
+    """Scores are those of the trie of all training texts, however few grams the workers get."""
+    got = {r.doc_id: r for r in ppm.language_scores(spark.read.parquet(f"{SF}/documents.parquet"), max_grams=max_grams).collect()}
+    texts = {i: t for i, (t, _) in documents.items()}
+    trie = trie_of([t for i, t in texts.items() if not got[i].held_out], ppm.ORDER)
+    want = trie.score(*ppm.symbols(*text_buffer(pa.array(list(texts.values())))))
+    assert any(r.held_out for r in got.values())
+    assert np.allclose([got[i].score for i in texts], want, rtol=1e-5, atol=1e-3)
+
+
 # ---- Lengths ----
 
 
