@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment.
 
 Documents with equal sequences of lines collapse into their first; the others are deleted whole. For the rest, each
-line that is rare enough to tell a document (at least `min_words` words) is given the smallest document that has
-it, its owner, and each later document with the line is paired with that owner. So a line in n documents makes n - 1
-pairs, not n squared, and no line is too frequent to be used. A document meets its owners once, with the sequences of
-line hashes of both, is aligned with each by patience diff (lines unique in both and in order, then what is equal
-around them, then the gaps between in the same way), and the aligned blocks of at least `min_block` words are
-deleted from the later document. Line numbers travel, texts do not, until lines are deleted.
+run of adjacent lines that just reaches `min_block` words, counted from its first line on or from its last line back, is
+given the smallest document that has it, its owner, and each later document with the run is paired with that owner.
+Every line of a block that two documents share, of `min_block` words or more, lies in such a run of the block, however
+short its lines are, so the later document meets an earlier holder of each part. A run in n documents makes n - 1 pairs,
+not n squared, and none is too frequent to be used. A document meets its owners once, with the sequences of line hashes
+of both, is aligned with each by patience diff (lines unique in both and in order, then what is equal around them, then
+the gaps between in the same way), and the aligned blocks of at least `min_block` words are deleted from the later
+document. Line numbers travel, texts do not, until lines are deleted.
 
 The pairs of a document are grouped by (document, owner), and its owners' parts are united by a sum, so a document
 with many owners or an owner of many documents is spread over tasks.
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix, session_ready, steps, text_buffer, word_hashes
+from .common import LOWER, mix, powers, session_ready, steps, text_buffer, word_hashes
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -90,9 +92,22 @@ def blocks(pairs: list[tuple[int, int]], weights: list[int], least: int) -> list
     return out + (run if run and sum(weights[x] for x in run) >= least else [])
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def runs(n: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of lines with n words each that have `least` words, but not without their last or not
+    without their first line; a run lies in one of the documents that begin at the lines `at` (one entry more at the end)."""
+    total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    line, sizes = np.arange(len(n)), np.diff(at)
+    first, last = np.repeat(at[:-1], sizes), np.repeat(at[1:], sizes)
+    end = np.searchsorted(total, total[:-1] + least)
+    begin = np.searchsorted(total, total[1:] - least, "right") - 1
+    ahead, back = end <= last, begin >= first
+    back[back] = end[begin[back]] != line[back] + 1  # the same run as one ahead
+    return np.concatenate([line[ahead], begin[back]]), np.concatenate([end[ahead], line[back] + 1])
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """row, doc_id, text -> row, doc_id, whole (hash of the sequence), and of the lines that have words: lines (hashes),
-    n (words), place (number among all lines)."""
+    n (words), place (number among all lines); runs: the hashes of the runs of `least` words."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(2))
         for i, j in steps(offsets):
@@ -111,7 +126,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = n_words[have].astype(np.int32)
             number = np.arange(len(bounds) - 1) - np.repeat(np.searchsorted(bounds, own[:-1]), np.diff(np.searchsorted(bounds, own)))
             whole = [hash_of(line[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(line)), pa.ListArray.from_arrays(pa.array(at), pa.array(n)), pa.ListArray.from_arrays(pa.array(at), pa.array(number[have].astype(np.int32)))], names=["row", "doc_id", "whole", "lines", "n", "place"])
+            begin, end = runs(n, at, least)
+            by = np.argsort(begin, kind="stable")
+            begin, end = begin[by], end[by]
+            p, inverse = powers(len(line) + 1)
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line.view(np.uint64) * p[:-1], dtype=np.uint64)])
+            run = mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+            run = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), pa.array(run))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(line)), pa.ListArray.from_arrays(pa.array(at), pa.array(n)), pa.ListArray.from_arrays(pa.array(at), pa.array(number[have].astype(np.int32))), run], names=["row", "doc_id", "whole", "lines", "n", "place", "runs"])
 
 
 def hash_of(lines: np.ndarray) -> int | None:
@@ -122,26 +144,26 @@ def hash_of(lines: np.ndarray) -> int | None:
     return int(mix(np.array([mix(x + rank).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = 5, min_block: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_block: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, n_lines, n_words, gone array<int>, n_words_gone for each row of `docs`.
 
     row: a hash of id and text; gone: numbers, from 0, of the lines to delete, in order; lines without words stay.
     """
     session_ready(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
+    least = max(1, min_block)
     source = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lined = source.mapInArrow(_lines, f"row long, doc_id {id_type}, whole long, lines array<long>, n array<int>, place array<int>")
+    lined = source.mapInArrow(lambda batches: _lines(batches, least), f"row long, doc_id {id_type}, whole long, lines array<long>, n array<int>, place array<int>, runs array<long>")
     # What is found for a hash is written before it is joined: the sums then begin in each task, and Spark can split a
     # hash that many rows share.
     # Order: by id, then by row for repeated ids; the smallest of equal sequences is the one that stays.
     lined = lined.withColumn("key", F.struct(F.col("doc_id"), F.col("row"))).checkpoint()
     firsts = lined.where("whole IS NOT NULL").groupBy("whole").agg(F.min("key").alias("first")).checkpoint()
     judged = lined.join(firsts, "whole", "left").withColumn("copy", F.coalesce(F.col("key") != F.col("first"), F.lit(False)))
-    alone = judged.where("whole IS NOT NULL AND NOT copy").select("key", "lines", "n")
-    evidence = F.array_distinct(F.filter(F.arrays_zip("lines", "n"), lambda x: x["n"] >= min_words))
-    flat = alone.select("key", F.explode(evidence).alias("e")).select("key", F.col("e.lines").alias("line"))
-    owner = flat.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("df")).where("df > 1").select("line", "owner").checkpoint()
-    pairs = flat.join(owner, "line").where("key > owner").select("key", "owner").distinct()
+    alone = judged.where("whole IS NOT NULL AND NOT copy").select("key", "lines", "n", "runs")
+    flat = alone.select("key", F.explode(F.array_distinct("runs")).alias("run"))
+    owner = flat.groupBy("run").agg(F.min("key").alias("owner"), F.count("*").alias("df")).where("df > 1").select("run", "owner").checkpoint()
+    pairs = flat.join(owner, "run").where("key > owner").select("key", "owner").distinct()
     a = alone.select(F.col("key").alias("owner"), F.col("lines").alias("a"))
     b = alone.select("key", F.col("lines").alias("b"), "n")
     met = pairs.join(b, "key").join(a, "owner").select("key", "a", "b", "n")

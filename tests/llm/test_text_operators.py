@@ -176,6 +176,46 @@ def test_line_edges(spark):
     assert kept == {1: rows[0][1], 2: "new line", 4: None, 5: ""}
 
 
+def line_rows(*texts):
+    return [(i, t, "s") for i, t in enumerate(texts)]
+
+
+def gone_lines(spark, *texts):
+    return [list(r.gone) for r in sorted(linedup.duplicate_lines(frame(spark, line_rows(*texts))).collect(), key=lambda r: r.doc_id)]
+
+
+def test_lines_meet_a_holder_of_the_block(spark):
+    """Each line of a block also occurs alone in an earlier document of its own."""
+    block = [f"l{k} a b c d e f" for k in range(9)]
+    alone = [f"own{k} text\n{x}\nmore{k}" for k, x in enumerate(block)]
+    got = gone_lines(spark, *alone, "\n".join(["first x", *block, "first y"]), "\n".join(["second x", *block]))
+    assert got == [[]] * 10 + [list(range(1, 10))]
+
+
+def brute_blocks(rows, least=10):
+    """Every later document against all earlier ones: the lines of all blocks of `least` words or more that both have."""
+    gone, where, wholes = {}, {}, set()
+    for i, t in sorted(rows):
+        lines = [(k, tuple(w.lower() for w in words(x))) for k, x in enumerate((t or "").split("\n")) if words(x)]
+        key, gone[i] = tuple(x for _, x in lines), set()
+        if key in wholes:
+            gone[i] = {k for k, _ in lines}
+            continue
+        for m, x in enumerate(key):
+            for other, j in where.get(x, ()):
+                if m and j and other[j - 1] == key[m - 1]:
+                    continue  # in the block that began before
+                n = 0
+                while m + n < len(key) and j + n < len(other) and key[m + n] == other[j + n]:
+                    n += 1
+                if sum(map(len, key[m : m + n])) >= least:
+                    gone[i] |= {k for k, _ in lines[m : m + n]}
+        for m, x in enumerate(key):
+            where.setdefault(x, []).append((key, m))
+        wholes |= {key} if key else set()
+    return gone
+
+
 # ---- Near-duplicates ----
 
 
