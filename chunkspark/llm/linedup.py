@@ -8,7 +8,8 @@ short its lines are, so the later document meets an earlier holder of each part.
 not n squared, and none is too frequent to be used. A document meets its owners once, with the sequences of line hashes
 of both, is aligned with each by patience diff (lines unique in both and in order, then what is equal around them, then
 the gaps between in the same way), and the aligned blocks of at least `min_block` words are deleted from the later
-document. Line numbers travel, texts do not, until lines are deleted.
+document. What an alignment leaves, since a passage is there twice or in another order, goes by the runs themselves: those
+of the later document that the owner has too, wherever they stand. Line numbers travel, texts do not, until lines are deleted.
 
 The pairs of a document are grouped by (document, owner), and its owners' parts are united by a sum, so a document
 with many owners or an owner of many documents is spread over tasks.
@@ -105,6 +106,17 @@ def runs(n: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([line[ahead], begin[back]]), np.concatenate([end[ahead], line[back] + 1])
 
 
+def shared(a: list[int], a_words: list[int], b: list[int], b_words: list[int], least: int) -> list[int]:
+    """Places in b of the aligned blocks, and of all runs that a has anywhere."""
+    out = set(blocks(patience(a, b), b_words, least))
+    cut = lambda n: zip(*(x.tolist() for x in runs(np.array(n, np.int64), np.array([0, len(n)]), least)), strict=True)
+    known = {tuple(a[i:j]) for i, j in cut(a_words)}
+    for i, j in cut(b_words):
+        if tuple(b[i:j]) in known:
+            out.update(range(i, j))
+    return sorted(out)
+
+
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """row, doc_id, text -> row, doc_id, whole (hash of the sequence), and of the lines that have words: lines (hashes),
     n (words), place (number among all lines); runs: the hashes of the runs of `least` words."""
@@ -164,13 +176,13 @@ def duplicate_lines(docs: DataFrame, min_block: int = 10, id_col: str = "doc_id"
     flat = alone.select("key", F.explode(F.array_distinct("runs")).alias("run"))
     owner = flat.groupBy("run").agg(F.min("key").alias("owner"), F.count("*").alias("df")).where("df > 1").select("run", "owner").checkpoint()
     pairs = flat.join(owner, "run").where("key > owner").select("key", "owner").distinct()
-    a = alone.select(F.col("key").alias("owner"), F.col("lines").alias("a"))
+    a = alone.select(F.col("key").alias("owner"), F.col("lines").alias("a"), F.col("n").alias("a_n"))
     b = alone.select("key", F.col("lines").alias("b"), "n")
-    met = pairs.join(b, "key").join(a, "owner").select("key", "a", "b", "n")
+    met = pairs.join(b, "key").join(a, "owner").select("key", "a", "a_n", "b", "n")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [blocks(patience(x, y), n, min_block) for x, y, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            gone = [shared(*row, least) for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
     cut = met.mapInArrow(align, f"key struct<doc_id:{id_type},row:bigint>, gone array<int>")

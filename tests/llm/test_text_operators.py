@@ -216,6 +216,21 @@ def brute_blocks(rows, least=10):
     return gone
 
 
+def test_passages_that_are_there_twice_or_in_another_order(spark):
+    p, q = "p1 a b c d e\np2 a b c d e\np3 a b c d e", "q1 a b c d e\nq2 a b c d e"
+    assert gone_lines(spark, f"i1\n{p}\nm\n{p}\ne", f"x\n{p}\ny") == [[], [1, 2, 3]]
+    assert gone_lines(spark, f"i1\n{p}\ne", f"x\n{p}\ny\n{p}\nz") == [[], [1, 2, 3, 5, 6, 7]]
+    assert gone_lines(spark, f"{p}\n{q}\ni1", f"{q}\nx\n{p}") == [[], [0, 1, 3, 4, 5]]
+
+
+def test_lines_equal_all_pairs(spark, documents):
+    rng = random.Random(5)
+    made = [(10_000 + i, "\n".join(" ".join([f"w{rng.randrange(4)}"] * rng.randint(0, 7)) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    for rows in (list(documents.items()), made):
+        got = {r.doc_id: set(r.gone) for r in linedup.duplicate_lines(frame(spark, [(*r, "s") for r in rows])).collect()}
+        assert got == brute_blocks(rows)
+
+
 # ---- Near-duplicates ----
 
 
