@@ -231,6 +231,11 @@ def test_lines_equal_all_pairs(spark, documents):
         assert got == brute_blocks(rows)
 
 
+def test_blocks_of_short_lines(spark):
+    poem = "\n".join(f"v{k} a b c" for k in range(20))
+    assert gone_lines(spark, f"one\n{poem}\ntwo", f"three\n{poem}") == [[], list(range(1, 21))]
+
+
 # ---- Near-duplicates ----
 
 
