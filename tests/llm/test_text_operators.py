@@ -106,10 +106,26 @@ def test_boilerplate(spark):
     assert left[0].text == body(0) and 100 not in left and left[200].text == rows[-1][1] and left[0]["__words"] == "e"
 
 
-def test_copies_are_one_document(spark):
+def test_limits_of_lines(spark):
+    """Copies are documents; the share guards small hosts, the absolute limit does not rise with the host."""
     text = " ".join(f"w{k}" for k in range(40))
-    rows = [(i, text, "a") for i in range(50)] + [(100 + i, f"{text} {i}", "a") for i in range(3)]
-    assert all(r.kept for r in rules.quality_rules(frame(spark, rows)).collect())
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(40))
+    rows = [(i, text, "a") for i in range(12)] + [(100 + i, f"{body(i)}\n{text}", "b") for i in range(12)] + [(200 + i, body(200 + i), "b") for i in range(188)]
+    got = {r.doc_id: r for r in rules.quality_rules(frame(spark, rows)).collect()}
+    assert not any(got[i].kept for i in range(12))  # 12 of the 12 documents of their host
+    assert all(got[100 + i].n_words_left == 80 for i in range(12))  # 12 of 200
+    got = {r.doc_id: r for r in rules.quality_rules(frame(spark, rows), max_docs=12, min_left=0.4).collect()}
+    assert all(got[100 + i].n_words_left == 40 and got[100 + i].kept for i in range(12))
+
+
+def test_rules_on_long_texts(spark):
+    """Texts of 10 MB: one line of distinct words, many lines, and one repeated line."""
+    texts = [" ".join(f"w{k}" for k in range(1_300_000)), "\n".join(f"l{k} a b" for k in range(900_000)), "one two three four\n" * 550_000]
+    got = {r.doc_id: r for r in rules.quality_rules(frame(spark, [(i, t, "h") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].n_words for i in range(3)] == [1_300_000, 2_700_000, 2_200_000]
+    assert [got[i].n_dup_lines for i in range(3)] == [0, 0, 549_999]
+    assert [got[i].n_repeat_words for i in range(3)] == [0, 0, 2_200_000]
+    assert [got[i].kept for i in range(3)] == [True, True, False]
 
 
 def test_rules_run_without_python(spark):
