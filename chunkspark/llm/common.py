@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -38,6 +41,27 @@ def session_ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkspark-"))
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, so that workers that wait for the next task hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_groups(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of texts that have at most `limit` characters together, or of one longer text."""
+    i = size = 0
+    for j, t in enumerate(texts):
+        n = len(t) if t else 0
+        if j > i and size + n > limit:
+            yield i, j
+            i, size = j, 0
+        size += n
+    if i < len(texts):
+        yield i, len(texts)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

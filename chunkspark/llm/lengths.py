@@ -20,15 +20,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import session_ready
+from .common import release, session_ready, steps, text_buffer, text_groups
 
 #: White space of the vocabulary's pattern: Python's, without U+001C to U+001F.
 PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Where a text can be cut: after a character that is no white space, before one that is.
 CUT = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
-KEPT = 400_000
+#: Parts kept between calls, and the characters that such a part has at most; characters of texts that are cut at once.
+KEPT, SHORT = 200_000, 64
 SLICE = 1 << 20
-BLOCK = 1024
 
 
 def default_vocabulary() -> str:
@@ -43,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Counter:
-    """Numbers of tokens of whole texts; the numbers of at most about KEPT parts are kept between calls."""
+    """Numbers of tokens of whole texts; the numbers of at most about KEPT short parts are kept between calls."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
@@ -52,21 +52,22 @@ class Counter:
         self.kept: dict[str, int] = {}
 
     def count(self, texts: list[str | None]) -> list[int]:
-        short = [t if t and len(t) <= SLICE else "" for t in texts]
-        out = self._count(short)
-        for k, t in enumerate(texts):
-            if t and len(t) > SLICE:
-                out[k] = sum(self._count([piece])[0] for piece in _slices(t))
+        out: list[int] = []
+        for i, j in text_groups(texts, SLICE):
+            if j > i + 1:
+                out += self._count([t or "" for t in texts[i:j]])
+            else:
+                out.append(sum(self._count([piece])[0] for piece in _slices(texts[i] or "")))
         return out
 
     def _count(self, texts: list[str]) -> list[int]:
         cut = [PARTS.findall(t) for t in texts]
         if len(self.kept) > KEPT:
             self.kept.clear()
-        new = list(set().union(*cut) - self.kept.keys())
-        self.kept.update(zip(new, map(len, map(self.encoding.encode_ordinary, new)), strict=True))
-        get = self.kept.__getitem__
-        return [sum(map(get, parts)) for parts in cut]
+        new = set().union(*cut) - self.kept.keys()
+        numbers = {p: len(self.encoding.encode_ordinary(p)) for p in new}
+        self.kept.update((p, n) for p, n in numbers.items() if len(p) <= SHORT)
+        return [sum([(numbers if len(p) > SHORT else self.kept)[p] for p in parts]) for parts in cut]
 
 
 def _slices(text: str) -> Iterator[str]:
@@ -89,7 +90,13 @@ def token_lengths(docs: DataFrame, vocabulary: str | None = None, pattern: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1).to_pylist()), pa.int64())], names=[id_col, "n_tokens"])
+            column = batch.column(1)
+            _, offsets = text_buffer(column)
+            for i, j in steps(offsets, 2 * SLICE):
+                numbers = counter.count(column.slice(i, j - i).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(numbers, pa.int64())], names=[id_col, "n_tokens"])
+        counter.kept.clear()
+        release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long")
@@ -99,8 +106,9 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     """One row a distinct length (column n_tokens): limit, n_docs, n_tokens, docs_within, docs_above, tokens_above,
     truncated_total, quantile (share of documents of at most this length)."""
     counted = lengths.groupBy(F.col("n_tokens").alias("limit")).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).checkpoint()
-    counted = counted.withColumn("block", F.floor(F.col("limit") / BLOCK))
-    # Suffix sums in two steps: over the blocks of lengths, then within each block.
+    # Suffix sums in two steps: over the blocks of lengths, then within each block. A block holds the lengths with one whole
+    # square root, so blocks are as many as lengths in the largest, and short lengths, which are most, are spread out.
+    counted = counted.withColumn("block", F.floor(F.sqrt("limit")))
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()

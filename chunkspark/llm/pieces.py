@@ -8,7 +8,8 @@ and spaces again; what is no UTF-8 there becomes U+FFFD.
 
 No piece has the marker after another character, and some characters (the line feed) are in no piece, so texts are
 cut there without changing the result; each distinct part is segmented once a task, all parts of equal length in
-one array step per place and piece length. Memory is bounded by the number of parts kept between batches.
+one array step per place and piece length. Parts kept for the next texts are bounded in number and in length; a longer part
+(text without spaces) is segmented place by place over arrays and not kept.
 
 Null text is empty and has no pieces. U+2581 in a text decodes to a space, as in the original method; every other
 text decodes to itself. Repeated ids are separate rows. An empty table gives an empty result.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import session_ready
+from .common import release, session_ready, steps, text_buffer, text_groups
 
 MARK = "▁"
 #: Fixed values of the model format: types of pieces, and what an unknown character costs beyond the worst piece.
@@ -35,9 +37,11 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 #: Characters of a part that is segmented in array steps; longer parts go place by place.
 LONG = 48
-#: Parts kept between batches, and characters of a text that are cut into parts at once.
-KEPT = 400_000
+#: Parts kept between calls, each of LONG characters at most; characters of texts that are cut into parts at once; places
+#: of a long part that are matched at once.
+KEPT = 200_000
 SLICE = 1 << 20
+STRETCH = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -134,8 +138,7 @@ class Segmenter:
         known = "".join(map(re.escape, sorted(self.classes)))
         # Parts: a character in no piece alone; else marks and what follows up to the next mark.
         self.parts = re.compile(f"[^{known}]|[{known}]+" if self.inner else f"[^{known}]|{MARK}*[{known.replace(MARK, '')}]+|{MARK}+")
-        self.ids: dict[str, bytes] = {}
-        self.scores: dict[str, float] = {}
+        self.kept: dict[str, tuple[bytes, float]] = {}
         self.plain = [bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" if t == CONTROL else p.encode() for p, t in zip(vocabulary.pieces, vocabulary.types.tolist(), strict=True)]
 
     def _build(self, pieces: dict[str, int]) -> None:
@@ -244,55 +247,86 @@ class Segmenter:
         ids = self.bytes_[list(c.encode())].tolist()
         return ids if min(ids) >= 0 else [self.unknown_id]
 
+    def _matches(self, codes: np.ndarray, n: int) -> tuple[list[int], list[int], list[int], list[float]]:
+        """Begin, end, piece and score of all pieces that begin at the first n places of `codes`, by begin, then end; a place
+        where no piece of one character begins has a piece -1 there."""
+        found = []
+        where, node = np.arange(n), np.zeros(n, np.int32)
+        single = np.zeros(n, bool)
+        for k in range(self.longest):
+            inside = where + k < len(codes)
+            where, node = where[inside], node[inside]
+            c = codes[where + k]
+            to = self.base[node] + c
+            ok = (self.check[to] == node) & (c > 0)
+            where, node = where[ok], to[ok]
+            if not len(where):
+                break
+            piece = self.piece_of[node]
+            has = piece >= 0
+            found.append((where[has], np.full(has.sum(), k + 1), piece[has]))
+            if not k:
+                single[where[has]] = True
+        lone = np.flatnonzero(~single)
+        found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), -1, np.int32)))
+        begin, size, piece = (np.concatenate([x[k] for x in found]) for k in range(3))
+        by = np.lexsort((size, begin))
+        begin, size, piece = begin[by], size[by], piece[by]
+        score = np.where(piece >= 0, self.vocabulary.scores[piece], self.unknown)
+        return begin.tolist(), (begin + size).tolist(), piece.tolist(), score.tolist()
+
     def _long(self, text: str) -> tuple[bytes, float]:
-        """Viterbi place by place, for one long part."""
-        n, get = len(text), self.classes.get
-        codes = [get(c, 0) for c in text]
-        base, check, piece_of, scores = self.base, self.check, self.piece_of, self.vocabulary.scores
-        best, back, took = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            node, single, here = 0, False, best[i]
-            for j in range(i, min(n, i + self.longest)):
-                to = int(base[node]) + codes[j]
-                if not codes[j] or check[to] != node:
-                    break
-                node = to
-                if (p := int(piece_of[node])) >= 0:
-                    single |= j == i
-                    if (total := here + float(scores[p])) > best[j + 1]:
-                        best[j + 1], back[j + 1], took[j + 1] = total, i, p
-            if not single and (total := here + self.unknown) > best[i + 1]:
-                best[i + 1], back[i + 1], took[i + 1] = total, i, -1
-        ids: list[int] = []
+        """Viterbi over one long part, a stretch of places at a time: what is held grows by 12 bytes a character."""
+        codes = self.class_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        n = len(codes)
+        took = np.full(n + 1, -1, np.int32)
+        best = [0.0]
+        for lo in range(0, n, STRETCH):
+            hi = min(n, lo + STRETCH)
+            part = codes[lo : hi + self.longest - 1]
+            best += [-math.inf] * (len(part) + 1 - len(best))
+            here = took[lo : lo + len(part) + 1].tolist()
+            for i, j, piece, score in zip(*self._matches(part, hi - lo), strict=True):
+                if (total := best[i] + score) > best[j]:
+                    best[j], here[j] = total, piece
+            took[lo : lo + len(part) + 1] = here
+            best = best[hi - lo :]
+        ids = array("i")
         j = n
         while j:
-            ids += [took[j]] if took[j] >= 0 else self._fallback(text[j - 1])[::-1]
-            j = back[j]
-        return np.array(ids[::-1], np.int32).tobytes(), best[n]
-
-    def learn(self, parts: set[str]) -> None:
-        """Segment the parts that are not kept yet."""
+            if (piece := int(took[j])) >= 0:
+                ids.append(piece)
+                j -= len(self.vocabulary.pieces[piece])
+            else:
+                j -= 1
+                ids.extend(self._fallback(text[j])[::-1])
+        return np.frombuffer(ids, np.int32)[::-1].tobytes() if ids else b"", best[0]
+
+    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, float]]:
+        """Segment the parts that are not kept yet; long ones are given back and not kept."""
         by_length: dict[int, list[str]] = {}
-        for p in parts - self.ids.keys():
-            by_length.setdefault(len(p), []).append(p)
+        long: dict[str, tuple[bytes, float]] = {}
+        for p in parts - self.kept.keys():
+            if len(p) > LONG:
+                long[p] = self._long(p)
+            else:
+                by_length.setdefault(len(p), []).append(p)
         for n, own in sorted(by_length.items()):
             for lo in range(0, len(own), 20_000):
                 some = own[lo : lo + 20_000]
-                for p, (ids, score) in zip(some, self._equal_lengths(some, n) if n <= LONG else map(self._long, some), strict=True):
-                    self.ids[p] = ids
-                    self.scores[p] = score
+                self.kept.update(zip(some, self._equal_lengths(some, n), strict=True))
+        return long
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, float]]:
         """The ids of each text as little-endian 32-bit integers, and the sum of its scores."""
-        marked = [(MARK if self.vocabulary.dummy_prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
-        out: list[tuple[bytes, float]] = [(b"", 0.0)] * len(texts)
-        short = [k for k, t in enumerate(marked) if len(t) <= SLICE]
-        for k, coded in zip(short, self._encode([marked[k] for k in short]), strict=True):
-            out[k] = coded
-        for k, t in enumerate(marked):
-            if len(t) > SLICE:
-                coded = [self._encode([piece])[0] for piece in self._slices(t)]
-                out[k] = (b"".join(ids for ids, _ in coded), math.fsum(score for _, score in coded))
+        out: list[tuple[bytes, float]] = []
+        for i, j in text_groups(texts, SLICE):
+            marked = [(MARK if self.vocabulary.dummy_prefix else "") + t.replace(" ", MARK) if t else "" for t in texts[i:j]]
+            if j > i + 1:
+                out += self._encode(marked)
+            else:
+                coded = [self._encode([piece])[0] for piece in self._slices(marked[0])]
+                out.append((b"".join(ids for ids, _ in coded), math.fsum(score for _, score in coded)))
         return out
 
     def _slices(self, text: str) -> Iterator[str]:
@@ -308,12 +342,14 @@ class Segmenter:
 
     def _encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
         cut = [self.parts.findall(t) for t in texts]
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-            self.scores.clear()
-        self.learn(set().union(*cut))
-        ids, scores = self.ids.__getitem__, self.scores.__getitem__
-        return [(b"".join(map(ids, parts)), math.fsum(map(scores, parts))) for parts in cut]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        long = self.learn(set().union(*cut))
+        out = []
+        for parts in cut:
+            got = [(long if len(p) > LONG else self.kept)[p] for p in parts]
+            out.append((b"".join([ids for ids, _ in got]), math.fsum([score for _, score in got])))
+        return out
 
     def decode(self, ids: bytes) -> str:
         numbers, plain = np.frombuffer(ids, np.int32), self.plain.__getitem__
@@ -331,8 +367,13 @@ def _segmented(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *make(segmenter, texts, segmenter.encode(texts))], names=[id_col, *names])
+            column = batch.column(1)
+            _, offsets = text_buffer(column)
+            for i, j in steps(offsets, 2 * SLICE):
+                texts = column.slice(i, j - i).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *make(segmenter, texts, segmenter.encode(texts))], names=[id_col, *names])
+        segmenter.kept.clear()
+        release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {schema}")
