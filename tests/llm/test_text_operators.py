@@ -415,50 +415,100 @@ def brute_secrets(text):
     return ",".join(f"{secrets.BASE_KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
 
 
+PARTS = (
+    ["password", "TOKEN", "api_key", "apikey", "secret", "passwd", "AKIA", "ABCDEFGH1234", "=", " : ", '"', "'", " ", "\n", "é\U0001f600", "0123456789abcdef" * 2, "dead", "x9/+_.-"]
+    + ["ghp_" + "a" * 36, "K", "ſecret=12345678", "eyJ", "eyJab", ".", "-", "_", "://", "user", ":", "@", "host.org", "Bearer  ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "/", "a" * 21]
+    + ["token=abc", "secret: token"] + [re.sub(r"[\\^$()?*+]|x20|\[[^]]*\]|\|.*", "", rule.prefix) for rule in secrets.MORE_RULES]
+)
+
+
 def secret_rows():
     rng = random.Random(7)
-    parts = ["password", "TOKEN", "api_key", "apikey", "secret", "passwd", "AKIA", "ABCDEFGH1234", "=", " : ", '"', "'", " ", "\n", "é\U0001f600", "0123456789abcdef" * 2, "dead", "x9/+_.-", "ghp_" + "a" * 36, "K", "ſecret=12345678"]
-    return [(i, "".join(rng.choices(parts, k=rng.randint(0, 40))), "s") for i in range(400)] + [(900, "f" * 100_000, "s"), (901, "password=" + "a" * 5000, "s"), (902, None, "s")]
+    return [(i, "".join(rng.choices(PARTS, k=rng.randint(0, 40))), "s") for i in range(400)] + [(900, "f" * 100_000, "s"), (901, "password=" + "a" * 5000, "s"), (902, None, "s")]
+
+
+def all_spans(text, rules=secrets.RULES):
+    """Every rule's expression by the regular expression engine, then the tails that are long enough."""
+    out = []
+    for k, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern, text or "", re.A | (re.I if rule.any_case else 0)):
+            if len(m[m.re.groups]) >= rule.least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{secrets.RULES[k].kind}:{s}:{e}" for s, k, e in spans)
 
 
 def test_secrets_equal_brute_force(spark, documents):
     rows = secret_rows()
-    want = {i: brute_secrets(t) for i, t, _ in rows}
+    texts = {i: t for i, t, _ in rows}
     for r in secrets.secret_report(frame(spark, rows)).collect():
-        assert r.base_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
-        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want[r.doc_id].count(k + ":") for k in secrets.BASE_KINDS)
-        assert set(filter(None, want[r.doc_id].split(","))) <= set(r.spans.split(","))
+        want = brute_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k + ":") for k in secrets.BASE_KINDS)
+        assert r.spans == joined(all_spans(texts[r.doc_id]))
     for r in QUERIES["op10_secret_scan"](spark, SF).collect():
         assert r.base_sha256 == hashlib.sha256(brute_secrets(documents[r.doc_id]).encode()).hexdigest()
+        assert r.spans == joined(all_spans(documents[r.doc_id]))
+
+
+def scanned(scanner, texts):
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in coded])]).astype(np.int64)
+    found = dict(scanner.spans(data, offsets))
+    return [secrets.code_points(data[i:j], found[r]) if r in found else [] for r, (i, j) in enumerate(zip(offsets[:-1], offsets[1:], strict=True))]
+
+
+def test_every_kind_is_exact():
+    scanner = secrets.Scanner()
+    rng = random.Random(11)
+    samples = {}
+    for rule in secrets.RULES:
+        prefix = {"assign": "Api_Key' : \"", "private_key": "-----BEGIN RSA PRIVATE KEY----", "jwt": "eyJhbGc.eyJ", "bearer": "BEARER ", "url_login": "https://me:pw%20@", "aws_session": "ASIA", "github": "gho_", "slack": "xoxp-", "slack_hook": "hooks.slack.com/services/", "stripe": "rk_live_", "square": "sq0csp-", "shopify": "shppa_", "telegram": "12345678:AA", "digitalocean": "doo_v1_", "google_token": "ya29.", "sendgrid": "SG."}.get(rule.kind, rule.prefix)
+        tail = next(c for c in "A-a0" if re.fullmatch(rule.tail, c))
+        samples[rule.kind] = prefix + tail * rule.least
+        for text, times in ((f"é {samples[rule.kind]} x", 1), (f"é {samples[rule.kind][:-1]} x", 0)):
+            assert sum(scanned(scanner, [text])[0].count(x) for x in all_spans(text)) == len(all_spans(text))
+            assert sum(rule.kind == secrets.RULES[k].kind for _, k, _ in scanned(scanner, [text])[0]) == (times if rule.least > 1 or times else 0)
+    texts = ["".join(rng.choices([*PARTS, *samples.values()], k=rng.randint(0, 50))) for _ in range(1500)]
+    assert scanned(scanner, texts) == [all_spans(t) for t in texts]
+
+
+@pytest.mark.parametrize("lane", [7, 64, 512])
+def test_states_are_those_of_one_pass(lane):
+    a = secrets.Scanner().forward
+    texts = [t.encode() for _, t, _ in secret_rows()[:200] if t] + [b"token" + b" " * 3000 + b"=x"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    after, row = secrets.states(a, data, offsets, lane)
+    want = []
+    for t in texts:
+        now = 0
+        for b in t:
+            now = int(a.step[now * a.n_classes + int(a.classes[b])])
+            want.append(now)
+    assert after.tolist() == want and row.tolist() == [k for k, t in enumerate(texts) for _ in t]
 
 
-def test_automaton_accepts_what_the_triggers_do():
-    a = secrets.compile_rules()
-    rng = random.Random(8)
-    texts = [t.encode() for _, t, _ in secret_rows()[:200] if t] + ["".join(rng.choices("paswordtken=: AKI0f", k=80)).encode() for _ in range(200)]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    for lane in (7, 512):
-        after, row = secrets.states(a, data, offsets, lane)
-        seen = np.zeros(len(texts), int)
-        np.bitwise_or.at(seen, row, a.accepts[after])
-        for k, rule in enumerate(secrets.RULES):
-            exact = re.compile(rule.trigger.encode(), re.I if rule.any_case else 0)
-            assert [bool(s >> k & 1) for s in seen] == [bool(exact.search(t)) for t in texts]
+def test_long_text_in_stretches(monkeypatch):
+    scanner = secrets.Scanner()
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(PARTS, k=300)) for _ in range(6)] + ["f" * 1000, "é" * 400 + "0" * 33]
+    monkeypatch.setattr(secrets, "STEP_BYTES", 41)
+    assert scanned(scanner, texts) == [all_spans(t) for t in texts]
 
 
-def test_long_text_in_stretches(monkeypatch):
-    a = secrets.compile_rules()
-    texts = ["xx password=" + "k" * 60, "", "f" * 40, "AKIA" + "Z" * 70 + " token: abcdefghi", "clean " * 30]
-    data, offsets = text_buffer(pa.array(texts))
-    want = secrets.accepted(a, data, offsets)
-    monkeypatch.setattr(secrets, "STEP_BYTES", 5)
-    monkeypatch.setattr(secrets, "steps", lambda o: [(k, k + 1) for k in range(len(o) - 1)])
-    assert secrets.accepted(a, data, offsets).tolist() == want.tolist() == [1, 0, 4, 3, 0]
+def test_texts_that_are_hard_to_scan():
+    """Long runs of what a rule repeats, and starts at every few bytes: linear, and exact."""
+    scanner = secrets.Scanner()
+    texts = ["token: a " * 20_000, "eyJ" * 2_000, "sk-" * 5_000, "token" + " " * 200_000 + "= abcdefghijk", "eyJa." * 2_000, "://a:" * 2_000, "secret: token: " * 10_000]
+    assert scanned(scanner, texts) == [all_spans(t) for t in texts]
 
 
 def test_automaton_is_minimal():
-    a = secrets.compile_rules((secrets.Rule("r", "ab|cb", "ab|cb"),))
-    assert len(a.accepts) == 3
+    a = secrets.automaton([secrets.parsed("ab|cb")], True)
+    assert len(a.accepts) == 3 and a.accepts.tolist().count(1) == 1
     with pytest.raises(ValueError):
-        secrets.compile_rules((secrets.Rule("r", "", r"\d"),))
+        secrets.parsed(r"\d")
