@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Bytes, as the optimizer estimates them, below which an input is dealt out; the limit does not grow with the cluster.
+SMALL = 128 << 20
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals a small input out to all cores by the keys; leaves one that has enough splits of its own as it is.
+    """Deals an input of less than SMALL bytes out to all cores by the keys; leaves a larger one as it is.
 
-    A file is read by one task for each row group, so a single file of a few MB would keep one core busy. An input of at
-    least one split (spark.sql.files.maxPartitionBytes) a core is not shuffled: at scale this does nothing.
+    A file is read by one task for each row group, so a single file of a few MB would keep one core busy. What is
+    shuffled for that is bounded, however many cores there are.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df if size >= cores * split else df.repartition(cores, *keys)
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # there is no public form of it
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if int(str(estimate)) < SMALL else df

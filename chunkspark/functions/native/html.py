@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 #: Elements without content.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ROW_TAGS = {"tr", "thead", "tbody", "th", "td"}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -100,20 +101,16 @@ class _Outer:
 
 
 def soft_wrap(text: str, size: int) -> list[str]:
-    """Pieces of at most `size` characters, cut at white space; a longer word is cut anywhere. 0 or less: no wrap."""
+    """Pieces of at most `size` characters, stripped, blank ones dropped: a piece reaches to the last end of a word or of
+    white space within `size`, or, where there is none, just so far. A size of 0 or less does not wrap."""
     if size <= 0 or len(text) <= size:
         return [text]
-    out, held = [], ""
-    for token in re.findall(r"\S+|\s+", text):
-        if len(held) + len(token) <= size:
-            held += token
-            continue
-        out.append(held)
-        while len(token) > size:
-            out.append(token[:size])
-            token = token[size:]
-        held = token
-    return [s for s in (x.strip() for x in [*out, held]) if s]
+    edges = [m.start() for m in re.finditer(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)", text)] + [len(text)]
+    cuts = [0]
+    while (at := cuts[-1]) < len(text):
+        nearest = edges[bisect_right(edges, at + size) - 1]
+        cuts.append(nearest if at < nearest <= at + size else at + size)
+    return list(filter(None, (text[i:j].strip() for i, j in pairwise(cuts))))
 
 
 def pages(text: str, placeholder: str) -> list[str]:

@@ -7,7 +7,9 @@ import io
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 SETEXT = [(re.compile(r"^([^\n]+)\n=+\s*$", re.M), "#"), (re.compile(r"^([^\n]+)\n-+\s*$", re.M), "##")]
@@ -242,17 +244,17 @@ def split_table_size(table: Table, size: int, overlap: float | int, oversize: st
     lines = [markdown_table(header, [r]).split("\n")[2] for r in rows]
     if len(head) + 1 + len(lines[0]) > size:
         raise ValueError("chunk_size is too small for the header and the first row")
-    out, i = [], 0
-    while i < len(rows):
-        used, j = len(head), i
-        while j < len(rows) and used + 1 + len(lines[j]) <= size:
-            used += 1 + len(lines[j])
-            j += 1
-        if j == i:
-            out.append(head + "\n" + (lines[i] if oversize == "emit" else ""))
-            i += 1
-            continue
-        out.append("\n".join([head, *lines[i:j]]))
-        back = int((j - i) * overlap) if isinstance(overlap, float) else int(overlap)
-        i = j if j == len(rows) else max(i + 1, j - min(back, j - i - 1))
+    # filled[j]: what the first j rows take; a chunk from row i reaches to the last j with filled[j] - filled[i] in the room.
+    filled, room = list(accumulate((len(x) + 1 for x in lines), initial=0)), size - len(head)
+    share = overlap if isinstance(overlap, float) else 0.0
+    out: list[str] = []
+    begin = end = 0
+    while end < len(rows):
+        end = bisect_right(filled, filled[begin] + room) - 1
+        lone = lines[begin : begin + 1] if oversize == "emit" else []
+        out.append(head + "\n" + "\n".join(lines[begin:end] or lone))
+        count = end - begin
+        again = int(count * share) if share else int(overlap)
+        begin += max(1, count - again)
+        end = max(end, begin)
     return out

@@ -23,7 +23,7 @@ def _function(make: Callable[..., Splitter]):
                 self.made[arguments] = make(*arguments)
             yield from enumerate(self.made[arguments].split_text(text))
 
-    return udtf(Split, returnType=SCHEMA)
+    return udtf(Split, returnType=SCHEMA, useArrow=True)
 
 
 class _Bound:

@@ -29,10 +29,10 @@ def _tiktoken(model: str, language: str) -> Backend:
 
     if not model.endswith(".tiktoken") and model not in tiktoken.list_encoding_names():
         raise ValueError(f"unknown tiktoken encoding {model!r}; one of {', '.join(tiktoken.list_encoding_names())}")
-    return Backend("length", partial(_load_tiktoken, model))
+    return Backend("length", partial(load_tiktoken, model))
 
 
-def _load_tiktoken(model: str) -> Callable[[str], int]:
+def load_tiktoken(model: str) -> Callable[[str], int]:
     import tiktoken
 
     if model.endswith(".tiktoken"):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .embedding import azure_settings
+
 #: Prompts, and media types by extension.
 EXTRACTION_PROMPT = "Extract all the elements (text, formulas, tables, images, etc.) detected in the page in markdown format, orderly. Return ONLY the extracted content, with no previous comments or placeholders."
 CAPTION_PROMPT = "Provide a caption describing the following resource. Return the output with the following format: *Caption: <A brief description>*."
@@ -78,9 +80,10 @@ def openai_vision(model_name: str = "gpt-4o", **options: Any) -> ChatVision:
     return ChatVision(model_name, _openai(**options))
 
 
-def azure_openai_vision(model_name: str, **options: Any) -> ChatVision:
-    """model_name is the deployment."""
-    return ChatVision(model_name, _openai(**options))
+def azure_openai_vision(model_name: str | None = None, **options: Any) -> ChatVision:
+    """model_name is the deployment; what is not given comes from the environment."""
+    deployment, options = azure_settings(model_name, options)
+    return ChatVision(deployment, _openai(**options))
 
 
 def grok_vision(model_name: str = "grok-4", detail: str = "auto", **options: Any) -> ChatVision:
@@ -109,15 +112,41 @@ def gemini_vision(model_name: str = "gemini-2.5-flash", **options: Any) -> ChatV
 
 
 def huggingface_vision(model_name: str, max_new_tokens: int = 40, **options: Any) -> ChatVision:
-    def make() -> Any:
-        from transformers import pipeline
+    """A local model: its processor and its class are the first that load, see `first_that_loads`."""
 
-        return pipeline("image-text-to-text", model=model_name, **options)
+    def ask(client: tuple[Any, Any], model: str, messages: list[dict], parameters: dict) -> str:
+        processor, network = client
+        inputs = processor.apply_chat_template(messages, add_generation_prompt=True, tokenize=True, return_dict=True, return_tensors="pt")
+        made = network.generate(**inputs, max_new_tokens=parameters.get("max_new_tokens", max_new_tokens))
+        return processor.decode(made[0][inputs["input_ids"].shape[-1] :])
 
-    def ask(client: Any, model: str, messages: list[dict], parameters: dict) -> str:
-        return client(text=messages, max_new_tokens=parameters.get("max_new_tokens", max_new_tokens), return_full_text=False)[0]["generated_text"]
+    return ChatVision(model_name, lambda: load_local(model_name, **options), ask)
 
-    return ChatVision(model_name, make, ask)
+
+#: General classes of processors and of models, in the order in which they are tried.
+PROCESSORS = ("AutoProcessor", "AutoImageProcessor")
+MODEL_CLASSES = ("AutoModelForVision2Seq", "AutoModelForImageTextToText", "AutoModelForCausalLM", "AutoModelForPreTraining", "AutoModel")
+
+
+def first_that_loads(what: str, library: Any, names: Iterable[str], model_name: str, **options: Any) -> Any:
+    """The first of the library's classes that loads the model; if none does, an error that says why for each."""
+    failed = []
+    for name in names:
+        try:
+            return getattr(library, name).from_pretrained(model_name, **options)
+        except Exception as error:  # each class fails in its own way
+            failed.append(f"{name}: {error}")
+    raise RuntimeError(f"no {what} of {model_name} could be loaded:\n" + "\n".join(failed))
+
+
+def load_local(model_name: str, **options: Any) -> tuple[Any, Any]:
+    """Processor and model; the class that the model's own configuration names comes first."""
+    import transformers
+
+    options = {"trust_remote_code": True} | options
+    processor = first_that_loads("processor", transformers, PROCESSORS, model_name, **options)
+    named = getattr(transformers.AutoConfig.from_pretrained(model_name, **options), "architectures", None) or []
+    return processor, first_that_loads("model", transformers, [*named[:1], *MODEL_CLASSES], model_name, **options)
 
 
 VISION_MODELS = {"echo": EchoVision, "openai": openai_vision, "azure_openai": azure_openai_vision, "grok": grok_vision, "anthropic": anthropic_vision, "gemini": gemini_vision, "huggingface": huggingface_vision}

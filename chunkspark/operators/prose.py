@@ -39,14 +39,18 @@ class SentenceSplitter(Splitter):
         return prose.with_word_overlap(prose.sentences(text, self.separators), self.chunk_size, self.chunk_overlap, " ", " ")
 
     def sentence_array(self, text: Column) -> Column:
-        """Sentences by marks around each end: text <1>end<2>, cut at <2>, white space before <1> goes."""
+        """Sentences by marks around each end: text <1><5>end<2>, cut at <2>, white space before <1><5> goes. The characters 1
+        and 2 of the text itself become <1><3> and <1><4> meanwhile."""
+        replace = lambda x, old, new: F.replace(x, F.lit(old), F.lit(new))
         ends = prose.sentence_pattern(self.separators)
-        marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), f"({ends})", "\x01$1\x02")
-        parts = F.transform(F.split(marked, "\x02"), lambda p: strip(F.regexp_replace(strip(p), f"{SPACE}*\x01", "")))
-        return F.array_remove(parts, "")
+        escaped = replace(replace(text, "\x01", "\x01\x03"), "\x02", "\x01\x04")
+        marked = F.regexp_replace(escaped, f"({ends})", "\x01\x05$1\x02")
+        parts = F.transform(F.split(marked, "\x02"), lambda p: strip(F.regexp_replace(strip(p), f"{SPACE}*\x01\x05", "")))
+        return F.transform(F.array_remove(parts, ""), lambda p: replace(replace(p, "\x01\x04", "\x02"), "\x01\x03", "\x01"))
 
     def chunks(self, docs: DataFrame) -> Column:
-        if self.chunk_overlap or not isinstance(self.separators, list) and self.separators != prose.SENTENCE_END:
+        literals = isinstance(self.separators, list) and not any(mark in s for s in self.separators for mark in "\x01\x02\x03\x04\x05")
+        if self.chunk_overlap or not literals and self.separators != prose.SENTENCE_END:
             return python_array(self.split_text)(F.col("text"))
         items = self.sentence_array(F.coalesce(F.col("text"), F.lit("")))
         return F.flatten(F.transform(F.array(items), lambda s: _joined(s, self.chunk_size, " ")))
@@ -106,9 +110,12 @@ class PagedSplitter(Splitter):
             return F.when(present, F.flatten(F.transform(F.array(pages), lambda p: _joined(p, self.chunk_size, "\n")))).otherwise(missing)
         k = self.chunk_overlap
         group = F.flatten(F.transform(F.array(pages), lambda p: _joined(p, self.chunk_size, "\n")))
-        before = lambda done: F.coalesce(F.right(F.element_at(done, -1), F.lit(k)), F.lit(""))
-        fold = F.aggregate(group, F.array().cast(STRINGS), lambda done, x: F.concat(done, F.array(F.when(F.size(done) > 0, F.concat(before(done), x)).otherwise(x))))
-        return F.when(present, fold).otherwise(missing)
+        # The last k characters of a chunk are those of all pages up to it, joined: where the chunk before has fewer than k,
+        # they come from k chunks at most, as none is empty. So no chunk waits for the one before.
+        joined = lambda g, i: F.array_join(F.transform(F.slice(g, F.greatest(i - k + 1, F.lit(1)), F.least(i, F.lit(k))), lambda t: F.right(t, F.lit(k))), "")
+        tail = lambda g, i: F.right(F.when(F.length(F.get(g, i - 1)) >= k, F.get(g, i - 1)).otherwise(joined(g, i)), F.lit(k))
+        with_tails = F.transform(F.array(group), lambda g: F.transform(g, lambda x, i: F.when(i > 0, F.concat(tail(g, i), x)).otherwise(x)))
+        return F.when(present, F.flatten(with_tails)).otherwise(missing)
 
 
 class KeywordSplitter(Splitter):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from typing import Any
 
 import pandas as pd
@@ -64,19 +65,32 @@ class RowColumnSplitter(Splitter):
         return F.col("__cut.metadata")
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names, or in one of its own on a local master."""
+    sc = df.sparkSession.sparkContext
+    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkspark-"))
+    return df.checkpoint()
+
+
 def split_rows(table: DataFrame, order: list[str], num_rows: int, overlap: int = 0) -> DataFrame:
     """chunk_index, row_in_chunk and the columns, for a table that is a DataFrame already: num_rows rows a chunk in the
     given total order, each chunk beginning num_rows - overlap rows after the one before.
 
     Rows are numbered without bringing them to one task: sorted partitions are counted, and each adds what comes
-    before it.
+    before it. The counts, one row a partition, are broadcast.
     """
     step = max(1, num_rows - overlap)
+    # Both the counts and the numbers read one sort: it is written once, so that a second evaluation can't cut it elsewhere.
     ordered = table.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    ordered = written_once(ordered)
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("__at")) - 1
-    numbered = ordered.withColumn("__row", within).join(offsets, "__part").withColumn("__row", (F.col("__row") + F.col("__before")).cast("long"))
+    # The generated ids count up within a partition, from the partition's number in the upper bits.
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ordered.join(F.broadcast(offsets), "__part").withColumn("__row", (within + F.col("__before")).cast("long"))
     # Row r is in chunks c with c * step <= r < c * step + num_rows.
     last = F.floor(F.col("__row") / step)
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("__row") - num_rows + 1) / step))
@@ -91,6 +105,10 @@ def column_groups(names: list[str], num_cols: int, overlap: int = 0) -> list[lis
 
 def split_columns(table: DataFrame, keys: list[str], num_cols: int, overlap: int = 0) -> DataFrame:
     """The keys, chunk_index, and the values of the chunk's columns as an array of strings: one pass, no shuffle."""
+
+    def chunk(index: int, group: list[str]) -> Column:
+        values = F.array(*[F.col(f"`{c}`").cast("string") for c in group])
+        return F.struct(F.lit(index).alias("chunk_index"), F.lit(",".join(group)).alias("column_names"), values.alias("cells"))
+
     groups = column_groups([c for c in table.columns if c not in keys], num_cols, overlap)
-    chunks = F.array(*[F.struct(F.lit(k).alias("i"), F.array(*[F.col(f"`{c}`").cast("string") for c in group]).alias("v"), F.lit(",".join(group)).alias("names")) for k, group in enumerate(groups)])
-    return table.select(*keys, F.explode(chunks).alias("c")).select(*keys, F.col("c.i").alias("chunk_index"), F.col("c.names").alias("column_names"), F.col("c.v").alias("cells"))
+    return table.select(*keys, F.inline(F.array(*[chunk(k, group) for k, group in enumerate(groups)])))

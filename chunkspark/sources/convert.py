@@ -18,9 +18,12 @@ YAML = {"yaml", "yml"}
 EXCEL = {"xlsx", "xls"}
 OFFICE = {"docx", "pptx"}
 IMAGES = {"png", "jpg", "jpeg", "webp", "gif"}
-CODE = set(
-    "lua java ts tsx ps1 psm1 psd1 ps1xml php php3 php4 php5 phps phtml rs cs csx cob cbl hs scala swift tex rb erb kt kts go rst ex exs proto sol c h cpp cc cxx c++ hpp hh hxx js mjs py pyw pyc pyo pl pm".split()
-)
+CODE = {
+    "lua", "java", "ts", "tsx", "ps1", "psm1", "psd1", "ps1xml", "php", "php3", "php4", "php5", "phps",
+    "phtml", "rs", "cs", "csx", "cob", "cbl", "hs", "scala", "swift", "tex", "rb", "erb", "kt",
+    "kts", "go", "rst", "ex", "exs", "proto", "sol", "c", "h", "cpp", "cc", "cxx", "c++",
+    "hpp", "hh", "hxx", "js", "mjs", "py", "pyw", "pyc", "pyo", "pl", "pm",
+}
 #: Fixed value: what marks a page's beginning.
 PLACEHOLDER = "<!-- page -->"
 
@@ -85,7 +88,7 @@ def install(added: tuple[dict, dict, dict]) -> None:
         known.update(new)
 
 
-def pdf_images(content: bytes, resolution: int = 150) -> list[bytes]:
+def pdf_images(content: bytes, resolution: float = 150) -> list[bytes]:
     try:
         import pdfplumber
     except ImportError as error:
@@ -131,6 +134,26 @@ def scanned_pages(content: bytes, vision: Any, prompt: str | None = None, placeh
     return "\n\n---\n\n".join(out)
 
 
+def page_images(content: bytes, scale: float, kind: str = "pdf") -> list[bytes]:
+    """One PNG a page, at 72 dots an inch times the scale; a renderer that was added has its own resolution."""
+    return RENDERERS[kind](content) if kind in RENDERERS else pdf_images(content, 72 * scale)
+
+
+def read_pages(content: bytes, vision: Any, prompt: str | None = None, placeholder: str = PLACEHOLDER, scale: float = 1.0) -> str:
+    """What a vision model reads on each page, after the page's placeholder; a page that fails is an error."""
+    from ..functions.vision import EXTRACTION_PROMPT
+
+    codes = [base64.b64encode(image).decode() for image in page_images(content, scale)]
+    texts = [vision.analyze_content(prompt=prompt or EXTRACTION_PROMPT, file=code, file_ext="png") for code in codes]
+    return "".join(f"{placeholder}\n\n{text.strip()}\n\n" for text in texts)
+
+
+def show_pages(content: bytes, placeholder: str = PLACEHOLDER, scale: float = 1.0) -> str:
+    """Each page as an embedded image, after the page's placeholder."""
+    shown = (f"![Page {n}](data:image/png;base64,{base64.b64encode(image).decode()})" for n, image in enumerate(page_images(content, scale), 1))
+    return "".join(f"{placeholder}\n\n{page}\n\n" for page in shown)
+
+
 def paged(content: bytes, name: str, run: Callable[[bytes, str], str], placeholder: str = PLACEHOLDER) -> str:
     """A file converted page by page, each page after its placeholder."""
     kind = name.rpartition(".")[2].lower()
@@ -138,12 +161,32 @@ def paged(content: bytes, name: str, run: Callable[[bytes, str], str], placehold
     return "\n\n".join(f"{marked(placeholder, n)}\n\n{run(page, name)}" for n, page in enumerate(pages, 1))
 
 
-def captioned(markdown: str, vision: Any, prompt: str | None = None) -> str:
-    """Images that are embedded as base64 replaced by what a vision model says of them."""
+#: What stands before a described image, and what is said where there is no description.
+IMAGE_PLACEHOLDER = "<!-- image -->"
+NO_DESCRIPTION = "Image description not available."
+FAILED = "Image extraction failed: "
+
+EMBEDDED = re.compile(r"!\[[^\]]*\]\(data:image/([a-z]+);base64,([A-Za-z0-9+/=\s]+)\)")
+
+
+def captioned(markdown: str, vision: Any, prompt: str | None = None, placeholder: str = IMAGE_PLACEHOLDER) -> str:
+    """Each embedded base64 image as the placeholder and, on the next line, what a vision model says of it; an image that
+    fails says so there and does not lose the file."""
     from ..functions.vision import CAPTION_PROMPT
 
-    image = re.compile(r"!\[[^\]]*\]\(data:image/([a-z]+);base64,([A-Za-z0-9+/=\s]+)\)")
-    return image.sub(lambda m: vision.analyze_content(prompt=prompt or CAPTION_PROMPT, file=re.sub(r"\s", "", m[2]), file_ext=m[1]), markdown)
+    def said(kind: str, code: str) -> str:
+        try:
+            answer = vision.analyze_content(prompt=prompt or CAPTION_PROMPT, file="".join(code.split()), file_ext=kind)
+        except Exception as error:
+            return f"{FAILED}{error}"
+        return (answer or "").strip() or NO_DESCRIPTION
+
+    return EMBEDDED.sub(lambda m: f"{placeholder}\n{said(m[1], m[2])}".strip(), markdown)
+
+
+def without_images(markdown: str, placeholder: str = IMAGE_PLACEHOLDER) -> str:
+    """Embedded images as the placeholder alone."""
+    return EMBEDDED.sub(lambda _: placeholder, markdown)
 
 
 def convert(extension: str, content: bytes, name: str, *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = PLACEHOLDER) -> tuple[str, str, str | None]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.native.structured import markdown_table
 
 
-def lines_from_words(words: DataFrame, tolerance: float = 3.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+def lines_from_words(words: DataFrame, tolerance: float = 1.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """words: keys, text, top, bottom, x0. One row a line: words whose tops round to the same multiple of the tolerance
     (half to even), from left to right."""
     row = F.bround(F.col("top") / tolerance).cast("long")
@@ -36,20 +36,25 @@ def assemble_pages(blocks: DataFrame, placeholder: str = "<!-- page -->", keys:
     return pages.groupBy(*keys).agg(F.regexp_replace(text, "\n{3,}", "\n\n").alias("text"))
 
 
+def filled_rows(cells: list[list[Any]]) -> list[list[Any]]:
+    return [row for row in cells if any(c not in (None, "", " ") for c in row)]
+
+
 def table_is_real(cells: list[list[Any]]) -> bool:
-    """Two rows or more, at most 70 % of them with one cell, and some row with two."""
-    filled = [sum(1 for c in row if c not in (None, "")) for row in cells]
-    return len(filled) >= 2 and sum(n <= 1 for n in filled) <= 0.7 * len(filled) and max(filled) >= 2
+    """Without its blank rows two rows or more, at most 70 % of them of one cell, and some row of two; empty cells count."""
+    widths = [len(row) for row in filled_rows(cells)]
+    return len(widths) >= 2 and widths.count(1) <= 0.7 * len(widths) and max(widths) >= 2
 
 
 def table_markdown(cells: list[list[Any]]) -> str:
     """Rows padded to one width, line feeds in cells as spaces."""
+    cells = filled_rows(cells)
     width = max(map(len, cells))
     rows = [[str(c or "").replace("\n", " ").strip() for c in row] + [""] * (width - len(row)) for row in cells]
     return markdown_table(rows[0], rows[1:])
 
 
-def page_blocks(words: list[dict], tables: list[dict], tolerance: float = 3.0) -> list[dict]:
+def page_blocks(words: list[dict], tables: list[dict], tolerance: float = 1.0) -> list[dict]:
     """The same steps for one page in a worker: blocks with type, top, bottom and content, by top."""
     real = [t for t in tables if table_is_real(t["cells"])]
     lines: dict[int, list[dict]] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from typing import Any
 from urllib.parse import urlparse
 
@@ -81,15 +81,25 @@ def _surfaced(text: str, placeholder: str) -> str | None:
     return placeholder if placeholder and "%" not in placeholder and placeholder in text else None
 
 
-def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, on_unsupported: str = "fail", partitions: int | None = None) -> DataFrame:
+def extension_of(path: str) -> Column:
+    """The extension of a file's path, in lower case."""
+    return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+
+
+def binary_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, on_unsupported: str = "fail", partitions: int | None = None, without: Collection[str] = ()) -> DataFrame:
     """One document a file. path: a file, a folder, a pattern or a list of them, in any store that Spark reads; one that
-    is not there is an error. on_unsupported: fail, or skip files whose extension is not known.
+    is not there is an error. on_unsupported: fail, or skip files whose extension is not known. without: extensions of files
+    that are left out.
 
     Plain formats are decoded in the JVM; only the others go through Python.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    extension = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-    d = raw.select("path", "content", extension.alias("ext"))
+    d = binary_files(spark, path).select("path", "content", extension_of("path").alias("ext"))
+    if without:
+        d = d.where(~F.col("ext").isin(*without))
     if partitions:
         d = d.repartition(partitions)
     known = files.TEXT | files.CODE | files.HTML | files.YAML | {"parquet", "pdf"} | files.EXCEL | files.OFFICE | files.IMAGES | set(files.CONVERTERS)
@@ -197,9 +207,9 @@ class ConverterReader(BaseReader):
     def method_of(self, extension: Column) -> Column:
         return F.lit("markdown")
 
-    def read(self, spark: SparkSession, source: Any = None, *, page_placeholder: str = files.PLACEHOLDER, split_by_pages: bool = False, caption_images: bool = False, **options: Any) -> DataFrame:
+    def read(self, spark: SparkSession, source: Any = None, *, page_placeholder: str = files.PLACEHOLDER, split_by_pages: bool = False, caption_images: bool = False, only: Collection[str] = (), **options: Any) -> DataFrame:
         """split_by_pages: page by page, each after its placeholder. caption_images: embedded images become what the
-        reader's vision model says of them."""
+        reader's vision model says of them. only: the extensions to read, all if there are none."""
         whole, vision, added = self.convert, self.model, files.plugins()
         run = (lambda content, name: files.paged(content, name, whole, page_placeholder)) if split_by_pages else whole
 
@@ -209,13 +219,14 @@ class ConverterReader(BaseReader):
             texts = [run(c, n) for c, n in zip(contents, names, strict=True)]
             return pd.Series([files.captioned(t, vision) for t in texts] if vision and caption_images else texts, dtype=object)
 
-        raw = spark.read.format("binaryFile").load(source)
+        raw = binary_files(spark, source)
+        if only:
+            raw = raw.where(extension_of("path").isin(*only))
         name = F.element_at(F.split("path", "/"), -1)
         d = raw.select("path", name.alias("name"), to_text("content", name).alias("text"))
         null = F.lit(None).cast("string")
         mark = F.when(F.contains("text", F.lit(page_placeholder)), F.lit(page_placeholder))
-        extension = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-        return d.select(uuid_of(F.col("path")).alias("document_id"), F.col("name").alias("document_name"), F.col("path").alias("document_path"), "text", self.method_of(extension).alias("conversion_method"), F.lit(self.method).alias("reader_method"), null.alias("ocr_method"), mark.alias("page_placeholder"), F.lit("{}").alias("metadata"))
+        return d.select(uuid_of(F.col("path")).alias("document_id"), F.col("name").alias("document_name"), F.col("path").alias("document_path"), "text", self.method_of(extension_of("path")).alias("conversion_method"), F.lit(self.method).alias("reader_method"), null.alias("ocr_method"), mark.alias("page_placeholder"), F.lit("{}").alias("metadata"))
 
 
 class MarkItDownReader(ConverterReader):
@@ -243,28 +254,61 @@ def register_pipeline(name: str, make: Callable[..., Callable[[bytes, str], str]
     PIPELINES[name] = make
 
 
-def _document_pipeline(**options: Any) -> Callable[[bytes, str], str]:
-    def run(content: bytes, name: str) -> str:
-        import io
+def exported(content: bytes, name: str, *, embedded: bool, image_resolution: float = 1.0, page_placeholder: str = files.PLACEHOLDER, image_placeholder: str = files.IMAGE_PLACEHOLDER) -> str:
+    """Markdown of one file by the layout model; images as base64, or as the placeholder."""
+    import io
 
-        try:
-            from docling.datamodel.base_models import DocumentStream
-            from docling.document_converter import DocumentConverter
-        except ImportError as error:
-            raise RuntimeError("this reader needs the package docling, or a registered pipeline") from error
-        result = DocumentConverter().convert(DocumentStream(name=name, stream=io.BytesIO(content)))
-        return result.document.export_to_markdown()
+    try:
+        from docling.datamodel.base_models import DocumentStream, InputFormat
+        from docling.datamodel.pipeline_options import PdfPipelineOptions
+        from docling.document_converter import DocumentConverter, PdfFormatOption
+        from docling_core.types.doc import ImageRefMode
+    except ImportError as error:
+        raise RuntimeError("this reader needs the package docling, or a registered pipeline") from error
+    pdf = PdfFormatOption(pipeline_options=PdfPipelineOptions(images_scale=image_resolution, generate_picture_images=True))
+    result = DocumentConverter(format_options={InputFormat.PDF: pdf}).convert(DocumentStream(name=name, stream=io.BytesIO(content)))
+    images = {"image_mode": ImageRefMode.EMBEDDED} if embedded else {"image_mode": ImageRefMode.PLACEHOLDER, "image_placeholder": image_placeholder}
+    return result.document.export_to_markdown(page_break_placeholder=page_placeholder, **images)
+
+
+def page_image_pipeline(model: Any = None, prompt: str | None = None, image_resolution: float = 1.0, show_base64_images: bool = False, page_placeholder: str = files.PLACEHOLDER, **_: Any) -> Callable[[bytes, str], str]:
+    """Each page is an image, which the model reads, or which is embedded where there is no model."""
+    if model is None and not show_base64_images:
+        raise ValueError("a model must be given, or show_base64_images must be set")
+
+    def run(content: bytes, name: str) -> str:
+        if model is not None:
+            return files.read_pages(content, model, prompt, page_placeholder, image_resolution)
+        return files.show_pages(content, page_placeholder, image_resolution)
 
     return run
 
 
-for _name in ("page_image", "vlm", "markdown"):
-    register_pipeline(_name, _document_pipeline)
+def vlm_pipeline(model: Any = None, prompt: str | None = None, export: Callable[..., str] = exported, image_placeholder: str = files.IMAGE_PLACEHOLDER, **options: Any) -> Callable[[bytes, str], str]:
+    """The whole file as Markdown, each image as the placeholder and what the model says of it."""
+    if model is None:
+        raise ValueError("a model must be given")
+    given = {k: options[k] for k in ("page_placeholder", "image_resolution") if k in options}
+    return lambda content, name: files.captioned(export(content, name, embedded=True, **given), model, prompt, image_placeholder)
+
+
+def markdown_pipeline(show_base64_images: bool = False, export: Callable[..., str] = exported, **options: Any) -> Callable[[bytes, str], str]:
+    """The whole file as Markdown, images embedded or as the placeholder."""
+    given = {k: options[k] for k in ("page_placeholder", "image_placeholder", "image_resolution") if k in options}
+    return lambda content, name: export(content, name, embedded=show_base64_images, **given)
+
+
+register_pipeline("page_image", page_image_pipeline)
+register_pipeline("vlm", vlm_pipeline)
+register_pipeline("markdown", markdown_pipeline)
 
 
 class DoclingReader(ConverterReader):
-    """The pipeline follows from the options: PDF pages as images, a vision model, or plain Markdown. An extension that
-    it does not read goes to VanillaReader."""
+    """The pipeline of each file follows from its extension and the options: PDF pages as images, a vision model, or plain
+    Markdown. Files whose extension it does not read go to VanillaReader, also within a folder, a pattern or a list.
+
+    Options go to the pipelines: prompt, image_resolution, show_base64_images, page_placeholder, image_placeholder, export.
+    """
 
     method = "docling"
     #: Fixed value: what the converter reads.
@@ -280,10 +324,26 @@ class DoclingReader(ConverterReader):
             return "page_image"
         return "vlm" if extension == "pdf" and has_model else "markdown"
 
-    def read(self, spark: SparkSession, source: Any = None, *, scan_pdf_pages: bool = False, **options: Any) -> DataFrame:
-        extension = str(source).lower().rpartition(".")[2]
-        if extension not in self.extensions:
-            return VanillaReader(self.model).read(spark, source)
-        name = self.pipeline or self.choose(extension, scan_pdf_pages, self.model is not None)
-        self.convert = PIPELINES[name](model=self.model, **options)
-        return super().read(spark, source, caption_images=name == "vlm")
+    def read(self, spark: SparkSession, source: Any = None, *, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, **options: Any) -> DataFrame:
+        if source is None or self.is_url(source):
+            return VanillaReader(self.model).read(spark, source, page_placeholder=page_placeholder, **options)
+        made: dict[str, Callable[[bytes, str], str]] = {}
+
+        def pipeline_of(extension: str) -> Callable[[bytes, str], str]:
+            name = self.pipeline or self.choose(extension, scan_pdf_pages, self.model is not None)
+            if name not in made:
+                made[name] = PIPELINES[name](model=self.model, page_placeholder=page_placeholder, **options)
+            return made[name]
+
+        # Pipelines are made here, so that what is wrong with the options is an error of the call.
+        by_kind = {kind: pipeline_of(kind) for kind in sorted(kinds)} if (kinds := self._kinds(spark, source)) else {}
+        self.convert = lambda content, name: by_kind[name.lower().rpartition(".")[2]](content, name)
+        own = super().read(spark, source, page_placeholder=page_placeholder, only=self.extensions)
+        if self.model is not None:
+            own = own.withColumn("ocr_method", F.lit(self.model.model_name))
+        return own.unionByName(read_documents(spark, source, vision=self.model, page_placeholder=page_placeholder, without=self.extensions))
+
+    def _kinds(self, spark: SparkSession, source: Any) -> set[str]:
+        """The extensions of the files that it reads; only paths are looked at, and only distinct endings come back."""
+        found = binary_files(spark, source).select(extension_of("path").alias("ext")).distinct().where(F.col("ext").isin(*self.extensions))
+        return {r["ext"] for r in found.collect()}

@@ -1,6 +1,9 @@
 """Readers, conversions, PDF core, embeddings, vision, SQL functions and streaming."""
 
+import base64
 import json
+import sys
+import types
 
 import numpy as np
 import pandas as pd
@@ -10,9 +13,10 @@ from pyspark.sql import functions as F
 from chunkspark.functions.embedding import EMBEDDINGS, ClientEmbedding, HashedEmbedding, cosine_distance, embed
 from chunkspark.functions.native.html import Markdown, auto_tag, looks_like_html, parse
 from chunkspark.functions.sql import register
-from chunkspark.functions.vision import VISION_MODELS, ChatVision, EchoVision, describe
+from chunkspark.functions.vision import VISION_MODELS, ChatVision, EchoVision, describe, first_that_loads
 from chunkspark.operators import CharacterSplitter, RowColumnSplitter, SentenceSplitter
 from chunkspark.sources import BaseReader, DoclingReader, MarkItDownReader, VanillaReader, assemble_pages, convert, documents_from_value, lines_from_words, lines_outside_tables, read_documents, sniff, table_is_real
+from chunkspark.sources.pdf import table_markdown
 from chunkspark.sources.readers import PIPELINES, read_urls, register_pipeline, url_text
 from chunkspark.streaming import split_stream, stream_documents
 
@@ -80,7 +84,7 @@ def test_converter_readers(spark, tmp_path):
     paged = MarkItDownReader(lambda c, n: c.decode()).read(spark, str(tmp_path / "a.pdf"), split_by_pages=True, page_placeholder="<p {page}>").first()
     assert paged.text == "<p 1>\n\nbo\n\n<p 2>\n\ndy"
     captions = MarkItDownReader(lambda c, n: "x ![i](data:image/png;base64,QUJD) y", EchoVision()).read(spark, str(tmp_path / "a.pdf"), caption_images=True).first()
-    assert captions.text == "x image/png of 3 bytes y"
+    assert captions.text == "x <!-- image -->\nimage/png of 3 bytes y"
     (tmp_path / "b.txt").write_text("t")
     assert DoclingReader().read(spark, str(tmp_path / "b.txt")).first().reader_method == "vanilla"
     for kind in ("pdf", "docx"):
@@ -88,6 +92,40 @@ def test_converter_readers(spark, tmp_path):
             convert.convert(kind, b"", "x")
 
 
+def test_docling_by_file(spark, tmp_path, monkeypatch):
+    """Each file of a folder goes its own way; the three pipelines differ."""
+    for name in ("a.pdf", "b.docx", "c.txt"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"abc")
+
+    def export(content, name, *, embedded, image_placeholder="<!-- image -->", **_):
+        return f"{name} " + ("![i](data:image/png;base64,QUJD)" if embedded else image_placeholder)
+
+    monkeypatch.setitem(convert.RENDERERS, "pdf", lambda content: [content, b"ab"])
+    read = lambda model=None, source=str(tmp_path / "in"), **options: {r.document_name: (r.reader_method, r.text) for r in DoclingReader(model).read(spark, source, export=export, **options).collect()}
+    got = read(EchoVision())
+    assert got == {"a.pdf": ("docling", "a.pdf <!-- image -->\nimage/png of 3 bytes"), "b.docx": ("docling", "b.docx <!-- image -->"), "c.txt": ("vanilla", "abc")}
+    assert read(image_placeholder="#")["a.pdf"][1] == "a.pdf #" and read(show_base64_images=True)["b.docx"][1].endswith("QUJD)")
+    assert read(EchoVision(), scan_pdf_pages=True)["a.pdf"][1] == "<!-- page -->\n\nimage/png of 3 bytes\n\n<!-- page -->\n\nimage/png of 2 bytes\n\n"
+    assert read(None, scan_pdf_pages=True, show_base64_images=True)["a.pdf"][1].startswith("<!-- page -->\n\n![Page 1](data:image/png;base64,YWJj)")
+    assert read(EchoVision(), [str(tmp_path / "in" / "a.pdf"), str(tmp_path / "in" / "c.txt")]).keys() == {"a.pdf", "c.txt"}
+    assert read(None, str(tmp_path / "in" / "*.docx")).keys() == {"b.docx"}
+    with pytest.raises(ValueError, match="model"):
+        read(None, scan_pdf_pages=True)
+
+
+def test_captions_that_fail():
+    class Mute(EchoVision):
+        def analyze_content(self, *, prompt, file, file_ext="png", **parameters):
+            if file == "QUJD":
+                raise RuntimeError("no")
+            return " "
+
+    text = "![a](data:image/png;base64,QUJD) ![b](data:image/png;base64,QQ==)"
+    assert convert.captioned(text, Mute(), placeholder="#") == "#\nImage extraction failed: no #\nImage description not available."
+    assert convert.without_images(text, "#") == "# #"
+
+
 def test_scanned_pages(spark, tmp_path, monkeypatch):
     class Fussy(EchoVision):
         def analyze_content(self, *, prompt, file, file_ext="png", **parameters):
@@ -125,6 +163,9 @@ def test_pdf_core(spark):
     text = assemble_pages(lines.withColumn("document_id", F.lit("d"))).first().text
     assert text == "<!-- page -->\n\nHello world\nThis is\ncell"
     assert table_is_real([["a", "b"], ["c", None]]) and not table_is_real([["a", "b"]]) and not table_is_real([["a"], ["b"], ["c"], ["d", "e"]])
+    # Cells are counted, empty ones too; blank rows are not.
+    assert table_is_real([["a", None, None], ["b", "", None], ["c", "", ""]]) and not table_is_real([["a", "b"], ["", None]]) and not table_is_real([])
+    assert table_markdown([["a", "b"], [None, " "], ["c", None]]).count("\n") == 2
 
 
 def test_embeddings(spark):
@@ -137,7 +178,7 @@ def test_embeddings(spark):
     assert list(rows[0].v) == a and rows[1].v is None
     d = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in d.select(cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, 1.0]
-    good = ClientEmbedding("m", lambda: None, lambda c, m, texts: [[float(len(t))] for t in texts], max_tokens=3, count_tokens=lambda t: len(t.split()), refuse_blank=True)
+    good = ClientEmbedding("m", lambda: None, lambda c, m, texts: [[float(len(t))] for t in texts], max_tokens=3, count_tokens=lambda client, model, t: len(t.split()), refuse_blank=True)
     assert good.embed_text("ab c") == [4.0]
     for texts in (["a b c d"], [" "], []):
         with pytest.raises(ValueError):
@@ -148,6 +189,75 @@ def test_embeddings(spark):
         EMBEDDINGS["huggingface"]().embed_documents(["a"])
 
 
+def test_local_embedding(monkeypatch):
+    """The model that is named is the one that is loaded; too long a text is an error."""
+
+    class Model:
+        max_seq_length = 3
+
+        def __init__(self, name, **options):
+            self.name = name
+
+        def tokenize(self, texts):
+            return {"input_ids": [t.split() for t in texts]}
+
+        def encode(self, texts):
+            return np.array([[3.0, 4.0 if self.name == "other/model" else 0.0] for _ in texts])
+
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Model))
+    assert np.allclose(EMBEDDINGS["huggingface"]("other/model").embed_text("a b"), [0.6, 0.8])
+    assert EMBEDDINGS["huggingface"]().embed_text("a b") == [1.0, 0.0]
+    with pytest.raises(ValueError, match="4 tokens"):
+        EMBEDDINGS["huggingface"]().embed_text("a b c d")
+    assert EMBEDDINGS["huggingface"](enforce_max_length=False).embed_text("a b c d") == [1.0, 0.0]
+
+
+def test_hosted_embedding_limits(monkeypatch, tmp_path):
+    class Client:
+        def __init__(self, **options):
+            self.options = options
+            self.embeddings = self
+
+        def create(self, input, model):
+            return types.SimpleNamespace(data=[types.SimpleNamespace(embedding=[float(len(t))]) for t in input])
+
+    monkeypatch.setitem(sys.modules, "openai", types.SimpleNamespace(OpenAI=Client, AzureOpenAI=Client))
+    ranks = tmp_path / "bytes.tiktoken"
+    ranks.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)))
+    e = EMBEDDINGS["openai"](tokenizer=str(ranks), api_key="k")
+    assert e.embed_text("abc") == [3.0]
+    with pytest.raises(ValueError, match="8193 tokens"):
+        e.embed_text("a" * 8193)
+    for name in ("API_KEY", "ENDPOINT", "DEPLOYMENT", "API_VERSION"):
+        monkeypatch.delenv(f"AZURE_OPENAI_{name}", raising=False)
+    with pytest.raises(ValueError, match="AZURE_OPENAI_API_KEY"):
+        EMBEDDINGS["azure_openai"]()
+    monkeypatch.setenv("AZURE_OPENAI_API_KEY", "k")
+    monkeypatch.setenv("AZURE_OPENAI_ENDPOINT", "https://x")
+    assert EMBEDDINGS["azure_openai"]().get_client().options["azure_deployment"] == "text-embedding-3-large"
+    monkeypatch.setenv("AZURE_OPENAI_DEPLOYMENT", "d")
+    azure = EMBEDDINGS["azure_openai"](max_tokens=None)
+    assert azure.model_name == "d" and azure.get_client().options["api_version"] and azure.embed_text("ab") == [2.0]
+    assert VISION_MODELS["azure_openai"]().model_name == "d"
+
+
+def test_local_vision_falls_back():
+    class Broken:
+        @staticmethod
+        def from_pretrained(name, **options):
+            raise OSError("not this one")
+
+    class Good:
+        @staticmethod
+        def from_pretrained(name, **options):
+            return f"{name} loaded"
+
+    library = types.SimpleNamespace(A=Broken, B=Good)
+    assert first_that_loads("model", library, ["A", "Missing", "B"], "m") == "m loaded"
+    with pytest.raises(RuntimeError, match="A: not this one"):
+        first_that_loads("model", library, ["A"], "m")
+
+
 def test_vision(spark):
     chat = ChatVision("m", lambda: "client", lambda client, model, messages, parameters: messages[0]["content"][1]["image_url"]["url"][:15])
     assert chat.analyze_content(prompt="p", file="QUJD", file_ext="jpg") == "data:image/jpeg"

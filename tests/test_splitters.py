@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from chunkspark.functions.embedding import Embedding, HashedEmbedding
+from chunkspark.functions.native.prose import soft_wrap
+from chunkspark.functions.native.structured import markdown_table, split_table_size
 from chunkspark.operators import (
     CharacterSplitter,
     CodeSplitter,
@@ -288,3 +290,56 @@ def test_spark_equals_python(spark):
         docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document_id string, text string")
         got = {r.document_id: list(r.chunks) for r in collect_chunks(splitter.transform(docs)).collect()}
         assert got == {str(i): splitter.split_text(t) for i, t in enumerate(texts)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t", max_size=60), st.integers(-1, 12))
+def test_soft_wrap_packs_tokens(text, size):
+    """Against a packing of words and white space token by token, characters of long tokens one by one."""
+    if size <= 0 or len(text) <= size:
+        assert soft_wrap(text, size) == [text]
+        return
+    lines = [""]
+    for token in re.findall(r"\S+|\s+", text):
+        if len(lines[-1] + token) > size and lines[-1]:
+            lines.append("")
+        for c in token:
+            if len(lines[-1]) == size:
+                lines.append("")
+            lines[-1] += c
+    assert soft_wrap(text, size) == [x.strip() for x in lines if x.strip()]
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 2, 0.5])
+def test_table_sizes(overlap):
+    """Each chunk holds as many rows as fit, begins where the overlap says, and no row is lost."""
+    widths = [3, 9, 1, 40, 2, 2, 2, 8, 30, 1]
+    rows = [[f"{k}" + "x" * n] for k, n in enumerate(widths)]
+    for size in (34, 45, 60, 400):
+        head = len(markdown_table(["name"], [])) + 1
+        line = lambda k: len(markdown_table(["name"], [rows[k]]).split("\n")[2])  # noqa: B023, E731
+        chunks = split_table_size((["name"], rows), size, overlap)
+        found = [[int(re.match(r"\| (\d)", x)[1]) for x in c.split("\n")[2:]] for c in chunks]
+        assert sorted({k for c in found for k in c}) == list(range(len(rows)))
+        for c, after in zip(found, [*found[1:], None], strict=True):
+            assert c == list(range(c[0], c[0] + len(c)))
+            used = head + sum(line(k) + 1 for k in c) - 1
+            assert used <= size or len(c) == 1
+            assert c[-1] == len(rows) - 1 or used + 1 + line(c[-1] + 1) > size
+            if after:
+                back = int(len(c) * overlap) if isinstance(overlap, float) else overlap
+                assert after[0] == c[-1] + 1 - min(back, len(c) - 1)
+
+
+def test_sentences_keep_control_characters(spark):
+    text = "a\x01b one. tw\x02o\x01\x03c.\x01\x02 d\x04. \x05e"
+    want = SentenceSplitter(1).split_text(text)
+    assert "".join(want).count("\x01") == 3 and run(spark, SentenceSplitter(1), text) == want
+    assert run(spark, SentenceSplitter(1, separators=["\x01"]), text) == SentenceSplitter(1, separators=["\x01"]).split_text(text)
+
+
+@pytest.mark.parametrize("overlap", [1, 3, 7])
+def test_page_overlap_equals_the_fold(spark, overlap):
+    text = "#".join(["", "a", "bc", "d", "efghij", "k", "l", "mnopqrstu", "v"])
+    splitter = PagedSplitter(1, overlap)
+    assert run(spark, splitter, text, page_placeholder="#") == splitter.split_pages(text, "#")
