@@ -464,7 +464,7 @@ def materialized(spark, frame):
 def test_pipeline_stages_equal_brute_force(spark):
     """Each stage on its own input, against the operators' brute-force forms."""
     import corpus_pipeline
-    from test_text_operators import brute_lines, brute_near, words as words_of
+    from test_text_operators import brute_blocks, brute_near, words as words_of
 
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "source_mix", "encode"]
@@ -480,7 +480,7 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert all(r.n_chars == len(r.text) and set(r.text.split("\n")) <= set(all_[i].split("\n")) for i, r in rows.items())
 
     two = materialized(spark, stages["line_dedup"](spark, one, SF))
-    gone = brute_lines([(i, r.text) for i, r in rows.items()])
+    gone = brute_blocks([(i, r.text) for i, r in rows.items()])
     want = {i: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[i]) for i, r in rows.items()}
     assert {r.doc_id: r.text for r in two.collect()} == {i: t for i, t in want.items() if words_of(t)}
 

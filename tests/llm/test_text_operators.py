@@ -147,35 +147,10 @@ def test_patience_is_an_alignment():
     assert linedup.patience([1, 2, 3], [0, 1, 2, 9, 3]) == [(0, 1), (1, 2), (2, 4)]
 
 
-def brute_lines(rows, least=10, min_words=5):
-    """Every later document against the first owner of each of its lines, one pair after another."""
-    lines = {i: [(k, tuple(w.lower() for w in words(x))) for k, x in enumerate((t or "").split("\n")) if words(x)] for i, t in rows}
-    whole, gone = {}, {i: set() for i in lines}
-    alone = []
-    for i in sorted(lines):
-        key = tuple(x for _, x in lines[i])
-        if key and key in whole:
-            gone[i] = {k for k, _ in lines[i]}
-        else:
-            whole.setdefault(key, i)
-            alone.append(i)
-    owner = {}
-    for i in alone:
-        for _, x in lines[i]:
-            if len(x) >= min_words:
-                owner.setdefault(x, i)
-    for i in alone:
-        for o in {owner[x] for _, x in lines[i] if x in owner} - {i}:
-            a, b = [x for _, x in lines[o]], [x for _, x in lines[i]]
-            places = linedup.blocks(linedup.patience(a, b), [len(x) for x in b], least)
-            gone[i] |= {lines[i][p][0] for p in places}
-    return gone
-
-
 def test_lines_equal_brute_force(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: set(r.gone) for r in linedup.duplicate_lines(docs).collect()}
-    want = brute_lines(list(documents.items()))
+    want = brute_blocks(list(documents.items()))
     assert got == want and any(want.values())
     left = {r.doc_id: r.text for r in linedup.dedup_lines(docs).collect()}
     for i, t in documents.items():
@@ -232,6 +207,29 @@ def brute_blocks(rows, least=10):
     return gone
 
 
+def test_an_earlier_document_hides_no_block(spark):
+    """A has both lines apart, B and C have them together: C loses them to B."""
+    l1, l2, junk = "l1 a b c d e", "l2 a b c d e", "{} f g h i j k"
+    a, b, c = f"{l1}\n{junk.format('x')}\n{l2}", f"{junk.format('y')}\n{l1}\n{l2}", f"{junk.format('z')}\n{l1}\n{l2}"
+    assert gone_lines(spark, a, b, c) == [[], [], [1, 2]] and gone_lines(spark, b, c) == [[], [1, 2]]
+
+
+def test_alignment_and_the_check_after_it(spark):
+    """Passages in order are aligned; one that stands elsewhere, or a second time, goes by the check."""
+    p, q = "p1 a b c d e\np2 a b c d e\np3 a b c d e", "q1 a b c d e\nq2 a b c d e"
+    texts = [f"i0\n{p}\nm\n{q}", f"x\n{p}\ny\n{q}", f"u\n{q}\nv\n{p}", f"{p}\nw\n{p}"]
+    got = sorted(linedup.duplicate_lines(frame(spark, line_rows(*texts))).collect(), key=lambda r: r.doc_id)
+    assert [(len(r.gone), r.n_moved) for r in got] == [(0, 0), (5, 0), (5, 2), (6, 3)]
+
+
+def test_pairs_carry_shared_runs_only(spark):
+    """A long document with an owner for each of its lines: its rows in the join are its runs, once each."""
+    lines = [f"line{k} a b c d e f g h i j" for k in range(300)]
+    rows = line_rows(*[f"own {k}\n{x}" for k, x in enumerate(lines)], "\n".join(lines))
+    got = {r.doc_id: list(r.gone) for r in linedup.duplicate_lines(frame(spark, rows)).collect()}
+    assert got[300] == list(range(300)) and not any(got[k] for k in range(300))
+
+
 def test_passages_that_are_there_twice_or_in_another_order(spark):
     p, q = "p1 a b c d e\np2 a b c d e\np3 a b c d e", "q1 a b c d e\nq2 a b c d e"
     assert gone_lines(spark, f"i1\n{p}\nm\n{p}\ne", f"x\n{p}\ny") == [[], [1, 2, 3]]
