@@ -8,14 +8,16 @@
    a chance below 1e-4.
 3. In each key's rows the signatures are compared, and only a forest of the pairs within T leaves the task. A key
    with more than KEY_BLOCK rows is cut into blocks that meet pairwise. Connected components of these give coarse groups.
-4. The sets of a coarse group meet once. There the pairs within T are confirmed on the full sets, nearest first,
-   and pairs that are connected already are skipped. A group above BLOCK members is cut into blocks that meet
-   pairwise, so no task holds an unbounded group and no pair is lost.
+4. The sets of a coarse group meet, and the pairs within T are confirmed on the full sets, nearest first; pairs that are
+   connected already are skipped. A group of BLOCK members or less meets in one task. In a larger one each block of members
+   meets the same PIVOTS members of the group, which connects most of it: copies of a page are near to some pivot. What is
+   not connected with the group's largest part then, the rest, meets that part and itself in blocks. So texts travel
+   1 + PIVOTS / BLOCK times, and once more for each block of the rest; no task holds an unbounded group and no pair is lost.
 
 A document with fewer words than a shingle has its whole sequence as one shingle; null, empty and blank texts
-have no shingle and link with nothing. Repeated ids: each row counts, and rows of one id are one node of the
-graph. Rows with a null id are left out.
-An empty table gives an empty result. Other columns are not read.
+have no shingle and link with nothing. Each row counts, also where ids or whole rows repeat. A row with a null id is linked
+as any other and gets its component's smallest id; where no row of a component has an id, that is null, and the row with
+the least hash is kept. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import LOWER, connected, mix, session_ready, steps, text_buffer, word_hashes
+from .common import LOWER, connected, mix, release, session_ready, steps, text_buffer, word_hashes
 
 SLOTS, CHUNKS = 32, 8
 #: Members of a coarse group, and rows of a key, that meet in one task; larger ones meet in pairs of such blocks.
 BLOCK = 512
+PIVOTS = 64
 KEY_BLOCK = 4096
 _ODD = mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, SLOTS + 1001, dtype=np.uint64))
@@ -118,11 +121,11 @@ def forest(signs: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def linked(sets: list[np.ndarray], signs: np.ndarray, limit: int, percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest of the pairs within the limit whose full sets are similar; with `parts`, of pairs from two parts."""
+def linked(sets: list[np.ndarray], signs: np.ndarray, limit: int, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of the pairs within the limit whose full sets are similar; rows of equal labels are connected already."""
     n = len(sets)
     own = [set(s.tolist()) for s in sets]
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label.copy()
     out: list[tuple[int, int]] = []
     # Documents near to many others first: they connect a group with the fewest comparisons.
     sizes = np.array([len(s) for s in sets])
@@ -132,8 +135,6 @@ def linked(sets: list[np.ndarray], signs: np.ndarray, limit: int, percent: int,
     rank[order] = np.arange(n)
     for i in order.tolist():
         rest = np.flatnonzero((rank > rank[i]) & (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
-        if parts is not None:
-            rest = rest[parts[rest] != parts[i]]
         if not len(rest):
             continue
         far = (signs[rest] != signs[i]).sum(axis=1)
@@ -150,14 +151,35 @@ def linked(sets: list[np.ndarray], signs: np.ndarray, limit: int, percent: int,
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document; a component's smallest id is kept."""
+    """doc_id, n_shingles, component_id, kept for each row; a component's smallest id is kept."""
+    return near_rows(docs, similarity, width, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: the first of each component, and those without shingles."""
+    found = near_rows(docs, similarity, width, id_col, text_col).checkpoint()
+    gone = found.where("NOT first").select(F.col("doc_id").alias("__near_id"), F.col("row").alias("__near_row")).distinct()
+    keyed = docs.withColumn("__near_key", F.xxhash64(id_col, text_col))
+    same = lambda other: (F.col("__near_key") == other["__near_row"]) & F.col(id_col).eqNullSafe(other["__near_id"])
+    left = keyed.join(gone.hint("shuffle_hash"), same(gone), "left_anti")
+    # Whole rows that repeat are equal firsts; only where there are some, one of each is picked.
+    again = found.where("first AND n_shingles > 0").groupBy(F.col("doc_id").alias("__near_id"), F.col("row").alias("__near_row")).count().where("count > 1")
+    if not again.isEmpty():
+        once = Window.partitionBy("__near_key", id_col).orderBy(F.lit(1))
+        left = left.withColumn("__near_n", F.row_number().over(once)).join(again, same(again), "left").where("count IS NULL OR __near_n = 1")
+    return left.select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (a hash of id and text), n_shingles, component_id, kept, first for each row. first: the one row of its
+    component that stays if there is to be one."""
     spark = docs.sparkSession
     session_ready(spark)
     percent, limit = round(100 * similarity), threshold(similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             for i, j in steps(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 have = [k for k, s in enumerate(sets) if len(s)]
@@ -167,11 +189,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id
                     for k, s in zip(have, signatures([sets[k] for k in have]), strict=True):
                         marks[k] = s.tobytes()
                         names[k] = set_name(sets[k])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "name", "sign"])
-
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    signed = source.mapInArrow(sign, "doc_id long, n_shingles long, name binary, sign binary").checkpoint()
-    classes = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")).checkpoint()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["doc_id", "row", "n_shingles", "name", "sign"],
+                )
+        release()
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    signed = source.mapInArrow(sign, "doc_id long, row long, n_shingles long, name binary, sign binary").checkpoint()
+    # A class is named by a number, `rep`, which is written here once; least: its smallest id; some row stands for it.
+    classes = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("at"), F.first("sign").alias("sign"))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id()).checkpoint()
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,34 +276,57 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id
     near = met.where("b IS NOT NULL").select("a", "b").unionByName(pairs.groupBy("key", "x", "y").applyInPandas(lambda key, rows: meet_blocks(rows), "a long, b long")).distinct()
     groups = connected(near).withColumnsRenamed({"node": "rep", "root": "grp"}).checkpoint()
 
-    # The members' sets meet by coarse group; a group above BLOCK members in pairs of blocks.
+    # The members' sets meet by coarse group.
     count = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = groups.join(count, "grp").join(classes.select("rep", "name"), "rep").select("rep", "name", "grp", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("part"), blocks.alias("parts"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("other", other).select("rep", "name", "grp", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    texts = source.join(placed, source["doc_id"] == placed["rep"]).select("grp", "x", "y", "part", "rep", "name", "text")
-
-    def confirm(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", kind="stable")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = groups.join(count, "grp").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).join(classes.select("rep", "name", "at"), "rep").checkpoint()
+
+    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
+        # A row of a class for each text that has its place; one is enough, and pivots are in their own block anyway.
+        rows = rows.drop_duplicates("rep").sort_values("rep", kind="stable")
         data, offsets = text_buffer(pa.array(rows["text"], pa.large_string()))
         sets: list[np.ndarray] = []
         for i, j in steps(offsets):
             sets += shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-        # Where an id is repeated, only the row with the class's set stands for it.
         keep = [k for k, (s, name) in enumerate(zip(sets, rows["name"], strict=True)) if len(s) and set_name(s) == name]
-        ids, parts, sets = rows["rep"].to_numpy()[keep], rows["part"].to_numpy()[keep], [sets[k] for k in keep]
+        ids, sets = rows["rep"].to_numpy()[keep], [sets[k] for k in keep]
         if not keep:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        edges = linked(sets, signatures(sets), limit, percent, parts if key[1] != key[2] else None)
+        label = np.unique(rows["label"].to_numpy()[keep], return_inverse=True)[1].reshape(-1)
+        edges = linked(sets, signatures(sets), limit, percent, label)
         return pd.DataFrame({"a": [ids[i] for i, _ in edges], "b": [ids[j] for _, j in edges]}, dtype="int64")
 
-    # A fixed number of partitions: these tasks compute more than they read, and should not be put together.
-    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "x", "y")
-    links = texts.groupBy("grp", "x", "y").applyInPandas(confirm, "a long, b long")
-    roots = connected(links)
-    # Class members follow their representative.
-    member = signed.where("name IS NOT NULL").join(classes.select("name", "rep"), "name").select("doc_id", "n_shingles", "rep")
-    member = member.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    alone = signed.where("name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return member.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    def meet_texts(members: DataFrame) -> DataFrame:
+        """Edges among the members (rep, name, at, label) that have equal grp, x and y."""
+        at = members.select("grp", "x", "y", "rep", "name", "label", F.col("at.doc_id").alias("at_id"), F.col("at.row").alias("at_row"))
+        texts = source.join(at, (F.col("row") == F.col("at_row")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("grp", "x", "y", "rep", "name", "label", "text")
+        # A fixed number of partitions: these tasks compute more than they read, and should not be put together.
+        texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "x", "y")
+        return texts.groupBy("grp", "x", "y").applyInPandas(confirm, "a long, b long")
+
+    own = placed.withColumn("x", F.col("part")).withColumn("y", F.lit(0))
+    is_pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), "n") < PIVOTS)
+    pivots = placed.where(is_pivot).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.lit(0))
+    links = meet_texts(own.unionByName(pivots).withColumn("label", F.col("rep"))).checkpoint()
+    large = placed.where("parts > 1").checkpoint()
+    if not large.isEmpty():
+        labelled = large.join(connected(links).withColumnsRenamed({"node": "rep", "root": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        size = labelled.groupBy("grp", "label").agg(F.count("*").alias("m"))
+        most = size.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
+        labelled = labelled.join(most, "grp").withColumn("rests", F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")).where("rests > 0")
+        # Blocks of the rest, x from 0 on, meet blocks of the main part, y from 0 on, and one another, y below 0.
+        rest = labelled.where("label <> main").withColumn("x", F.pmod(F.xxhash64("rep", F.lit(2)), "rests").cast("int"))
+        every = lambda low, high: F.explode(F.sequence(low, high))
+        rest_main = rest.withColumn("y", every(F.lit(0), F.col("parts") - 1))
+        main = labelled.where("label = main").withColumn("y", F.col("part")).withColumn("x", every(F.lit(0), F.col("rests") - 1))
+        other = rest.withColumn("z", every(F.lit(0), F.col("rests") - 1)).withColumn("y", -1 - F.greatest("x", "z")).withColumn("x", F.least("x", "z")).drop("z")
+        links = links.unionByName(meet_texts(rest_main.unionByName(main, allowMissingColumns=True).unionByName(other))).checkpoint()
+    # Each class gets its component: the number of a class of it, its smallest id, and the row that comes first in it.
+    member = classes.join(connected(links).withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("name", "root")
+    rows = signed.where("name IS NOT NULL").select("doc_id", "row", "n_shingles", "name").join(member, "name").drop("name")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    heads = rows.groupBy("root").agg(F.min(place).alias("head")).select(F.col("root").alias("component"), "head").checkpoint()
+    rows = rows.join(heads, F.col("root") == F.col("component"))
+    rows = rows.select("doc_id", "row", "n_shingles", F.col("head.doc_id").alias("component_id"), (place == F.col("head")).alias("first"))
+    alone = signed.where("name IS NULL").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("first")))

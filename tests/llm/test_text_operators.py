@@ -58,7 +58,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_edges_and_empty_table(spark, name):
     got = OPERATORS[name](frame(spark))
-    assert got.count() == len(EDGES) - (name == "op8")  # a null id has no place in a graph of ids
+    assert got.count() == len(EDGES)
     assert OPERATORS[name](frame(spark, [])).count() == 0
     again = OPERATORS[name](frame(spark).repartition(3))
     assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
@@ -291,15 +291,28 @@ def near_rows(n, seed=3):
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85])
-@pytest.mark.parametrize(("block", "key_block"), [(512, 4096), (16, 4)])
-def test_near_equal_brute_force(spark, monkeypatch, similarity, block, key_block):
+@pytest.mark.parametrize(("block", "key_block", "pivots"), [(512, 4096, 64), (16, 4, 3), (8, 4, 0)])
+def test_near_equal_brute_force(spark, monkeypatch, similarity, block, key_block, pivots):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     monkeypatch.setattr(neardup, "KEY_BLOCK", key_block)
     rows = near_rows(150)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), similarity).collect()}
     assert got == brute_near([(i, t) for i, t, _ in rows], round(100 * similarity))
 
 
+def test_near_rows_without_ids_and_repeated_rows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a, "s"), (7, a + " end", "s"), (3, a, "s"), (None, b, "s"), (None, b + " end", "s"), (9, c, "s"), (9, c, "s"), (9, "other words", "s"), (None, None, "s")]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    assert {x for x in got if x[2] == 3} == {(None, 56, 3, False), (7, 57, 3, False), (3, 56, 3, True)}
+    assert sum(x[3] for x in got if x[1] in (56, 57) and x[2] is None) == 1 and (None, 0, None, True) in got
+    assert got.count((9, 56, 9, True)) == 2 and (9, 1, 9, True) in got
+    left = sorted((r.doc_id or 0, r.text or "") for r in neardup.without_near_duplicates(frame(spark, rows)).collect())
+    assert len(left) == 5 and (3, a) in left and left.count((9, c)) == 1 and (9, "other words") in left and (0, "") in left
+
+
 def test_near_on_documents(spark, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op8_near_duplicates"](spark, SF).collect()}
     assert got == brute_near(list(documents.items()), 85)
