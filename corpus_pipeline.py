@@ -12,7 +12,7 @@ from chunkspark.functions.layout import spread
 from chunkspark.llm.common import session_ready
 from chunkspark.llm.linedup import dedup_lines
 from chunkspark.llm.mixing import mixed_documents
-from chunkspark.llm.neardup import near_duplicates
+from chunkspark.llm.neardup import without_near_duplicates
 from chunkspark.llm.pieces import encode_documents
 from chunkspark.llm.rules import clean_documents
 
@@ -32,9 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id, of each group of near-duplicates; rows are told apart, also by null ids."""
+    return without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
