@@ -1,14 +1,15 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
-Rows fall into shards of about SHARD rows by a hash of their id. A shard's distinct vectors are the nodes of its
-graph, and a node keeps the ids of all rows with its vector, so copies cost no links and every row is indexed.
-Nodes have geometric levels; in each level they are linked, in order of insertion, to neighbours chosen among the
-nearest nodes inserted before by the diversity rule, links run both ways and are pruned to a fixed degree. A graph
-is one row: flat neighbour arrays, vectors and ids as binary, so it is written once and read by any executor.
+Rows with equal vectors are one node, so copies cost no links and a vector that many rows have is no hot group. Nodes fall into
+shards by a hash of the vector. A shard's graph is built by insertion: the nodes of a level come one batch after another,
+the search of the graph built so far finds a new node's neighbours, the diversity rule chooses among them, links run both
+ways and are pruned to a fixed degree. A graph is one row: flat neighbour arrays, vectors and ids as binary, so it is
+written once and read by any executor.
 
-Queries go to every shard in blocks: (shard, block) pairs are matched by shard number, each pair is one descent from
-the top level and a beam search on the lowest, and a query's candidates of all shards are sorted by exact distance
-in double precision, then id. Shards are of fixed size, so no task grows with the table.
+Queries go to every shard in blocks, (shard, block) pairs are matched by shard number, and each pair descends from the top
+level and goes on with a beam search on the lowest, all its queries in step. A query's candidates of all shards are sorted
+by exact distance in double precision, then id. Shards grow with the table to a fixed size, so the searches of a query grow
+with the table's size divided by that, and no task grows with the table.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite components take no part, and
 neither do null ids. Repeated ids are separate candidates. Fewer candidates than k give as many rows. An empty
@@ -17,7 +18,7 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,129 +29,169 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import session_ready
 
-SHARD = 4096
-#: Queries in a block.
-QUERIES = 256
+#: Distinct vectors of a shard, at least and at most; shards of the least size until there are MANY of them.
+LEAST, MOST, MANY = 4096, 1 << 16, 64
+#: Queries that go to a shard together, and those that step through its graph together.
+QUERIES, STEPS = 8192, 256
+#: Nodes that are inserted together, and nodes that the search for a new node's neighbours holds.
+INSERTED, WIDE = 256, 64
 
 
 class Graph:
-    """levels[l]: (nodes of the level, neighbours), with node numbers and -1 where a node has fewer neighbours."""
+    """A hierarchical navigable small-world graph by insertion: a new node's neighbours are found by searching the graph
+    that is there, then chosen by the diversity rule.
+
+    Nodes are numbered by level, the highest first, so the nodes of each level are the first `counts[level]`.
+    links[level]: an array of so many rows with node numbers, -1 where a node has fewer neighbours. Vectors have to come in
+    random order.
+    """
 
     def __init__(self, vectors: np.ndarray, degree: int = 16, seed: int = 7):
-        self.vectors = vectors
-        n = len(vectors)
+        self._keep(vectors)
         chance = np.random.Generator(np.random.PCG64(seed))
-        top = np.minimum((-np.log(1 - chance.random(n)) / np.log(degree)).astype(int), 6)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.norms = (vectors**2).sum(axis=1)
-        for level in range(top.max() + 1 if n else 0):
-            nodes = np.flatnonzero(top >= level)
-            self.levels.append((nodes, self._link(nodes, 2 * degree if level == 0 else degree)))
-        self.place = [np.full(n, -1, np.int32) for _ in self.levels]
-        for place, (nodes, _) in zip(self.place, self.levels, strict=True):
-            place[nodes] = np.arange(len(nodes))
-
-    def _link(self, nodes: np.ndarray, degree: int) -> np.ndarray:
-        v, norms = self.vectors[nodes], self.norms[nodes]
-        n = len(nodes)
-        links: list[list[int]] = [[] for _ in range(n)]
-        wide = 4 * degree
-        for lo in range(0, n, 512):
-            hi = min(n, lo + 512)
-            far = norms[lo:hi, None] + norms[None, :hi] - 2 * v[lo:hi] @ v[:hi].T
-            far[np.arange(hi - lo)[:, None] + lo <= np.arange(hi)[None]] = np.inf  # only nodes inserted before
-            m = min(wide, hi)
-            near = np.argpartition(far, m - 1, axis=1)[:, :m] if m < hi else np.tile(np.arange(hi), (hi - lo, 1))
+        top = np.minimum((-np.log(1 - chance.random(len(vectors))) / np.log(degree)).astype(int), 6)
+        self.counts = [int((top >= level).sum()) for level in range(top.max(initial=0) + 1)] if len(vectors) else []
+        self.links: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(self.counts)
+        for level in reversed(range(len(self.counts))):
+            self.links[level] = self._insert(level, 2 * degree if level == 0 else degree)
+
+    def _keep(self, vectors: np.ndarray) -> None:
+        # Paths are found in single precision; results are scored in double.
+        self.vectors, self.near = vectors, vectors.astype(np.float32)
+        self.norms = (self.near**2).sum(axis=1)
+
+    def _insert(self, level: int, degree: int) -> np.ndarray:
+        count = self.counts[level]
+        links = np.full((count, 2 * degree), -1, np.int32)  # twice the room, so that few nodes are pruned often
+        size = [0] * count
+
+        def link(node: int, other: int) -> None:
+            if size[node] == 2 * degree:
+                self._prune(links, node, degree)
+                size[node] = degree
+            links[node, size[node]] = other
+            size[node] += 1
+
+        for lo in range(0, count, INSERTED):
+            hi = min(count, lo + INSERTED)
+            own = self.near[lo:hi]
+            # Nodes that are inserted together know those before them by comparison, and the graph by search.
+            far = self.norms[None, lo:hi] - 2 * own @ own.T
+            if lo:
+                start = self._descend(own, level)
+                found, found_far = self._beam(own, np.where(start < lo, start, 0), links[:lo], WIDE)
             for r in range(hi - lo):
-                own = near[r][np.isfinite(far[r, near[r]])]
-                for c in self._diverse(v, norms, own[np.argsort(far[r, own], kind="stable")], far[r], degree // 2):
-                    links[lo + r].append(c)
-                    links[c].append(lo + r)
-        out = np.full((n, degree), -1, np.int32)
-        for k, row in enumerate(links):
-            if len(row) > degree:
-                cand = np.array(row)
-                far = norms[cand] + norms[k] - 2 * v[cand] @ v[k]
-                full = np.empty(n)
-                full[cand] = far
-                picked = self._diverse(v, norms, cand[np.argsort(far, kind="stable")], full, degree)
-                rest = [c for c in cand[np.argsort(far, kind="stable")].tolist() if c not in set(picked)]
-                row = [*picked, *rest][:degree]
-            out[k, : len(row)] = nodes[row]
-        return out
-
-    @staticmethod
-    def _diverse(v: np.ndarray, norms: np.ndarray, cand: np.ndarray, far: np.ndarray, degree: int) -> list[int]:
+                cand, mine = np.arange(lo, lo + r), far[r, :r]
+                if lo:
+                    have = found[r] >= 0
+                    cand, mine = np.concatenate([found[r][have], cand]), np.concatenate([found_far[r][have], mine])
+                by = np.argsort(mine, kind="stable")[:WIDE]
+                for c in self._diverse(cand[by], mine[by] + self.norms[lo + r], degree // 2):
+                    link(lo + r, c)
+                    link(c, lo + r)
+        for node in np.flatnonzero(np.array(size) > degree).tolist():
+            self._prune(links, node, degree)
+        return np.ascontiguousarray(links[:, :degree])
+
+    def _prune(self, links: np.ndarray, node: int, degree: int) -> None:
+        """The `degree` neighbours that the diversity rule takes, then the nearest others."""
+        cand = links[node][links[node] >= 0]
+        far = self.norms[cand] + self.norms[node] - 2 * self.near[cand] @ self.near[node]
+        by = np.argsort(far, kind="stable")
+        cand = cand[by]
+        taken = self._diverse(cand, far[by], degree)
+        rest = cand[~np.isin(cand, taken)].tolist()
+        links[node] = -1
+        links[node, :degree] = [*taken, *rest][:degree]
+
+    def _diverse(self, cand: np.ndarray, far: np.ndarray, most: int) -> list[int]:
         """Nearest first, a candidate is taken if it is nearer to the node than to each one taken before."""
-        if not len(cand):
-            return []
-        between = norms[cand][:, None] + norms[cand][None] - 2 * v[cand] @ v[cand].T
-        mine = far[cand]
+        v = self.near[cand]
+        between = self.norms[cand][:, None] + self.norms[cand][None] - 2 * v @ v.T
         taken: list[int] = []
         open_ = np.ones(len(cand), bool)
         for k in range(len(cand)):
             if open_[k]:
                 taken.append(k)
-                if len(taken) == degree:
+                if len(taken) == most:
                     break
-                open_ &= mine <= between[k]
+                open_ &= far <= between[k]
         return cand[taken].tolist()
 
-    def search(self, query: np.ndarray, width: int) -> list[tuple[float, int]]:
-        """The `width` nearest nodes found, by squared distance."""
-        if not self.levels:
-            return []
-        v = self.vectors
-        now = int(self.levels[-1][0][0])
-        best = float(((v[now] - query) ** 2).sum())
-        for level in range(len(self.levels) - 1, 0, -1):
-            while True:
-                row = self.levels[level][1][self.place[level][now]]
-                row = row[row >= 0]
-                if not len(row):
-                    break
-                far = ((v[row] - query) ** 2).sum(axis=1)
-                k = int(far.argmin())
-                if far[k] >= best:
-                    break
-                now, best = int(row[k]), float(far[k])
-        links = self.levels[0][1]
-        seen = np.zeros(len(v), bool)
-        seen[now] = True
-        todo = [(best, now)]
-        found = [(-best, now)]
-        while todo:
-            d, node = heapq.heappop(todo)
-            if d > -found[0][0] and len(found) >= width:
-                break
-            row = links[node]
-            row = row[row >= 0]
-            row = row[~seen[row]]
-            if not len(row):
+    def _far(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Squared distances of each query to its row of nodes, without the query's own norm."""
+        return self.norms[nodes] - 2 * np.matmul(self.near[nodes], queries[:, :, None])[:, :, 0]
+
+    def _descend(self, queries: np.ndarray, level: int) -> np.ndarray:
+        """The nearest node that greedy steps from the top find above `level`, for each query."""
+        now = np.zeros(len(queries), np.int64)
+        best = self._far(queries, now[:, None])[:, 0]
+        for above in range(len(self.counts) - 1, level, -1):
+            todo = np.arange(len(queries))
+            while len(todo):
+                rows = self.links[above][now[todo]]
+                far = np.where(rows >= 0, self._far(queries[todo], rows), np.inf)
+                k = far.argmin(axis=1)
+                nearest = far[np.arange(len(todo)), k]
+                closer = nearest < best[todo]
+                todo, k, rows, nearest = todo[closer], k[closer], rows[closer], nearest[closer]
+                now[todo], best[todo] = rows[np.arange(len(todo)), k], nearest
+        return now
+
+    def _beam(self, queries: np.ndarray, start: np.ndarray, links: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the `width` nearest nodes found from its start on, nearest first, -1 where there are fewer; all
+        queries step together, each to its nearest node whose neighbours it has not looked at."""
+        m = len(queries)
+        nodes = np.full((m, width), -1, np.int32)
+        far = np.full((m, width), np.inf, np.float32)
+        done = np.ones((m, width), bool)
+        seen = np.zeros((m, len(links)), bool)
+        nodes[:, 0], far[:, 0], done[:, 0] = start, self._far(queries, start[:, None])[:, 0], False
+        seen[np.arange(m), start] = True
+        todo = np.arange(m)
+        while True:
+            k = done[todo].argmin(axis=1)
+            some = ~done[todo, k]
+            todo, k = todo[some], k[some]
+            if not len(todo):
+                return nodes, far
+            done[todo, k] = True
+            rows = links[nodes[todo, k]]
+            new = (rows >= 0) & ~seen[todo[:, None], rows]
+            r, c = np.nonzero(new)
+            seen[todo[r], rows[r, c]] = True
+            here = np.full(rows.shape, np.inf, np.float32)
+            here[r, c] = self.norms[rows[r, c]] - 2 * np.einsum("ij,ij->i", self.near[rows[r, c]], queries[todo[r]])
+            closer = np.flatnonzero(here.min(axis=1) < far[todo, -1])
+            if not len(closer):
                 continue
-            seen[row] = True
-            far = ((v[row] - query) ** 2).sum(axis=1)
-            bound = -found[0][0] if len(found) >= width else np.inf
-            for x, c in zip(far.tolist(), row.tolist(), strict=True):
-                if len(found) < width or x < bound:
-                    heapq.heappush(todo, (x, c))
-                    heapq.heappush(found, (-x, c))
-                    if len(found) > width:
-                        heapq.heappop(found)
-                    bound = -found[0][0] if len(found) >= width else np.inf
-        return sorted((-d, c) for d, c in found)
+            at = todo[closer]
+            far_all = np.concatenate([far[at], here[closer]], axis=1)
+            by = np.argsort(far_all, axis=1, kind="stable")[:, :width]
+            take = lambda old, fresh: np.take_along_axis(np.concatenate([old, fresh], axis=1), by, axis=1)  # noqa: B023, E731
+            nodes[at], done[at] = take(nodes[at], rows[closer]), take(done[at], ~new[closer])
+            far[at] = np.take_along_axis(far_all, by, axis=1)
+            empty = np.isinf(far[at])
+            nodes[at] = np.where(empty, -1, nodes[at])
+            done[at] |= empty
+
+    def search(self, queries: np.ndarray, width: int) -> np.ndarray:
+        """(queries, width): the nearest nodes found, nearest first, -1 where there are fewer."""
+        if not self.counts or not len(queries):
+            return np.full((len(queries), width), -1, np.int32)
+        queries = queries.astype(np.float32)
+        parts = [queries[i : i + STEPS] for i in range(0, len(queries), STEPS)]
+        return np.concatenate([self._beam(part, self._descend(part, 0), self.links[0], width)[0] for part in parts])
 
     def pack(self) -> dict:
-        return {"nodes": [x.astype(np.int32).tobytes() for x, _ in self.levels], "links": [x.tobytes() for _, x in self.levels], "degrees": [x.shape[1] for _, x in self.levels], "vectors": self.vectors.tobytes(), "dim": self.vectors.shape[1]}
+        return {"links": [x.tobytes() for x in self.links], "counts": self.counts, "vectors": self.vectors.tobytes(), "dim": self.vectors.shape[1]}
 
     @classmethod
     def unpack(cls, row: dict) -> Graph:
         g = cls.__new__(cls)
-        g.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-        g.levels = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(-1, d)) for a, b, d in zip(row["nodes"], row["links"], row["degrees"], strict=True)]
-        g.place = [np.full(len(g.vectors), -1, np.int32) for _ in g.levels]
-        for place, (nodes, _) in zip(g.place, g.levels, strict=True):
-            place[nodes] = np.arange(len(nodes))
+        g._keep(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"]))
+        g.counts = list(row["counts"])
+        g.links = [np.frombuffer(x, np.int32).reshape(n, -1) for x, n in zip(row["links"], g.counts, strict=True)]
         return g
 
 
@@ -160,68 +201,93 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def shard_number(distinct: int) -> int:
+    """Shards of LEAST vectors, until there are MANY; then MANY, until they have MOST; then shards of MOST."""
+    return max(1, min(-(-distinct // LEAST), MANY), -(-distinct // MOST))
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10, width: int = 96, degree: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest candidates found for each query, without those of the query's own id.
 
-    width: nodes that a beam holds in each shard; degree: links of a node, twice as many on the lowest level.
+    width: nodes that a search of a shard of LEAST vectors holds, more with the root of a shard's size; degree: links of a
+    node, twice as many on the lowest level.
     """
     spark = candidates.sparkSession
     session_ready(spark)
-    columns = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+
+    def columns(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+        return rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+
     rows = columns(candidates)
-    counted = rows.agg(F.count("*").alias("n"), F.mode(F.size("v"), True).alias("dim")).first()
-    n, dim = counted["n"], counted["dim"] or 0
-    shards = max(1, -(-n // SHARD))
-    rows = rows.where(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dim = rows.agg(F.mode(F.size("v"), True).alias("dim")).first()["dim"] or 0
+    # Rows with equal vectors are one node, with their k + 1 least ids, each k times at most: no query can get another of them.
+    # The limit is taken in each task first, so a vector that many rows have is no group of many rows.
+    least = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
+    copy = F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))
+    nodes = rows.where(F.size("v") == dim).withColumn("n", least).where(F.col("n") <= k + 1).withColumn("m", copy).where(F.col("m") <= k).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).checkpoint()
+    distinct = nodes.count()
+    shards = shard_number(distinct)
+    held = max(k + 1, round(width * math.sqrt(max(1.0, distinct / shards / LEAST))))
+    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     asked = columns(queries).where(F.size("v") == dim)
 
     def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id", kind="stable")
         vectors = np.array(own["v"].tolist(), np.float64).reshape(-1, dim)
-        distinct, node = np.unique(vectors, axis=0, return_inverse=True)
-        node = node.reshape(-1)
-        # Insertion in random order, as a sorted one would make long chains.
-        order = np.random.Generator(np.random.PCG64(zlib.crc32(str(key).encode()))).permutation(len(distinct))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        by = np.argsort(back[node], kind="stable")
-        packed = Graph(distinct[order], degree).pack()
-        first = np.searchsorted(back[node][by], np.arange(len(distinct) + 1))
-        return pd.DataFrame([{"shard": key[0], **packed, "ids": own["id"].to_numpy()[by].astype(np.int64).tobytes(), "first": first.astype(np.int64).tobytes()}])
-
-    graph_schema = "shard int, nodes array<binary>, links array<binary>, degrees array<int>, vectors binary, dim int, ids binary, first binary"
-    graphs = rows.groupBy("shard").applyInPandas(build, graph_schema).checkpoint()
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-n // (100 * QUERIES))))).cast("int")
-    blocks = asked.select(block.alias("block"), F.struct("id", "v").alias("q")).groupBy("block").agg(F.collect_list("q").alias("q"))
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, "shard")
+        # In an order that depends on the vectors alone; insertion is in random order, as a sorted one would make long chains.
+        by = np.lexsort(vectors.T[::-1])
+        by = by[np.random.Generator(np.random.PCG64(zlib.crc32(str(key).encode()))).permutation(len(by))]
+        ids = [list(own["ids"].iloc[x]) for x in by.tolist()]
+        flat = np.array([x for row in ids for x in row], np.int64)
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int64)
+        return pd.DataFrame([{"shard": key[0], **Graph(vectors[by], degree).pack(), "ids": flat.tobytes(), "first": ends.tobytes()}])
+
+    graph_schema = "shard int, links array<binary>, counts array<int>, vectors binary, dim int, ids binary, first binary"
+    graphs = nodes.repartition(shards, "shard").groupBy("shard").applyInPandas(build, graph_schema).checkpoint()
+    # Every query goes to every shard, as any of them may hold a neighbour; both are few: blocks of QUERIES and shards of MOST.
+    blocks = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-asked.count() // QUERIES)))).cast("int")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), blocks.alias("block"), "id", "v")
+    asked = asked.groupBy("shard", "block").agg(F.collect_list(F.struct("id", "v")).alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                graph = Graph.unpack(row)
-                ids, first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
-                out: list[tuple[int, int, float]] = []
-                for q in row["q"]:
-                    vector = np.array(q["v"], np.float64)
-                    got: list[tuple[float, int]] = []
-                    for _, c in graph.search(vector, max(width, k + 1)):
-                        score = float(np.sqrt(((graph.vectors[c] - vector) ** 2).sum()))
-                        if len(got) > k and score > max(got[k][0], 0):
-                            break
-                        own = ids[first[c] : first[c + 1]]
-                        got += [(score, int(x)) for x in own[own != q["id"]][: k + 1]]
-                        got.sort()
-                    out += [(q["id"], x, s) for s, x in got[:k]]
-                if out:
-                    a, b, c = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r].as_py() for name in ("links", "counts", "vectors", "dim", "ids", "first")}
+                asked_ids, asked_vectors = _block(batch.column("q").slice(r, 1), dim)
+                yield _answers(row, asked_ids, asked_vectors, k, held)
+
+    # A graph and a block of queries meet by the shard's number; one pair is one row.
+    found = asked.join(graphs, "shard").mapInArrow(run, "query_id long, vec_id long, score double")
     # Spark limits each task's rows of a query to k before they are dealt out by query.
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _block(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block of queries."""
+    rows = column.flatten()
+    return rows.field("id").to_numpy(), rows.field("v").flatten().to_numpy().reshape(-1, dim)
+
+
+def _answers(row: dict, asked: np.ndarray, vectors: np.ndarray, k: int, width: int) -> pa.RecordBatch:
+    """query_id, vec_id, score of the k nearest ids of a shard's nodes for each query, scored in double precision."""
+    graph = Graph.unpack(row)
+    ids, first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
+    found = graph.search(vectors, width)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q, near in enumerate(found):
+        near = near[near >= 0]
+        score = np.sqrt(((graph.vectors[near] - vectors[q]) ** 2).sum(axis=1))
+        many = first[near + 1] - first[near]
+        own = ids[np.repeat(first[near] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        score = np.repeat(score, many)
+        by = np.lexsort((own, score))
+        by = by[own[by] != asked[q]][:k]
+        out.append((np.full(len(by), asked[q]), own[by], score[by]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+
 def nearest_of_hundredths(vectors: DataFrame) -> DataFrame:
     """The query rows are those whose vec_id is divisible by 100; candidates are all rows but the query's own."""
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))

@@ -198,7 +198,8 @@ def test_recall(spark):
 
 
 def test_search_edges(spark, monkeypatch):
-    monkeypatch.setattr(graph_search, "SHARD", 16)
+    monkeypatch.setattr(graph_search, "LEAST", 16)
+    monkeypatch.setattr(graph_search, "QUERIES", 2)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 4)).astype(np.float32)
     x[20:50] = x[0]  # ties: the smaller ids win
@@ -216,11 +217,33 @@ def test_search_edges(spark, monkeypatch):
 
 
 def test_graph_packs():
-    v = np.random.default_rng(6).normal(size=(300, 8))
+    v = np.random.default_rng(6).normal(size=(700, 8))
     g = graph_search.Graph(v)
     again = graph_search.Graph.unpack(g.pack())
-    assert len(g.levels) > 1 and g.search(v[5], 20) == again.search(v[5], 20) and g.search(v[5], 20)[0] == (0.0, 5)
-    assert all(links.shape[1] == (32 if k == 0 else 16) for k, (_, links) in enumerate(g.levels))
+    found = g.search(v[:300], 20)
+    assert len(g.counts) > 1 and (found == again.search(v[:300], 20)).all() and found[:, 0].tolist() == list(range(300))
+    assert [x.shape[1] for x in g.links] == [32] + [16] * (len(g.counts) - 1)
+
+
+@pytest.mark.parametrize("inserted", [8, 256])
+def test_graph_by_insertion(monkeypatch, inserted):
+    """Links found by search lead to the nearest nodes; each node has links, none to itself, none twice."""
+    monkeypatch.setattr(graph_search, "INSERTED", inserted)
+    v = np.random.default_rng(7).normal(size=(1500, 16))
+    g = graph_search.Graph(v)
+    for level, links in enumerate(g.links):
+        for node, row in enumerate(links.tolist()):
+            own = [x for x in row if x >= 0]
+            assert node not in own and len(set(own)) == len(own) and all(x < g.counts[level] for x in own) and (own or len(links) == 1)
+    q = np.random.default_rng(8).normal(size=(100, 16))
+    want = np.argsort(((q[:, None] - v[None]) ** 2).sum(axis=2), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b[:10])) / 10 for a, b in zip(want.tolist(), g.search(q, 96).tolist(), strict=True)]) > 0.97
+    small = graph_search.Graph(v[:3])
+    assert sorted(small.search(q[:1], 5)[0].tolist()) == [-1, -1, 0, 1, 2] and graph_search.Graph(v[:0]).search(q, 4).tolist() == [[-1] * 4] * 100
+
+
+def test_shards_grow_to_a_fixed_size():
+    assert [graph_search.shard_number(n) for n in (0, 1, 4097, 4096 * 64, 1 << 22, 10 << 22)] == [1, 1, 2, 64, 64, 640]
 
 
 # ---- Pieces ----
