@@ -6,20 +6,26 @@ earlier in the same document. Nothing is sampled; equal strings are brought toge
 1. Each LENGTH-byte window has an anchor: the least hash among its K-byte pieces, the leftmost of equals. Equal windows
    have equal anchors. Neighbouring windows with one anchor form a segment. The hashes of segments are dealt out by
    those of their anchors. An anchor that occurs once can't be in a repeated window. Of equal segments all but the
-   earliest are repeats as a whole.
+   earliest are repeats as a whole; these are told by their hashes, without a transform.
 2. Only the earliest segments of anchors with different segments are left to compare. Their bytes are dealt out.
 3. The different segments of an anchor are the strings of a collection, cut into shards. The alphabet is the
-   STRIDE-byte blocks of the text, so a suffix steps by one block and LENGTH bytes are DEPTH symbols; any order of
-   the blocks serves. Each shard gets its Burrows-Wheeler transform by prefix doubling. The transforms are merged
+   STRIDE-byte blocks of the text, so a suffix steps by one block and LENGTH bytes are DEPTH symbols. Symbols are ranks of
+   the blocks' hashes: it is an order of suffixes, but not the alphabetical one of their bytes, which equality of
+   substrings does not need. Each shard gets its Burrows-Wheeler transform by prefix doubling. The transforms are merged
    by refining their interleave: from the order of all suffixes by h symbols, each transform's next symbols give the
-   order by h + 1, with no suffix sorted again; a new border between neighbours shows that they share h symbols.
-   What still shares DEPTH symbols is an interval of equal windows; all but its earliest are repeats.
+   order by h + 1, with no suffix sorted again; a border that is new between neighbours says that their common prefix is h.
+   The repeated intervals are the maximal runs of neighbours whose common prefix is DEPTH symbols; all but the earliest of
+   an interval are repeats.
 4. A document's repeated windows are united to removed runs.
 
+A collection of everything in one order would bring no more to light: strings of different anchors differ. So each group of
+anchors is merged for itself, and the groups are dealt out.
+
 Hot groups: equal segments collapse in each task before anything is sent. A first pass finds the anchors with more
 than HOT different segments (and more than a 100,000th of all, so there are 100,000 at most); their windows are dealt
 out one by one by the hash of the whole window, so a passage that a third of all documents share, with different text
-around it, is spread over all tasks. Comparison is by 64-bit hashes: four blocks, or an anchor and its segment.
+around it, is spread over all tasks. Segments travel in rows of a bucket, gathered over HELD of them in a task.
+Comparison is by 64-bit hashes: four blocks, or an anchor and its segment.
 
 Null text is empty. Rows of one id are ordered by a hash of the text; equal rows get the same result, as one
 document. A null id comes before all others. An empty table gives an empty result. Other columns are not read.
@@ -33,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, prefix_hash, session_ready, span_hash, steps, text_buffer
+from .common import mix, prefix_hash, release, session_ready, span_hash, steps, text_buffer
 
 LENGTH = 100
 STRIDE = 25
@@ -41,6 +47,8 @@ DEPTH = LENGTH // STRIDE
 K = 28
 HOT = 1 << 16
 STEP = 2 << 20
+#: Segments, and bytes of segments, that a task gathers before it deals them out.
+HELD, HELD_BYTES = 500_000, 8 << 20
 #: Suffixes of a shard, and shards that are merged at once.
 SHARD, SHARDS = 1 << 17, 8
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -88,12 +96,24 @@ def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
             yield i, data[lo:hi], offsets[i : j + 1] - lo if j > i + 1 else np.array([0, hi - lo]), base
 
 
-def by_bucket(bucket: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(count + 1))
-    for b in range(count):
-        if ends[b] < ends[b + 1]:
-            yield b, order[ends[b] : ends[b + 1]]
+def dealt(bucket: np.ndarray, ids: np.ndarray, rows: np.ndarray, columns: dict[str, np.ndarray], data: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    """One row a bucket: the ids and rows of its documents, each entry's document among them (local), the entries' columns,
+    and with `data` (bytes, begin, size) the bytes of each."""
+    by = np.lexsort((rows, ids, bucket))
+    bucket, ids, rows = bucket[by], ids[by], rows[by]
+    new = np.append(True, bucket[1:] != bucket[:-1])
+    pair = new | np.append(True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]))
+    number = np.cumsum(pair) - 1
+    local = number - np.repeat(number[new], np.diff(np.append(np.flatnonzero(new), len(by))))
+    ends = np.append(np.flatnonzero(new)[1:], len(by))
+    pair_ends = number[ends - 1] + 1
+    out = {"bucket": pa.array(bucket[new].astype(np.int32)), "ids": _binary(ids[pair], pair_ends), "rows": _binary(rows[pair], pair_ends), "local": _binary(local.astype(np.int32), ends)}
+    out |= {name: _binary(values[by], ends) for name, values in columns.items()}
+    if data:
+        text, begin, size = data[0], data[1][by], data[2][by]
+        total = np.cumsum(size)
+        out["bytes"] = _binary(text[np.repeat(begin - (total - size), size) + np.arange(total[-1])], total[ends - 1])
+    return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
 class Transform:
@@ -156,7 +176,7 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def repeated_windows(pieces: np.ndarray, lengths: np.ndarray, shard: int = SHARD) -> np.ndarray:
-    """For strings of bytes, one after another: the block of equal LENGTH-byte windows of every place, -1 where no
+    """For strings of bytes, one after another: the interval of equal LENGTH-byte windows of every place, -1 where no
     window begins or it is found once."""
     starts = np.concatenate([[0], np.cumsum(lengths)])
     n = len(pieces)
@@ -175,9 +195,10 @@ def repeated_windows(pieces: np.ndarray, lengths: np.ndarray, shard: int = SHARD
     cut = np.searchsorted(string, string[np.arange(0, len(at), shard)])
     cut = np.append(np.unique(cut), len(at))
     transforms = [Transform(symbol[i:j], np.where(follow[i:j] < 0, -1, follow[i:j] - i)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    which, block, _ = merge(transforms, DEPTH)
-    place = np.argsort(which, kind="stable")
-    blocks = block[place]  # by shard, then by place in it
+    which, _, common = merge(transforms, DEPTH)
+    # Intervals of neighbours that share DEPTH symbols, numbered in order.
+    interval = np.cumsum(common < DEPTH)
+    blocks = interval[np.argsort(which, kind="stable")]  # by shard, then by place in it
     done = 0
     for t, i in zip(transforms, cut[:-1].tolist(), strict=True):
         own = t.order - t.ends
@@ -301,6 +322,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = spark.sparkContext.broadcast(heavy_anchors(source))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def given() -> pa.RecordBatch:
+            hashes, whole, id_, row, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket = hashes % np.uint64(parts)
+            # Of equal segments of these only the earliest goes on; the others are repeats, with a count below 0.
+            at = np.lexsort((start, row, id_, whole, hashes))
+            lead = np.append(True, (hashes[at[1:]] != hashes[at[:-1]]) | (whole[at[1:]] != whole[at[:-1]]))
+            mine = _as_first(lead, id_[at], row[at], start[at])
+            gone = at[~lead & ~mine]
+            count[gone] *= -1
+            hashes[gone] = whole[gone] = 0
+            keep = np.sort(at[lead | ~mine])
+            columns = {"hash": hashes, "whole": whole, "start": start.astype(np.int32), "count": count.astype(np.int8)}
+            return dealt(bucket[keep], id_[keep], row[keep], {name: x[keep] for name, x in columns.items()})
+
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -313,23 +351,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     more = np.arange(len(spread)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
                     begin = own[row[spread]] + start[spread] + more
                     single = mix(span_hash(prefix, begin, begin + LENGTH) ^ SALT)
-                    hashes, row, start, count = (np.concatenate([x[~alone], y]) for x, y in ((hashes, single), (row, row[spread]), (start, start[spread] + more), (count, np.ones(len(spread), np.int32))))
+                    split = ((hashes, single), (row, row[spread]), (start, start[spread] + more), (count, np.ones(len(spread), np.int32)))
+                    hashes, row, start, count = (np.concatenate([x[~alone], y]) for x, y in split)
                 begin = own[row] + start
                 whole = span_hash(prefix, begin, begin + count + LENGTH - 1)
-                bucket = (hashes % np.uint64(parts)).astype(np.int64)
-                # Of equal segments of this task only the earliest goes on; the others are repeats, with a count below 0.
-                at = np.lexsort((start, rows[i + row], ids[i + row], whole, hashes))
-                lead = np.ones(len(at), bool)
-                lead[1:] = (hashes[at[1:]] != hashes[at[:-1]]) | (whole[at[1:]] != whole[at[:-1]])
-                mine = _as_first(lead, ids[i + row[at]], rows[i + row[at]], start[at])
-                gone, keep = at[~lead & ~mine], np.ones(len(at), bool)
-                keep[at[~lead & mine]] = False
-                count[gone] *= -1
-                hashes[gone] = whole[gone] = 0
-                for b, pick in by_bucket(np.where(keep, bucket, parts), parts):
-                    used, local = np.unique(row[pick], return_inverse=True)
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], whole[pick], (start[pick] + base).astype(np.int32), count[pick].astype(np.int8)]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "whole", "start", "count"])
+                held.append((hashes, whole, ids[i + row], rows[i + row], start + base, count))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield given()
+        if any(len(x[0]) for x in held):
+            yield given()
+        release()
 
     def collapse(gone: bool):
         """Repeats as runs of documents, or the segments that are left to compare."""
@@ -376,6 +407,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = hits.groupBy("id", "row").agg(F.collect_list(F.struct("hash", "start", "count")).alias("hits"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def given() -> pa.RecordBatch:
+            hashes, id_, row, start, count, text, length = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return dealt(hashes % np.uint64(parts), id_, row, {"hash": hashes, "start": start.astype(np.int32), "count": count.astype(np.int8)}, (text, np.cumsum(length) - length, length))
+
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             ids, rows, hits_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
@@ -386,12 +425,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 take = lambda name, dtype: _concat([y[name] for x in got for y in x], dtype)  # noqa: B023, E731
                 hashes, start, count = take("hash", np.uint64), take("start", np.int32).astype(np.int64), take("count", np.int8).astype(np.int64)
                 row = np.repeat(np.arange(j - i), many)
-                begin, size = own[row] + start, count + LENGTH - 1
-                for b, pick in by_bucket((hashes % np.uint64(parts)).astype(np.int64), parts):
-                    used, local = np.unique(row[pick], return_inverse=True)
-                    where = np.repeat(begin[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())
-                    out = [ids[i + used], rows[i + used], local.astype(np.int32), hashes[pick], start[pick].astype(np.int32), count[pick].astype(np.int8), part[where]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "ids", "rows", "local", "hash", "start", "count", "bytes"])
+                begin, length = own[row] + start, count + LENGTH - 1
+                # Some segments at a time, as those of a text overlap.
+                cuts = np.searchsorted(np.cumsum(length), np.arange(0, length.sum(), HELD_BYTES))
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(length)), strict=True):
+                    b, n = begin[lo:hi], length[lo:hi]
+                    text = part[np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    held.append((hashes[lo:hi], ids[i + row[lo:hi]], rows[i + row[lo:hi]], start[lo:hi], count[lo:hi], text, n))
+                    size += len(text)
+                    if size >= HELD_BYTES:
+                        yield given()
+                        size = 0
+        if size:
+            yield given()
+        release()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, ids, rows, hashes, start, count, data = _gathered(batches, (np.uint64, np.int32, np.int8, np.uint8))
