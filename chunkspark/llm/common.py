@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,23 @@ def session_ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkspark-"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a table that is written now, beside the checkpoints in the shared folder. Other than a checkpoint, which
+    keeps the estimates of the plan it cuts, the table has its true size, so estimates do not multiply from round to round."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of `written`, once nothing reads it any more."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(df.written_to)
+    folder.getFileSystem(context).delete(folder, True)
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system, so that workers that wait for the next task hold little."""
     gc.collect()
@@ -145,30 +163,73 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+#: Edges of a task that are united at once.
+UNITED = 2_000_000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node of their component in the graph of the edges (u, v), for all but the smallest."""
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b, root[a], root[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _united(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task as stars around the smallest nodes."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        u, v = stars(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= most:
+            yield out()
+    if held:
+        yield out()
+
+
+def connected(edges: DataFrame, rounds: int = 60, most: int = UNITED) -> DataFrame:
+    """Connected components by alternating large-star and small-star steps; between them each task unites its own edges.
 
     `edges`: long columns a, b. Returns (node, root) with the smallest node of each component as root, for every
-    node of an edge between two different nodes. Each round ends in a checkpoint, so a lost executor costs one
-    round; the driver sees only counts.
+    node of an edge between two different nodes. Each round ends in a written table, so a lost executor costs one
+    round, and the tables of the round before are deleted; the driver only learns whether there is more to do.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    before = None
+
+    def united(pairs: DataFrame) -> DataFrame:
+        return written(pairs.where("u <> v").distinct().mapInArrow(lambda batches: _united(batches, most), "u long, v long"))
+
+    e = united(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(rounds):
+        # Done when each node has one edge, and a node that others lead to has none.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leads"), F.lit(0).alias("led")).union(e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("leads").alias("leads"), F.max("led").alias("led")).where("leads + led > 1").isEmpty():
+            break
         # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The minima are written before they are joined, so Spark can split the rows of a node with many neighbours.
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")).checkpoint()
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = small.where("u <> v").distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
-        if now == before:
-            break
-        before = now
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        old, e = (e, low, large, least), united(small)
+        for table_ in old:
+            forget(table_)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

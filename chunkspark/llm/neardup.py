@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import LOWER, connected, mix, release, session_ready, steps, text_buffer, word_hashes
+from .common import LOWER, connected, mix, release, session_ready, steps, text_buffer, word_hashes, written
 
 SLOTS, CHUNKS = 32, 8
 #: Members of a coarse group, and rows of a key, that meet in one task; larger ones meet in pairs of such blocks.
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id
 
 def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: the first of each component, and those without shingles."""
-    found = near_rows(docs, similarity, width, id_col, text_col).checkpoint()
+    found = written(near_rows(docs, similarity, width, id_col, text_col))
     gone = found.where("NOT first").select(F.col("doc_id").alias("__near_id"), F.col("row").alias("__near_row")).distinct()
     keyed = docs.withColumn("__near_key", F.xxhash64(id_col, text_col))
     same = lambda other: (F.col("__near_key") == other["__near_row"]) & F.col(id_col).eqNullSafe(other["__near_id"])
@@ -196,10 +196,10 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
         release()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    signed = source.mapInArrow(sign, "doc_id long, row long, n_shingles long, name binary, sign binary").checkpoint()
+    signed = written(source.mapInArrow(sign, "doc_id long, row long, n_shingles long, name binary, sign binary"))
     # A class is named by a number, `rep`, which is written here once; least: its smallest id; some row stands for it.
     classes = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("at"), F.first("sign").alias("sign"))
-    classes = classes.withColumn("rep", F.monotonically_increasing_id()).checkpoint()
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,19 +267,21 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
         return pd.DataFrame([(reps[j], reps[i]) for i, j in forest(signs, limit)], columns=["a", "b"], dtype="int64")
 
     entered = classes.select("rep", "sign").mapInArrow(enter, "key long, rep long, sign binary")
-    met = entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, key long, sign binary, block int").checkpoint()
+    met = entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, key long, sign binary, block int")
+    met = written(met)
     crowded = met.where("key IS NOT NULL")
     last = crowded.groupBy("key").agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0), "last")).alias("other")
     pairs = crowded.join(last, "key").select("a", "sign", "key", "block", other).where("block <> other")
     pairs = pairs.select("a", "sign", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     near = met.where("b IS NOT NULL").select("a", "b").unionByName(pairs.groupBy("key", "x", "y").applyInPandas(lambda key, rows: meet_blocks(rows), "a long, b long")).distinct()
-    groups = connected(near).withColumnsRenamed({"node": "rep", "root": "grp"}).checkpoint()
+    groups = connected(near).withColumnsRenamed({"node": "rep", "root": "grp"})
 
     # The members' sets meet by coarse group.
     count = groups.groupBy("grp").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = groups.join(count, "grp").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).join(classes.select("rep", "name", "at"), "rep").checkpoint()
+    placed = groups.join(count, "grp").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).join(classes.select("rep", "name", "at"), "rep")
+    placed = written(placed)
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
         # A row of a class for each text that has its place; one is enough, and pivots are in their own block anyway.
@@ -307,8 +309,8 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
     own = placed.withColumn("x", F.col("part")).withColumn("y", F.lit(0))
     is_pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), "n") < PIVOTS)
     pivots = placed.where(is_pivot).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.lit(0))
-    links = meet_texts(own.unionByName(pivots).withColumn("label", F.col("rep"))).checkpoint()
-    large = placed.where("parts > 1").checkpoint()
+    links = written(meet_texts(own.unionByName(pivots).withColumn("label", F.col("rep"))))
+    large = placed.where("parts > 1")
     if not large.isEmpty():
         labelled = large.join(connected(links).withColumnsRenamed({"node": "rep", "root": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         size = labelled.groupBy("grp", "label").agg(F.count("*").alias("m"))
@@ -320,12 +322,13 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
         rest_main = rest.withColumn("y", every(F.lit(0), F.col("parts") - 1))
         main = labelled.where("label = main").withColumn("y", F.col("part")).withColumn("x", every(F.lit(0), F.col("rests") - 1))
         other = rest.withColumn("z", every(F.lit(0), F.col("rests") - 1)).withColumn("y", -1 - F.greatest("x", "z")).withColumn("x", F.least("x", "z")).drop("z")
-        links = links.unionByName(meet_texts(rest_main.unionByName(main, allowMissingColumns=True).unionByName(other))).checkpoint()
+        links = written(links.unionByName(meet_texts(rest_main.unionByName(main, allowMissingColumns=True).unionByName(other))))
     # Each class gets its component: the number of a class of it, its smallest id, and the row that comes first in it.
     member = classes.join(connected(links).withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("name", "root")
     rows = signed.where("name IS NOT NULL").select("doc_id", "row", "n_shingles", "name").join(member, "name").drop("name")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    heads = rows.groupBy("root").agg(F.min(place).alias("head")).select(F.col("root").alias("component"), "head").checkpoint()
+    heads = rows.groupBy("root").agg(F.min(place).alias("head")).select(F.col("root").alias("component"), "head")
+    heads = written(heads)
     rows = rows.join(heads, F.col("root") == F.col("component"))
     rows = rows.select("doc_id", "row", "n_shingles", F.col("head.doc_id").alias("component_id"), (place == F.col("head")).alias("first"))
     alone = signed.where("name IS NULL").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))

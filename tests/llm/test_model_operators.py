@@ -75,7 +75,8 @@ def test_scores_by_chunks(monkeypatch, order):
     assert np.allclose(trie_of(texts, order).score(sym, begin), want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_components(spark, most):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)] + [(7, 7)]
     root = {}
@@ -89,7 +90,7 @@ def test_components(spark):
             changed |= root[a] != m or root[b] != m
             root[a] = root[b] = m
     want = {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
-    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long"), most=most).collect()}
     assert got == want
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
