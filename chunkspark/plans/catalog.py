@@ -13,6 +13,7 @@ from ..operators.html import html_auto_tag, html_to_markdown
 from ..operators.semantic import AMOUNTS, group_thresholds, neighbour_distances, top_breakpoints
 from ..operators.tables import split_columns, split_rows
 from ..schema import as_documents
+from ..sources.pdf import assemble_pages, lines_from_words, lines_outside_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +125,22 @@ for _where, _form in {"none": "chr(2)", "before": r"'\1' || chr(2)", "after": r"
     over_documents(f"keyword_{_where}", lambda where=_where: KeywordSplitter(_KEYWORDS, include_delimiters=where, chunk_size=0), _keyword_sql(_form))
 
 
+def _wrap_sql(size: int) -> str:
+    """The chunks of `keyword_before`, cut at the last end of a word or of white space within `size` characters, or just there."""
+    cut = f"coalesce(list_max(list_filter(ends, lambda z: z > {{0}} AND z <= {{0}} + {size})), {{0}} + {size})"
+    return rf"""WITH RECURSIVE c AS (SELECT *, CASE WHEN length(chunk) <= {size} THEN [chunk] ELSE regexp_extract_all(chunk, '\S+|\s+') END AS tokens FROM ({_keyword_sql("'\\1' || chr(2)")})),
+                t AS (SELECT doc_id, chunk_index, chunk, n, sum(length(token)) OVER (PARTITION BY doc_id, chunk_index ORDER BY n) AS e
+                      FROM (SELECT doc_id, chunk_index, chunk, unnest(tokens) AS token, unnest(range(len(tokens))) AS n FROM c)),
+                e AS (SELECT doc_id, chunk_index, any_value(chunk) AS chunk, list(CAST(e AS BIGINT) ORDER BY n) AS ends FROM t GROUP BY doc_id, chunk_index),
+                w AS (SELECT doc_id, chunk_index, chunk, ends, CAST(0 AS BIGINT) AS a, {cut.format("0")} AS b FROM e
+                      UNION ALL SELECT doc_id, chunk_index, chunk, ends, b, {cut.format("b")} FROM w WHERE b < length(chunk))
+                SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, a) - 1 AS INTEGER) AS chunk_index, piece AS chunk
+                FROM (SELECT doc_id, chunk_index, a, regexp_replace(substr(chunk, a + 1, b - a), '^\s+|\s+$', '', 'g') AS piece FROM w) WHERE piece <> ''"""
+
+
+over_documents("keyword_wrap", lambda: KeywordSplitter(_KEYWORDS, chunk_size=80), _wrap_sql(80))
+
+
 @query(
     "keyword_counts",
     r"""SELECT doc_id, CAST(len(list_filter(m, lambda x: x = 'the')) AS BIGINT) AS n_the, CAST(len(list_filter(m, lambda x: x <> 'the')) AS BIGINT) AS n_secret
@@ -176,9 +193,36 @@ def _nation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("key,name\n"), F.array_join(lines, "\n")).alias("text"))
 
 
-query("table_rows")(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_rows=3, chunk_overlap=1), key="n_regionkey", conversion_method="csv"))
-query("table_columns")(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_cols=1), key="n_regionkey", conversion_method="csv"))
-query("table_size")(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(chunk_size=120), key="n_regionkey", conversion_method="csv"))
+#: The cells of each region's table, its name column padded to the widest cell of a chunk, and its lines.
+_NATIONS = "SELECT n_regionkey, n_nationkey AS k, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation"
+
+
+def _table_rows_sql(size: int, overlap: int) -> str:
+    """Numbers to the right and names to the left, in columns two wider than their header at least."""
+    head = "'| ' || lpad('key', w, ' ') || ' | ' || rpad('name', v, ' ') || ' |' || chr(10) || '|' || repeat('-', w + 1) || ':|:' || repeat('-', v + 1) || '|'"
+    return f"""SELECT n_regionkey, CAST(c AS INTEGER) AS chunk_index, any_value({head}) || chr(10) || string_agg('| ' || lpad(CAST(k AS VARCHAR), w, ' ') || ' | ' || rpad(name, v, ' ') || ' |', chr(10) ORDER BY i) AS chunk
+               FROM (SELECT *, CAST(greatest(5, max(length(CAST(k AS VARCHAR))) OVER p) AS INTEGER) AS w, CAST(greatest(6, max(length(name)) OVER p) AS INTEGER) AS v
+                     FROM (SELECT *, unnest(range(0, 100)) AS c FROM ({_NATIONS})) WHERE i >= c * {size - overlap} AND i < c * {size - overlap} + {size} WINDOW p AS (PARTITION BY n_regionkey, c))
+               GROUP BY n_regionkey, c"""
+
+
+def _table_size_sql(size: int) -> str:
+    """Rows, each as wide as it needs, are added to a chunk as long as they fit under the header."""
+    head = "'| key   | name   |' || chr(10) || '|-------|--------|'"
+    return f"""WITH RECURSIVE r AS (SELECT n_regionkey, i, '| ' || lpad(CAST(k AS VARCHAR), 5, ' ') || ' | ' || rpad(name, CAST(greatest(6, length(name)) AS INTEGER), ' ') || ' |' AS line FROM ({_NATIONS})),
+               f AS (SELECT n_regionkey, i, 0 AS c, {head} || chr(10) || line AS chunk FROM r WHERE i = 0
+                     UNION ALL SELECT f.n_regionkey, r.i, CASE WHEN length(f.chunk) + 1 + length(r.line) <= {size} THEN c ELSE c + 1 END,
+                                      CASE WHEN length(f.chunk) + 1 + length(r.line) <= {size} THEN f.chunk ELSE {head} END || chr(10) || r.line
+                     FROM f JOIN r ON f.n_regionkey = r.n_regionkey AND r.i = f.i + 1)
+               SELECT n_regionkey, CAST(c AS INTEGER) AS chunk_index, arg_max(chunk, i) AS chunk FROM f GROUP BY n_regionkey, c"""
+
+
+_QUOTED = "string_agg(chr(39) || {} || chr(39), ', ' ORDER BY i)"
+_TABLE_COLUMNS_SQL = f"""SELECT n_regionkey, 0 AS chunk_index, '[[' || chr(39) || 'key' || chr(39) || ', ' || string_agg(k, ', ' ORDER BY i) || ']]' AS chunk FROM ({_NATIONS}) GROUP BY n_regionkey
+                         UNION ALL SELECT n_regionkey, 1, '[[' || chr(39) || 'name' || chr(39) || ', ' || {_QUOTED.format("name")} || ']]' FROM ({_NATIONS}) GROUP BY n_regionkey"""
+query("table_rows", _table_rows_sql(3, 1))(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_rows=3, chunk_overlap=1), key="n_regionkey", conversion_method="csv"))
+query("table_columns", _TABLE_COLUMNS_SQL)(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_cols=1), key="n_regionkey", conversion_method="csv"))
+query("table_size", _table_size_sql(120))(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(chunk_size=120), key="n_regionkey", conversion_method="csv"))
 
 # ---- Meaning ----
 
@@ -225,7 +269,37 @@ def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("semantic_split")(lambda spark, sf: chunks(table(spark, sf, "documents"), SemanticSplitter(HashedEmbedding(64), chunk_size=200)))
-query("embed_documents")(lambda spark, sf: table(spark, sf, "benchmark").select("item_id", F.transform(embed(F.col("text"), HashedEmbedding(16)), lambda x: F.round(x, 9)).alias("vector")))
+query("embed_documents")(lambda spark, sf: spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.transform(embed(F.col("text"), HashedEmbedding(64)), lambda x: F.round(x, 9)).alias("vector")))
+
+# ---- Pages of a PDF file: words with places, as a layout reader gives them ----
+
+_PAGE, _LINE, _TOLERANCE = 60, 6, 3.0
+#: Words in lines of _LINE and pages of _PAGE, with tops that differ within a line.
+_LAYOUT = rf"""SELECT item_id, text, n // {_PAGE} AS page, 12.0 * (n % {_PAGE} // {_LINE}) + (n % 3) * 0.4 AS top, 12.0 * (n % {_PAGE} // {_LINE}) + 10 AS bottom, 40.0 * (n % {_LINE}) AS x0
+              FROM (SELECT item_id, unnest(w) AS text, unnest(range(len(w))) AS n FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark))"""
+
+
+@query(
+    "pdf_pages",
+    rf"""WITH words AS ({_LAYOUT}),
+        lines AS (SELECT item_id, page, round_even(top / {_TOLERANCE}, 0) AS line, string_agg(text, ' ' ORDER BY x0, text) AS content, min(top) AS top, max(bottom) AS bottom FROM words GROUP BY 1, 2, 3),
+        outside AS (SELECT * FROM lines WHERE NOT (36 <= (top + bottom) / 2 AND (top + bottom) / 2 <= 58)),
+        blocks AS (SELECT item_id, page, top, content FROM outside UNION ALL SELECT DISTINCT item_id, page, 36.0, '[table]' FROM words),
+        pages AS (SELECT item_id, page, string_agg(content, chr(10) ORDER BY top, content) AS content FROM blocks GROUP BY 1, 2)
+        SELECT item_id, string_agg('<!-- page -->' || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY page) AS text FROM pages GROUP BY 1""",
+)
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to lines, lines outside a table of each page, and pages with their placeholder."""
+    place = F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("n", "word")
+    words = table(spark, sf_dir, "benchmark").select("item_id", place)
+    row = F.floor(F.col("n") % _PAGE / _LINE)
+    words = words.select("item_id", F.floor(F.col("n") / _PAGE).alias("page"), F.col("word").alias("text"), (12.0 * row + F.col("n") % 3 * 0.4).alias("top"), (12.0 * row + 10).alias("bottom"), (40.0 * (F.col("n") % _LINE)).alias("x0"))
+    keys = ("item_id", "page")
+    tables = words.select(*keys).distinct().select(*keys, F.lit(36.0).alias("top"), F.lit(58.0).alias("bottom"), F.lit("[table]").alias("content"))
+    lines = lines_outside_tables(lines_from_words(words, _TOLERANCE, keys), tables, keys)
+    blocks = lines.select(*keys, "top", "content").unionByName(tables.select(*keys, "top", "content"))
+    return assemble_pages(blocks, keys=("item_id",)).select("item_id", "text")
+
 
 # ---- Chunks as a table ----
 
@@ -255,12 +329,29 @@ def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 over_documents("recursive_split", lambda: RecursiveCharacterSplitter(800, 80))
 over_documents("token_split", lambda: TokenSplitter(200, "regex/words"))
+
+
+@query("token_split_bpe")
+def token_split_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths in tokens of a byte-level vocabulary, whose file of ranks is a parameter of the backend."""
+    import public_tokenizers
+
+    return chunks(table(spark, sf_dir, "documents"), TokenSplitter(200, f"tiktoken/{public_tokenizers.path('byte_bpe_50k.tiktoken')}"))
+
+
 over_documents("code_split", lambda: CodeSplitter(600, "python"))
 query("header_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HeaderSplitter(1000, ["Header 1", "Header 2"]), text="html", key="page_id"))
 query("html_tag_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HTMLTagSplitter(600, "p"), text="html", key="page_id"))
 query("html_auto_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HTMLTagSplitter(), text="html", key="page_id"))
 query("html_to_markdown")(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_to_markdown(F.col("html")).alias("markdown")))
-query("html_auto_tag")(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_auto_tag(F.col("html")).alias("tag")))
+#: The body's tags in order; how deep each begins; the most frequent, of these the shallowest, of these the first.
+_AUTO_TAG = """WITH t AS (SELECT page_id, unnest(m) AS tag, unnest(range(len(m))) AS n
+                        FROM (SELECT page_id, regexp_extract_all(substr(html, strpos(html, '<body') + 5), '</?[a-z][a-z0-9]*') AS m FROM pages)),
+               d AS (SELECT page_id, n, regexp_replace(tag, '[</]+', '') AS tag, tag LIKE '</%' AS closes,
+                            sum(CASE WHEN tag LIKE '</%' THEN -1 WHEN tag IN ('<br', '<hr', '<img', '<input', '<meta', '<link') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) AS depth FROM t),
+               c AS (SELECT page_id, tag, count(*) AS times, min(depth) AS depth, min(n) AS n FROM d WHERE NOT closes GROUP BY page_id, tag)
+               SELECT page_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY times DESC, depth, n) AS place FROM c) WHERE place = 1"""
+query("html_auto_tag", _AUTO_TAG)(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_auto_tag(F.col("html")).alias("tag")))
 # Every object of this table fits one chunk.
 query("json_split", "SELECT event_id, 0 AS chunk_index, props AS chunk FROM events WHERE props IS NOT NULL")(lambda spark, sf: chunks(table(spark, sf, "events").where("props IS NOT NULL"), RecursiveJSONSplitter(100, 20), text="props", key="event_id"))
 
