@@ -205,10 +205,32 @@ def duplicate_lines(docs: DataFrame, min_block: int = 10, id_col: str = "doc_id"
     return out.select("row", "doc_id", F.size("n").cast("long").alias("n_lines"), "n_words", gone.alias("gone"), "n_words_gone", F.coalesce("n_moved", F.lit(0)).cast("long").alias("n_moved"))
 
 
+#: The report for DuckDB, over the table `documents`: copies of whole sequences of lines, and runs of lines that just reach
+#: ten words and that a document with a smaller id has.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+                  list_filter(list_transform(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)),
+                                             lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+')), lambda x: len(x) > 0) AS lines FROM documents),
+w AS (SELECT *, min(r) OVER (PARTITION BY lines) < r AND len(lines) > 0 AS copied FROM d),
+l AS (SELECT r, unnest(range(1, len(lines) + 1)) AS k, unnest(list_transform(lines, lambda x: len(x))) AS n FROM w WHERE NOT copied),
+c AS (SELECT r, k, n, sum(n) OVER (PARTITION BY r ORDER BY k) AS upto FROM l),
+runs AS (SELECT a.r, a.k AS i, b.k AS j FROM c a JOIN c b ON a.r = b.r AND b.k BETWEEN a.k AND a.k + 9
+         WHERE b.upto - a.upto + a.n >= 10 AND (b.upto - a.upto + a.n - b.n < 10 OR b.upto - a.upto < 10)),
+named AS (SELECT runs.r, i, j, list_transform(lines[i : j], lambda x: array_to_string(x, ' ')) AS run FROM runs JOIN w USING (r)),
+later AS (SELECT r, i, j FROM (SELECT r, i, j, min(r) OVER (PARTITION BY run) AS owner FROM named) WHERE owner < r),
+gone AS (SELECT DISTINCT r, unnest(range(i, j + 1)) AS k FROM later),
+lost AS (SELECT r, count(*) AS m, sum(n) AS words FROM gone JOIN l USING (r, k) GROUP BY r),
+t AS (SELECT doc_id, len(lines) AS n_lines, len(flatten(lines)) AS n_words, copied, coalesce(m, 0) AS m, coalesce(words, 0) AS words FROM w LEFT JOIN lost USING (r)),
+u AS (SELECT doc_id, n_lines, CASE WHEN copied THEN n_lines ELSE m END AS n_lines_gone, n_words, CASE WHEN copied THEN n_words ELSE words END AS n_words_gone FROM t)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines_gone AS BIGINT) AS n_lines_gone, CAST(n_words AS BIGINT) AS n_words,
+       CAST(n_words_gone AS BIGINT) AS n_words_gone, n_words = 0 OR n_words_gone < n_words AS kept FROM u
+"""
+
+
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_lines_gone, n_words, n_words_gone, n_moved, kept (words are left, or there were none)."""
+    """doc_id, n_lines, n_lines_gone, n_words, n_words_gone, kept (words are left, or there were none)."""
     d = duplicate_lines(docs)
-    return d.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_lines_gone"), "n_words", "n_words_gone", "n_moved", ((F.col("n_words") == 0) | (F.col("n_words_gone") < F.col("n_words"))).alias("kept"))
+    return d.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_lines_gone"), "n_words", "n_words_gone", ((F.col("n_words") == 0) | (F.col("n_words_gone") < F.col("n_words"))).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

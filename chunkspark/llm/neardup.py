@@ -150,6 +150,20 @@ def linked(sets: list[np.ndarray], signs: np.ndarray, limit: int, percent: int,
     return out
 
 
+#: The same for DuckDB at a similarity of 0.85, over the table `documents`: all pairs of texts that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(words[i : i + 4], ' ') AS g FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY x.r, y.r)
+          JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS x FROM w UNION SELECT reach.r, edges.b FROM reach JOIN edges ON reach.x = edges.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (r) JOIN (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN w ON reach.x = w.r GROUP BY reach.r) USING (r)
+"""
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; a component's smallest id is kept."""
     return near_rows(docs, similarity, width, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")

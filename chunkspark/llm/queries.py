@@ -10,14 +10,17 @@ from ..functions.layout import spread
 from .common import session_ready, table
 from .graph_search import nearest_of_hundredths
 from .lengths import length_report
+from .linedup import SQL as LINE_SQL
 from .linedup import line_report
 from .mixing import mix_sources
+from .neardup import SQL as NEAR_SQL
 from .neardup import near_duplicates
 from .pieces import piece_report
 from .ppm import language_scores
 from .rules import SQL as RULES_SQL
 from .rules import quality_rules
-from .secrets import secret_report
+from .secrets import secret_report, sql as secret_sql
+from .suffixes import SQL as REPEAT_SQL
 from .suffixes import repeat_report
 
 #: A small table is dealt out to all cores by its key; a large one is read as it lies.
@@ -46,7 +49,7 @@ over("op3_piece_encoding", "documents")(piece_report)
 over("op4_language_scores", "documents")(language_scores)
 over("op5_quality_rules", "documents", RULES_SQL)(quality_rules)
 over("op6_length_histogram", "documents")(length_report)
-over("op7_repeated_strings", "documents")(repeat_report)
-over("op8_near_duplicates", "documents")(lambda docs: near_duplicates(docs, similarity=0.85))
-over("op9_line_dedup", "documents")(line_report)
-over("op10_secret_scan", "documents")(secret_report)
+over("op7_repeated_strings", "documents", REPEAT_SQL)(repeat_report)
+over("op8_near_duplicates", "documents", NEAR_SQL)(lambda docs: near_duplicates(docs, similarity=0.85))
+over("op9_line_dedup", "documents", LINE_SQL)(line_report)
+over("op10_secret_scan", "documents", secret_sql())(secret_report)

@@ -509,6 +509,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "text_bytes", "n_bytes", "n_removed", "spans")
 
 
+#: The same for DuckDB, over the table `documents`: every window by its hash, the later ones united to runs.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, i, md5_number(CAST(array_slice(b, i + 1, i + 100) AS VARCHAR)) AS g FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z
+         FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+               FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY doc_id, run),
+s AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS begins, list(z ORDER BY a) AS ends FROM runs GROUP BY doc_id),
+kept AS (SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         CASE WHEN s.doc_id IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda k: hex(array_slice(b, CASE WHEN k = 0 THEN 1 ELSE ends[k] + 1 END, CASE WHEN k = n_spans THEN octet_length(b) ELSE begins[k + 1] END))), '') END AS kept
+         FROM d LEFT JOIN s USING (doc_id))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM kept
+"""
+
+
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text_bytes", 256).alias("kept_sha256"))
