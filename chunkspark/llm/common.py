@@ -32,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def session_ready(spark: SparkSession) -> None:
-    """Small Arrow batches (texts can be long) and a checkpoint folder; a folder the cluster names is kept."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """Small Arrow batches, as texts can be long, unless the session sets their size itself; and a checkpoint folder, where
+    the cluster names none."""
+    given = spark.conf.getAll
+    for key, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}.items():
+        if key not in given:
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):

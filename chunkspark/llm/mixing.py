@@ -10,7 +10,7 @@ most, meets in the next level's blocks, and only the last level lands: there the
 two documents at most, small ones, are settled by chance.
 
 Null text has no words; documents without words are never taken. Null sources form one source, the last.
-Repeated ids are separate units. An empty table gives an empty result. Decisions depend only on the rows and the
+Rows with repeated ids, or without one, are separate units, told apart by a hash of the text. An empty table gives an empty result. Decisions depend only on the rows and the
 seed, so reruns agree.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, session_ready, text_or_empty
+from .common import WORD, session_ready, text_or_empty, written
 
 BLOCK = 2048
 LEVELS = 3
@@ -105,22 +105,27 @@ def targets(sources: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1,
 
 def mix_sources(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (words) for each row of `docs` (doc_id, text, source)."""
+    return mixed_units(docs, cap, weights, seed).drop("row")
+
+
+def mixed_units(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """The same with row, a hash of the text: rows of one id, or without one, are told apart by it."""
     session_ready(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sized = docs.select("doc_id", "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")).checkpoint()
+    sized = docs.select("doc_id", F.xxhash64("text").alias("row"), "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")).checkpoint()
     goal = targets(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), cap, weights)
     # As many rows as there are sources; Spark broadcasts them if they turn out small.
     rated = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    units = rated.select("doc_id", "source", "size", "source_size", "target", "n_docs", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
+    units = rated.select("doc_id", "row", "source", "size", "source_size", "target", "n_docs", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
     units = units.select("*", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("prob")).drop("rate")
-    schema = f"doc_id {id_type}, source string, size long, source_size long, target double, n_docs long, whole long, prob double"
+    schema = f"doc_id {id_type}, row long, source string, size long, source_size long, target double, n_docs long, whole long, prob double"
     open_ = (F.col("prob") > 1e-9) & (F.col("prob") < 1 - 1e-9)
     columns = [c.split(" ")[0] for c in schema.split(", ")]
 
     def settle(level: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+            rows = rows.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
             chance = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}|{level}|{key!r}".encode())))
             rows["prob"] = flight(rows["prob"].tolist(), rows["size"].astype(float).tolist(), chance, level == LEVELS - 1)
             return rows[columns]
@@ -132,7 +137,7 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1
     for level in range(LEVELS):
         # A block's documents shrink to two at most, so each level needs BLOCK / 2 times fewer blocks.
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / (BLOCK * (BLOCK / 2) ** level))) if level < LEVELS - 1 else F.lit(1)
-        left = left.select(*columns, F.pmod(F.xxhash64("doc_id", F.lit(level)), blocks).alias("block")).groupBy("source", "block").applyInPandas(settle(level), schema)
+        left = left.select(*columns, F.pmod(F.xxhash64("doc_id", "row", F.lit(level)), blocks).alias("block")).groupBy("source", "block").applyInPandas(settle(level), schema)
         if level < LEVELS - 1:
             left = left.checkpoint()
             done.append(left.where(~open_))
@@ -143,15 +148,20 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.round("prob")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "row", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, each as many times as it is taken."""
-    n = "__mix_occurrence"
-    order = lambda size: Window.partitionBy("doc_id", "source").orderBy(size)
-    mixed = mix_sources(docs, **options)
-    taken = mixed.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"), F.row_number().over(order("size")).alias("__mix_n")).where("__mix_copies > 0")
-    numbered = docs.withColumn(n, F.row_number().over(order(F.regexp_count(text_or_empty("text"), F.lit(WORD)))))
-    same = numbered["doc_id"].eqNullSafe(taken["__mix_id"]) & numbered["source"].eqNullSafe(taken["__mix_source"]) & (numbered[n] == taken["__mix_n"])
-    return numbered.join(taken, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies"))).select(*[f"`{c}`" for c in docs.columns])
+    # Rows of one id, source and text are the same: together they are taken as often as all of them.
+    keys = {"__mix_id": F.col("doc_id"), "__mix_source": F.col("source"), "__mix_row": F.col("row")}
+    units = mixed_units(docs, **options).groupBy(*[c.alias(name) for name, c in keys.items()])
+    taken = written(units.agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_m")).where("__mix_copies > 0"))
+    keyed = docs.withColumn("__mix_key", F.xxhash64("text"))
+    same = (keyed["__mix_key"] == taken["__mix_row"]) & keyed["doc_id"].eqNullSafe(taken["__mix_id"]) & keyed["source"].eqNullSafe(taken["__mix_source"])
+    found = keyed.join(taken.hint("shuffle_hash"), same).withColumn("__mix_n", F.lit(1))
+    if not taken.where("__mix_m > 1").isEmpty():
+        # Which of the equal rows has which number makes no difference to their texts.
+        found = found.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_key", "doc_id", "source").orderBy(F.lit(1))))
+    times = F.expr("__mix_copies DIV __mix_m + CAST(__mix_n <= __mix_copies % __mix_m AS BIGINT)")
+    return found.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(times > 0, times)))).select(*[f"`{c}`" for c in docs.columns])

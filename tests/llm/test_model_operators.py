@@ -165,7 +165,7 @@ def test_flight_keeps_probabilities():
 
 
 def test_mixed_documents(spark):
-    rows = [(i, "w " * (1 + i % 5), "a" if i % 9 else "b") for i in range(60)] + [(3, "other words here", "a")]
+    rows = [(i, "w " * (1 + i % 5), "a" if i % 9 else "b") for i in range(60)] + [(3, "other words here", "a")] + [(7, "w w w", "a")] * 4 + [(None, f"n {i % 3}", "b") for i in range(12)]
     docs = frame(spark, rows)
     copies = collections.Counter()
     for r in mixing.mix_sources(docs).collect():
