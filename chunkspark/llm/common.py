@@ -166,8 +166,8 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-#: Edges of a task that are united at once.
-UNITED = 2_000_000
+#: Edges of a task that are united at once; a graph of no more is settled by one task.
+UNITED = 1_000_000
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +213,18 @@ def connected(edges: DataFrame, rounds: int = 60, most: int = UNITED) -> DataFra
     round, and the tables of the round before are deleted; the driver only learns whether there is more to do.
     """
 
-    def united(pairs: DataFrame) -> DataFrame:
-        return written(pairs.where("u <> v").distinct().mapInArrow(lambda batches: _united(batches, most), "u long, v long"))
+    def united(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """The edges after each task has united its own, and whether that was one task."""
+        once = written(pairs.where("u <> v").distinct())
+        tasks = max(1, -(-once.count() // most))
+        out = written(once.coalesce(tasks).mapInArrow(lambda batches: _united(batches, most), "u long, v long"))
+        forget(once)
+        return out, tasks == 1
 
-    e = united(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    e, settled = united(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(rounds):
+        if settled:
+            break
         # Done when each node has one edge, and a node that others lead to has none.
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leads"), F.lit(0).alias("led")).union(e.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("leads").alias("leads"), F.max("led").alias("led")).where("leads + led > 1").isEmpty():
@@ -230,7 +237,8 @@ def connected(edges: DataFrame, rounds: int = 60, most: int = UNITED) -> DataFra
         # Small star: a node and its smaller neighbours move to the smallest of them.
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        old, e = (e, low, large, least), united(small)
+        old = (e, low, large, least)
+        e, settled = united(small)
         for table_ in old:
             forget(table_)
     else:
