@@ -206,7 +206,9 @@ def shard_number(distinct: int) -> int:
     return max(1, min(-(-distinct // LEAST), MANY), -(-distinct // MOST))
 
 
-def search(candidates: DataFrame, queries: DataFrame, k: int = 10, width: int = 96, degree: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(
+    candidates: DataFrame, queries: DataFrame, k: int = 10, width: int = 96, degree: int = 16, id_col: str = "vec_id", vector_col: str = "embedding",
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest candidates found for each query, without those of the query's own id.
 
     width: nodes that a search of a shard of LEAST vectors holds, more with the root of a shard's size; degree: links of a
@@ -225,7 +227,16 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, width: int =
     # The limit is taken in each task first, so a vector that many rows have is no group of many rows.
     least = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     copy = F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))
-    nodes = rows.where(F.size("v") == dim).withColumn("n", least).where(F.col("n") <= k + 1).withColumn("m", copy).where(F.col("m") <= k).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).checkpoint()
+    nodes = (
+        rows.where(F.size("v") == dim)
+        .withColumn("n", least)
+        .where(F.col("n") <= k + 1)
+        .withColumn("m", copy)
+        .where(F.col("m") <= k)
+        .groupBy("v")
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        .checkpoint()
+    )
     distinct = nodes.count()
     shards = shard_number(distinct)
     held = max(k + 1, round(width * math.sqrt(max(1.0, distinct / shards / LEAST))))
@@ -285,7 +296,9 @@ def _answers(row: dict, asked: np.ndarray, vectors: np.ndarray, k: int, width: i
         by = by[own[by] != asked[q]][:k]
         out.append((np.full(len(by), asked[q]), own[by], score[by]))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"],
+    )
 
 
 def nearest_of_hundredths(vectors: DataFrame) -> DataFrame:

@@ -112,13 +112,28 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    blocks = blocks.select("block", F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("bd"), F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("bt"), F.sum("bd").over(whole).alias("all_docs"), F.sum("bt").over(whole).alias("all_tokens"))
+    blocks = blocks.select(
+        "block",
+        F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("bd"),
+        F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("bt"),
+        F.sum("bd").over(whole).alias("all_docs"),
+        F.sum("bt").over(whole).alias("all_tokens"),
+    )
     above = Window.partitionBy("block").orderBy(F.desc("limit")).rowsBetween(Window.unboundedPreceding, -1)
     h = counted.join(blocks, "block")
     h = h.withColumn("docs_above", F.col("bd") + F.coalesce(F.sum("n_docs").over(above), F.lit(0)))
     h = h.withColumn("tokens_above", F.col("bt") + F.coalesce(F.sum("n_tokens").over(above), F.lit(0)))
     within = F.col("all_docs") - F.col("docs_above")
-    return h.select("limit", "n_docs", "n_tokens", within.alias("docs_within"), "docs_above", "tokens_above", (F.col("all_tokens") - F.col("tokens_above") + F.col("docs_above") * F.col("limit")).alias("truncated_total"), (within / F.col("all_docs")).alias("quantile"))
+    return h.select(
+        "limit",
+        "n_docs",
+        "n_tokens",
+        within.alias("docs_within"),
+        "docs_above",
+        "tokens_above",
+        (F.col("all_tokens") - F.col("tokens_above") + F.col("docs_above") * F.col("limit")).alias("truncated_total"),
+        (within / F.col("all_docs")).alias("quantile"),
+    )
 
 
 def totals_at(histogram: DataFrame, limit: int) -> DataFrame:

@@ -137,12 +137,24 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             begin, end = begin[by], end[by]
             whole, run, more = sequence_names(line, at), *(spans_of(x, begin, end) for x in (line, mix(line ^ OTHER)))
             shared = pa.StructArray.from_arrays(
-                [pa.array(run.view(np.int64)), pa.array(more.astype(np.uint32).view(np.int32)), pa.array((begin - np.repeat(at[:-1], np.diff(np.searchsorted(begin, at)))).astype(np.int32)), pa.array((end - begin).astype(np.int32))],
+                [
+                    pa.array(run.view(np.int64)),
+                    pa.array(more.astype(np.uint32).view(np.int32)),
+                    pa.array((begin - np.repeat(at[:-1], np.diff(np.searchsorted(begin, at)))).astype(np.int32)),
+                    pa.array((end - begin).astype(np.int32)),
+                ],
                 names=["run", "more", "at", "size"],
             )
             lists = lambda values, where=at: pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), whole, lists(pa.array(n)), lists(pa.array(number[have].astype(np.int32))), lists(shared, np.searchsorted(begin, at))],
+                [
+                    batch.column(0).slice(i, j - i),
+                    batch.column(1).slice(i, j - i),
+                    whole,
+                    lists(pa.array(n)),
+                    lists(pa.array(number[have].astype(np.int32))),
+                    lists(shared, np.searchsorted(begin, at)),
+                ],
                 names=["row", "doc_id", "whole", "n", "place", "runs"],
             )
     release()
@@ -172,7 +184,10 @@ def duplicate_lines(docs: DataFrame, min_block: int = 10, id_col: str = "doc_id"
     id_type = docs.schema[id_col].dataType.simpleString()
     least = max(1, min_block)
     source = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lined = source.mapInArrow(lambda batches: _lines(batches, least), f"row long, doc_id {id_type}, whole binary, n array<int>, place array<int>, runs array<struct<run:long,more:int,at:int,size:int>>")
+    lined = source.mapInArrow(
+        lambda batches: _lines(batches, least),
+        f"row long, doc_id {id_type}, whole binary, n array<int>, place array<int>, runs array<struct<run:long,more:int,at:int,size:int>>",
+    )
     # What is found for a hash is written before it is joined: the sums then begin in each task, and Spark can split a
     # hash that many rows share.
     # Order: by id, then by row for repeated ids; the smallest of equal sequences is the one that stays.
@@ -180,7 +195,13 @@ def duplicate_lines(docs: DataFrame, min_block: int = 10, id_col: str = "doc_id"
     firsts = lined.where("whole IS NOT NULL").groupBy("whole").agg(F.min("key").alias("first")).checkpoint()
     judged = lined.drop("runs").join(firsts, "whole", "left").withColumn("copy", F.coalesce(F.col("key") != F.col("first"), F.lit(False)))
     alone = lined.join(firsts, "whole").where(F.col("key") == F.col("first")).select("key", F.inline("runs"))
-    owner = alone.groupBy("run", "more").agg(F.min(F.struct("key", "at")).alias("o"), F.count("*").alias("times")).where("times > 1").select("run", "more", F.col("o.key").alias("owner"), F.col("o.at").alias("owner_at")).checkpoint()
+    owner = (
+        alone.groupBy("run", "more")
+        .agg(F.min(F.struct("key", "at")).alias("o"), F.count("*").alias("times"))
+        .where("times > 1")
+        .select("run", "more", F.col("o.key").alias("owner"), F.col("o.at").alias("owner_at"))
+        .checkpoint()
+    )
     common = alone.join(owner, ["run", "more"]).where("key > owner")
     met = common.groupBy("key", "owner").agg(F.collect_list(F.struct("run", "at", "size", "owner_at")).alias("common"))
 
@@ -196,13 +217,29 @@ def duplicate_lines(docs: DataFrame, min_block: int = 10, id_col: str = "doc_id"
 
     cut = met.select("key", "common").mapInArrow(align, f"key struct<doc_id:{id_type},row:bigint>, lines array<struct<g:int,m:boolean>>")
     # A line is moved if no pair aligns it.
-    cut = cut.select("key", F.inline("lines")).groupBy("key", "g").agg(F.min("m").alias("m")).groupBy("key").agg(F.sort_array(F.collect_list("g")).alias("gone"), F.count(F.when(F.col("m"), 1)).alias("n_moved"))
+    cut = (
+        cut.select("key", F.inline("lines"))
+        .groupBy("key", "g")
+        .agg(F.min("m").alias("m"))
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list("g")).alias("gone"), F.count(F.when(F.col("m"), 1)).alias("n_moved"))
+    )
     out = judged.join(cut, "key", "left")
     out = out.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-    out = out.withColumn("n_words", total(F.col("n"))).withColumn("n_words_gone", F.when(F.col("copy"), F.col("n_words")).otherwise(total(F.transform("gone", lambda g: F.get("n", g)))))
+    out = out.withColumn("n_words", total(F.col("n"))).withColumn(
+        "n_words_gone", F.when(F.col("copy"), F.col("n_words")).otherwise(total(F.transform("gone", lambda g: F.get("n", g)))),
+    )
     gone = F.when(F.col("copy"), F.col("place")).otherwise(F.transform("gone", lambda g: F.get("place", g)))
-    return out.select("row", "doc_id", F.size("n").cast("long").alias("n_lines"), "n_words", gone.alias("gone"), "n_words_gone", F.coalesce("n_moved", F.lit(0)).cast("long").alias("n_moved"))
+    return out.select(
+        "row",
+        "doc_id",
+        F.size("n").cast("long").alias("n_lines"),
+        "n_words",
+        gone.alias("gone"),
+        "n_words_gone",
+        F.coalesce("n_moved", F.lit(0)).cast("long").alias("n_moved"),
+    )
 
 
 #: The report for DuckDB, over the table `documents`: copies of whole sequences of lines, and runs of lines that just reach
@@ -230,15 +267,37 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines_gone AS BIGINT)
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_lines_gone, n_words, n_words_gone, kept (words are left, or there were none)."""
     d = duplicate_lines(docs)
-    return d.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_lines_gone"), "n_words", "n_words_gone", ((F.col("n_words") == 0) | (F.col("n_words_gone") < F.col("n_words"))).alias("kept"))
+    return d.select(
+        "doc_id",
+        "n_lines",
+        F.size("gone").cast("long").alias("n_lines_gone"),
+        "n_words",
+        "n_words_gone",
+        ((F.col("n_words") == 0) | (F.col("n_words_gone") < F.col("n_words"))).alias("kept"),
+    )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with all their columns, without the deleted lines, and without documents that lost all words."""
     found = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options)
-    lost = found.where(F.size("gone") > 0).select(F.col("row").alias("__linedup_row"), F.col("doc_id").alias("__linedup_id"), F.col("gone").alias("__linedup_gone"), (F.col("n_words_gone") >= F.col("n_words")).alias("__linedup_all")).dropDuplicates(["__linedup_row", "__linedup_id"])
+    lost = (
+        found.where(F.size("gone") > 0)
+        .select(
+            F.col("row").alias("__linedup_row"),
+            F.col("doc_id").alias("__linedup_id"),
+            F.col("gone").alias("__linedup_gone"),
+            (F.col("n_words_gone") >= F.col("n_words")).alias("__linedup_all"),
+        )
+        .dropDuplicates(["__linedup_row", "__linedup_id"])
+    )
     same = (F.col("__linedup_key") == F.col("__linedup_row")) & F.col(id_col).eqNullSafe(F.col("__linedup_id"))
-    d = docs.withColumn("__linedup_key", F.xxhash64(id_col, text_col)).join(lost.hint("shuffle_hash"), same, "left").where("__linedup_all IS NULL OR NOT __linedup_all")
+    d = (
+        docs.withColumn("__linedup_key", F.xxhash64(id_col, text_col))
+        .join(lost.hint("shuffle_hash"), same, "left")
+        .where("__linedup_all IS NULL OR NOT __linedup_all")
+    )
     split = F.split(text_col, "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__linedup_gone"), lambda i: F.get(split, i))
-    return d.withColumn(text_col, F.when(F.col("__linedup_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))).select(*[f"`{c}`" for c in docs.columns])
+    return d.withColumn(
+        text_col, F.when(F.col("__linedup_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col)),
+    ).select(*[f"`{c}`" for c in docs.columns])

@@ -100,7 +100,13 @@ def targets(sources: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1,
     s = s.withColumn("rest", F.sum("weight").over(every.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("level", (F.sum("source_size").over(whole) - F.col("filled")) / F.col("rest"))
     s = s.withColumn("level", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(whole)["level"])
-    return s.select("source", "n_docs", "source_size", "weight", F.coalesce(F.least(cap * F.col("source_size"), F.col("level") * F.col("weight")), cap * F.col("source_size")).cast("double").alias("target"))
+    return s.select(
+        "source",
+        "n_docs",
+        "source_size",
+        "weight",
+        F.coalesce(F.least(cap * F.col("source_size"), F.col("level") * F.col("weight")), cap * F.col("source_size")).cast("double").alias("target"),
+    )
 
 
 def mix_sources(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1, 2, 3), seed: int = 7) -> DataFrame:
@@ -112,7 +118,9 @@ def mixed_units(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1
     """The same with row, a hash of the text: rows of one id, or without one, are told apart by it."""
     session_ready(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sized = docs.select("doc_id", F.xxhash64("text").alias("row"), "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")).checkpoint()
+    sized = docs.select(
+        "doc_id", F.xxhash64("text").alias("row"), "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size"),
+    ).checkpoint()
     goal = targets(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), cap, weights)
     # As many rows as there are sources; Spark broadcasts them if they turn out small.
     rated = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
@@ -137,7 +145,11 @@ def mixed_units(docs: DataFrame, cap: float = 3.0, weights: Iterable[float] = (1
     for level in range(LEVELS):
         # A block's documents shrink to two at most, so each level needs BLOCK / 2 times fewer blocks.
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / (BLOCK * (BLOCK / 2) ** level))) if level < LEVELS - 1 else F.lit(1)
-        left = left.select(*columns, F.pmod(F.xxhash64("doc_id", "row", F.lit(level)), blocks).alias("block")).groupBy("source", "block").applyInPandas(settle(level), schema)
+        left = (
+            left.select(*columns, F.pmod(F.xxhash64("doc_id", "row", F.lit(level)), blocks).alias("block"))
+            .groupBy("source", "block")
+            .applyInPandas(settle(level), schema)
+        )
         if level < LEVELS - 1:
             left = left.checkpoint()
             done.append(left.where(~open_))

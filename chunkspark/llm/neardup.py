@@ -204,7 +204,13 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
                         marks[k] = s.tobytes()
                         names[k] = set_name(sets[k])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(marks, pa.binary())],
+                    [
+                        batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(names, pa.binary()),
+                        pa.array(marks, pa.binary()),
+                    ],
                     names=["doc_id", "row", "n_shingles", "name", "sign"],
                 )
         release()
@@ -212,7 +218,11 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     signed = written(source.mapInArrow(sign, "doc_id long, row long, n_shingles long, name binary, sign binary"))
     # A class is named by a number, `rep`, which is written here once; least: its smallest id; some row stands for it.
-    classes = signed.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("at"), F.first("sign").alias("sign"))
+    classes = (
+        signed.where("name IS NOT NULL")
+        .groupBy("name")
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("at"), F.first("sign").alias("sign"))
+    )
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +231,10 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
                 continue
             signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), SLOTS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys(signs).reshape(-1).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["key", "rep", "sign"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys(signs).reshape(-1).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)],
+                names=["key", "rep", "sign"],
+            )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges (a, b) of the keys' forests; or, for a key with too many rows, its rows with their blocks."""
@@ -245,7 +258,13 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
             a, b = zip(*found, strict=True) if found else ((), ())
             key, rep, sign, at = zip(*passed, strict=True) if passed else ((), (), (), ())
             none = [None] * len(key)
-            columns = [pa.array([*a, *rep], pa.int64()), pa.array([*b, *none], pa.int64()), pa.array([*[None] * len(a), *key], pa.int64()), pa.array([*[None] * len(a), *sign], pa.binary()), pa.array([*[None] * len(a), *at], pa.int32())]
+            columns = [
+                pa.array([*a, *rep], pa.int64()),
+                pa.array([*b, *none], pa.int64()),
+                pa.array([*[None] * len(a), *key], pa.int64()),
+                pa.array([*[None] * len(a), *sign], pa.binary()),
+                pa.array([*[None] * len(a), *at], pa.int32()),
+            ]
             found.clear()
             passed.clear()
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "sign", "block"])
@@ -288,13 +307,23 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
     other = F.explode(F.sequence(F.lit(0), "last")).alias("other")
     pairs = crowded.join(last, "key").select("a", "sign", "key", "block", other).where("block <> other")
     pairs = pairs.select("a", "sign", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    near = met.where("b IS NOT NULL").select("a", "b").unionByName(pairs.groupBy("key", "x", "y").applyInPandas(lambda key, rows: meet_blocks(rows), "a long, b long")).distinct()
+    near = (
+        met.where("b IS NOT NULL")
+        .select("a", "b")
+        .unionByName(pairs.groupBy("key", "x", "y").applyInPandas(lambda key, rows: meet_blocks(rows), "a long, b long"))
+        .distinct()
+    )
     groups = connected(near).withColumnsRenamed({"node": "rep", "root": "grp"})
 
     # The members' sets meet by coarse group.
     count = groups.groupBy("grp").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = groups.join(count, "grp").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).join(classes.select("rep", "name", "at"), "rep")
+    placed = (
+        groups.join(count, "grp")
+        .withColumn("parts", parts)
+        .withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+        .join(classes.select("rep", "name", "at"), "rep")
+    )
     placed = written(placed)
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
@@ -315,7 +344,9 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
     def meet_texts(members: DataFrame) -> DataFrame:
         """Edges among the members (rep, name, at, label) that have equal grp, x and y."""
         at = members.select("grp", "x", "y", "rep", "name", "label", F.col("at.doc_id").alias("at_id"), F.col("at.row").alias("at_row"))
-        texts = source.join(at, (F.col("row") == F.col("at_row")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("grp", "x", "y", "rep", "name", "label", "text")
+        texts = source.join(
+            at, (F.col("row") == F.col("at_row")) & F.col("doc_id").eqNullSafe(F.col("at_id")),
+        ).select("grp", "x", "y", "rep", "name", "label", "text")
         # A fixed number of partitions: these tasks compute more than they read, and should not be put together.
         texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "x", "y")
         return texts.groupBy("grp", "x", "y").applyInPandas(confirm, "a long, b long")
@@ -326,7 +357,9 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
     links = written(meet_texts(own.unionByName(pivots).withColumn("label", F.col("rep"))))
     large = placed.where("parts > 1")
     if not large.isEmpty():
-        labelled = large.join(connected(links).withColumnsRenamed({"node": "rep", "root": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        labelled = large.join(
+            connected(links).withColumnsRenamed({"node": "rep", "root": "label"}), "rep", "left",
+        ).withColumn("label", F.coalesce("label", "rep"))
         size = labelled.groupBy("grp", "label").agg(F.count("*").alias("m"))
         most = size.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
         labelled = labelled.join(most, "grp").withColumn("rests", F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")).where("rests > 0")
@@ -335,10 +368,19 @@ def near_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col:
         every = lambda low, high: F.explode(F.sequence(low, high))
         rest_main = rest.withColumn("y", every(F.lit(0), F.col("parts") - 1))
         main = labelled.where("label = main").withColumn("y", F.col("part")).withColumn("x", every(F.lit(0), F.col("rests") - 1))
-        other = rest.withColumn("z", every(F.lit(0), F.col("rests") - 1)).withColumn("y", -1 - F.greatest("x", "z")).withColumn("x", F.least("x", "z")).drop("z")
+        other = (
+            rest.withColumn("z", every(F.lit(0), F.col("rests") - 1))
+            .withColumn("y", -1 - F.greatest("x", "z"))
+            .withColumn("x", F.least("x", "z"))
+            .drop("z")
+        )
         links = written(links.unionByName(meet_texts(rest_main.unionByName(main, allowMissingColumns=True).unionByName(other))))
     # Each class gets its component: the number of a class of it, its smallest id, and the row that comes first in it.
-    member = classes.join(connected(links).withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("name", "root")
+    member = (
+        classes.join(connected(links).withColumnsRenamed({"node": "rep"}), "rep", "left")
+        .withColumn("root", F.coalesce("root", "rep"))
+        .select("name", "root")
+    )
     rows = signed.where("name IS NOT NULL").select("doc_id", "row", "n_shingles", "name").join(member, "name").drop("name")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     heads = rows.groupBy("root").agg(F.min(place).alias("head")).select(F.col("root").alias("component"), "head")

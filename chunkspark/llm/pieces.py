@@ -420,4 +420,11 @@ def piece_report(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
             pa.array([segmenter.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
         ]
 
-    return _segmented(docs, vocabulary or Vocabulary.load(default_vocabulary()), "doc_id", "text", make, "n_pieces long, n_byte_pieces long, score double, ids_sha256 string, round_trip boolean")
+    return _segmented(
+        docs,
+        vocabulary or Vocabulary.load(default_vocabulary()),
+        "doc_id",
+        "text",
+        make,
+        "n_pieces long, n_byte_pieces long, score double, ids_sha256 string, round_trip boolean",
+    )

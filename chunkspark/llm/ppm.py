@@ -128,7 +128,9 @@ class Trie:
                     rest = rest_total + rest_kinds
                     rest_loose = looses[shorter] - kind
                     self.log_rest.append(np.append(np.where(rest > 0, np.log10(np.maximum(rest, 1e-9)), 0), 0).astype(np.float32))
-                    self.escape_rest.append(np.append(np.where(rest_loose > 0, np.log10(np.maximum(rest, 1e-9) / np.maximum(rest_loose, 1e-9)), 0), 0).astype(np.float32))
+                    self.escape_rest.append(
+                        np.append(np.where(rest_loose > 0, np.log10(np.maximum(rest, 1e-9) / np.maximum(rest_loose, 1e-9)), 0), 0).astype(np.float32),
+                    )
             totals, kinds, looses = total, kind, loose
         self.uniform = math.log10(max(1, SYMBOLS - int(kinds_0(grams))))
 
@@ -324,7 +326,10 @@ def corpus_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             codes, n = held[kind].pop()
             size[kind] = 0
             learned, other = (np.zeros_like(n), n) if kind == 2 else (n, np.zeros_like(n))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), min(kind, 1), np.int8)), pa.array(codes), pa.array(learned), pa.array(other)], names=["kind", "code", "n", "held"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(codes), min(kind, 1), np.int8)), pa.array(codes), pa.array(learned), pa.array(other)],
+                names=["kind", "code", "n", "held"],
+            )
 
         for batch in batches:
             for out_of in (False, True):
@@ -373,14 +378,28 @@ def gram_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
             now = now.withColumn("rest", F.lit(math.log10(max(1, SYMBOLS - own["kinds"])))).withColumn("without", F.col("rest"))
         else:
             short = F.lit((1 << BITS * k) - 1)
-            below = below.select(F.col("code").alias("suffix"), F.col("n").alias("n1"), F.col("total").alias("total1"), F.col("kinds").alias("kinds1"), F.col("rest").alias("rest1"), F.col("cost").alias("without"))
+            below = below.select(
+                F.col("code").alias("suffix"),
+                F.col("n").alias("n1"),
+                F.col("total").alias("total1"),
+                F.col("kinds").alias("kinds1"),
+                F.col("rest").alias("rest1"),
+                F.col("cost").alias("without"),
+            )
             now = now.withColumn("suffix", F.col("code").bitwiseAND(short)).join(below, "suffix")
             context = Window.partitionBy(F.shiftright("code", BITS))
-            now = now.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.count(F.when(seen, 1)).over(context)).withColumn("shared", F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context))
+            now = (
+                now.withColumn("total", F.sum("n").over(context))
+                .withColumn("kinds", F.count(F.when(seen, 1)).over(context))
+                .withColumn("shared", F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context))
+            )
             # What the shorter context has besides the symbols of this one.
             kinds = F.col("kinds1") - F.col("kinds")
             size = F.col("total1") - F.col("shared") + kinds
-            now = now.withColumn("rest", F.when(seen, zero).when(F.col("n1") > 0, log(size) - log("n1")).otherwise(F.when(kinds > 0, log(size / kinds)).otherwise(zero) + F.col("rest1")))
+            now = now.withColumn(
+                "rest",
+                F.when(seen, zero).when(F.col("n1") > 0, log(size) - log("n1")).otherwise(F.when(kinds > 0, log(size / kinds)).otherwise(zero) + F.col("rest1")),
+            )
         whole = F.col("total") + F.col("kinds")
         escape = F.when(F.col("kinds") < SYMBOLS, log(whole / F.col("kinds"))).otherwise(zero) + F.col("rest")
         # A context that was never seen leaves the symbol to the shorter one.
@@ -399,7 +418,9 @@ def least_times(grams: DataFrame, max_grams: int) -> int:
     return 1 << power
 
 
-def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 20, hot_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_scores(
+    docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 20, hot_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from what is not held out."""
     spark = docs.sparkSession
     session_ready(spark)
@@ -466,7 +487,9 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
     # A row is named by what it holds, so a task that runs again gives the same names. Equal rows have equal sums: these
     # are divided by the rows' number, and each gets its own.
     parts = source.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "held_out", "text").mapInArrow(score, schema)
-    rare = counts.where((F.col("kind") == 0) & (F.col("n") < least)).select(F.col("kind").alias("rare_kind"), F.col("code").alias("rare_code"), F.log10(F.col("n") + 1).alias("value"))
+    rare = counts.where((F.col("kind") == 0) & (F.col("n") < least)).select(
+        F.col("kind").alias("rare_kind"), F.col("code").alias("rare_code"), F.log10(F.col("n") + 1).alias("value"),
+    )
     rest = grams.where(F.col("times") < often).select(F.lit(1).cast("byte").alias("rare_kind"), F.col("code").alias("rare_code"), F.col("cost").alias("value"))
     met = parts.join(rare.unionByName(rest), (F.col("kind") == F.col("rare_kind")) & (F.col("code") == F.col("rare_code")), "left")
     of_word = (F.col("kind") == 0) & F.col("value").isNotNull()
@@ -480,7 +503,15 @@ def language_scores(docs: DataFrame, order: int = ORDER, max_grams: int = 1 << 2
     )
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
     n_tokens = F.expr("n_tokens DIV m")
-    return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), F.expr("n_known DIV m").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("gain") / F.col("m") - n_tokens * F.lit(whole)).alias("base_score"), (F.col("score") / F.col("m")).alias("score"))
+    return out.select(
+        "doc_id",
+        "held_out",
+        n_tokens.alias("n_tokens"),
+        F.expr("n_known DIV m").alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("gain") / F.col("m") - n_tokens * F.lit(whole)).alias("base_score"),
+        (F.col("score") / F.col("m")).alias("score"),
+    )
 
 
 def adaptive_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

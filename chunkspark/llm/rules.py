@@ -106,13 +106,31 @@ def _judge(docs: DataFrame, min_docs: int, max_share: float, max_docs: int, min_
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= min_left * F.col("n_words"))).drop("bad", "bad_id", "bad_row")
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float = 0.1, max_docs: int = 100, min_left: float = 0.5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    min_docs: int = 10,
+    max_share: float = 0.1,
+    max_docs: int = 100,
+    min_left: float = 0.5,
+    host_col: str = "source",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, the base counts, base_failed, n_words_left, kept; one row for each row of `docs`."""
     judged = _judge(docs, min_docs, max_share, max_docs, min_left, host_col, id_col, text_col)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept")
 
 
-def clean_documents(docs: DataFrame, min_docs: int = 10, max_share: float = 0.1, max_docs: int = 100, min_left: float = 0.5, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_documents(
+    docs: DataFrame,
+    min_docs: int = 10,
+    max_share: float = 0.1,
+    max_docs: int = 100,
+    min_left: float = 0.5,
+    host_col: str = "source",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """The kept documents with all their columns, boilerplate lines removed from the text."""
     judged = _judge(docs, min_docs, max_share, max_docs, min_left, host_col, id_col, text_col)
     kept = judged.where("kept").select(F.col("doc_id").alias("__rules_id"), F.col("row").alias("__rules_row"), F.col("gone").alias("__rules_gone"))

@@ -96,7 +96,13 @@ def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
             yield i, data[lo:hi], offsets[i : j + 1] - lo if j > i + 1 else np.array([0, hi - lo]), base
 
 
-def dealt(bucket: np.ndarray, ids: np.ndarray, rows: np.ndarray, columns: dict[str, np.ndarray], data: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+def dealt(
+    bucket: np.ndarray,
+    ids: np.ndarray,
+    rows: np.ndarray,
+    columns: dict[str, np.ndarray],
+    data: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> pa.RecordBatch:
     """One row a bucket: the ids and rows of its documents, each entry's document among them (local), the entries' columns,
     and with `data` (bytes, begin, size) the bytes of each."""
     by = np.lexsort((rows, ids, bucket))
@@ -107,7 +113,12 @@ def dealt(bucket: np.ndarray, ids: np.ndarray, rows: np.ndarray, columns: dict[s
     local = number - np.repeat(number[new], np.diff(np.append(np.flatnonzero(new), len(by))))
     ends = np.append(np.flatnonzero(new)[1:], len(by))
     pair_ends = number[ends - 1] + 1
-    out = {"bucket": pa.array(bucket[new].astype(np.int32)), "ids": _binary(ids[pair], pair_ends), "rows": _binary(rows[pair], pair_ends), "local": _binary(local.astype(np.int32), ends)}
+    out = {
+        "bucket": pa.array(bucket[new].astype(np.int32)),
+        "ids": _binary(ids[pair], pair_ends),
+        "rows": _binary(rows[pair], pair_ends),
+        "local": _binary(local.astype(np.int32), ends),
+    }
     out |= {name: _binary(values[by], ends) for name, values in columns.items()}
     if data:
         text, begin, size = data[0], data[1][by], data[2][by]
@@ -397,11 +408,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first = first[np.argsort(doc[first], kind="stable")]
             used, at = np.unique(doc[first], return_index=True)
             ends = np.append(at[1:], len(first))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(rows[used]), _binary(hashes[first], ends), _binary(start[first].astype(np.int32), ends), _binary(count[first].astype(np.int8), ends)], names=["id", "row", "hash", "start", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[used]),
+                    pa.array(rows[used]),
+                    _binary(hashes[first], ends),
+                    _binary(start[first].astype(np.int32), ends),
+                    _binary(count[first].astype(np.int8), ends),
+                ],
+                names=["id", "row", "hash", "start", "count"],
+            )
 
         return run
 
-    blobs = source.mapInArrow(anchors, "bucket int, ids binary, rows binary, local binary, hash binary, whole binary, start binary, count binary").repartitionById(parts, "bucket")
+    blobs = source.mapInArrow(
+        anchors, "bucket int, ids binary, rows binary, local binary, hash binary, whole binary, start binary, count binary",
+    ).repartitionById(parts, "bucket")
     copies = blobs.mapInArrow(collapse(True), "id long, row long, runs binary")
     hits = blobs.mapInArrow(collapse(False), "id long, row long, hash binary, start binary, count binary")
     hits = hits.groupBy("id", "row").agg(F.collect_list(F.struct("hash", "start", "count")).alias("hits"))
@@ -413,7 +435,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def given() -> pa.RecordBatch:
             hashes, id_, row, start, count, text, length = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return dealt(hashes % np.uint64(parts), id_, row, {"hash": hashes, "start": start.astype(np.int32), "count": count.astype(np.int8)}, (text, np.cumsum(length) - length, length))
+            return dealt(
+                hashes % np.uint64(parts),
+                id_,
+                row,
+                {"hash": hashes, "start": start.astype(np.int32), "count": count.astype(np.int8)},
+                (text, np.cumsum(length) - length, length),
+            )
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
@@ -503,9 +531,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left.append(b"".join(own[a:b].tobytes() for a, b in zip([0, *ends], [*begins, len(own)], strict=True)))
                 removed.append(sum(ends) - sum(begins))
                 spans.append([{"start": a, "end": b} for a, b in zip(begins, ends, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span)], names=["id", "text_bytes", "n_bytes", "n_removed", "spans"])
-
-    out = source.join(runs, ["id", "row"], "left").select("id", "text", "runs").mapInArrow(cut, "id long, text_bytes binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(left, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span)],
+                names=["id", "text_bytes", "n_bytes", "n_removed", "spans"],
+            )
+
+    out = (
+        source.join(runs, ["id", "row"], "left")
+        .select("id", "text", "runs")
+        .mapInArrow(cut, "id long, text_bytes binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
+    )
     return out.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), "text_bytes", "n_bytes", "n_removed", "spans")
 
 
@@ -527,4 +562,6 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text_bytes", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text_bytes", 256).alias("kept_sha256"),
+    )

@@ -16,7 +16,18 @@ from chunkspark.llm.common import connected, text_buffer, words
 from chunkspark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-EDGES = [(1, "", "h"), (2, None, "h"), (3, " \n\t ", None), (4, "one two", "g"), (5, "word " * 20_000, "g"), (6, "x" * 50_000, "h"), (7, "é\U0001f600 ü" * 50, None), (None, "a b c", "h"), (9, "a b", "h"), (9, "a b", "h")]
+EDGES = [
+    (1, "", "h"),
+    (2, None, "h"),
+    (3, " \n\t ", None),
+    (4, "one two", "g"),
+    (5, "word " * 20_000, "g"),
+    (6, "x" * 50_000, "h"),
+    (7, "é\U0001f600 ü" * 50, None),
+    (None, "a b c", "h"),
+    (9, "a b", "h"),
+    (9, "a b", "h"),
+]
 SCHEMA = "doc_id long, text string, source string, size string, row string, ids string"
 
 
@@ -205,7 +216,15 @@ def test_search_edges(spark, monkeypatch):
     x = rng.normal(size=(60, 4)).astype(np.float32)
     x[20:50] = x[0]  # ties: the smaller ids win
     rows = [(100 * i if i < 5 else 1000 + i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(700, None), (800, [0.0] * 4), (900, [float("nan"), 1.0, 1.0, 1.0]), (1100, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (1200, [float("inf"), 0.0, 0.0, 1.0]), (1300, [1.0])]
+    bad = [
+        (700, None),
+        (800, [0.0] * 4),
+        (900, [float("nan"), 1.0, 1.0, 1.0]),
+        (1100, [None, 1.0, 1.0, 1.0]),
+        (None, [1.0] * 4),
+        (1200, [float("inf"), 0.0, 0.0, 1.0]),
+        (1300, [1.0]),
+    ]
     table = spark.createDataFrame([(*r, "e", 1) for r in rows + bad], "vec_id long, embedding array<float>, id string, shard int")
     got = collections.defaultdict(list)
     for r in graph_search.nearest_of_hundredths(table).orderBy("query_id", "rank").collect():
@@ -269,7 +288,21 @@ def unigram_model(vocabulary):
     return out + field(2, flags) + field(3, field(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(0) + varint(5 << 3) + varint(1))
 
 
-TEXTS = [" a  b", "a\nb", "\n", "  ", "é中\U0001f600 x", "a" * 300, "ab " * 60, "x ", "tab\there", "Hello, world! 12345", "<0x0A> </s> <unk>", "\u0000\u0007", "naïve café—“quoted”"]
+TEXTS = [
+    " a  b",
+    "a\nb",
+    "\n",
+    "  ",
+    "é中\U0001f600 x",
+    "a" * 300,
+    "ab " * 60,
+    "x ",
+    "tab\there",
+    "Hello, world! 12345",
+    "<0x0A> </s> <unk>",
+    "\u0000\u0007",
+    "naïve café—“quoted”",
+]
 
 
 @pytest.fixture(scope="module")
@@ -448,6 +481,23 @@ def test_no_gram_is_cut(spark, documents, max_grams):
     assert np.allclose([got[i].score for i in texts], want, rtol=1e-5, atol=1e-3)
 
 
+def test_scores_equal_plain_counts(spark, documents):
+    """The whole table against counts of contexts and symbols in dictionaries."""
+    got = {r.doc_id: r for r in ppm.language_scores(spark.read.parquet(f"{SF}/documents.parquet"), max_grams=5000).collect()}
+    counts: dict[tuple, dict[int, int]] = {}
+    for i, (t, _) in documents.items():
+        if got[i].held_out:
+            continue
+        past = [ppm.START] * ppm.ORDER
+        for s in [*t.encode().translate(bytes(ppm.LOWER)), ppm.END]:
+            for k in range(ppm.ORDER + 1):
+                seen = counts.setdefault(tuple(past[len(past) - k :]), {})
+                seen[s] = seen.get(s, 0) + 1
+            past = [*past[1:], s]
+    for i, (t, _) in documents.items():
+        assert abs(got[i].score - slow_log10(counts, ppm.ORDER, t)) < 1e-4 * max(1, len(t))
+
+
 # ---- Lengths ----
 
 
@@ -523,7 +573,30 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert corpus_pipeline.run(spark, SF).count() == five.count()
 
 
-CLASHES = ["host", "row", "bad", "same", "line", "whole", "lines", "key", "owner", "gone", "grp", "rep", "sign", "size", "copies", "ids", "score", "__row", "__key", "__text", "__words", "__chunks"]
+CLASHES = [
+    "host",
+    "row",
+    "bad",
+    "same",
+    "line",
+    "whole",
+    "lines",
+    "key",
+    "owner",
+    "gone",
+    "grp",
+    "rep",
+    "sign",
+    "size",
+    "copies",
+    "ids",
+    "score",
+    "__row",
+    "__key",
+    "__text",
+    "__words",
+    "__chunks",
+]
 
 
 @pytest.mark.parametrize("rows", [EDGES, []])

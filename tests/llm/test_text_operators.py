@@ -303,7 +303,17 @@ def test_near_equal_brute_force(spark, monkeypatch, similarity, block, key_block
 
 def test_near_rows_without_ids_and_repeated_rows(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
-    rows = [(None, a, "s"), (7, a + " end", "s"), (3, a, "s"), (None, b, "s"), (None, b + " end", "s"), (9, c, "s"), (9, c, "s"), (9, "other words", "s"), (None, None, "s")]
+    rows = [
+        (None, a, "s"),
+        (7, a + " end", "s"),
+        (3, a, "s"),
+        (None, b, "s"),
+        (None, b + " end", "s"),
+        (9, c, "s"),
+        (9, c, "s"),
+        (9, "other words", "s"),
+        (None, None, "s"),
+    ]
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()]
     assert len(got) == len(rows)
     assert {x for x in got if x[2] == 3} == {(None, 56, 3, False), (7, 57, 3, False), (3, 56, 3, True)}
@@ -363,7 +373,15 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot, step):
             cut = rng.randint(0, 120)
             t = t[: rng.randint(0, len(t))] + passage[cut : cut + rng.randint(80, 260)] + t[rng.randint(0, len(t)) :]
         rows.append((i, t, "s"))
-    rows += [(100, "ab" * 200, "s"), (101, "q" + "ab" * 90, "s"), (102, "z" * 350, "s"), (103, "z" * 99, "s"), (104, "é" * 120, "s"), (105, "xé" + "é" * 60, "s"), (106, None, "s")]
+    rows += [
+        (100, "ab" * 200, "s"),
+        (101, "q" + "ab" * 90, "s"),
+        (102, "z" * 350, "s"),
+        (103, "z" * 99, "s"),
+        (104, "é" * 120, "s"),
+        (105, "xé" + "é" * 60, "s"),
+        (106, None, "s"),
+    ]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeat_report(frame(spark, rows)).collect()}
     assert got == brute_repeats([(i, t) for i, t, _ in rows])
 
@@ -427,15 +445,56 @@ def brute_secrets(text):
 
 
 PARTS = (
-    ["password", "TOKEN", "api_key", "apikey", "secret", "passwd", "AKIA", "ABCDEFGH1234", "=", " : ", '"', "'", " ", "\n", "é\U0001f600", "0123456789abcdef" * 2, "dead", "x9/+_.-"]
-    + ["ghp_" + "a" * 36, "K", "ſecret=12345678", "eyJ", "eyJab", ".", "-", "_", "://", "user", ":", "@", "host.org", "Bearer  ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "/", "a" * 21]
+    [
+        "password",
+        "TOKEN",
+        "api_key",
+        "apikey",
+        "secret",
+        "passwd",
+        "AKIA",
+        "ABCDEFGH1234",
+        "=",
+        " : ",
+        '"',
+        "'",
+        " ",
+        "\n",
+        "é\U0001f600",
+        "0123456789abcdef" * 2,
+        "dead",
+        "x9/+_.-",
+    ]
+    + [
+        "ghp_" + "a" * 36,
+        "K",
+        "ſecret=12345678",
+        "eyJ",
+        "eyJab",
+        ".",
+        "-",
+        "_",
+        "://",
+        "user",
+        ":",
+        "@",
+        "host.org",
+        "Bearer  ",
+        "-----BEGIN ",
+        "RSA ",
+        "PRIVATE KEY-----",
+        "/",
+        "a" * 21,
+    ]
     + ["token=abc", "secret: token"] + [re.sub(r"[\\^$()?*+]|x20|\[[^]]*\]|\|.*", "", rule.prefix) for rule in secrets.MORE_RULES]
 )
 
 
 def secret_rows():
     rng = random.Random(7)
-    return [(i, "".join(rng.choices(PARTS, k=rng.randint(0, 40))), "s") for i in range(400)] + [(900, "f" * 100_000, "s"), (901, "password=" + "a" * 5000, "s"), (902, None, "s")]
+    return [(i, "".join(rng.choices(PARTS, k=rng.randint(0, 40))), "s") for i in range(400)] + [
+        (900, "f" * 100_000, "s"), (901, "password=" + "a" * 5000, "s"), (902, None, "s"),
+    ]
 
 
 def all_spans(text, rules=secrets.RULES):
@@ -478,7 +537,24 @@ def test_every_kind_is_exact():
     rng = random.Random(11)
     samples = {}
     for rule in secrets.RULES:
-        prefix = {"assign": "Api_Key' : \"", "private_key": "-----BEGIN RSA PRIVATE KEY----", "jwt": "eyJhbGc.eyJ", "bearer": "BEARER ", "url_login": "https://me:pw%20@", "aws_session": "ASIA", "github": "gho_", "slack": "xoxp-", "slack_hook": "hooks.slack.com/services/", "stripe": "rk_live_", "square": "sq0csp-", "shopify": "shppa_", "telegram": "12345678:AA", "digitalocean": "doo_v1_", "google_token": "ya29.", "sendgrid": "SG."}.get(rule.kind, rule.prefix)
+        prefix = {
+            "assign": "Api_Key' : \"",
+            "private_key": "-----BEGIN RSA PRIVATE KEY----",
+            "jwt": "eyJhbGc.eyJ",
+            "bearer": "BEARER ",
+            "url_login": "https://me:pw%20@",
+            "aws_session": "ASIA",
+            "github": "gho_",
+            "slack": "xoxp-",
+            "slack_hook": "hooks.slack.com/services/",
+            "stripe": "rk_live_",
+            "square": "sq0csp-",
+            "shopify": "shppa_",
+            "telegram": "12345678:AA",
+            "digitalocean": "doo_v1_",
+            "google_token": "ya29.",
+            "sendgrid": "SG.",
+        }.get(rule.kind, rule.prefix)
         tail = next(c for c in "A-a0" if re.fullmatch(rule.tail, c))
         samples[rule.kind] = prefix + tail * rule.least
         for text, times in ((f"é {samples[rule.kind]} x", 1), (f"é {samples[rule.kind][:-1]} x", 0)):
@@ -514,7 +590,15 @@ def test_long_text_in_stretches(monkeypatch):
 def test_texts_that_are_hard_to_scan():
     """Long runs of what a rule repeats, and starts at every few bytes: linear, and exact."""
     scanner = secrets.Scanner()
-    texts = ["token: a " * 20_000, "eyJ" * 2_000, "sk-" * 5_000, "token" + " " * 200_000 + "= abcdefghijk", "eyJa." * 2_000, "://a:" * 2_000, "secret: token: " * 10_000]
+    texts = [
+        "token: a " * 20_000,
+        "eyJ" * 2_000,
+        "sk-" * 5_000,
+        "token" + " " * 200_000 + "= abcdefghijk",
+        "eyJa." * 2_000,
+        "://a:" * 2_000,
+        "secret: token: " * 10_000,
+    ]
     assert scanned(scanner, texts) == [all_spans(t) for t in texts]
 
 
