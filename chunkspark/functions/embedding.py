@@ -68,7 +68,17 @@ class ClientEmbedding(Embedding):
     of vectors is an error.
     """
 
-    def __init__(self, model_name: str, make_client, request, *, max_tokens: int | None = None, count_tokens=None, refuse_blank: bool = False, normalize: bool = False):
+    def __init__(
+        self,
+        model_name: str,
+        make_client,
+        request,
+        *,
+        max_tokens: int | None = None,
+        count_tokens=None,
+        refuse_blank: bool = False,
+        normalize: bool = False,
+    ):
         self.model_name, self.make_client, self.request = model_name, make_client, request
         self.max_tokens, self.count_tokens, self.refuse_blank, self.normalize = max_tokens, count_tokens, refuse_blank, normalize
         self._client = None
@@ -240,10 +250,21 @@ def _sentence_request(client: Any, model: str, texts: list[str]) -> list[list[fl
 
 #: Hosted and local backends by name; each gives a ClientEmbedding. Keyword arguments go to the client.
 openai_embedding = _hosted("openai", "openai", "text-embedding-3-large", _openai_client, _openai_request, counter=TokenCounter, max_tokens=MAX_TOKENS)
-azure_openai_embedding = _hosted("azure_openai", "openai", "text-embedding-3-large", _azure_client, _openai_request, settings=azure_settings, counter=TokenCounter, max_tokens=MAX_TOKENS)
+azure_openai_embedding = _hosted(
+    "azure_openai",
+    "openai",
+    "text-embedding-3-large",
+    _azure_client,
+    _openai_request,
+    settings=azure_settings,
+    counter=TokenCounter,
+    max_tokens=MAX_TOKENS,
+)
 gemini_embedding = _hosted("gemini", "google-genai", "models/embedding-001", _gemini_client, _gemini_request, refuse_blank=True)
 anthropic_embedding = _hosted("voyage", "voyageai", "voyage-3.5", _voyage_client, _voyage_request, refuse_blank=True)
-_sentence_embedding = _hosted("huggingface", "sentence-transformers", "sentence-transformers/all-MiniLM-L6-v2", _sentence_client, _sentence_request, normalize=True)
+_sentence_embedding = _hosted(
+    "huggingface", "sentence-transformers", "sentence-transformers/all-MiniLM-L6-v2", _sentence_client, _sentence_request, normalize=True,
+)
 
 
 def huggingface_embedding(model_name: str = "sentence-transformers/all-MiniLM-L6-v2", enforce_max_length: bool = True, **options: Any) -> ClientEmbedding:
@@ -252,7 +273,14 @@ def huggingface_embedding(model_name: str = "sentence-transformers/all-MiniLM-L6
     return _sentence_embedding(model_name, **checks, **options)
 
 
-EMBEDDINGS = {"hashed": HashedEmbedding, "openai": openai_embedding, "azure_openai": azure_openai_embedding, "gemini": gemini_embedding, "anthropic": anthropic_embedding, "huggingface": huggingface_embedding}
+EMBEDDINGS = {
+    "hashed": HashedEmbedding,
+    "openai": openai_embedding,
+    "azure_openai": azure_openai_embedding,
+    "gemini": gemini_embedding,
+    "anthropic": anthropic_embedding,
+    "huggingface": huggingface_embedding,
+}
 
 
 def embed(text: Column, backend: Embedding) -> Column:

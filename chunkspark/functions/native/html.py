@@ -110,8 +110,21 @@ class Markdown:
         self.rules: dict[str, Callable[[Node, int], str]] = {f"h{k}": self._heading for k in range(1, 7)}
         self.rules |= {name: self._span(mark) for name, mark in spans.items()}
         self.rules |= {name: lambda n, depth: self.block(n) for name in blocks}
-        self.rules |= {"p": self._paragraph, "blockquote": self._quote, "ul": self._list, "ol": self._list, "li": lambda n, d: self.inline(n).strip(), "hr": lambda n, d: "---\n", "pre": self._code_block, "table": self._table}
-        self.rules |= {"code": lambda n, d: f"`{self.inline(n)}`", "a": lambda n, d: f"[{self.inline(n)}]({n.get('href')})", "img": lambda n, d: f"![{n.get('alt')}]({n.get('src')})"}
+        self.rules |= {
+            "p": self._paragraph,
+            "blockquote": self._quote,
+            "ul": self._list,
+            "ol": self._list,
+            "li": lambda n, d: self.inline(n).strip(),
+            "hr": lambda n, d: "---\n",
+            "pre": self._code_block,
+            "table": self._table,
+        }
+        self.rules |= {
+            "code": lambda n, d: f"`{self.inline(n)}`",
+            "a": lambda n, d: f"[{self.inline(n)}]({n.get('href')})",
+            "img": lambda n, d: f"![{n.get('alt')}]({n.get('src')})",
+        }
 
     def convert(self, html: str) -> str:
         return re.sub(r"\n{3,}", "\n\n", self.block(parse(html))).strip()
@@ -266,7 +279,13 @@ def split_by_tag(html: str | None, tag: str | None = None, size: int | None = 1,
             row = node if tag == "tr" else node.above("tr") or node
             if tag == "tr" and not any(r is node for r in rows):
                 continue
-            chunks.append(_table_page(table, head, "".join(r.html() for r in node.find("tr")) if tag == "tbody" else row.html() if tag == "tr" else f"<tr>{node.html()}</tr>"))
+            chunks.append(
+                _table_page(
+                    table,
+                    head,
+                    "".join(r.html() for r in node.find("tr")) if tag == "tbody" else row.html() if tag == "tr" else f"<tr>{node.html()}</tr>",
+                )
+            )
         chunks = chunks or [""]
     else:
         chunks = [_page(n.html()) for n in found]

@@ -89,7 +89,23 @@ BLOCK_WORDS = {
 MARKUP = {
     "rst": ["\n=+\n", "\n-+\n", "\n\\*+\n", "\n\n\\.\\. *\n\n"],
     "markdown": ["\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n"],
-    "latex": [r"\n\\chapter\{", r"\n\\section\{", r"\n\\subsection\{", r"\n\\subsubsection\{", r"\n\\begin\{enumerate\}", r"\n\\begin\{itemize\}", r"\n\\begin\{description\}", r"\n\\begin\{list\}", r"\n\\begin\{quote\}", r"\n\\begin\{quotation\}", r"\n\\begin\{verse\}", r"\n\\begin\{verbatim\}", r"\n\\begin\{align\}", r"\$\$", r"\$"],
+    "latex": [
+        r"\n\\chapter\{",
+        r"\n\\section\{",
+        r"\n\\subsection\{",
+        r"\n\\subsubsection\{",
+        r"\n\\begin\{enumerate\}",
+        r"\n\\begin\{itemize\}",
+        r"\n\\begin\{description\}",
+        r"\n\\begin\{list\}",
+        r"\n\\begin\{quote\}",
+        r"\n\\begin\{quotation\}",
+        r"\n\\begin\{verse\}",
+        r"\n\\begin\{verbatim\}",
+        r"\n\\begin\{align\}",
+        r"\$\$",
+        r"\$",
+    ],
     "html": [f"<{t}" for t in "body div p br li h1 h2 h3 h4 h5 h6 span table tr td th ul ol header footer nav head style script meta title".split()],
     "cobol": [f"\n{w}" for w in ("IDENTIFICATION DIVISION.", "ENVIRONMENT DIVISION.", "DATA DIVISION.", "PROCEDURE DIVISION.", "WORKING-STORAGE SECTION.", "LINKAGE SECTION.", "FILE SECTION.", "INPUT-OUTPUT SECTION.", "OPEN ", "CLOSE ", "READ ", "WRITE ", "IF ", "ELSE ", "MOVE ", "PERFORM ", "UNTIL ", "VARYING ", "ACCEPT ", "DISPLAY ", "STOP RUN.")],
 }

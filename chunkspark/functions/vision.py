@@ -46,7 +46,14 @@ class ChatVision(VisionModel):
     """A chat model that takes a text part and an image part as a data URI. make_client runs once a worker; ask: (client,
     model_name, messages, parameters) -> text."""
 
-    def __init__(self, model_name: str, make_client: Callable[[], Any], ask: Callable[..., str] | None = None, extensions: frozenset[str] = frozenset(MEDIA_TYPES), detail: str | None = None):
+    def __init__(
+        self,
+        model_name: str,
+        make_client: Callable[[], Any],
+        ask: Callable[..., str] | None = None,
+        extensions: frozenset[str] = frozenset(MEDIA_TYPES),
+        detail: str | None = None,
+    ):
         self.model_name, self.make_client, self.ask = model_name, make_client, ask or _chat
         self.extensions, self.detail, self._client = extensions, detail, None
 
@@ -149,7 +156,15 @@ def load_local(model_name: str, **options: Any) -> tuple[Any, Any]:
     return processor, first_that_loads("model", transformers, [*named[:1], *MODEL_CLASSES], model_name, **options)
 
 
-VISION_MODELS = {"echo": EchoVision, "openai": openai_vision, "azure_openai": azure_openai_vision, "grok": grok_vision, "anthropic": anthropic_vision, "gemini": gemini_vision, "huggingface": huggingface_vision}
+VISION_MODELS = {
+    "echo": EchoVision,
+    "openai": openai_vision,
+    "azure_openai": azure_openai_vision,
+    "grok": grok_vision,
+    "anthropic": anthropic_vision,
+    "gemini": gemini_vision,
+    "huggingface": huggingface_vision,
+}
 
 
 def describe(content: Column, extension: Column, model: VisionModel, prompt: str = CAPTION_PROMPT) -> Column:
@@ -158,6 +173,9 @@ def describe(content: Column, extension: Column, model: VisionModel, prompt: str
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for images, kinds in batches:
-            yield pd.Series([None if x is None else model.analyze_content(prompt=prompt, file=base64.b64encode(x).decode(), file_ext=e) for x, e in zip(images, kinds, strict=True)], dtype=object)
+            yield pd.Series(
+                [None if x is None else model.analyze_content(prompt=prompt, file=base64.b64encode(x).decode(), file_ext=e) for x, e in zip(images, kinds, strict=True)],
+                dtype=object,
+            )
 
     return run(content, extension)

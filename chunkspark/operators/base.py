@@ -52,19 +52,34 @@ class Splitter:
 
     def transform(self, docs: DataFrame) -> DataFrame:
         d = as_documents(docs)
-        d = d.withColumn("document_id", F.when(F.coalesce(F.col("document_id"), F.lit("")) != "", F.col("document_id")).otherwise(uuid_of(F.col("document_name"), F.col("document_path"), F.col("text"))))
+        d = d.withColumn(
+            "document_id",
+            F.when(
+                F.coalesce(F.col("document_id"), F.lit("")) != "", F.col("document_id"),
+            ).otherwise(uuid_of(F.col("document_name"), F.col("document_path"), F.col("text"))),
+        )
         d = self.prepare(d)
         empty = F.coalesce(F.size("__chunks"), F.lit(0)) <= 0
         one = F.array(F.lit(""))
         if self.empty_is_chunk or self.on_empty == "emit":
             d = d.withColumn("__chunks", F.when(empty, one).otherwise(F.col("__chunks")))
         elif self.on_empty == "fail":
-            d = d.withColumn("__chunks", F.when(empty, F.raise_error(F.concat(F.lit("Chunks list cannot be empty: document "), F.col("document_id"))).cast(STRINGS)).otherwise(F.col("__chunks")))
+            d = d.withColumn(
+                "__chunks",
+                F.when(
+                    empty, F.raise_error(F.concat(F.lit("Chunks list cannot be empty: document "), F.col("document_id"))).cast(STRINGS),
+                ).otherwise(F.col("__chunks")),
+            )
         d = d.withColumn("split_method", F.lit(self.method)).withColumn("split_params", self.split_params()).withColumn("metadata", self.metadata())
         carried = [c for c in CHUNK.names[:9]]
         # The outer form, as for the plain one the optimizer adds a filter that computes the chunks a second time.
         out = d.select(*carried, F.posexplode_outer("__chunks").alias("chunk_index", "chunk")).where("chunk_index IS NOT NULL")
-        return out.select(*carried, "chunk_index", uuid_of(F.col("document_id"), F.col("split_method"), F.col("split_params"), F.col("chunk_index")).alias("chunk_id"), "chunk")
+        return out.select(
+            *carried,
+            "chunk_index",
+            uuid_of(F.col("document_id"), F.col("split_method"), F.col("split_params"), F.col("chunk_index")).alias("chunk_id"),
+            "chunk",
+        )
 
 
 def python_array(split: Callable[[str | None], list[str]]) -> Callable[..., Column]:

@@ -43,7 +43,12 @@ class CharacterSplitter(_Stepped):
         if self.step > self.chunk_size:  # a negative overlap leaves text out
             return F.transform(pieces, lambda p: F.left(p, F.lit(self.chunk_size)))
         n = -(-self.chunk_size // self.step)
-        return F.flatten(F.transform(F.array(pieces), lambda all_: F.transform(all_, lambda p, i: F.left(F.array_join(F.slice(all_, i + 1, F.lit(n)), ""), F.lit(self.chunk_size)))))
+        return F.flatten(
+            F.transform(
+                F.array(pieces),
+                lambda all_: F.transform(all_, lambda p, i: F.left(F.array_join(F.slice(all_, i + 1, F.lit(n)), ""), F.lit(self.chunk_size))),
+            ),
+        )
 
 
 class WordSplitter(_Stepped):

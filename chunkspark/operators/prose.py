@@ -125,7 +125,15 @@ class KeywordSplitter(Splitter):
     method = "keyword"
     empty_is_chunk = True
 
-    def __init__(self, patterns: list[str] | dict[str, str], *, flags: int = 0, include_delimiters: str = "before", chunk_size: int = 100_000, on_empty: str = "fail"):
+    def __init__(
+        self,
+        patterns: list[str] | dict[str, str],
+        *,
+        flags: int = 0,
+        include_delimiters: str = "before",
+        chunk_size: int = 100_000,
+        on_empty: str = "fail",
+    ):
         super().__init__(chunk_size, on_empty)
         if include_delimiters not in ("none", "before", "after", "both"):
             raise ValueError("include_delimiters must be none, before, after or both")
@@ -140,7 +148,12 @@ class KeywordSplitter(Splitter):
 
     def prepare(self, docs: DataFrame) -> DataFrame:
         """One pass gives the chunks and the matches."""
-        fixed = {"include_delimiters": self.include_delimiters, "flags": self.flags, "pattern_names": prose.named_pattern(self.patterns)[1], "chunk_size": self.chunk_size}
+        fixed = {
+            "include_delimiters": self.include_delimiters,
+            "flags": self.flags,
+            "pattern_names": prose.named_pattern(self.patterns)[1],
+            "chunk_size": self.chunk_size,
+        }
         patterns, flags, delimiters, size = self.patterns, self.flags, self.include_delimiters, self.chunk_size
 
         @F.pandas_udf("chunks array<string>, metadata string")

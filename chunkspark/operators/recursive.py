@@ -17,7 +17,15 @@ class RecursiveCharacterSplitter(Splitter):
 
     method = "recursive_character_splitter"
 
-    def __init__(self, chunk_size: int = 1000, chunk_overlap: float | int = 0.1, separators: list[str] | None = None, *, scale_float_overlap: bool = False, on_empty: str = "fail"):
+    def __init__(
+        self,
+        chunk_size: int = 1000,
+        chunk_overlap: float | int = 0.1,
+        separators: list[str] | None = None,
+        *,
+        scale_float_overlap: bool = False,
+        on_empty: str = "fail",
+    ):
         super().__init__(chunk_size, on_empty)
         self.chunk_overlap = chunk_overlap
         self.separators = list(packing.DEFAULT_SEPARATORS if separators is None else separators)

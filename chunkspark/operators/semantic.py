@@ -41,7 +41,17 @@ class SemanticSplitter(Splitter):
 
     method = "semantic_splitter"
 
-    def __init__(self, embedding: Embedding, *, buffer_size: int = 1, breakpoint_threshold_type: str = "percentile", breakpoint_threshold_amount: float | None = None, number_of_chunks: int | None = None, chunk_size: int = 1000, on_empty: str = "fail"):
+    def __init__(
+        self,
+        embedding: Embedding,
+        *,
+        buffer_size: int = 1,
+        breakpoint_threshold_type: str = "percentile",
+        breakpoint_threshold_amount: float | None = None,
+        number_of_chunks: int | None = None,
+        chunk_size: int = 1000,
+        on_empty: str = "fail",
+    ):
         super().__init__(chunk_size, on_empty)
         if breakpoint_threshold_type not in AMOUNTS:
             raise ValueError(f"breakpoint_threshold_type must be one of {', '.join(AMOUNTS)}")
@@ -51,7 +61,13 @@ class SemanticSplitter(Splitter):
         self.embedding, self.buffer_size, self.kind, self.amount, self.number = embedding, buffer_size, breakpoint_threshold_type, amount, number_of_chunks
 
     def params(self) -> dict[str, Any]:
-        return super().params() | {"buffer_size": self.buffer_size, "model_name": self.embedding.model_name, "breakpoint_threshold_type": self.kind, "breakpoint_threshold_amount": self.amount, "number_of_chunks": self.number}
+        return super().params() | {
+            "buffer_size": self.buffer_size,
+            "model_name": self.embedding.model_name,
+            "breakpoint_threshold_type": self.kind,
+            "breakpoint_threshold_amount": self.amount,
+            "number_of_chunks": self.number,
+        }
 
     def split_text(self, text: str | None) -> list[str]:
         if not text or not text.strip():

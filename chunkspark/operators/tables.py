@@ -20,7 +20,16 @@ class RowColumnSplitter(Splitter):
 
     method = "row_column_splitter"
 
-    def __init__(self, chunk_size: int = 1000, num_rows: int = 0, num_cols: int = 0, chunk_overlap: float | int = 0, *, oversize: str = "emit", on_empty: str = "fail"):
+    def __init__(
+        self,
+        chunk_size: int = 1000,
+        num_rows: int = 0,
+        num_cols: int = 0,
+        chunk_overlap: float | int = 0,
+        *,
+        oversize: str = "emit",
+        on_empty: str = "fail",
+    ):
         super().__init__(chunk_size, on_empty)
         if num_rows and num_cols:
             raise ValueError("num_rows and num_cols exclude each other")
@@ -87,7 +96,9 @@ def split_rows(table: DataFrame, order: list[str], num_rows: int, overlap: int =
     ordered = table.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     ordered = written_once(ordered)
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    offsets = counts.select(
+        "__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
     # The generated ids count up within a partition, from the partition's number in the upper bits.
     within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = ordered.join(F.broadcast(offsets), "__part").withColumn("__row", (within + F.col("__before")).cast("long"))
@@ -95,7 +106,11 @@ def split_rows(table: DataFrame, order: list[str], num_rows: int, overlap: int =
     last = F.floor(F.col("__row") / step)
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("__row") - num_rows + 1) / step))
     out = numbered.where(first <= last).withColumn("chunk_index", F.explode(F.sequence(first, last)))
-    return out.select(F.col("chunk_index").cast("int").alias("chunk_index"), (F.col("__row") - F.col("chunk_index") * step).cast("int").alias("row_in_chunk"), *[f"`{c}`" for c in table.columns])
+    return out.select(
+        F.col("chunk_index").cast("int").alias("chunk_index"),
+        (F.col("__row") - F.col("chunk_index") * step).cast("int").alias("row_in_chunk"),
+        *[f"`{c}`" for c in table.columns],
+    )
 
 
 def column_groups(names: list[str], num_cols: int, overlap: int = 0) -> list[list[str]]:

@@ -174,7 +174,12 @@ def row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_split_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100)
-    return rows.groupBy("chunk_index").agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.sum("o_custkey").alias("sum_cust"))
+    return rows.groupBy("chunk_index").agg(
+        F.count("*").alias("n_rows"),
+        F.min("o_orderkey").alias("first_key"),
+        F.max("o_orderkey").alias("last_key"),
+        F.sum("o_custkey").alias("sum_cust"),
+    )
 
 
 @query(
@@ -189,7 +194,9 @@ def column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations of each region as one CSV document."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat_ws(",", x["n_nationkey"].cast("string"), x["n_name"]))
+    lines = F.transform(
+        F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat_ws(",", x["n_nationkey"].cast("string"), x["n_name"]),
+    )
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("key,name\n"), F.array_join(lines, "\n")).alias("text"))
 
 
@@ -220,9 +227,15 @@ def _table_size_sql(size: int) -> str:
 _QUOTED = "string_agg(chr(39) || {} || chr(39), ', ' ORDER BY i)"
 _TABLE_COLUMNS_SQL = f"""SELECT n_regionkey, 0 AS chunk_index, '[[' || chr(39) || 'key' || chr(39) || ', ' || string_agg(k, ', ' ORDER BY i) || ']]' AS chunk FROM ({_NATIONS}) GROUP BY n_regionkey
                          UNION ALL SELECT n_regionkey, 1, '[[' || chr(39) || 'name' || chr(39) || ', ' || {_QUOTED.format("name")} || ']]' FROM ({_NATIONS}) GROUP BY n_regionkey"""
-query("table_rows", _table_rows_sql(3, 1))(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_rows=3, chunk_overlap=1), key="n_regionkey", conversion_method="csv"))
-query("table_columns", _TABLE_COLUMNS_SQL)(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_cols=1), key="n_regionkey", conversion_method="csv"))
-query("table_size", _table_size_sql(120))(lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(chunk_size=120), key="n_regionkey", conversion_method="csv"))
+query("table_rows", _table_rows_sql(3, 1))(
+    lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_rows=3, chunk_overlap=1), key="n_regionkey", conversion_method="csv"),
+)
+query("table_columns", _TABLE_COLUMNS_SQL)(
+    lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(num_cols=1), key="n_regionkey", conversion_method="csv"),
+)
+query("table_size", _table_size_sql(120))(
+    lambda spark, sf: chunks(_nation_csv(spark, sf), RowColumnSplitter(chunk_size=120), key="n_regionkey", conversion_method="csv"),
+)
 
 # ---- Meaning ----
 
@@ -235,7 +248,9 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_distances(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
-query("semantic_distance", f"SELECT label, vec_id, round(distance, 9) AS distance FROM ({_DISTANCES})")(lambda spark, sf: _distances(spark, sf).withColumn("distance", F.round("distance", 9)))
+query(
+    "semantic_distance", f"SELECT label, vec_id, round(distance, 9) AS distance FROM ({_DISTANCES})",
+)(lambda spark, sf: _distances(spark, sf).withColumn("distance", F.round("distance", 9)))
 
 _SLOPES = f"""SELECT label, vec_id, CASE WHEN b IS NULL THEN a - distance WHEN a IS NULL THEN distance - b ELSE (a - b) / 2 END AS distance
               FROM (SELECT label, vec_id, distance, lag(distance) OVER w AS b, lead(distance) OVER w AS a FROM ({_DISTANCES}) WINDOW w AS (PARTITION BY label ORDER BY vec_id))"""
@@ -269,7 +284,11 @@ def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("semantic_split")(lambda spark, sf: chunks(table(spark, sf, "documents"), SemanticSplitter(HashedEmbedding(64), chunk_size=200)))
-query("embed_documents")(lambda spark, sf: spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.transform(embed(F.col("text"), HashedEmbedding(64)), lambda x: F.round(x, 9)).alias("vector")))
+query("embed_documents")(
+    lambda spark, sf: spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.transform(embed(F.col("text"), HashedEmbedding(64)), lambda x: F.round(x, 9)).alias("vector"),
+    ),
+)
 
 # ---- Pages of a PDF file: words with places, as a layout reader gives them ----
 
@@ -293,7 +312,14 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("n", "word")
     words = table(spark, sf_dir, "benchmark").select("item_id", place)
     row = F.floor(F.col("n") % _PAGE / _LINE)
-    words = words.select("item_id", F.floor(F.col("n") / _PAGE).alias("page"), F.col("word").alias("text"), (12.0 * row + F.col("n") % 3 * 0.4).alias("top"), (12.0 * row + 10).alias("bottom"), (40.0 * (F.col("n") % _LINE)).alias("x0"))
+    words = words.select(
+        "item_id",
+        F.floor(F.col("n") / _PAGE).alias("page"),
+        F.col("word").alias("text"),
+        (12.0 * row + F.col("n") % 3 * 0.4).alias("top"),
+        (12.0 * row + 10).alias("bottom"),
+        (40.0 * (F.col("n") % _LINE)).alias("x0"),
+    )
     keys = ("item_id", "page")
     tables = words.select(*keys).distinct().select(*keys, F.lit(36.0).alias("top"), F.lit(58.0).alias("bottom"), F.lit("[table]").alias("content"))
     lines = lines_outside_tables(lines_from_words(words, _TOLERANCE, keys), tables, keys)
@@ -312,7 +338,17 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = F.length("chunk")
-    return chunks(docs, ParagraphSplitter(3)).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.sum(n.cast("long")).alias("n_chars"), F.max(n).alias("longest"))
+    return (
+        chunks(docs, ParagraphSplitter(3))
+        .join(docs.select("doc_id", "lang"), "doc_id")
+        .groupBy("lang")
+        .agg(
+            F.count("*").alias("n_chunks"),
+            F.countDistinct("doc_id").alias("n_docs"),
+            F.sum(n.cast("long")).alias("n_chars"),
+            F.max(n).alias("longest"),
+        )
+    )
 
 
 @query(
@@ -322,7 +358,11 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunks(table(spark, sf_dir, "documents"), WordSplitter(50))
-    return made.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"))
+    return (
+        made.join(table(spark, sf_dir, "labels"), "doc_id")
+        .groupBy("quality", "toxic")
+        .agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"))
+    )
 
 
 # ---- Parsers: no SQL form ----
@@ -343,7 +383,11 @@ over_documents("code_split", lambda: CodeSplitter(600, "python"))
 query("header_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HeaderSplitter(1000, ["Header 1", "Header 2"]), text="html", key="page_id"))
 query("html_tag_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HTMLTagSplitter(600, "p"), text="html", key="page_id"))
 query("html_auto_split")(lambda spark, sf: chunks(table(spark, sf, "pages"), HTMLTagSplitter(), text="html", key="page_id"))
-query("html_to_markdown")(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_to_markdown(F.col("html")).alias("markdown")))
+query("html_to_markdown")(
+    lambda spark, sf: spread(
+        table(spark, sf, "pages").select("page_id", "html"), "page_id",
+    ).select("page_id", html_to_markdown(F.col("html")).alias("markdown")),
+)
 #: The body's tags in order; how deep each begins; the most frequent, of these the shallowest, of these the first.
 _AUTO_TAG = """WITH t AS (SELECT page_id, unnest(m) AS tag, unnest(range(len(m))) AS n
                         FROM (SELECT page_id, regexp_extract_all(substr(html, strpos(html, '<body') + 5), '</?[a-z][a-z0-9]*') AS m FROM pages)),
@@ -351,9 +395,15 @@ _AUTO_TAG = """WITH t AS (SELECT page_id, unnest(m) AS tag, unnest(range(len(m))
                             sum(CASE WHEN tag LIKE '</%' THEN -1 WHEN tag IN ('<br', '<hr', '<img', '<input', '<meta', '<link') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) AS depth FROM t),
                c AS (SELECT page_id, tag, count(*) AS times, min(depth) AS depth, min(n) AS n FROM d WHERE NOT closes GROUP BY page_id, tag)
                SELECT page_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY times DESC, depth, n) AS place FROM c) WHERE place = 1"""
-query("html_auto_tag", _AUTO_TAG)(lambda spark, sf: spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", html_auto_tag(F.col("html")).alias("tag")))
+query("html_auto_tag", _AUTO_TAG)(
+    lambda spark, sf: spread(
+        table(spark, sf, "pages").select("page_id", "html"), "page_id",
+    ).select("page_id", html_auto_tag(F.col("html")).alias("tag")),
+)
 # Every object of this table fits one chunk.
-query("json_split", "SELECT event_id, 0 AS chunk_index, props AS chunk FROM events WHERE props IS NOT NULL")(lambda spark, sf: chunks(table(spark, sf, "events").where("props IS NOT NULL"), RecursiveJSONSplitter(100, 20), text="props", key="event_id"))
+query("json_split", "SELECT event_id, 0 AS chunk_index, props AS chunk FROM events WHERE props IS NOT NULL")(
+    lambda spark, sf: chunks(table(spark, sf, "events").where("props IS NOT NULL"), RecursiveJSONSplitter(100, 20), text="props", key="event_id"),
+)
 
 
 @query("json_split_nested")

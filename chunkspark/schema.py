@@ -52,7 +52,9 @@ def from_variable(spark: SparkSession, variable: str | dict | list, name: str) -
     else:
         raise ValueError("variable must be a string, a dict or a list")
     details = json.dumps({"details": f"Generated from variable {name}"})
-    return spark.createDataFrame([(None, name, "", text, method, "vanilla", None, None, details)], DOCUMENT).withColumn("document_id", uuid_of(F.lit(name), F.lit(text)))
+    return spark.createDataFrame(
+        [(None, name, "", text, method, "vanilla", None, None, details)], DOCUMENT,
+    ).withColumn("document_id", uuid_of(F.lit(name), F.lit(text)))
 
 
 def uuid_of(*parts: Column) -> Column:

@@ -189,7 +189,18 @@ def without_images(markdown: str, placeholder: str = IMAGE_PLACEHOLDER) -> str:
     return EMBEDDED.sub(lambda _: placeholder, markdown)
 
 
-def convert(extension: str, content: bytes, name: str, *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = PLACEHOLDER) -> tuple[str, str, str | None]:
+def convert(
+    extension: str,
+    content: bytes,
+    name: str,
+    *,
+    html_to_markdown: bool = False,
+    as_table: bool = False,
+    vision: Any = None,
+    prompt: str | None = None,
+    scan_pdf_pages: bool = False,
+    page_placeholder: str = PLACEHOLDER,
+) -> tuple[str, str, str | None]:
     """(text, conversion_method, ocr_method) of a file; an extension that is not known is an error."""
     kind = extension.lower().lstrip(".")
     if kind in CONVERTERS:

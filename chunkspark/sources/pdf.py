@@ -32,7 +32,9 @@ def assemble_pages(blocks: DataFrame, placeholder: str = "<!-- page -->", keys:
     """blocks: keys, page, top, content. One row a document: pages in order, blocks by top, each page after its placeholder."""
     page = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("top", "content"))), lambda b: b["content"]), "\n")
     pages = blocks.groupBy(*keys, "page").agg(page.alias("content"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "content"))), lambda p: F.concat(F.lit(placeholder + "\n\n"), p["content"])), "\n\n")
+    text = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("page", "content"))), lambda p: F.concat(F.lit(placeholder + "\n\n"), p["content"])), "\n\n",
+    )
     return pages.groupBy(*keys).agg(F.regexp_replace(text, "\n{3,}", "\n\n").alias("text"))
 
 

@@ -69,7 +69,14 @@ def sniff(text: str) -> tuple[str, str]:
     return (files.as_text(value), "json") if isinstance(value, dict | list) else (text, "txt")
 
 
-def documents_from_value(spark: SparkSession, value: str | dict | list, name: str | None = None, document_id: str | None = None, metadata: dict | None = None, page_placeholder: str | None = None) -> DataFrame:
+def documents_from_value(
+    spark: SparkSession,
+    value: str | dict | list,
+    name: str | None = None,
+    document_id: str | None = None,
+    metadata: dict | None = None,
+    page_placeholder: str | None = None,
+) -> DataFrame:
     text, method = (files.as_text(value), "json") if isinstance(value, dict | list) else sniff(value)
     mark = _surfaced(text, page_placeholder or files.PLACEHOLDER)
     row = (document_id or str(uuid.uuid4()), name, "", text, method, "vanilla", None, mark, json.dumps(metadata or {}, ensure_ascii=False))
@@ -90,7 +97,20 @@ def binary_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdown: bool = False, as_table: bool = False, vision: Any = None, prompt: str | None = None, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, on_unsupported: str = "fail", partitions: int | None = None, without: Collection[str] = ()) -> DataFrame:
+def read_documents(
+    spark: SparkSession,
+    path: str | list[str],
+    *,
+    html_to_markdown: bool = False,
+    as_table: bool = False,
+    vision: Any = None,
+    prompt: str | None = None,
+    scan_pdf_pages: bool = False,
+    page_placeholder: str = files.PLACEHOLDER,
+    on_unsupported: str = "fail",
+    partitions: int | None = None,
+    without: Collection[str] = (),
+) -> DataFrame:
     """One document a file. path: a file, a folder, a pattern or a list of them, in any store that Spark reads; one that
     is not there is an error. on_unsupported: fail, or skip files whose extension is not known. without: extensions of files
     that are left out.
@@ -119,7 +139,13 @@ def read_documents(spark: SparkSession, path: str | list[str], *, html_to_markdo
     name = F.element_at(F.split("path", "/"), -1)
     d = d.withColumn("name", name).withColumn("o", other("name", "ext", F.when(~plain, F.col("content"))))
     method = F.when(F.col("ext").isin(*files.HTML), F.lit("html")).when(F.col("ext").isin(*files.TEXT), F.col("ext")).otherwise("txt")
-    d = d.select("path", "name", F.when(plain, F.decode("content", "UTF-8")).otherwise(F.col("o.text")).alias("text"), F.when(plain, method).otherwise(F.col("o.method")).alias("method"), F.col("o.ocr").alias("ocr"))
+    d = d.select(
+        "path",
+        "name",
+        F.when(plain, F.decode("content", "UTF-8")).otherwise(F.col("o.text")).alias("text"),
+        F.when(plain, method).otherwise(F.col("o.method")).alias("method"),
+        F.col("o.ocr").alias("ocr"),
+    )
     mark = F.when(F.contains("text", F.lit(page_placeholder)), F.lit(page_placeholder)) if page_placeholder and "%" not in page_placeholder else F.lit(None)
     return d.select(
         uuid_of(F.col("path")).alias("document_id"),
@@ -167,7 +193,17 @@ def read_urls(spark: SparkSession, urls: list[str] | DataFrame, fetch_with: Fetc
 
     d = given.select("url").mapInPandas(get, "url string, text string, method string")
     null = F.lit(None).cast("string")
-    return d.select(uuid_of(F.col("url")).alias("document_id"), F.element_at(F.split("url", "/"), -1).alias("document_name"), F.col("url").alias("document_path"), "text", F.col("method").alias("conversion_method"), F.lit("vanilla").alias("reader_method"), null.alias("ocr_method"), null.alias("page_placeholder"), F.lit("{}").alias("metadata"))
+    return d.select(
+        uuid_of(F.col("url")).alias("document_id"),
+        F.element_at(F.split("url", "/"), -1).alias("document_name"),
+        F.col("url").alias("document_path"),
+        "text",
+        F.col("method").alias("conversion_method"),
+        F.lit("vanilla").alias("reader_method"),
+        null.alias("ocr_method"),
+        null.alias("page_placeholder"),
+        F.lit("{}").alias("metadata"),
+    )
 
 
 class VanillaReader(BaseReader):
@@ -178,11 +214,36 @@ class VanillaReader(BaseReader):
     def __init__(self, model: Any = None, fetch_with: Fetch = fetch):
         self.model, self.fetch_with = model, fetch_with
 
-    def read(self, spark: SparkSession, source: Any = None, *, file_url: str | None = None, json_document: Any = None, text_document: str | None = None, html_to_markdown: bool = False, as_table: bool = False, prompt: str | None = None, page_placeholder: str = files.PLACEHOLDER, document_id: str | None = None, document_name: str | None = None, metadata: dict | None = None, **options: Any) -> DataFrame:
+    def read(
+        self,
+        spark: SparkSession,
+        source: Any = None,
+        *,
+        file_url: str | None = None,
+        json_document: Any = None,
+        text_document: str | None = None,
+        html_to_markdown: bool = False,
+        as_table: bool = False,
+        prompt: str | None = None,
+        page_placeholder: str = files.PLACEHOLDER,
+        document_id: str | None = None,
+        document_name: str | None = None,
+        metadata: dict | None = None,
+        **options: Any,
+    ) -> DataFrame:
         if self.is_url(source):
             source, file_url = None, source
         if source is not None:
-            return read_documents(spark, source, html_to_markdown=html_to_markdown, as_table=as_table, vision=self.model, prompt=prompt, page_placeholder=page_placeholder, **options)
+            return read_documents(
+                spark,
+                source,
+                html_to_markdown=html_to_markdown,
+                as_table=as_table,
+                vision=self.model,
+                prompt=prompt,
+                page_placeholder=page_placeholder,
+                **options,
+            )
         if file_url is not None:
             if not self.is_url(file_url):
                 raise ValueError(f"not a URL: {file_url!r}")
@@ -207,7 +268,17 @@ class ConverterReader(BaseReader):
     def method_of(self, extension: Column) -> Column:
         return F.lit("markdown")
 
-    def read(self, spark: SparkSession, source: Any = None, *, page_placeholder: str = files.PLACEHOLDER, split_by_pages: bool = False, caption_images: bool = False, only: Collection[str] = (), **options: Any) -> DataFrame:
+    def read(
+        self,
+        spark: SparkSession,
+        source: Any = None,
+        *,
+        page_placeholder: str = files.PLACEHOLDER,
+        split_by_pages: bool = False,
+        caption_images: bool = False,
+        only: Collection[str] = (),
+        **options: Any,
+    ) -> DataFrame:
         """split_by_pages: page by page, each after its placeholder. caption_images: embedded images become what the
         reader's vision model says of them. only: the extensions to read, all if there are none."""
         whole, vision, added = self.convert, self.model, files.plugins()
@@ -226,7 +297,17 @@ class ConverterReader(BaseReader):
         d = raw.select("path", name.alias("name"), to_text("content", name).alias("text"))
         null = F.lit(None).cast("string")
         mark = F.when(F.contains("text", F.lit(page_placeholder)), F.lit(page_placeholder))
-        return d.select(uuid_of(F.col("path")).alias("document_id"), F.col("name").alias("document_name"), F.col("path").alias("document_path"), "text", self.method_of(extension_of("path")).alias("conversion_method"), F.lit(self.method).alias("reader_method"), null.alias("ocr_method"), mark.alias("page_placeholder"), F.lit("{}").alias("metadata"))
+        return d.select(
+            uuid_of(F.col("path")).alias("document_id"),
+            F.col("name").alias("document_name"),
+            F.col("path").alias("document_path"),
+            "text",
+            self.method_of(extension_of("path")).alias("conversion_method"),
+            F.lit(self.method).alias("reader_method"),
+            null.alias("ocr_method"),
+            mark.alias("page_placeholder"),
+            F.lit("{}").alias("metadata"),
+        )
 
 
 class MarkItDownReader(ConverterReader):
@@ -254,7 +335,15 @@ def register_pipeline(name: str, make: Callable[..., Callable[[bytes, str], str]
     PIPELINES[name] = make
 
 
-def exported(content: bytes, name: str, *, embedded: bool, image_resolution: float = 1.0, page_placeholder: str = files.PLACEHOLDER, image_placeholder: str = files.IMAGE_PLACEHOLDER) -> str:
+def exported(
+    content: bytes,
+    name: str,
+    *,
+    embedded: bool,
+    image_resolution: float = 1.0,
+    page_placeholder: str = files.PLACEHOLDER,
+    image_placeholder: str = files.IMAGE_PLACEHOLDER,
+) -> str:
     """Markdown of one file by the layout model; images as base64, or as the placeholder."""
     import io
 
@@ -271,7 +360,14 @@ def exported(content: bytes, name: str, *, embedded: bool, image_resolution: flo
     return result.document.export_to_markdown(page_break_placeholder=page_placeholder, **images)
 
 
-def page_image_pipeline(model: Any = None, prompt: str | None = None, image_resolution: float = 1.0, show_base64_images: bool = False, page_placeholder: str = files.PLACEHOLDER, **_: Any) -> Callable[[bytes, str], str]:
+def page_image_pipeline(
+    model: Any = None,
+    prompt: str | None = None,
+    image_resolution: float = 1.0,
+    show_base64_images: bool = False,
+    page_placeholder: str = files.PLACEHOLDER,
+    **_: Any,
+) -> Callable[[bytes, str], str]:
     """Each page is an image, which the model reads, or which is embedded where there is no model."""
     if model is None and not show_base64_images:
         raise ValueError("a model must be given, or show_base64_images must be set")
@@ -284,7 +380,13 @@ def page_image_pipeline(model: Any = None, prompt: str | None = None, image_reso
     return run
 
 
-def vlm_pipeline(model: Any = None, prompt: str | None = None, export: Callable[..., str] = exported, image_placeholder: str = files.IMAGE_PLACEHOLDER, **options: Any) -> Callable[[bytes, str], str]:
+def vlm_pipeline(
+    model: Any = None,
+    prompt: str | None = None,
+    export: Callable[..., str] = exported,
+    image_placeholder: str = files.IMAGE_PLACEHOLDER,
+    **options: Any,
+) -> Callable[[bytes, str], str]:
     """The whole file as Markdown, each image as the placeholder and what the model says of it."""
     if model is None:
         raise ValueError("a model must be given")
@@ -324,7 +426,9 @@ class DoclingReader(ConverterReader):
             return "page_image"
         return "vlm" if extension == "pdf" and has_model else "markdown"
 
-    def read(self, spark: SparkSession, source: Any = None, *, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, **options: Any) -> DataFrame:
+    def read(
+        self, spark: SparkSession, source: Any = None, *, scan_pdf_pages: bool = False, page_placeholder: str = files.PLACEHOLDER, **options: Any,
+    ) -> DataFrame:
         if source is None or self.is_url(source):
             return VanillaReader(self.model).read(spark, source, page_placeholder=page_placeholder, **options)
         made: dict[str, Callable[[bytes, str], str]] = {}

@@ -16,4 +16,11 @@ def stream_documents(spark: SparkSession, path: str, schema: StructType, fmt: st
 def split_stream(docs: DataFrame, splitter: Splitter, out: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Appends the chunks of each new document to `out`, each exactly once. A splitter looks at one row at a time, so no
     state is kept. Ends when all that is there has been split."""
-    return splitter.transform(docs).writeStream.format(fmt).option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return (
+        splitter.transform(docs).writeStream.format(fmt)
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -65,7 +65,12 @@ def test_vanilla_sources(spark):
     assert sniff("a\nb") == ("a\nb", "txt")
     assert documents_from_value(spark, "x %p", page_placeholder="%p").first().page_placeholder is None
     assert BaseReader.is_url("http://x") and not BaseReader.is_url("file:///x") and not BaseReader.is_url(None)
-    urls = read_urls(spark, ["https://x.org/a.md", "https://x.org/b.html"], lambda u: (b"<p>t</p>", "text/html" if u.endswith("html") else ""), html_to_markdown=True)
+    urls = read_urls(
+        spark,
+        ["https://x.org/a.md", "https://x.org/b.html"],
+        lambda u: (b"<p>t</p>", "text/html" if u.endswith("html") else ""),
+        html_to_markdown=True,
+    )
     assert sorted((r.document_name, r.conversion_method, r.text) for r in urls.collect()) == [("a.md", "txt", "<p>t</p>"), ("b.html", "md", "t")]
     assert url_text("https://x/a.yaml", b"a: 1", "")[1] == "json"
 
@@ -83,7 +88,11 @@ def test_converter_readers(spark, tmp_path):
     convert.CUTTERS["pdf"] = lambda content: [content[:2], content[2:]]
     paged = MarkItDownReader(lambda c, n: c.decode()).read(spark, str(tmp_path / "a.pdf"), split_by_pages=True, page_placeholder="<p {page}>").first()
     assert paged.text == "<p 1>\n\nbo\n\n<p 2>\n\ndy"
-    captions = MarkItDownReader(lambda c, n: "x ![i](data:image/png;base64,QUJD) y", EchoVision()).read(spark, str(tmp_path / "a.pdf"), caption_images=True).first()
+    captions = (
+        MarkItDownReader(lambda c, n: "x ![i](data:image/png;base64,QUJD) y", EchoVision())
+        .read(spark, str(tmp_path / "a.pdf"), caption_images=True)
+        .first()
+    )
     assert captions.text == "x <!-- image -->\nimage/png of 3 bytes y"
     (tmp_path / "b.txt").write_text("t")
     assert DoclingReader().read(spark, str(tmp_path / "b.txt")).first().reader_method == "vanilla"
@@ -154,7 +163,16 @@ def test_html_to_markdown():
 
 
 def test_pdf_core(spark):
-    words = spark.createDataFrame([(1, "world", 10.4, 20.0, 50.0), (1, "Hello", 10.0, 20.0, 10.0), (1, "is", 30.0, 40.0, 30.0), (1, "This", 30.5, 40.0, 10.0), (1, "cell", 60.0, 70.0, 0.0)], "page int, text string, top double, bottom double, x0 double")
+    words = spark.createDataFrame(
+        [
+            (1, "world", 10.4, 20.0, 50.0),
+            (1, "Hello", 10.0, 20.0, 10.0),
+            (1, "is", 30.0, 40.0, 30.0),
+            (1, "This", 30.5, 40.0, 10.0),
+            (1, "cell", 60.0, 70.0, 0.0),
+        ],
+        "page int, text string, top double, bottom double, x0 double",
+    )
     lines = lines_from_words(words)
     assert [r.content for r in lines.orderBy("top").collect()] == ["Hello world", "This is", "cell"]
     tables = spark.createDataFrame([(1, 55.0, 80.0)], "page int, top double, bottom double")
@@ -178,7 +196,14 @@ def test_embeddings(spark):
     assert list(rows[0].v) == a and rows[1].v is None
     d = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in d.select(cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, 1.0]
-    good = ClientEmbedding("m", lambda: None, lambda c, m, texts: [[float(len(t))] for t in texts], max_tokens=3, count_tokens=lambda client, model, t: len(t.split()), refuse_blank=True)
+    good = ClientEmbedding(
+        "m",
+        lambda: None,
+        lambda c, m, texts: [[float(len(t))] for t in texts],
+        max_tokens=3,
+        count_tokens=lambda client, model, t: len(t.split()),
+        refuse_blank=True,
+    )
     assert good.embed_text("ab c") == [4.0]
     for texts in (["a b c d"], [" "], []):
         with pytest.raises(ValueError):

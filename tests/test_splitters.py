@@ -66,10 +66,26 @@ EXACT = [
     (ParagraphSplitter(2, line_break="||"), "P1||P2||P3", ["P1||P2", "P3"]),
     (ParagraphSplitter(1, 1), "a b\nc d", ["a b", "b\nc d"]),
     (ParagraphSplitter(1, -3), "a b\nc d", ["a b", "c d"]),
-    (KeywordSplitter({"todo": "^TODO:", "note": "^NOTE:"}, flags=re.M), TODO, ["Intro text.\nTODO:", "refactor parser.\nBody continues here.\nNOTE:", "verify edge cases.\nEnding."]),
-    (KeywordSplitter({"todo": "^TODO:", "note": "^NOTE:"}, flags=re.M, include_delimiters="after"), TODO, ["Intro text.", "TODO: refactor parser.\nBody continues here.", "NOTE: verify edge cases.\nEnding."]),
-    (KeywordSplitter(["^TODO:", "^NOTE:"], flags=re.M, include_delimiters="none"), TODO, ["Intro text.", "refactor parser.\nBody continues here.", "verify edge cases.\nEnding."]),
-    (KeywordSplitter(["^TODO:", "^NOTE:"], flags=re.M, include_delimiters="both"), TODO, ["Intro text.\nTODO:", "TODO: refactor parser.\nBody continues here.\nNOTE:", "NOTE: verify edge cases.\nEnding."]),
+    (
+        KeywordSplitter({"todo": "^TODO:", "note": "^NOTE:"}, flags=re.M),
+        TODO,
+        ["Intro text.\nTODO:", "refactor parser.\nBody continues here.\nNOTE:", "verify edge cases.\nEnding."],
+    ),
+    (
+        KeywordSplitter({"todo": "^TODO:", "note": "^NOTE:"}, flags=re.M, include_delimiters="after"),
+        TODO,
+        ["Intro text.", "TODO: refactor parser.\nBody continues here.", "NOTE: verify edge cases.\nEnding."],
+    ),
+    (
+        KeywordSplitter(["^TODO:", "^NOTE:"], flags=re.M, include_delimiters="none"),
+        TODO,
+        ["Intro text.", "refactor parser.\nBody continues here.", "verify edge cases.\nEnding."],
+    ),
+    (
+        KeywordSplitter(["^TODO:", "^NOTE:"], flags=re.M, include_delimiters="both"),
+        TODO,
+        ["Intro text.\nTODO:", "TODO: refactor parser.\nBody continues here.\nNOTE:", "NOTE: verify edge cases.\nEnding."],
+    ),
     (KeywordSplitter(["x"], chunk_size=50), "y" * 120, ["y" * 50, "y" * 50, "y" * 20]),
     (KeywordSplitter([]), "nothing", ["nothing"]),
     (KeywordSplitter(["a"]), "", [""]),
@@ -77,9 +93,17 @@ EXACT = [
     (RecursiveCharacterSplitter(10, 4), "one two three four", ["one two", "two three", "four"]),
     (RecursiveCharacterSplitter(4, 0), "abcdefgh", ["abcd", "efgh"]),
     (CodeSplitter(30, "python"), "import os\nclass A:\n    pass\ndef f():\n    return 1\n", ["import os", "class A:\n    pass", "def f():\n    return 1"]),
-    (RecursiveJSONSplitter(40, 20), '{"a": {"x": 1, "y": "long text here"}, "b": [1, 2]}', ['{"a": {"x": 1, "y": "long text here"}}', '{"b": {"0": 1, "1": 2}}']),
+    (
+        RecursiveJSONSplitter(40, 20),
+        '{"a": {"x": 1, "y": "long text here"}, "b": [1, 2]}',
+        ['{"a": {"x": 1, "y": "long text here"}}', '{"b": {"0": 1, "1": 2}}'],
+    ),
     (HTMLTagSplitter(1, "div"), "<body><div>a</div><div>b</div></body>", ["a\nb"]),
-    (HTMLTagSplitter(1, "div", batch=False, to_markdown=False), "<body><div id=x>a<br>&lt;</div><div>b</div></body>", ['<html><body><div id="x">a<br/>&lt;</div></body></html>', "<html><body><div>b</div></body></html>"]),
+    (
+        HTMLTagSplitter(1, "div", batch=False, to_markdown=False),
+        "<body><div id=x>a<br>&lt;</div><div>b</div></body>",
+        ['<html><body><div id="x">a<br/>&lt;</div></body></html>', "<html><body><div>b</div></body></html>"],
+    ),
     (HTMLTagSplitter(1, "section"), "<body><div>a</div></body>", [""]),
 ]
 
@@ -122,7 +146,17 @@ def test_refused(make, error):
         make()
 
 
-@pytest.mark.parametrize("splitter", [CharacterSplitter(5), WordSplitter(5), ParagraphSplitter(2), RecursiveCharacterSplitter(50, 0), RecursiveJSONSplitter(50, 5), RowColumnSplitter(num_rows=2)])
+@pytest.mark.parametrize(
+    "splitter",
+    [
+        CharacterSplitter(5),
+        WordSplitter(5),
+        ParagraphSplitter(2),
+        RecursiveCharacterSplitter(50, 0),
+        RecursiveJSONSplitter(50, 5),
+        RowColumnSplitter(num_rows=2),
+    ],
+)
 @pytest.mark.parametrize("text", [None, ""])
 def test_empty_text(spark, splitter, text):
     with pytest.raises(Exception, match="Chunks list cannot be empty"):
