@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from chunkspark.functions import layout
 from chunkspark.functions.layout import spread
 from chunkspark.operators import CharacterSplitter, ParagraphSplitter, RecursiveCharacterSplitter, WordSplitter
 from chunkspark.plans import catalog
@@ -49,14 +50,12 @@ def test_splitters_do_not_shuffle(spark, splitter):
     assert "Exchange" not in splitter.transform(docs)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_only_small_inputs_are_dealt_out(spark):
+def test_only_small_inputs_are_dealt_out(spark, monkeypatch):
     small = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" in plan(spread(small, "doc_id"))
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    monkeypatch.setattr(layout, "SMALL", 1000)
     assert "Exchange" not in plan(spread(small, "doc_id"))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
 
 
 @pytest.mark.parametrize("name", ["word_overlap", "recursive_split", "semantic_split"])
